@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from actlake.llm.common import table
 
@@ -17,17 +16,39 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import line_dedup
+
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actlake.llm import url_filter
 
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op7_minhash_neardup, op10_url_filter)
+
+
 def queries() -> dict:
-    return {"op1_bpe_codec": op1_bpe_codec, "op10_url_filter": op10_url_filter}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from actlake.llm import url_filter
+    from actlake.llm import line_dedup, url_filter
 
-    return {"op10_url_filter": url_filter.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
