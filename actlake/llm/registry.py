@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlake.llm.common import table
+from actlake.llm.common import held_out, table
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,19 +29,35 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actlake.llm import neardup
 
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actlake.llm import url_filter
 
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op7_minhash_neardup, op10_url_filter)
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op5_quality_qda, op7_minhash_neardup, op9_language_id, op10_url_filter)
 
 
 def queries() -> dict:
