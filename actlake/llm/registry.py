@@ -37,6 +37,12 @@ def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import secrets
+
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actlake.llm import neardup
 
@@ -57,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op5_quality_qda, op7_minhash_neardup, op9_language_id, op10_url_filter)
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op9_language_id, op10_url_filter)
 
 
 def queries() -> dict:
