@@ -49,6 +49,12 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actlake.llm import langid
 
@@ -63,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op9_language_id, op10_url_filter)
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter)
 
 
 def queries() -> dict:
