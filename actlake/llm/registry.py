@@ -29,6 +29,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import fingerprint
+
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actlake.llm import quality
 
@@ -69,7 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter)
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op4_imatch_fingerprint, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter)
 
 
 def queries() -> dict:
