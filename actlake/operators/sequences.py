@@ -22,7 +22,7 @@ def groups(feat_acts: DataFrame, positions: int, intervals: int) -> DataFrame:
     active = feat_acts.groupBy("feature_id").agg(F.count(F.lit(1)).alias("active"))
     shares = bounds.join(counts, ["feature_id", "group_ord"], "left").join(active, "feature_id")
     zeros = F.when(F.col("lower") <= 0, F.lit(positions) - F.col("active")).otherwise(0)
-    shares = shares.select("feature_id", "group_ord", "kind", "lower", "upper", F.round((F.coalesce("n", F.lit(0)) + zeros) / positions, 6).alias("pct"))
+    shares = shares.select("feature_id", "group_ord", "kind", "lower", "upper", ((F.coalesce("n", F.lit(0)) + zeros) / positions).alias("pct"))
     top = best.select("feature_id", F.lit(0).alias("group_ord"), F.lit("TOP").alias("kind"), F.lit(0.0).alias("lower"), F.col("m").alias("upper"), F.lit(1.0).alias("pct"))
     return top.unionByName(shares)
 

@@ -10,8 +10,8 @@ token_pos AS (SELECT doc_id * 1000 + i // 32 AS prompt_idx, (i % 32)::INT AS pos
 prompts AS (SELECT prompt_idx, list(token_id ORDER BY pos) AS token_ids FROM token_pos GROUP BY prompt_idx),
 emb AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 500),
 posv AS (SELECT prompt_idx, pos, token_id, ((token_id::BIGINT * 31 + pos * 7) % 500) AS vec_id FROM token_pos),
-encoder AS (SELECT f::INT AS feature_id, list_transform(range(0, 64), lambda i: (CASE WHEN i = f % 64 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + [0.1, -0.2, 0.3, -0.4]::DOUBLE[][i % 4 + 1] * [0.2, -0.1, 0.4, -0.2]::DOUBLE[][f % 4 + 1]) AS w, -0.15::DOUBLE AS b, f * 0.01::DOUBLE AS threshold FROM range(16) r(f)),
-decoder AS (SELECT f::INT AS feature_id, list_transform(range(0, 64), lambda i: (CASE WHEN i = f % 64 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + [-0.4, 0.4, 0.8, -0.8]::DOUBLE[][f % 4 + 1] * [0.3, -0.3, 0.6, -0.6]::DOUBLE[][i % 4 + 1]) AS w FROM range(16) r(f)),
+encoder AS (SELECT f::INT AS feature_id, list_transform(range(0, 64), lambda i: (CASE WHEN i = f % 64 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + ([0.1, -0.2, 0.3, -0.4]::DOUBLE[])[i % 4 + 1] * ([0.2, -0.1, 0.4, -0.2]::DOUBLE[])[f % 4 + 1]) AS w, -0.15::DOUBLE AS b, f * 0.01::DOUBLE AS threshold FROM range(16) r(f)),
+decoder AS (SELECT f::INT AS feature_id, list_transform(range(0, 64), lambda i: (CASE WHEN i = f % 64 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + ([-0.4, 0.4, 0.8, -0.8]::DOUBLE[])[f % 4 + 1] * ([0.3, -0.3, 0.6, -0.6]::DOUBLE[])[i % 4 + 1]) AS w FROM range(16) r(f)),
 vec_acts AS (SELECT feature_id, vec_id, round(list_dot_product(x, w) + b, 6) AS act FROM emb, encoder),
 fa AS (SELECT feature_id, prompt_idx, pos, token_id, act FROM posv JOIN vec_acts USING (vec_id) WHERE act > 0),
 vec_n AS (SELECT vec_id, count(*) AS n FROM posv GROUP BY vec_id),
@@ -39,7 +39,7 @@ def _attribution(value: str) -> str:
         _ATTN
         + f"""parts AS (SELECT feature_id, prompt_idx, src, round({value}, 3) + 0.0 AS v FROM attn_at),
 lists AS (SELECT feature_id, prompt_idx, list(v ORDER BY src) AS l FROM parts GROUP BY ALL)
-SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, list_max(l)) - 1)::INT AS dfa_target_index, len(l) AS n_src, round(list_sum(l), 2) AS dfa_sum FROM lists"""
+SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, list_max(l)) - 1)::INT AS dfa_target_index, len(l) AS n_src, round(list_sum(l), 3) + 0.0 AS dfa_sum FROM lists"""
     )
 
 
@@ -53,14 +53,14 @@ SQL: dict[str, str] = {
     "prompt_template": "x AS (SELECT prompt_idx, list_concat([1, 2, 3], token_ids[2:])[1:32] AS t FROM prompts) SELECT prompt_idx, len(t) AS n_tokens, md5(array_to_string(t, ',')) AS tokens_md5 FROM x",
     "vocab_clean_pad": "x AS (SELECT r.i::INT AS token_id, coalesce(replace(replace(token, 'Ġ', ' '), 'Ċ', chr(10)), '<|missing token|>') AS token FROM range((SELECT count(*) FROM vocab) + 100) r(i) LEFT JOIN vocab ON token_id = r.i) SELECT * FROM x",
     "encode_relu": "x AS (SELECT * FROM fa) SELECT feature_id, prompt_idx, pos, token_id, act FROM x",
-    "encode_jumprelu": "x AS (SELECT feature_id, prompt_idx, pos, act FROM posv JOIN vec_acts USING (vec_id) JOIN encoder USING (feature_id) WHERE act > greatest(threshold, 0)) SELECT feature_id, prompt_idx, count(*) AS n, round(sum(act), 4) AS act_sum, max(act) AS act_max FROM x GROUP BY ALL",
-    "encode_probe": "p AS (SELECT label, list(m ORDER BY i) AS w FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label), va AS (SELECT label, vec_id, round(list_dot_product(x, w), 6) + 0.0 AS act FROM emb, p) SELECT label AS feature_id, prompt_idx, count(*) AS n, min(act) AS act_min, max(act) AS act_max, round(sum(act), 4) AS act_sum FROM posv JOIN va USING (vec_id) GROUP BY ALL",
+    "encode_jumprelu": "x AS (SELECT feature_id, prompt_idx, pos, act FROM posv JOIN vec_acts USING (vec_id) JOIN encoder USING (feature_id) WHERE act > greatest(threshold, 0)) SELECT feature_id, prompt_idx, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, max(act) AS act_max FROM x GROUP BY ALL",
+    "encode_probe": "p AS (SELECT label, list(m ORDER BY i) AS w FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label), va AS (SELECT label, vec_id, round(list_dot_product(x, w), 6) + 0.0 AS act FROM emb, p) SELECT label AS feature_id, prompt_idx, count(*) AS n, min(act) AS act_min, max(act) AS act_max, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum FROM posv JOIN va USING (vec_id) GROUP BY ALL",
     "encode_batchtopk": "r AS (SELECT *, prompt_idx // 8000 AS batch_id FROM fa), s AS (SELECT batch_id, 2 * count(DISTINCT (prompt_idx, pos)) AS k FROM r GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY act DESC, prompt_idx, pos, feature_id) AS rn FROM r) SELECT batch_id, feature_id, count(*) AS n, min(act) AS act_min, max(act) AS act_max FROM t JOIN s USING (batch_id) WHERE rn <= k GROUP BY ALL",
-    "encode_normalised": "xn AS (SELECT vec_id, list_transform(x, lambda v, i: (v - 0.01) / (0.1 + (i - 1) * 0.001 + 1e-6)) AS x FROM emb), va AS (SELECT feature_id, vec_id, round(list_dot_product(x, w) + b, 6) AS act FROM xn, encoder) SELECT feature_id, prompt_idx, count(*) AS n, max(act) AS act_max, round(sum(act), 3) AS act_sum FROM posv JOIN va USING (vec_id) WHERE act > 0 GROUP BY ALL",
+    "encode_normalised": "xn AS (SELECT vec_id, list_transform(x, lambda v, i: (v - 0.01) / (0.1 + (i - 1) * 0.001 + 1e-6)) AS x FROM emb), va AS (SELECT feature_id, vec_id, round(list_dot_product(x, w) + b, 6) AS act FROM xn, encoder) SELECT feature_id, prompt_idx, count(*) AS n, max(act) AS act_max, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum FROM posv JOIN va USING (vec_id) WHERE act > 0 GROUP BY ALL",
     "fold_decoder_norm": "n AS (SELECT feature_id, sqrt(list_sum(list_transform(w, lambda v: v * v))) AS s FROM decoder) SELECT feature_id, (i - 1)::INT AS i, round(w * s, 6) AS w_enc, round(b * s, 6) AS b_enc, round(w, 6) AS unfolded FROM (SELECT feature_id, s, b, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM encoder JOIN (SELECT feature_id, CASE WHEN s = 0 THEN 1 ELSE s END AS s FROM n) USING (feature_id))",
     "high_norm_mask": "xs AS (SELECT vec_id, list_transform(x, lambda v: v * (1 + vec_id % 7)) AS x FROM emb), nv AS (SELECT vec_id, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS nrm FROM xs), p AS (SELECT prompt_idx, pos, nrm, prompt_idx // 64000 AS b FROM posv JOIN nv USING (vec_id)), m AS (SELECT b, quantile_disc(nrm, 0.5) AS med FROM p GROUP BY b) SELECT prompt_idx, count(*) AS n, count(*) FILTER (nrm > 1.5 * med) AS outliers, round(sum(CASE WHEN nrm > 1.5 * med THEN 0 ELSE nrm END), 4) AS kept_norm FROM p JOIN m USING (b) GROUP BY prompt_idx",
-    "ignore_masks": "freq AS (SELECT token_id FROM token_pos GROUP BY token_id ORDER BY count(*) DESC, token_id LIMIT 3) SELECT feature_id, count(*) AS n, round(sum(act), 3) AS act_sum, max(act) AS act_max FROM fa WHERE token_id NOT IN (SELECT token_id FROM freq) AND pos NOT IN (0, 1, 2) GROUP BY feature_id",
-    "threshold_mask": "x AS (SELECT feature_id, prompt_idx, pos, act FROM fa JOIN encoder USING (feature_id) WHERE act >= threshold) SELECT feature_id, count(*) AS n, round(sum(act), 3) AS act_sum, min(act) AS act_min FROM x GROUP BY feature_id",
+    "ignore_masks": "freq AS (SELECT token_id FROM token_pos GROUP BY token_id ORDER BY count(*) DESC, token_id LIMIT 3) SELECT feature_id, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, max(act) AS act_max FROM fa WHERE token_id NOT IN (SELECT token_id FROM freq) AND pos NOT IN (0, 1, 2) GROUP BY feature_id",
+    "threshold_mask": "x AS (SELECT feature_id, prompt_idx, pos, act FROM fa JOIN encoder USING (feature_id) WHERE act >= threshold) SELECT feature_id, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, min(act) AS act_min FROM x GROUP BY feature_id",
     "feature_density": "a AS (SELECT feature_id, max(act) AS m, count(*) AS k, count(*) FILTER (abs(act) > 1e-6) AS z FROM fa GROUP BY feature_id) SELECT feature_id, coalesce(m, 0.0) AS max_act, coalesce(k, 0) AS n_active, round(coalesce(k, 0) / n, 6) AS frac_active, round(coalesce(z, 0) / n, 6) AS frac_nonzero FROM encoder LEFT JOIN a USING (feature_id), total",
     "feature_moments": "s AS (SELECT feature_id, sum(act) / any_value(n) AS m, sum(act ** 2) / any_value(n) AS e2, sum(act ** 3) / any_value(n) AS e3, sum(act ** 4) / any_value(n) AS e4 FROM fa, total GROUP BY feature_id) SELECT feature_id, round(m, 6) AS mean_act, round((e3 - 3 * m * e2 + 2 * m ** 3) / pow(e2 - m * m, 1.5), 4) AS skewness, round((e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m ** 4) / ((e2 - m * m) * (e2 - m * m)) - 3, 4) AS kurtosis FROM s",
     "feature_quantiles": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, quantile_cont(act, {_GRID}) AS qd FROM a GROUP BY feature_id) SELECT feature_id, unnest({_GRID}) AS q, round(unnest(qd), 6) AS quantile FROM q",
@@ -81,7 +81,7 @@ SQL: dict[str, str] = {
     "interval_samples": _GROUPS + "z AS (SELECT b.feature_id, b.group_ord, p.prompt_idx, p.pos, 0.0 AS act FROM (SELECT feature_id, group_ord FROM bounds WHERE lower <= 0) b, token_pos p ANTI JOIN fa ON fa.feature_id = b.feature_id AND fa.prompt_idx = p.prompt_idx AND fa.pos = p.pos), a AS (SELECT *, md5('0|' || prompt_idx || '|' || pos) AS k FROM (FROM inside UNION ALL FROM z)), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id, group_ord ORDER BY k, prompt_idx, pos) AS rank FROM a) SELECT feature_id, group_ord, rank, prompt_idx, pos, act FROM r WHERE rank <= 5",
     "context_windows": _TOP + "d AS (SELECT feature_id, rank, t.prompt_idx, t.pos, p.pos AS wpos, p.token_id FROM top t JOIN token_pos p ON p.prompt_idx = t.prompt_idx AND p.pos BETWEEN t.pos - 5 AND t.pos + 5) SELECT d.feature_id, d.rank, d.prompt_idx, d.pos, d.wpos, d.token_id, round(coalesce(fa.act, 0), 4) AS act FROM d LEFT JOIN fa ON fa.feature_id = d.feature_id AND fa.prompt_idx = d.prompt_idx AND fa.pos = d.wpos",
     "full_sequence_windows": _TOP + "x AS (SELECT * FROM top) SELECT feature_id, rank, prompt_idx, pos, len(token_ids[2:]) AS n_tokens, md5(array_to_string(token_ids[2:], ',')) AS window_md5 FROM x JOIN prompts USING (prompt_idx)",
-    "act_lag_lead": "o AS (SELECT prompt_idx, pos, lead(token_id) OVER w AS nx, lag(token_id) OVER w AS pv FROM token_pos WINDOW w AS (PARTITION BY prompt_idx ORDER BY pos)), x AS (SELECT a.feature_id, a.prompt_idx, a.pos, a.act, coalesce(b.act, 0) AS prev_act, nx, pv FROM fa a JOIN o USING (prompt_idx, pos) LEFT JOIN fa b ON b.feature_id = a.feature_id AND b.prompt_idx = a.prompt_idx AND b.pos = a.pos - 1) SELECT feature_id, prompt_idx, count(*) AS n, round(sum(act * prev_act), 4) AS lag_product, sum(nx)::BIGINT AS next_sum, sum(pv)::BIGINT AS prev_sum FROM x GROUP BY ALL",
+    "act_lag_lead": "o AS (SELECT prompt_idx, pos, lead(token_id) OVER w AS nx, lag(token_id) OVER w AS pv FROM token_pos WINDOW w AS (PARTITION BY prompt_idx ORDER BY pos)), x AS (SELECT a.feature_id, a.prompt_idx, a.pos, a.act, coalesce(b.act, 0) AS prev_act, nx, pv FROM fa a JOIN o USING (prompt_idx, pos) LEFT JOIN fa b ON b.feature_id = a.feature_id AND b.prompt_idx = a.prompt_idx AND b.pos = a.pos - 1) SELECT feature_id, prompt_idx, count(*) AS n, round(sum(act * prev_act), 4) AS lag_product, coalesce(sum(nx), 0)::BIGINT AS next_sum, coalesce(sum(pv), 0)::BIGINT AS prev_sum FROM x GROUP BY ALL",
     "argmax_position": "x AS (SELECT feature_id, prompt_idx, arg_max(pos, {'a': act, 'p': -pos}) AS pos, max(act) AS act FROM fa GROUP BY ALL) SELECT * FROM x",
     "group_offsets": _GROUPS + "c AS (SELECT feature_id, group_ord, count(*) AS n FROM inside GROUP BY ALL), g AS (SELECT feature_id, group_ord, coalesce(n, 0) AS n FROM bounds LEFT JOIN c USING (feature_id, group_ord)) SELECT feature_id, group_ord, n, coalesce(sum(n) OVER (PARTITION BY feature_id ORDER BY group_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_row FROM g",
     "attribution": _attribution("list_dot_product(x, w) * p"),
@@ -89,14 +89,14 @@ SQL: dict[str, str] = {
     "prompt_scores_act": "x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY act DESC, feature_id) AS rank FROM fa) SELECT 'act_size' AS metric, prompt_idx, pos, rank, feature_id, act AS score FROM x WHERE rank <= 3",
     "prompt_scores_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), s AS (SELECT prompt_idx, pos, feature_id, list_append({_GRID}, 1.0)[len(list_filter(qd, lambda v: v < act)) + 1] AS score FROM fa JOIN q USING (feature_id)), x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY score DESC, feature_id) AS rank FROM s) SELECT 'act_quantile' AS metric, prompt_idx, pos, rank, feature_id, score FROM x WHERE rank <= 3",
     "feature_batches": "x AS (SELECT feature_id, ntile(4) OVER (ORDER BY feature_id) - 1 AS balanced, (row_number() OVER (ORDER BY feature_id) - 1) // 5 AS fixed FROM encoder) SELECT feature_id, balanced, fixed FROM x",
-    "skipped_features": "a AS (SELECT feature_id, count(*) / any_value(n) AS f FROM fa, total GROUP BY feature_id) SELECT feature_id FROM encoder WHERE feature_id NOT IN (SELECT feature_id FROM a WHERE f BETWEEN 0.05 AND 1)",
+    "skipped_features": "a AS (SELECT feature_id, count(*) / any_value(n) AS f FROM fa, total GROUP BY feature_id) SELECT feature_id FROM encoder WHERE feature_id NOT IN (SELECT feature_id FROM a WHERE f BETWEEN 0.165 AND 1)",
     "resume_batches": "x AS (SELECT DISTINCT ntile(8) OVER (ORDER BY feature_id) - 1 AS batch_id FROM encoder) SELECT batch_id FROM x WHERE batch_id BETWEEN 1 AND 6 AND batch_id NOT IN (2, 3)",
     "stats_union": "a AS (SELECT feature_id, max(act) AS m FROM fa GROUP BY feature_id) SELECT feature_id, CASE WHEN feature_id >= 6 THEN 1 ELSE 0 END AS batch, m AS max_act FROM a",
     "bulk_activations": _TOP + "s AS (SELECT feature_id, rank, prompt_idx, pos, token_ids[2:] AS ids FROM top JOIN prompts USING (prompt_idx)), e AS (SELECT feature_id, rank, pos, generate_subscripts(ids, 1) AS i, prompt_idx FROM s WHERE len(ids) > 0), v AS (SELECT e.feature_id, e.rank, e.pos, list(round(coalesce(fa.act, 0), 4) ORDER BY i) AS vals FROM e LEFT JOIN fa ON fa.feature_id = e.feature_id AND fa.prompt_idx = e.prompt_idx AND fa.pos = e.i GROUP BY ALL) SELECT feature_id AS index, rank, list_max(vals) AS \"maxValue\", (list_position(vals, list_max(vals)) - 1)::INT AS \"maxValueTokenIndex\", list_min(vals) AS \"minValue\", (pos - 1)::INT AS \"qualifyingTokenIndex\", 'c' || md5(feature_id || '|' || (row_number() OVER (PARTITION BY feature_id ORDER BY rank) - 1))[1:24] AS id FROM v",
     "bulk_features": _TOP + "s AS (SELECT feature_id, prompt_idx, rank FROM top), m AS (SELECT s.feature_id, max(round(act, 4)) AS m FROM s JOIN fa ON fa.feature_id = s.feature_id AND fa.prompt_idx = s.prompt_idx AND fa.pos >= 1 GROUP BY 1) SELECT feature_id AS index, greatest(0, coalesce(m, 0)) AS \"maxActApprox\", false AS \"hasVector\", 'demo-model' AS \"modelId\", '3-demo-set' AS layer FROM (SELECT DISTINCT feature_id FROM top) LEFT JOIN m USING (feature_id)",
     "html_tokens": "h AS (SELECT token_id, token, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(token, 'Ġ', '&nbsp;'), '''', '&apos;'), '\"', '&quot;'), chr(92), chr(92)||chr(92)), chr(92), '&bsol;'), '<', '&lt;'), '>', '&gt;'), ')', '&#41;'), '(', '&#40;'), '[', '&#91;'), ']', '&#93;'), '{', '&#123;') AS h0 FROM vocab) SELECT token_id, replace(h0, '}', '&#125;') AS html FROM h",
     "token_colours": "a AS (SELECT feature_id, prompt_idx, max(act) AS m FROM fa GROUP BY ALL), b AS (SELECT feature_id, max(m) AS top FROM a GROUP BY feature_id), s AS (SELECT feature_id, prompt_idx, least(1, greatest(0, m / top)) AS s FROM a JOIN b USING (feature_id)) SELECT feature_id, prompt_idx, '#ff' || lower(printf('%02x', round(255 - 115 * s)::INT)) || lower(printf('%02x', round(255 - 255 * s)::INT)) AS colour FROM s",
-    "group_titles": _GROUPS + "c AS (SELECT feature_id, group_ord, count(*) AS k FROM inside GROUP BY ALL), g AS (SELECT b.feature_id, b.group_ord, lower, upper, round((coalesce(k, 0) + CASE WHEN lower <= 0 THEN n - active ELSE 0 END) / n, 6) AS pct FROM bounds b LEFT JOIN c USING (feature_id, group_ord), total) SELECT feature_id, group_ord, printf('INTERVAL %.3f - %.3f<br>CONTAINS %.3f%%', lower, upper, pct * 100) AS title, printf('%.3f', lower)::DOUBLE AS bin_min, printf('%.3f', upper)::DOUBLE AS bin_max, round(printf('%.3f', pct * 100)::DOUBLE / 100, 8) AS bin_contains FROM g",
+    "group_titles": _GROUPS + "c AS (SELECT feature_id, group_ord, count(*) AS k FROM inside GROUP BY ALL), g AS (SELECT b.feature_id, b.group_ord, lower, upper, (coalesce(k, 0) + CASE WHEN lower <= 0 THEN n - active ELSE 0 END) / n AS pct FROM bounds b LEFT JOIN c USING (feature_id, group_ord), total) SELECT feature_id, group_ord, printf('INTERVAL %.3f - %.3f<br>CONTAINS %.3f%%', lower, upper, pct * 100) AS title, printf('%.3f', lower)::DOUBLE AS bin_min, printf('%.3f', upper)::DOUBLE AS bin_max, round(printf('%.3f', pct * 100)::DOUBLE / 100, 8) AS bin_contains FROM g",
     "conversation_prompts": "c AS (SELECT conv_id, string_agg('<' || role || '> ' || coalesce(text, ''), chr(10) ORDER BY turn) AS t, count(*) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, md5(t) AS text_md5 FROM c",
     "label_density": "a AS (SELECT feature_id, prompt_idx // 1000 AS doc_id, count(*) AS k FROM fa GROUP BY ALL), t AS (SELECT prompt_idx // 1000 AS doc_id, count(*) AS n FROM token_pos GROUP BY 1), q AS (SELECT quality, sum(n) AS n FROM labels JOIN t USING (doc_id) GROUP BY quality) SELECT feature_id, quality, round(sum(k) / any_value(q.n), 6) AS density FROM a JOIN labels USING (doc_id) JOIN q USING (quality) GROUP BY feature_id, quality",
     "page_scripts": "s AS (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS l FROM pages) SELECT page_id, len(l) AS n_scripts, md5(array_to_string(l, '|')) AS scripts_md5 FROM s",
