@@ -8,10 +8,10 @@ under at least one of these keys, always. Pairs that meet are compared on their
 confirmed on the full sets. At similarity 0.8 the number of differing symbols is binomial(64, 0.2): the threshold of
 25 is exceeded by one such pair in some 7,000; pairs that are more alike miss it far more rarely.
 
-Groups of any size are joined without listing all their pairs. Under each key, first only pairs with the smallest id
-are confirmed. Components of these links leave few keys with members of several components; there only pairs across
-components are made. Where a key has too many of those, its members are indexed again by the chunks of the symbols
-that are left, which keeps the guarantee.
+Groups of any size are joined without listing their pairs. Under each key, members are first compared with the key's
+smallest id, then, in a few rounds, those outside the key's largest component with some pivots inside it: this joins
+nearly all that belong together. What is left outside is compared with all members of its key: in a join where the
+key has few members, else block by block inside a task, which emits only pairs within the threshold.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from actlake.llm.common import Workspace
 from actlake.llm.components import components
 
 SYMBOLS, ERRORS, CHUNKS = 64, 25, 13  # CHUNKS * 2 > ERRORS
-#: Pairs across components for each member of a key, beyond which the key is indexed again; at most so many times.
-CROSS, LEVELS = 16, 3
+#: Rounds and pivots of a round; members of a key that are paired by a join; members of a block otherwise.
+ROUNDS, PIVOTS, FEW, OUTSIDE_BLOCK, BLOCK = 2, 3, 32, 2_048, 8_192
 #: Pairs that are confirmed together; a document with more is dealt to several groups.
 GROUP = 256
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -84,25 +84,19 @@ def _signed(words: int):
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: key, used (bits of the symbols that key stands for), id, sig. Output: a row for each chunk less one symbol."""
+    """Input: id, sig. Output: key, id for each chunk less one symbol."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        parent, used, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, SYMBOLS).astype(np.uint64)
-        for mask in np.unique(used):
-            rows = used == mask
-            left = [i for i in range(SYMBOLS) if not int(mask) >> i & 1]
-            for chunk in np.array_split(left, CHUNKS):
-                bits = sum(1 << int(i) for i in chunk)
-                bits = (int(mask) | bits) - (1 << 64) if (int(mask) | bits) >> 63 else int(mask) | bits
-                for gone in chunk:
-                    acc = parent[rows].astype(np.uint64) ^ np.uint64(int(gone) + 1)
-                    for i in chunk:
-                        if i != gone:
-                            acc = (acc ^ (acc >> np.uint64(31))) * _MIX + sigs[rows, i]
-                    acc = (acc ^ (acc >> np.uint64(33))) * _MIX
-                    yield pa.RecordBatch.from_arrays([pa.array((acc ^ (acc >> np.uint64(29))).view(np.int64)), pa.array(ids[rows]), pa.array(np.full(rows.sum(), bits, np.int64))], names=["key", "id", "used"])
+        sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS).astype(np.uint64)
+        for chunk in np.array_split(np.arange(SYMBOLS), CHUNKS):
+            for gone in chunk:
+                acc = np.full(len(sigs), int(gone) + 1, np.uint64)
+                for i in chunk:
+                    if i != gone:
+                        acc = (acc ^ (acc >> np.uint64(31))) * _MIX + sigs[:, i]
+                acc = (acc ^ (acc >> np.uint64(33))) * _MIX
+                yield pa.RecordBatch.from_arrays([pa.array((acc ^ (acc >> np.uint64(29))).view(np.int64)), batch.column(0)], names=["key", "id"])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -136,6 +130,42 @@ def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame,
     return ws.save(left.groupBy("own", "own_part").cogroup(right.groupBy("a", "part")).applyInPandas(linked, "a long, b long").distinct())
 
 
+def _outside(ws: Workspace, members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of keys that hold several components, with key, id, component, top (the key's largest), largest (its members) and n."""
+    placed = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return ws.save(placed.join(keys, "key"))
+
+
+def _close_pairs(found: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a, b of different components whose signatures are within the threshold: members outside the top component against all of their key."""
+    few = found.where(F.col("n") <= FEW)
+    pairs = few.where("component <> top").select("key", F.col("id").alias("x"), F.col("component").alias("cx")).join(few.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    many = found.where(F.col("n") > FEW).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("turns", F.ceil((F.col("n") - F.col("largest")) / OUTSIDE_BLOCK).cast("int"))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    outside = many.where("component <> top").withColumn("turn", deal("turns")).select("key", "id", "component", "turn", each("parts", "part")).join(sigs, "id")
+    inside = many.withColumn("part", deal("parts")).select("key", "id", "component", "part", each("turns", "turn")).join(sigs, "id")
+    inside = inside.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("turn").alias("turn2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("sig").alias("sig2"))
+
+    def close(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(ours) and len(theirs):
+            x, y = (np.frombuffer(b"".join(c), "<u2").reshape(-1, SYMBOLS) for c in (ours["sig"], theirs["sig2"]))
+            ids, own = theirs["id2"].to_numpy(), theirs["component2"].to_numpy()
+            for sig, i, c in zip(x, ours["id"], ours["component"]):
+                near = ids[(own != c) & (np.count_nonzero(y != sig, axis=1) <= ERRORS)]
+                a.append(np.minimum(near, i))
+                b.append(np.maximum(near, i))
+        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+
+    blocks = outside.groupBy("key", "part", "turn").cogroup(inside.groupBy("key2", "part2", "turn2")).applyInPandas(close, "a long, b long")
+    return pairs.unionByName(blocks).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id) of each row.
 
@@ -149,33 +179,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = ws.save(signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     sigs = classes.select("id", "sig")
 
-    links, component, texts = None, None, None
-    rows = sigs.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"), "id", "sig")
-    for level in range(LEVELS):
-        keyed = rows.mapInArrow(_indexed, "key long, id long, used long")
-        sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
-        members = ws.save(keyed.join(sizes, "key"))
-        if texts is None:
-            texts = ws.save(own.join(members.select("id").distinct(), "id", "left_semi"))
-        stars = members.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-        new = _confirm(ws, stars, sigs, texts, words, percent)
-        links = new if links is None else links.unionByName(new)
-        component = components(ws, links)
-
-        # Keys whose members are in several components still, and the pairs across components they would make.
-        placed = ws.save(members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max_by("component", "n").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        last = level == LEVELS - 1
-        crossed = ws.save(placed.join(open_keys.select("key", "top", ((F.col("n") * F.col("n") - F.col("n2")) / 2 > CROSS * F.col("n")).alias("many")), "key"))
-        now = crossed if last else crossed.where("NOT many")
-        one, two = now.where("component <> top"), now
-        pairs = one.select("key", F.col("id").alias("x"), F.col("component").alias("cx")).join(two.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = links.unionByName(_confirm(ws, pairs, sigs, texts, words, percent))
-        if last or crossed.where("many").isEmpty():
+    keyed = sigs.mapInArrow(_indexed, "key long, id long")
+    sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
+    members = ws.save(keyed.join(sizes, "key"))
+    texts = ws.save(own.join(members.select("id").distinct(), "id", "left_semi"))
+    links = _confirm(ws, members.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sigs, texts, words, percent)
+    component = components(ws, links)
+    found = _outside(ws, members, component)
+    for turn in range(ROUNDS):
+        many = found.where(F.col("n") > FEW)
+        if many.isEmpty():
             break
-        rows = crossed.where("many").select("key", "used", "id").join(sigs, "id").select("key", "used", "id", "sig")
+        pivots = many.where("component = top").groupBy("key").agg(*(F.min_by("id", F.xxhash64("id", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)))
+        pairs = many.where("component <> top").join(pivots, "key").select("id", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
+        links = links.unionByName(_confirm(ws, pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sigs, texts, words, percent))
+        component = components(ws, links)
+        found = _outside(ws, found.select("key", "id"), component)
+    links = links.unionByName(_confirm(ws, _close_pairs(found, sigs), sigs, texts, words, percent))
 
     component = components(ws, links)
     of_class = classes.select("h1", "h2", "id").join(component, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
