@@ -13,48 +13,54 @@ from actlake.llm import bpe, line_dedup, mixing, neardup, quality
 from actlake.llm.common import Workspace, table
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source and the whole row as one column, so that extra columns can't clash with a stage's own."""
+    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a score of at least 0.5. The other rows go."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="_score").where("_score >= 0.5").select(*docs.columns)
+    rows = _packed(docs)
+    scored = quality.score(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
+    return scored.where("score >= 0.5").select("_row.*")
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that a document with a smaller id has as well; n_chars follows. No row goes."""
-    kept = line_dedup.dedup_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
-    return _counted(kept.select(*docs.columns))
+    """Texts without the lines that a document with a smaller id has as well; n_chars follows. No row goes; null texts stay null."""
+    kept = line_dedup.dedup_lines(_packed(docs))
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    row = F.col("_row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast("long"))
+    return kept.select(row.alias("_row")).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows with a null id stay."""
     gone = neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return _packed(docs).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes its document: none, once or more. Rows of no words are in no mix and stay as they are."""
-    taken = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), "size", F.col("source").alias("_source"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    # Rows that share an id, source and size swap places freely, so they are told apart by their rank alone.
-    nth = lambda df, *keys: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
-    rows = nth(docs.withColumn("_size", mixing.word_count(F.col("text").cast("binary"))), "doc_id", "source", "_size")
-    taken = nth(taken, "_id", "_source", "size").withColumnRenamed("_nth", "_mth")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size")) & (F.col("_nth") == F.col("_mth"))
+    """Each row as many times as the mix takes its document: none, once or more. Rows without words are in no mix and stay as they are."""
+    taken = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    # Rows that share id, source and size may swap places, so their rank tells them apart.
+    nth = lambda df, name, *keys: df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    rows = nth(_packed(docs).withColumn("_size", mixing.word_count(F.col("text").cast("binary"))), "_nth", "doc_id", "source", "_size")
+    taken = nth(taken, "_mth", "_id", "_source", "_words")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_nth") == F.col("_mth"))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
-    return rows.join(taken, same, "left").where(copies > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return rows.join(taken, same, "left").where(copies > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the packed ids of each row."""
     import public_tokenizers
 
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
-
-
 STAGES = [
     ("quality classifier", quality_filter),
     ("line dedup", line_filter),
