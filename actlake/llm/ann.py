@@ -147,7 +147,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def nearest(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(there):
-            return pd.DataFrame({"q": [], "cids": [], "scores": []})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "cids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         here = here.sort_values("cid")
         v, ids = _matrix(here["_vec"].tolist()), here["cid"].to_numpy()
         qs = _matrix(there["qv"].tolist())
