@@ -64,3 +64,10 @@ def partitions(spark: SparkSession) -> int:
 def held_out(doc_id: Column) -> Column:
     """True for the fold whose labels are never learnt from. A null id is in no fold: False."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows in each Arrow batch than Spark's default, as texts may be long: it bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlake.llm.common import held_out
+from actlake.llm.common import bounded_batches, held_out
 
 #: Rows that a language's reference is taken from at most, characters of a reference, and rows of that length or less preferred.
 ROWS, REFERENCE_CHARS, ROW_CHARS = 200, 30_000, 8_000
@@ -179,6 +179,8 @@ def identify(docs: DataFrame, references: tuple[tuple[str, str], ...], text_col:
     names are replaced.
     """
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.llm.common import held_out
+from actlake.llm.common import bounded_batches, held_out
 
 POOLED, IDENTITY = 0.1, 0.01
 #: Bytes that are counted at a time.
@@ -143,6 +143,8 @@ def score(docs: DataFrame, model: Quadratic, text_col: str = "text", score_col:
     Other columns pass through; one already named score_col is replaced.
     """
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
