@@ -8,10 +8,11 @@ under at least one of these keys, always. Pairs that meet are compared on their
 confirmed on the full sets. At similarity 0.8 the number of differing symbols is binomial(64, 0.2): the threshold of
 25 is exceeded by one such pair in some 7,000; pairs that are more alike miss it far more rarely.
 
-Groups of any size are joined without listing their pairs. Under each key, members are first compared with the key's
-smallest id, then, in a few rounds, those outside the key's largest component with some pivots inside it: this joins
-nearly all that belong together. What is left outside is compared with all members of its key: in a join where the
-key has few members, else block by block inside a task, which emits only pairs within the threshold.
+Groups of any size are joined without listing their pairs. First a document is compared with the smallest id under
+any of its keys; then, outside its key's largest component, with a few pivots inside it. This joins nearly all that
+belong together. What is left outside is compared with all members of its key: in a join where a key has few members;
+else exactly, on full sets, with the whole largest component and with the others outside it, block by block inside
+tasks, which emit links only.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.llm.common import Workspace
+from actlake.llm.common import Workspace, bounded_batches
 from actlake.llm.components import components
 
 SYMBOLS, ERRORS, CHUNKS = 64, 25, 13  # CHUNKS * 2 > ERRORS
-#: Rounds and pivots of a round; members of a key that are paired by a join; members of a block otherwise.
-ROUNDS, PIVOTS, FEW, OUTSIDE_BLOCK, BLOCK = 2, 3, 32, 2_048, 8_192
+#: Pivots of a key and of a document; members of a key that are paired by a join; documents of a block otherwise.
+KEY_PIVOTS, PIVOTS, FEW, BLOCK = 4, 8, 32, 512
 #: Pairs that are confirmed together; a document with more is dealt to several groups.
 GROUP = 256
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -138,32 +139,59 @@ def _outside(ws: Workspace, members: DataFrame, component: DataFrame) -> DataFra
     return ws.save(placed.join(keys, "key"))
 
 
-def _close_pairs(found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """a, b of different components whose signatures are within the threshold: members outside the top component against all of their key."""
+def _few(found: DataFrame) -> DataFrame:
+    """a, b of different components under keys of few members."""
     few = found.where(F.col("n") <= FEW)
     pairs = few.where("component <> top").select("key", F.col("id").alias("x"), F.col("component").alias("cx")).join(few.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    many = found.where(F.col("n") > FEW).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("turns", F.ceil((F.col("n") - F.col("largest")) / OUTSIDE_BLOCK).cast("int"))
+
+def _families(ws: Workspace, found: DataFrame, component: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links under keys of many members: of each document outside its key's largest component (the family) with all in
+    the family and with all others outside it. One link is returned for a document and a component.
+
+    Both sides are dealt to blocks; a task maps the shingles of its block to numbers and counts each document's
+    intersections with the whole block at once.
+    """
+    many = found.where(F.col("n") > FEW)
+    outside = ws.save(many.where("component <> top").select(F.col("top").alias("family"), "id", "component").distinct())
+    tops = outside.select("family").distinct()
+    inside = component.join(tops, F.col("component") == F.col("family")).select("family", "id", "component").unionByName(tops.select("family", F.col("family").alias("id"), F.col("family").alias("component")))
+    everyone = outside.unionByName(inside)
+    blocks = lambda df, name: df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = ws.save(blocks(outside, "turns").join(blocks(everyone, "parts"), "family"))
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    outside = many.where("component <> top").withColumn("turn", deal("turns")).select("key", "id", "component", "turn", each("parts", "part")).join(sigs, "id")
-    inside = many.withColumn("part", deal("parts")).select("key", "id", "component", "part", each("turns", "turn")).join(sigs, "id")
-    inside = inside.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("turn").alias("turn2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("sig").alias("sig2"))
+    left = outside.join(sizes, "family").withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(texts, "id")
+    right = everyone.join(sizes, "family").withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(texts, "id")
+    right = right.select(F.col("family").alias("family2"), F.col("turn").alias("turn2"), F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("text").alias("text2"))
 
-    def close(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def linked(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         if len(ours) and len(theirs):
-            x, y = (np.frombuffer(b"".join(c), "<u2").reshape(-1, SYMBOLS) for c in (ours["sig"], theirs["sig2"]))
-            ids, own = theirs["id2"].to_numpy(), theirs["component2"].to_numpy()
-            for sig, i, c in zip(x, ours["id"], ours["component"]):
-                near = ids[(own != c) & (np.count_nonzero(y != sig, axis=1) <= ERRORS)]
-                a.append(np.minimum(near, i))
-                b.append(np.maximum(near, i))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+            sets = [shingles(t, words) for t in theirs["text2"]]
+            sizes = np.array([len(s) for s in sets])
+            known, number = np.unique(np.concatenate(sets), return_inverse=True)
+            starts, ids, components = np.cumsum(sizes) - sizes, theirs["id2"].to_numpy(), theirs["component2"].to_numpy()
+            flag = np.zeros(len(known), np.uint8)
+            for text, i, c in zip(ours["text"], ours["id"], ours["component"]):
+                own = shingles(text, words)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                at = at[known[at] == own]
+                flag[at] = 1
+                common = np.add.reduceat(flag[number], starts, dtype=np.int64)
+                flag[at] = 0
+                near = np.flatnonzero((components != c) & (100 * common >= percent * (len(own) + sizes - common)))
+                for j in near[np.unique(components[near], return_index=True)[1]]:
+                    a.append(min(i, ids[j]))
+                    b.append(max(i, ids[j]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return ws.save(left.groupBy("family", "turn", "part").cogroup(right.groupBy("family2", "turn2", "part2")).applyInPandas(linked, "a long, b long").distinct())
+
 
-    blocks = outside.groupBy("key", "part", "turn").cogroup(inside.groupBy("key2", "part2", "turn2")).applyInPandas(close, "a long, b long")
-    return pairs.unionByName(blocks).distinct()
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    return component.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,6 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     with a null id takes no part: component_id null, kept. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "near-dup")
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = ws.save(own.mapInArrow(_signed(words), "id long, n long, h1 long, h2 long, sig binary"))
     classes = ws.save(signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
@@ -183,21 +212,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
     members = ws.save(keyed.join(sizes, "key"))
     texts = ws.save(own.join(members.select("id").distinct(), "id", "left_semi"))
-    links = _confirm(ws, members.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sigs, texts, words, percent)
-    component = components(ws, links)
+    stars = members.groupBy("id").agg(F.min("lo").alias("lo")).where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    component = components(ws, _confirm(ws, stars, sigs, texts, words, percent))
     found = _outside(ws, members, component)
-    for turn in range(ROUNDS):
-        many = found.where(F.col("n") > FEW)
-        if many.isEmpty():
-            break
-        pivots = many.where("component = top").groupBy("key").agg(*(F.min_by("id", F.xxhash64("id", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)))
-        pairs = many.where("component <> top").join(pivots, "key").select("id", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
-        links = links.unionByName(_confirm(ws, pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sigs, texts, words, percent))
-        component = components(ws, links)
-        found = _outside(ws, found.select("key", "id"), component)
-    links = links.unionByName(_confirm(ws, _close_pairs(found, sigs), sigs, texts, words, percent))
-
-    component = components(ws, links)
+    many = found.where(F.col("n") > FEW)
+    pivots = many.where("component = top").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(KEY_PIVOTS)))).alias("pivots"))
+    asked = many.where("component <> top").join(pivots, "key").select("id", F.explode("pivots").alias("pivot"))
+    some = asked.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("id", "pivot").alias("at"), "pivot"))), 1, PIVOTS).alias("own")).select("id", F.explode("own.pivot").alias("pivot"))
+    links = _confirm(ws, some.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sigs, texts, words, percent)
+    component = components(ws, _joined(component, links))
+    found = _outside(ws, found.select("key", "id"), component)
+    links = _confirm(ws, _few(found), sigs, texts, words, percent).unionByName(_families(ws, found, component, texts, words, percent))
+    component = components(ws, _joined(component, links))
     of_class = classes.select("h1", "h2", "id").join(component, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(of_class, ["h1", "h2"], "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
