@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from actlake.llm.common import bounded_batches, held_out
 
-POOLED, IDENTITY = 0.1, 0.01
+POOLED, IDENTITY = 0.5, 0.01
 #: Bytes that are counted at a time.
 CHUNK_BYTES = 2_000_000
 
