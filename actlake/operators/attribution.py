@@ -7,24 +7,32 @@ length.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actlake.functions.vectors import dot
 
 
+def by_source(attn: DataFrame) -> DataFrame:
+    """prompt_idx, dest, src, w (array by head) from rows of one head each: prompt_idx, head, dest, src, w."""
+    pairs = F.array_sort(F.collect_list(F.struct("head", "w")))
+    return attn.groupBy("prompt_idx", "dest", "src").agg(F.transform(pairs, lambda x: x["w"]).alias("w"))
+
+
 def attribute(targets: DataFrame, attn: DataFrame, values: DataFrame, encoder: DataFrame, heads: int, width: int, kv_heads: int | None = None) -> DataFrame:
     """feature_id, prompt_idx, src, value for each target's source positions.
 
-    targets: feature_id, prompt_idx, pos. attn: prompt_idx, head, dest, src, w. values: prompt_idx, pos, v (kv_heads
-    blocks of `width`). With fewer kv_heads than heads, each serves heads / kv_heads heads in turn.
+    targets: feature_id, prompt_idx, pos. attn: as by_source() returns it. values: prompt_idx, pos, v (kv_heads blocks
+    of `width`). With fewer kv_heads than heads, each serves heads / kv_heads heads in turn.
     """
     shared = heads // (kv_heads or heads)
     at = targets.select("feature_id", "prompt_idx", F.col("pos").alias("dest")).join(attn, ["prompt_idx", "dest"])
     with_v = at.join(values.select("prompt_idx", F.col("pos").alias("src"), "v"), ["prompt_idx", "src"]).join(F.broadcast(encoder.select("feature_id", "w_enc")), "feature_id")
-    h = F.col("head")
-    part = dot(F.slice("v", F.floor(h / shared).cast("int") * width + 1, F.lit(width)), F.slice("w_enc", h * width + 1, F.lit(width)))
-    return with_v.select("feature_id", "prompt_idx", "src", (F.col("w") * part).alias("p")).groupBy("feature_id", "prompt_idx", "src").agg(F.sum("p").alias("value"))
+    parts = [F.col("w")[h] * dot(F.slice("v", h // shared * width + 1, width), F.slice("w_enc", h * width + 1, width)) for h in range(heads)]
+    return with_v.select("feature_id", "prompt_idx", "src", reduce(add, parts).alias("value"))
 
 
 def records(parts: DataFrame) -> DataFrame:

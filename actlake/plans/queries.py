@@ -297,8 +297,8 @@ def _attribution(m: ModelTables, kv_heads: int) -> DataFrame:
     """Uniform causal attention, held as a table of the destinations that are wanted."""
     targets = sequences.argmax_positions(feat_acts(m))
     wanted = targets.select("prompt_idx", F.col("pos").alias("dest")).distinct()
-    attn = wanted.select("prompt_idx", "dest", F.explode(F.sequence(F.lit(0), F.col("dest"))).alias("src")).withColumn("head", F.explode(F.array(*map(F.lit, range(HEADS)))))
-    attn = attn.withColumn("w", F.lit(1.0) / (F.col("dest") + 1))
+    uniform = F.array_repeat(F.lit(1.0) / (F.col("dest") + 1), HEADS)
+    attn = wanted.select("prompt_idx", "dest", F.explode(F.sequence(F.lit(0), F.col("dest"))).alias("src"), uniform.alias("w"))
     parts = dfa.attribute(targets, attn, m.model_acts.select("prompt_idx", "pos", F.col("act").alias("v")), m.encoder, HEADS, D_IN // HEADS, kv_heads)
     return dfa.records(parts).select("feature_id", "prompt_idx", "dfa_max_value", "dfa_target_index", F.size("dfa_values").alias("n_src"), (F.round(F.aggregate("dfa_values", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("dfa_sum"))
 
