@@ -43,6 +43,17 @@ SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, l
     )
 
 
+_LOSS = r"""bflat AS (SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM (SELECT item_id, string_split_regex(trim(text, chr(32)||chr(9)||chr(10)||chr(13)), '[ \t\n\r]+') AS t FROM benchmark)),
+bpos AS (SELECT item_id * 1000 + i // 32 AS prompt_idx, (i % 32)::INT AS pos, coalesce(token_id, 0) AS token_id FROM bflat LEFT JOIN vocab USING (token)),
+bv AS (SELECT prompt_idx, pos, (token_id::BIGINT * 31 + pos * 7) % 500 AS vec_id, lead(token_id) OVER (PARTITION BY prompt_idx ORDER BY pos) AS nx FROM bpos),
+a AS (SELECT feature_id, prompt_idx, pos, vec_id, (nx::BIGINT * 17 + 3) % 500 AS u FROM bv JOIN vec_acts USING (vec_id) WHERE act > 0 AND nx IS NOT NULL),
+un AS (SELECT (token_id::BIGINT * 17 + 3) % 500 AS u, count(*) AS n FROM vocab GROUP BY 1),
+abl AS (SELECT feature_id, vec_id, x, list_transform(range(1, 65), lambda i: x[i] - act * w[i]) AS y FROM vec_acts JOIN emb USING (vec_id) JOIN decoder USING (feature_id) WHERE act > 0),
+z AS (SELECT feature_id, abl.vec_id, u, n, list_dot_product(y, e.x) / list_aggregate(y, 'stddev_samp') AS zn, list_dot_product(abl.x, e.x) / list_aggregate(abl.x, 'stddev_samp') AS zo FROM abl, un JOIN emb e ON e.vec_id = u),
+ls AS (SELECT feature_id, vec_id, ln(sum(n * exp(zn))) AS sn, ln(sum(n * exp(zo))) AS so FROM z GROUP BY ALL),
+l AS (SELECT a.feature_id, prompt_idx, pos, round((zn - sn) - (zo - so), 6) + 0.0 AS loss FROM a JOIN z USING (feature_id, vec_id, u) JOIN ls USING (feature_id, vec_id)),
+x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY loss, feature_id) AS rank FROM l)
+SELECT 'loss_effect' AS metric, prompt_idx, pos + 1 AS pos, rank, feature_id, loss AS score FROM x WHERE rank <= 3"""
 _GRID = "[0.0, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0]"
 
 SQL: dict[str, str] = {
@@ -88,6 +99,7 @@ SQL: dict[str, str] = {
     "attribution_gqa": _attribution("p * (list_dot_product(x[1:16], w[1:16]) + list_dot_product(x[1:16], w[17:32]) + list_dot_product(x[17:32], w[33:48]) + list_dot_product(x[17:32], w[49:64]))"),
     "prompt_scores_act": "x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY act DESC, feature_id) AS rank FROM fa) SELECT 'act_size' AS metric, prompt_idx, pos, rank, feature_id, act AS score FROM x WHERE rank <= 3",
     "prompt_scores_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), s AS (SELECT prompt_idx, pos, feature_id, list_append({_GRID}, 1.0)[len(list_filter(qd, lambda v: v < act)) + 1] AS score FROM fa JOIN q USING (feature_id)), x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY score DESC, feature_id) AS rank FROM s) SELECT 'act_quantile' AS metric, prompt_idx, pos, rank, feature_id, score FROM x WHERE rank <= 3",
+    "prompt_scores_loss": _LOSS,
     "feature_batches": "x AS (SELECT feature_id, ntile(4) OVER (ORDER BY feature_id) - 1 AS balanced, (row_number() OVER (ORDER BY feature_id) - 1) // 5 AS fixed FROM encoder) SELECT feature_id, balanced, fixed FROM x",
     "skipped_features": "a AS (SELECT feature_id, count(*) / any_value(n) AS f FROM fa, total GROUP BY feature_id) SELECT feature_id FROM encoder WHERE feature_id NOT IN (SELECT feature_id FROM a WHERE f BETWEEN 0.165 AND 1)",
     "resume_batches": "x AS (SELECT DISTINCT ntile(8) OVER (ORDER BY feature_id) - 1 AS batch_id FROM encoder) SELECT batch_id FROM x WHERE batch_id BETWEEN 1 AND 6 AND batch_id NOT IN (2, 3)",

@@ -326,6 +326,16 @@ def prompt_scores_quantile(m: ModelTables) -> DataFrame:
     return prompt_scores.scores(acts.join(F.broadcast(q), "feature_id"), "act_quantile", label, k=3)
 
 
+@query
+def prompt_scores_loss(m: ModelTables) -> DataFrame:
+    """On the benchmark's texts: how much features at the position before lower a token's loss."""
+    rows = m.benchmark_acts
+    active = encode.encode(rows, m.encoder).select("feature_id", "prompt_idx", "pos", "act")
+    following = rows.where("next_token IS NOT NULL").select("prompt_idx", "pos", "next_token")
+    found = prompt_scores.ablation(active, rows.select("prompt_idx", "pos", F.col("act").alias("x")), m.decoder, m.unembed, following)
+    return prompt_scores.scores(found.withColumn("pos", F.col("pos") + 1), "loss_effect", F.round("loss", 6) + 0.0, k=3, smallest=True)
+
+
 @query
 def feature_batches(m: ModelTables) -> DataFrame:
     fixed = prompts.fixed_batches(features(m), 5).withColumnRenamed("batch_id", "fixed")

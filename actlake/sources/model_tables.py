@@ -27,11 +27,14 @@ class ModelTables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def tokens_of(self, table: str, key: str) -> DataFrame:
+        """key, i, token of every token of every text of a table."""
+        text = F.btrim("text", F.lit(SPACE))
+        return self.read(table).where(F.length(text) > 0).select(key, F.posexplode(F.split(text, "[ \t\n\r]+")).alias("i", "token"))
+
     @cached_property
     def tokens(self) -> DataFrame:
-        """doc_id, i, token of every token of every document."""
-        text = F.btrim("text", F.lit(SPACE))
-        return self.read("documents").where(F.length(text) > 0).select("doc_id", F.posexplode(F.split(text, "[ \t\n\r]+")).alias("i", "token"))
+        return self.tokens_of("documents", "doc_id")
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -49,6 +52,14 @@ class ModelTables:
         pairs = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
         return self.token_pos.groupBy("prompt_idx").agg(F.transform(pairs, lambda x: x["token_id"]).alias("token_ids"))
 
+    @cached_property
+    def benchmark_acts(self) -> DataFrame:
+        """prompt_idx, pos, token_id, next_token, act of the benchmark's texts, windowed alike; tokens outside the vocabulary are token 0."""
+        rows = self.tokens_of("benchmark", "item_id").join(self.vocab, "token", "left")
+        rows = rows.select((F.col("item_id") * 1000 + F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), F.coalesce("token_id", F.lit(0)).alias("token_id"))
+        rows = rows.withColumn("next_token", F.lead("token_id").over(Window.partitionBy("prompt_idx").orderBy("pos"))).withColumn("_at", (F.col("token_id") * 31 + F.col("pos") * 7) % 500)
+        return rows.join(F.broadcast(self.vectors_by("_at", "act")), "_at").drop("_at")
+
     def vectors_by(self, key: str, out: str) -> DataFrame:
         return self.read("embeddings").where("vec_id < 500").select(F.col("vec_id").alias(key), F.col("embedding").cast("array<double>").alias(out))
 

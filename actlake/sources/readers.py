@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from actlake.sources.schemas import BATCH
 
@@ -34,3 +35,8 @@ def norm_stats(spark: SparkSession, path: str, layer: int) -> tuple[list[float],
 def dashboard_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of batch-<n>.json files, with batch_id; any number of files, read in parallel."""
     return spark.read.schema(BATCH).json(f"{folder}/batch-*.json").withColumn("batch_id", F.regexp_extract(F.col("_metadata.file_name"), r"batch-(\d+)", 1).cast("int"))
+
+
+def written_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """What sinks.write_batches() wrote, with batch_id from the folder names."""
+    return spark.read.schema(T.StructType([*BATCH.fields, T.StructField("batch_id", T.IntegerType())])).json(folder)

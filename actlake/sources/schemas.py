@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The field names are those of the documents that viewers and importers exchange.
 _D = T.ArrayType(T.DoubleType())
 _I = T.ArrayType(T.IntegerType())
 _S = T.ArrayType(T.StringType())

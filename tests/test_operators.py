@@ -135,7 +135,7 @@ def test_vector_set_and_norm_stats(spark, tmp_path):
 def test_bulk_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="model_name, creator_id"):
         sinks.ExportConfig()
-    config = sinks.ExportConfig("gemma-it", "me", "r", "R", "u", "set", 2, "hook_resid_post")
+    config = sinks.ExportConfig("demo-it", "me", "r", "R", "u", "set", 2, "hook_resid_post")
     assert (config.source, config.hook) == ("2-set", "blocks.2.hook_resid_post")
     sinks.write_heads(spark, config, "2026-01-01", f"file://{tmp_path}/x")
     assert spark.read.json(f"file://{tmp_path}/x/model").first()["instruct"] is True
@@ -157,3 +157,22 @@ def test_streaming_stats(spark, tmp_path):
     assert {r["feature_id"]: (r["n_active"], r["act_max"]) for r in spark.table("running").collect()} == {0: (2, 2.0), 1: (1, 0.5)}
     events = spark.sql("SELECT timestamp'2026-01-01 00:10:00' AS ts, 'a' AS event_type, 2.0D AS value UNION ALL SELECT timestamp'2026-01-01 00:50:00', 'a', 3.0D")
     assert windowed_values(events).first()["total"] == 5.0
+
+
+def test_dashboard_batches_round_trip(spark, tmp_path):
+    from actlake.operators.prompts import to_run
+    from actlake.plans.queries import dashboard_features
+    from actlake.sources.model_tables import ModelTables
+
+    rows = dashboard_features(ModelTables(spark, "/root/testdata/sf0.001"))
+    activations = F.transform("activations", lambda a: a.dropFields("rank"))
+    batched = rows.withColumn("activations", activations).withColumn("batch_id", F.floor(F.col("feature_index") / 8).cast("int"))
+    head = {"model_id": "demo", "layer": "3", "sae_set": "demo-set", "sae_id_suffix": ""}
+    sinks.write_batches(batched, head, f"file://{tmp_path}/out")
+    back = readers.written_batches(spark, f"file://{tmp_path}/out")
+    found = {r["batch_id"]: r for r in back.collect()}
+    assert sorted(found) == [0, 1] and [f["feature_index"] for f in found[1]["features"]] == list(range(8, 16))
+    one = found[0]["features"][0]["activations"][0]
+    assert len(one["tokens"]) == len(one["values"]) and one["bin_min"] == -1.0
+    assert max(one["values"]) <= one["bin_max"] + 1e-4
+    assert to_run(batched, back.select("batch_id"), 0, 1).count() == 0
