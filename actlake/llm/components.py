@@ -25,13 +25,13 @@ def components(ws: Workspace, links: DataFrame, a: str = "a", b: str = "b") -> D
         rest = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return rest.unionByName(least.select("u", F.col("m").alias("v")))
 
+    state = lambda df: df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
     edges = ws.save(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
+    seen = state(edges)
     while True:
         new = ws.save(small_star(large_star(edges).where("u <> v").distinct()).distinct())
-        state = new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        before, seen = seen, state(new)
         ws.drop(edges)
         edges = new
-        if state == seen:
+        if before == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = state
