@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from actlake.llm.common import bounded_batches
 
 #: Characters of text whose new pre-tokens share one queue, and entries kept in a worker's memos.
-CHUNK_CHARS, MEMO_ENTRIES, MEMO_KEY_CHARS, PAIR_ENTRIES = 6_000_000, 250_000, 256, 200_000
+CHUNK_CHARS, MEMO_ENTRIES, MEMO_KEY_CHARS, PAIR_ENTRIES = 4_000_000, 250_000, 256, 100_000
 #: Buckets of at least so many positions are merged as arrays.
 WIDE = 40
 
@@ -183,8 +183,7 @@ class RankQueueEncoder:
         Distinct pre-tokens are numbered, so that a text is held as numbers until the new ones have been encoded.
         """
         if len(self.packed) > MEMO_ENTRIES:
-            self.number.clear()
-            self.packed.clear()
+            self.forget()
         number, known = self.number, len(self.packed)
         number.default_factory = count(known).__next__
         coded = [array("i", map(number.__getitem__, find(t))) for t in texts]
@@ -203,10 +202,14 @@ class RankQueueEncoder:
                 self.packed[i] = ids
         out = [b"".join(map(self.packed.__getitem__, c)) for c in coded]
         if any(len(t) > MEMO_KEY_CHARS for t in new):  # very long ones would fill the memo
-            self.number.clear()
-            self.packed.clear()
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        """Empties the memo."""
+        self.number.clear()
+        self.packed.clear()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> RankQueueEncoder:
@@ -250,6 +253,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(_encoded(encoder(ranks_path), pattern, texts.tolist()), dtype=object)
+        encoder(ranks_path).forget()  # the worker may go on with other work
 
     return df.withColumn(ids_col, packed(F.col(text_col)))
 
@@ -275,6 +279,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
         for texts in batches:
             ids = _encoded(encoder(ranks_path), pattern, texts.tolist())
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(_decoded(encoder(ranks_path), ids), dtype=object)})
+        encoder(ranks_path).forget()
 
     out = df.withColumn("_coded", both(F.col(text_col)))
     return out.withColumn("ids", F.col("_coded.ids")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.llm.common import Workspace, partitions
+from actlake.llm.common import Workspace, bounded_batches, partitions
 
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 2
 KEY = ["_h1", "_h2"]
@@ -96,6 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "line-dedup")
+    bounded_batches(spark)
     ids = docs.select(F.col(id_col).cast("long").alias("_doc")).where("_doc IS NOT NULL")
     cuts = ids.agg(F.percentile_approx("_doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = sum((F.when(F.col("_doc") > c, 1).otherwise(0) for c in cuts), F.lit(0))

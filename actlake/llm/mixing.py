@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.llm.common import Workspace, partitions
+from actlake.llm.common import Workspace, bounded_batches, partitions
 
 WEIGHTS, SHARE, MAX_COPIES, BLOCK, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 2_000, 17
 _EPS = 1e-9
@@ -111,6 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null id is an id like any other. Reruns agree, whatever the partitions. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "mixing")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col).cast("binary")).alias("size"))
     rows = ws.save(rows)
     targets = source_targets(ws, rows)
