@@ -6,12 +6,13 @@ extra copy so that both the documents and the tokens drawn meet their expected t
 documents of one source moves its vector of probabilities along a null-space direction of the two balancing
 constraints until one of them reaches 0 or 1, again and again; at most two stay undecided. The undecided of all
 blocks meet in new blocks of the next round, and so on until one block a source is left, where landing settles the
-last two at random by their probabilities. Blocks have a bounded size, so a source of any size is spread out.
+last two so that the total is met as nearly as can be. Blocks have a bounded size, so a source of any size is spread out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -65,12 +66,27 @@ def flight(pi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return pi
 
 
-def land(pi: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Settles the few that flight left, one by one by their own probability: totals are off by those few at most."""
-    rng = np.random.default_rng([SEED, seed & 0x7FFFFFFF])
-    for i in np.flatnonzero((pi > 0) & (pi < 1)):
-        pi[i] = float(rng.random() < pi[i])
-    return pi
+def land(pi: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
+    """Settles the one or two that flight left so that the total of sizes is as near to wanted as can be.
+
+    Each way to settle them is tried, alone and with one settled document turned over, so that the small remainder
+    is made up; the number of documents is off by two at most.
+    """
+    left = np.flatnonzero((pi > 0) & (pi < 1))
+    turns = np.where(pi > 0.5, -sizes, sizes)
+    turns[left] = 0.0  # turning one of these over stands for turning none
+    best = None
+    for way in product((0.0, 1.0), repeat=len(left)):
+        out = pi.copy()
+        out[left] = way
+        off = wanted - (out * sizes).sum()
+        gap = np.abs(off - turns)
+        i = int(gap.argmin()) if len(gap) else -1
+        if i >= 0 and turns[i] and gap[i] < abs(off):
+            out[i], off = 1.0 - out[i], gap[i]
+        if best is None or abs(off) < best[0]:
+            best = (abs(off), out)
+    return best[1]
 
 
 def source_targets(ws: Workspace, sizes: DataFrame) -> DataFrame:
@@ -140,7 +156,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             sizes = pdf["size"].to_numpy(dtype="float64")
             pi = flight(pdf["_pi"].to_numpy(dtype="float64"), sizes)
             if last:
-                pi = land(pi, sizes, int(pdf["_at"].iloc[0]))
+                pi = land(pi, sizes, float((pdf["_pi"] * sizes).sum()))
             return pdf[columns].assign(_pi=pi)
 
         state = ws.save(open_rows.select(*columns, "_block").groupBy("_source", "_block").applyInPandas(settle, schema))

@@ -6,9 +6,13 @@ again as the docs of the next stage. All stages but the last return the columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from actlake import ship
 from actlake.llm import bpe, line_dedup, mixing, neardup, quality
 from actlake.llm.common import Workspace, table
 
@@ -61,12 +65,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, once the Python workers have the package."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_filter),
-    ("line dedup", line_filter),
-    ("MinHash near-dedup", near_duplicates),
-    ("mixing sources", source_mix),
-    ("byte-level BPE", tokens),
+    ("quality classifier", _shipped(quality_filter)),
+    ("line dedup", _shipped(line_filter)),
+    ("MinHash near-dedup", _shipped(near_duplicates)),
+    ("mixing sources", _shipped(source_mix)),
+    ("byte-level BPE", _shipped(tokens)),
 ]
 
 #: The classifier, the sampling and the encoding aren't expressible in SQL.

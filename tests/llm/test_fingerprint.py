@@ -34,6 +34,6 @@ def test_lexicon_is_the_band(spark):
 
 
 def test_likeness(spark):
-    x = ",".join(["A"] * 41)
+    x = ",".join(["A"] * (1 + fingerprint.LEVELS * fingerprint.SEEDS))
     df = spark.createDataFrame([(x, x), (x, x.replace("A", "B")), ("=a", x), ("=a", "=a")], "a string, b string")
     assert [r[0] for r in df.select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 1.0]
