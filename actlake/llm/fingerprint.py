@@ -2,8 +2,8 @@
 
 Terms whose inverse document frequency lies in a band form the lexicon. A document's terms that are in the lexicon
 are made distinct, sorted and hashed; besides the whole lexicon this is done for randomised subsets of it, so that a
-few changed terms leave some hashes as they were. Subsets come in levels: those of level j hold one term in 4 ** j,
-SEEDS subsets a level, each nested in the one before. Sparse levels tell long documents apart, dense ones short ones.
+few changed terms leave some hashes as they were. Subsets come in levels of falling density, one term in 2 to one in
+1,024, SEEDS subsets a level, each nested in the one before. Sparse levels tell long documents apart, dense ones short ones.
 
 The band's lower edge is a share of the documents so large that at most LEXICON terms can reach it: terms with a
 document frequency of at least share * N number at most (mean distinct terms of a document) / share. So the lexicon's
@@ -13,8 +13,6 @@ row by row, and the text is shuffled once only, to bring each document's success
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +20,9 @@ from actlake.llm.common import partitions
 
 #: Terms in the lexicon at most, and documents (as a share) that may have a term at most.
 LEXICON, COMMON = 20_000, 0.2
-LEVELS, SEEDS, STEP_BITS = 5, 8, 2
+#: A level keeps the terms whose draw ends in so many zero bits; subsets of a level.
+LEVEL_BITS, SEEDS = (1, 2, 4, 6, 8, 10), 8
+LEVELS = len(LEVEL_BITS)
 BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -51,20 +51,19 @@ def fingerprint(df: DataFrame, text: Column, known: list[str], out_col: str) ->
     text = F.coalesce(text, F.lit(""))
     df = df.withColumn("_own", F.array_sort(F.filter(F.array_distinct(F.split(F.lower(text), BREAK)), lambda t: t.isin(known))) if known else F.array().cast("array<string>"))
     said = lambda terms: F.when(F.size(terms) > 0, F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")).otherwise(F.lit("-"))
-    slots = []
+    slots, made = [], ["_own"]
     for seed in range(SEEDS):
-        # Terms with their draw of this seed; a level keeps those whose draw ends in so many zero bits.
-        drawn = f"_drawn{seed}"
-        df = df.withColumn(drawn, F.transform("_own", lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(seed)).alias("h"))))
-        for level in range(1, LEVELS + 1):
-            mask = (1 << STEP_BITS * level) - 1
-            before, drawn = drawn, f"_drawn{seed}_{level}"
-            df = df.withColumn(drawn, F.filter(before, lambda x: x["h"].bitwiseAND(F.lit(mask)) == 0))
-            slots.append((level, seed, said(F.transform(drawn, lambda x: x["t"]))))
+        before = "_own"
+        for level, bits in enumerate(LEVEL_BITS):
+            drawn, mask = f"_drawn{seed}_{level}", (1 << bits) - 1
+            df = df.withColumn(drawn, F.filter(before, lambda t: F.xxhash64(t, F.lit(seed)).bitwiseAND(F.lit(mask)) == 0))
+            slots.append((level, seed, said(F.col(drawn))))
+            made.append(drawn)
+            before = drawn
     hashes = [s for _, _, s in sorted(slots, key=lambda x: x[:2])]
     whole = F.concat(F.lit("="), F.substring(F.sha2(F.lower(text).cast("binary"), 256), 1, 32))
     df = df.withColumn(out_col, F.when(F.size("_own") > 0, F.array_join(F.array(said(F.col("_own")), *hashes), ",")).otherwise(whole))
-    return df.drop("_own", *(f"_drawn{s}" for s in range(SEEDS)), *(f"_drawn{s}_{j}" for s in range(SEEDS) for j in range(1, LEVELS + 1)))
+    return df.drop(*made)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,21 +90,22 @@ def with_next(df: DataFrame, order_col: str, columns: dict[str, str]) -> DataFra
     every stretch is also sent to the stretch before it. So one shuffle brings successors together, and no task sees
     more than a few stretches. Rows with the same key are ordered by their text columns; null keys come last.
     """
-    stretches = 4 * partitions(df.sparkSession)
+    spark = df.sparkSession
+    stretches = 4 * partitions(spark)
     key = F.col(order_col)
     cuts = sorted(set(df.agg(F.percentile_approx(order_col, [i / stretches for i in range(1, stretches)], 10 * stretches)).first()[0] or []))
-    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    # The stretch of a key: the number of cuts below it, found by its place in the sorted cuts; nulls are the last.
-    at = F.when(key.isNull(), len(cuts) + 1).otherwise(F.size(F.filter(edges, lambda e: e < key)))
-    firsts = {r["s"]: r["k"] for r in df.select(at.alias("s"), key.alias("k")).groupBy("s").agg(F.min("k").alias("k")).collect()}  # one row a stretch
-    order = sorted(firsts)
-    before = {s: order[i - 1] for i, s in enumerate(order)}
-    rows = df.withColumn("_stretch", at)
-    if not order:
-        return reduce(lambda d, c: d.withColumn(columns[c], F.col(c)), columns, df)
-    lead = reduce(lambda acc, s: acc.when((F.col("_stretch") == s) & key.eqNullSafe(F.lit(firsts[s])), before[s]), order[1:], F.when((F.col("_stretch") == order[0]) & key.eqNullSafe(F.lit(firsts[order[0]])), before[order[0]]))
-    copies = F.array(F.struct(F.col("_stretch").alias("to"), F.lit(0).alias("copy")), F.struct(lead.cast("int").alias("to"), F.lit(1).alias("copy")))
-    sent = rows.withColumn("_sent", F.explode(F.filter(copies, lambda x: x["to"].isNotNull()))).withColumn("_to", F.col("_sent.to")).withColumn("_copy", F.col("_sent.copy")).drop("_sent", "_stretch")
+    # The stretch of a key is the number of cuts below it: counted among every step-th cut, then within one step.
+    step = max(1, int(len(cuts) ** 0.5))
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < key))
+    coarse = below(array(cuts[step - 1 :: step])) * step
+    at = F.when(key.isNull(), len(cuts) + 1).otherwise(coarse + below(F.slice(array(cuts), coarse + 1, F.lit(step))))
+    firsts = sorted((r["s"], r["k"]) for r in df.select(at.alias("s"), key.alias("k")).groupBy("s").agg(F.min("k").alias("k")).collect())  # one row a stretch
+    before = [firsts[i - 1][0] for i in range(len(firsts))]
+    heads = F.broadcast(spark.createDataFrame([(s, k, b) for (s, k), b in zip(firsts, before)], "_stretch int, _first long, _before int"))
+    rows = df.withColumn("_stretch", at).join(heads, "_stretch")
+    copies = F.array(F.struct(F.col("_stretch").alias("to"), F.lit(0).alias("copy")), F.struct(F.when(key.eqNullSafe(F.col("_first")), F.col("_before")).alias("to"), F.lit(1).alias("copy")))
+    sent = rows.withColumn("_sent", F.explode(F.filter(copies, lambda x: x["to"].isNotNull()))).withColumn("_to", F.col("_sent.to")).withColumn("_copy", F.col("_sent.copy")).drop("_sent", "_stretch", "_first", "_before")
     window = Window.partitionBy("_to").orderBy("_copy", F.asc_nulls_last(order_col), *columns)
     for c, name in columns.items():
         sent = sent.withColumn(name, F.lead(c).over(window))
