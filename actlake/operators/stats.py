@@ -70,14 +70,14 @@ def reverse_quantile(value: Column, quantile_data: Column, grid: list[float]) ->
 def histogram(values: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """key, bin, height, bar_value: equal bins between a key's smallest and largest value, the last closed on both sides.
 
-    All bins are listed. Where all values are equal there is one bar, in the middle bin. A key without rows has none.
+    All bins are listed; bar_value is the bin's centre to 5 decimals, halves up (hence the 1e-9). Where all values are equal there is one bar, in the middle bin. A key without rows has none.
     """
     edges = values.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(F.col("hi") == F.col("lo"), bins // 2).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     heights = values.join(F.broadcast(edges) if key == "feature_id" else edges, key).groupBy(key, place.alias("bin")).agg(F.count(F.lit(1)).alias("height"))
     every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return every.join(heights, [key, "bin"], "left").select(key, "bin", F.coalesce("height", F.lit(0)).cast("long").alias("height"), F.round(F.col("lo") + (F.col("bin") + 0.5) * width, 5).alias("bar_value"))
+    return every.join(heights, [key, "bin"], "left").select(key, "bin", F.coalesce("height", F.lit(0)).cast("long").alias("height"), F.round(F.col("lo") + (F.col("bin") + 0.5) * width + 1e-9, 5).alias("bar_value"))
 
 
 def ticks(lo: Column, hi: Column) -> Column:

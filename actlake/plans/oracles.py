@@ -76,8 +76,8 @@ SQL: dict[str, str] = {
     "feature_moments": "s AS (SELECT feature_id, sum(act) / any_value(n) AS m, sum(act ** 2) / any_value(n) AS e2, sum(act ** 3) / any_value(n) AS e3, sum(act ** 4) / any_value(n) AS e4 FROM fa, total GROUP BY feature_id) SELECT feature_id, round(m, 6) AS mean_act, round((e3 - 3 * m * e2 + 2 * m ** 3) / pow(e2 - m * m, 1.5), 4) AS skewness, round((e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m ** 4) / ((e2 - m * m) * (e2 - m * m)) - 3, 4) AS kurtosis FROM s",
     "feature_quantiles": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, quantile_cont(act, {_GRID}) AS qd FROM a GROUP BY feature_id) SELECT feature_id, unnest({_GRID}) AS q, round(unnest(qd), 6) AS quantile FROM q",
     "reverse_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), m AS (SELECT feature_id, prompt_idx, max(act) AS act FROM fa GROUP BY ALL) SELECT feature_id, prompt_idx, act, list_append({_GRID}, 1.0)[len(list_filter(qd, lambda v: v < act)) + 1] AS label FROM m JOIN q USING (feature_id)",
-    "acts_histogram": "e AS (SELECT feature_id, min(act) AS lo, max(act) AS hi FROM fa GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((act - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM fa JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50), 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
-    "logits_histogram": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((logit - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM logits JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50), 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
+    "acts_histogram": "e AS (SELECT feature_id, min(act) AS lo, max(act) AS hi FROM fa GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((act - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM fa JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
+    "logits_histogram": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((logit - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM logits JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
     "histogram_ticks": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), s AS (SELECT *, 0.1::DOUBLE * floor(1e-4::DOUBLE + greatest(hi, -lo) / 0.3::DOUBLE) + 1e-6::DOUBLE AS step FROM e), k AS (SELECT *, least(3, greatest(0, floor(least(hi, -lo) / step)))::INT AS k FROM s), j AS (SELECT feature_id, step, unnest(range(CASE WHEN hi > -lo THEN -k ELSE -3 END, CASE WHEN hi > -lo THEN 4 ELSE k + 1 END)) AS i FROM k) SELECT feature_id, round(i * step, 1) + 0.0 AS tick FROM j",
     "logit_lens_topk": "x AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY logit DESC, token_id) AS rank FROM logits) SELECT feature_id, rank, token_id, token, logit FROM x JOIN vocab USING (token_id) WHERE rank <= 10",
     "logit_lens_bottomk": "x AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY logit, token_id) AS rank FROM logits) SELECT feature_id, rank, token_id, token, logit FROM x JOIN vocab USING (token_id) WHERE rank <= 10",
@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
     "conversation_prompts": "c AS (SELECT conv_id, string_agg('<' || role || '> ' || coalesce(text, ''), chr(10) ORDER BY turn) AS t, count(*) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, md5(t) AS text_md5 FROM c",
     "label_density": "a AS (SELECT feature_id, prompt_idx // 1000 AS doc_id, count(*) AS k FROM fa GROUP BY ALL), t AS (SELECT prompt_idx // 1000 AS doc_id, count(*) AS n FROM token_pos GROUP BY 1), q AS (SELECT quality, sum(n) AS n FROM labels JOIN t USING (doc_id) GROUP BY quality) SELECT feature_id, quality, round(sum(k) / any_value(q.n), 6) AS density FROM a JOIN labels USING (doc_id) JOIN q USING (quality) GROUP BY feature_id, quality",
     "page_scripts": "s AS (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS l FROM pages) SELECT page_id, len(l) AS n_scripts, md5(array_to_string(l, '|')) AS scripts_md5 FROM s",
-    "neuron_histogram": "x AS (SELECT 'quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem), e AS (SELECT k, min(v) AS lo, max(v) AS hi FROM x GROUP BY k), h AS (SELECT k, CASE WHEN hi = lo THEN 5 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END::INT AS bin, count(*) AS c FROM x JOIN e USING (k) GROUP BY ALL) SELECT e.k AS neuron, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 10), 5) AS bar_value FROM e CROSS JOIN range(10) r(i) LEFT JOIN h ON h.k = e.k AND h.bin = r.i",
+    "neuron_histogram": "x AS (SELECT 'quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem), e AS (SELECT k, min(v) AS lo, max(v) AS hi FROM x GROUP BY k), h AS (SELECT k, CASE WHEN hi = lo THEN 5 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END::INT AS bin, count(*) AS c FROM x JOIN e USING (k) GROUP BY ALL) SELECT e.k AS neuron, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 10) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(10) r(i) LEFT JOIN h ON h.k = e.k AND h.bin = r.i",
 }
 
 
