@@ -74,8 +74,8 @@ SQL: dict[str, str] = {
     "threshold_mask": "x AS (SELECT feature_id, prompt_idx, pos, act FROM fa JOIN encoder USING (feature_id) WHERE act >= threshold) SELECT feature_id, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, min(act) AS act_min FROM x GROUP BY feature_id",
     "feature_density": "a AS (SELECT feature_id, max(act) AS m, count(*) AS k, count(*) FILTER (abs(act) > 1e-6) AS z FROM fa GROUP BY feature_id) SELECT feature_id, coalesce(m, 0.0) AS max_act, coalesce(k, 0) AS n_active, round(coalesce(k, 0) / n, 6) AS frac_active, round(coalesce(z, 0) / n, 6) AS frac_nonzero FROM encoder LEFT JOIN a USING (feature_id), total",
     "feature_moments": "s AS (SELECT feature_id, sum(act) / any_value(n) AS m, sum(act ** 2) / any_value(n) AS e2, sum(act ** 3) / any_value(n) AS e3, sum(act ** 4) / any_value(n) AS e4 FROM fa, total GROUP BY feature_id) SELECT feature_id, round(m, 6) AS mean_act, round((e3 - 3 * m * e2 + 2 * m ** 3) / pow(e2 - m * m, 1.5), 4) AS skewness, round((e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m ** 4) / ((e2 - m * m) * (e2 - m * m)) - 3, 4) AS kurtosis FROM s",
-    "feature_quantiles": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, quantile_cont(act, {_GRID}) AS qd FROM a GROUP BY feature_id) SELECT feature_id, unnest({_GRID}) AS q, round(unnest(qd), 6) AS quantile FROM q",
-    "reverse_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), m AS (SELECT feature_id, prompt_idx, max(act) AS act FROM fa GROUP BY ALL) SELECT feature_id, prompt_idx, act, list_append({_GRID}, 1.0)[len(list_filter(qd, lambda v: v < act)) + 1] AS label FROM m JOIN q USING (feature_id)",
+    "feature_quantiles": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, quantile_cont(act, {_GRID}) AS qd FROM a GROUP BY feature_id) SELECT feature_id, unnest({_GRID}::DOUBLE[]) AS q, round(unnest(qd), 6) AS quantile FROM q",
+    "reverse_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), m AS (SELECT feature_id, prompt_idx, max(act) AS act FROM fa GROUP BY ALL) SELECT feature_id, prompt_idx, act, list_append({_GRID}::DOUBLE[], 1.0::DOUBLE)[len(list_filter(qd, lambda v: v < act)) + 1] AS label FROM m JOIN q USING (feature_id)",
     "acts_histogram": "e AS (SELECT feature_id, min(act) AS lo, max(act) AS hi FROM fa GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((act - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM fa JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
     "logits_histogram": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((logit - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM logits JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
     "histogram_ticks": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), s AS (SELECT *, 0.1::DOUBLE * floor(1e-4::DOUBLE + greatest(hi, -lo) / 0.3::DOUBLE) + 1e-6::DOUBLE AS step FROM e), k AS (SELECT *, least(3, greatest(0, floor(least(hi, -lo) / step)))::INT AS k FROM s), j AS (SELECT feature_id, step, unnest(range(CASE WHEN hi > -lo THEN -k ELSE -3 END, CASE WHEN hi > -lo THEN 4 ELSE k + 1 END)) AS i FROM k) SELECT feature_id, round(i * step, 1) + 0.0 AS tick FROM j",
@@ -98,7 +98,7 @@ SQL: dict[str, str] = {
     "attribution": _attribution("list_dot_product(x, w) * p"),
     "attribution_gqa": _attribution("p * (list_dot_product(x[1:16], w[1:16]) + list_dot_product(x[1:16], w[17:32]) + list_dot_product(x[17:32], w[33:48]) + list_dot_product(x[17:32], w[49:64]))"),
     "prompt_scores_act": "x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY act DESC, feature_id) AS rank FROM fa) SELECT 'act_size' AS metric, prompt_idx, pos, rank, feature_id, act AS score FROM x WHERE rank <= 3",
-    "prompt_scores_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), s AS (SELECT prompt_idx, pos, feature_id, list_append({_GRID}, 1.0)[len(list_filter(qd, lambda v: v < act)) + 1] AS score FROM fa JOIN q USING (feature_id)), x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY score DESC, feature_id) AS rank FROM s) SELECT 'act_quantile' AS metric, prompt_idx, pos, rank, feature_id, score FROM x WHERE rank <= 3",
+    "prompt_scores_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), s AS (SELECT prompt_idx, pos, feature_id, list_append({_GRID}::DOUBLE[], 1.0::DOUBLE)[len(list_filter(qd, lambda v: v < act)) + 1] AS score FROM fa JOIN q USING (feature_id)), x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY score DESC, feature_id) AS rank FROM s) SELECT 'act_quantile' AS metric, prompt_idx, pos, rank, feature_id, score FROM x WHERE rank <= 3",
     "prompt_scores_loss": _LOSS,
     "feature_batches": "x AS (SELECT feature_id, ntile(4) OVER (ORDER BY feature_id) - 1 AS balanced, (row_number() OVER (ORDER BY feature_id) - 1) // 5 AS fixed FROM encoder) SELECT feature_id, balanced, fixed FROM x",
     "skipped_features": "a AS (SELECT feature_id, count(*) / any_value(n) AS f FROM fa, total GROUP BY feature_id) SELECT feature_id FROM encoder WHERE feature_id NOT IN (SELECT feature_id FROM a WHERE f BETWEEN 0.165 AND 1)",
