@@ -18,8 +18,16 @@ GRID = [0.0, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+#: Ranks, sizes and batch numbers are longs in all results.
+LONGS = ("rank", "n_tokens", "n_src", "n_scripts", "balanced", "fixed", "batch_id")
+
+
 def query(f: Callable[[ModelTables], DataFrame]) -> Callable[[ModelTables], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(ModelTables(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(ModelTables(spark, sf_dir))
+        return out.withColumns({c: F.col(c).cast("long") for c in out.columns if c in LONGS})
+
+    QUERIES[f.__name__] = run
     return f
 
 
