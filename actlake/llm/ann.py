@@ -4,7 +4,11 @@ Each of TABLES tables hashes a vector by floor((a.x + b) / WIDTH) for HASHES Gau
 besides its own bucket, buckets that are perturbed by -1 or +1 in some hashes, in the order of their estimated
 success: the sum of squared distances to the borders that are crossed. Candidates of all tables are merged and ranked
 by their exact inner product. Vectors are brought to one length by a further coordinate first, so that the largest
-inner product is the smallest distance.
+inner product is the smallest distance. That is done in bands of lengths, each with its own buckets, so that a few long
+vectors don't press all others into one bucket; the vectors of bands with few vectors are met by all queries.
+
+Probing is good for neighbours of a positive inner product. A query that finds fewer than k of them is compared with
+all vectors, so each has k neighbours, or all others if there are fewer.
 
 Equal vectors form one class and are hashed once; of a class only the smallest KEEP ids can be among the nearest.
 Buckets are met block by block: a bucket with many vectors or many probing queries is dealt to several groups, so no
@@ -25,6 +29,10 @@ from pyspark.sql import functions as F
 from actlake.llm.common import Workspace
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 8, 3, 1.2, 12, 5
+#: Lengths in a band differ by less than this factor; bands with at most so many vectors aren't hashed.
+BAND, SMALL = 1.25, 1_000
+#: The bucket of all vectors that aren't hashed, and that of all vectors.
+UNHASHED, ALL = 0, 1
 #: Vectors and queries of a bucket that meet in one group, about.
 BLOCK, QUERY_BLOCK = 4_000, 1_000
 
@@ -70,12 +78,22 @@ def _matrix(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
 
 
+def _placed(cids: pa.Array, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """bucket, cid of each key of each row in at."""
+    return pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), cids.take(pa.array(np.repeat(at, keys.shape[1])))], names=["bucket", "cid"])
+
+
 def _unit(x: np.ndarray, length: float) -> np.ndarray:
     """On the unit sphere by a further coordinate, in units of the longest vector."""
     x = x / length
     return np.column_stack((x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))))
 
 
+def _of_band(keys: np.ndarray, band: int) -> np.ndarray:
+    """A band's own keys."""
+    return keys ^ np.int64(((band + 20_000) * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """_id and _vec (packed doubles) of vectors that aren't null, zero, or with null or non-finite components, nor of another length than most."""
     v = F.col(vector_col)
@@ -97,16 +115,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row that is_query picks, itself left out.
 
-    score is the inner product in double precision on the original vectors; nearest first, ties to the smaller id. If
-    a query's buckets hold fewer than k others, all found are returned. Rows that share an id count as one if their
+    score is the inner product in double precision on the original vectors; nearest first, ties to the smaller id.
+    Each query has k rows, or one for each other vector if there are fewer. Rows that share an id count as one if their
     vectors are equal. Vectors that usable() leaves out take no part, neither as queries. An empty table gives none.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
     keep = k + 1
     asks = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")).distinct()
-    base = ws.save(usable(vectors, id_col, vector_col).distinct())
-    longest = base.agg(F.max("_len")).first()[0]
+    base = ws.save(usable(vectors, id_col, vector_col).distinct().withColumn("_band", F.floor(F.log("_len") / F.log(F.lit(BAND))).cast("int")))
     first = base.select("_vec").first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -114,59 +131,83 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     # Classes of equal vectors: their smallest ids. The window keeps but `keep` rows a partition before it shuffles.
     ranked = base.withColumn("_n", F.row_number().over(Window.partitionBy("_vec").orderBy("_id"))).where(F.col("_n") <= keep)
-    classes = ws.save(ranked.groupBy("_vec").agg(F.sort_array(F.collect_list("_id")).alias("ids")).withColumn("cid", F.element_at("ids", 1)))
+    classes = ws.save(ranked.groupBy("_vec", "_band", "_len").agg(F.sort_array(F.collect_list("_id")).alias("ids")).withColumn("cid", F.element_at("ids", 1)))
     asking = ws.save(base.join(asks, "_id").select("_id", "_vec").join(classes.select("_vec", "cid"), "_vec").select(F.col("_id").alias("query_id"), "cid"))
     queries = asking.select("cid").distinct().join(classes.select("cid", "_vec"), "cid")
+    # Some thousand bands at most, as a double's exponent is bounded. The longest vector of those that are hashed.
+    sizes = classes.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.max("_len").alias("longest")).collect()
+    hashed = {r["_band"]: r["longest"] for r in sizes if r["n"] > SMALL}
+    others = len(hashed) < len(sizes)
 
-    def place(visiting: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                m = _matrix(batch.column(1).to_pylist())
-                if visiting:
-                    x = np.column_stack((m / np.sqrt((m * m).sum(axis=1, keepdims=True)), np.zeros(len(m))))
-                    keys = hashing.visits(x)
-                else:
-                    keys = hashing.buckets(_unit(m, longest))
-                at = np.repeat(np.arange(len(m)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(at))], names=["bucket", "cid"])
-
-        return run
-
-    indexed = classes.select("cid", "_vec").mapInArrow(place(False), "bucket long, cid long")
-    visits = queries.select("cid", "_vec").mapInArrow(place(True), "bucket long, cid long").distinct()
-    # Blocks of each bucket, by its numbers of vectors and of visits.
-    held = indexed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    asked = visits.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
-    blocks = ws.save(held.join(asked, "bucket"))
-    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    ours = indexed.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("bucket", "cid", "part", each("turns", "turn")).join(classes.select("cid", "_vec"), "cid")
-    theirs = visits.join(blocks, "bucket").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns")).cast("int")).select("bucket", "cid", "turn", each("parts", "part")).join(classes.select("cid", "_vec"), "cid")
-    theirs = theirs.select(F.col("bucket").alias("b2"), F.col("part").alias("p2"), F.col("turn").alias("t2"), F.col("cid").alias("q"), F.col("_vec").alias("qv"))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, band = _matrix(batch.column(1).to_pylist()), batch.column(2).to_numpy()
+            for own in np.unique(band).tolist():
+                at = np.flatnonzero(band == own)
+                keys = _of_band(hashing.buckets(_unit(m[at], hashed[own])), own) if own in hashed else np.full((len(at), 1), UNHASHED)
+                yield _placed(batch.column(0), at, keys)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, at = _matrix(batch.column(1).to_pylist()), np.arange(batch.num_rows)
+            keys = hashing.visits(np.column_stack((m / np.sqrt((m * m).sum(axis=1, keepdims=True)), np.zeros(len(m)))))
+            for own in hashed:
+                yield _placed(batch.column(0), at, _of_band(keys, own))
+            if others:
+                yield _placed(batch.column(0), at, np.full((len(m), 1), UNHASHED))
 
     def nearest(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(there):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "cids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         here = here.sort_values("cid")
         v, ids = _matrix(here["_vec"].tolist()), here["cid"].to_numpy()
+        longest = np.sqrt((v * v).sum(axis=1)).max()
         qs = _matrix(there["qv"].tolist())
         out_ids, out_scores = [], []
         for i in range(0, len(qs), 256):
             rough = qs[i : i + 256] @ v.T
-            n = min(len(v), keep + 8)  # a few more, as the exact sum may turn near ties
-            top = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(v) else np.tile(np.arange(len(v)), (len(rough), 1))
-            for q, own in zip(qs[i : i + 256], top):
-                own = np.sort(own)
+            n = min(len(v), keep)
+            least = np.partition(rough, len(v) - n, axis=1)[:, len(v) - n]
+            # All that can be among the best by their exact sum: ties, and what rounding may have moved.
+            slack = 4e-16 * (v.shape[1] + 2) * np.sqrt((qs[i : i + 256] ** 2).sum(axis=1)) * longest
+            for q, scores, edge in zip(qs[i : i + 256], rough, least - slack):
+                own = np.flatnonzero(scores >= edge)
                 exact = (v[own] * q).sum(axis=1)
                 best = np.argsort(-exact, kind="stable")[:keep]
                 out_ids.append(ids[own[best]].tolist())
                 out_scores.append(exact[best].tolist())
         return pd.DataFrame({"q": there["q"].to_numpy(), "cids": out_ids, "scores": out_scores})
 
-    hits = ours.groupBy("bucket", "part", "turn").cogroup(theirs.groupBy("b2", "p2", "t2")).applyInPandas(nearest, "q long, cids array<long>, scores array<double>")
-    # At most TABLES * PROBES * blocks lists of `keep` for each query; then classes become their ids.
-    pairs = hits.select("q", F.explode(F.arrays_zip("scores", "cids")).alias("hit")).select("q", F.col("hit.scores").alias("score"), F.col("hit.cids").alias("cid")).groupBy("q", "cid").agg(F.max("score").alias("score"))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+
+    def met(indexed: DataFrame, visits: DataFrame) -> DataFrame:
+        """q, cid, score of the best `keep` of each group of each bucket."""
+        # Blocks of each bucket, by its numbers of vectors and of visits.
+        held = indexed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        asked = visits.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
+        blocks = ws.save(held.join(asked, "bucket"))
+        ours = indexed.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("bucket", "cid", "part", each("turns", "turn")).join(classes.select("cid", "_vec"), "cid")
+        theirs = visits.join(blocks, "bucket").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns")).cast("int")).select("bucket", "cid", "turn", each("parts", "part")).join(classes.select("cid", "_vec"), "cid")
+        theirs = theirs.select(F.col("bucket").alias("b2"), F.col("part").alias("p2"), F.col("turn").alias("t2"), F.col("cid").alias("q"), F.col("_vec").alias("qv"))
+        hits = ours.groupBy("bucket", "part", "turn").cogroup(theirs.groupBy("b2", "p2", "t2")).applyInPandas(nearest, "q long, cids array<long>, scores array<double>")
+        # At most TABLES * PROBES * blocks lists of `keep` for each query and band; then classes become their ids.
+        return hits.select("q", F.explode(F.arrays_zip("scores", "cids")).alias("hit")).select("q", F.col("hit.scores").alias("score"), F.col("hit.cids").alias("cid")).groupBy("q", "cid").agg(F.max("score").alias("score"))
+
+    indexed = classes.select("cid", "_vec", "_band").mapInArrow(place, "bucket long, cid long")
+    visits = queries.select("cid", "_vec").mapInArrow(visit, "bucket long, cid long").distinct()
+    pairs = met(indexed, visits)
+    if hashed:
+        pairs = ws.save(pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).where(F.col("_n") <= keep).drop("_n"))
+        # Queries with fewer than `keep` ids, itself among them, of a positive score.
+        members = pairs.where("score > 0").join(classes.select("cid", F.size("ids").alias("_n")), "cid").groupBy("q").agg(F.sum("_n").alias("_n"))
+        weak = ws.save(queries.select("cid").join(members.where(F.col("_n") >= keep), F.col("cid") == F.col("q"), "left_anti"))
+        if not weak.isEmpty():
+            every = lambda df: df.select(F.lit(ALL).cast("long").alias("bucket"), "cid")
+            pairs = pairs.join(weak.select(F.col("cid").alias("q")), "q", "left_anti").unionByName(met(every(classes), every(weak)))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).where(F.col("_n") <= keep)
     members = best.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
     top = members.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= keep)

@@ -53,3 +53,63 @@ def test_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.1]), (1, [0.5, 0.1])], SCHEMA)
     assert [(r["vec_id"], r["rank"]) for r in ann.search(df, F.col("vec_id") == 0).collect()] == [(1, 1)]
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def whole(rows, got, queries, k=20):
+    """Each query has its k rows with exact scores; the share of the true k nearest."""
+    own = {i: np.float32(x).astype(np.float64) for i, x in rows}
+    ids, m = np.array(list(own)), np.array(list(own.values()))
+    hit = 0
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    for q in queries:
+        scores = (m * own[q]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:k]
+        assert len(found[q]) == len(order) and all(found[q][i] == pytest.approx((own[i] * own[q]).sum(), rel=1e-9, abs=1e-9) for i in found[q])
+        hit += len(set(found[q]) & set(ids[order].tolist())) / len(order)
+    return hit / len(queries)
+
+
+def unit(rng, n):
+    x = rng.normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_small_table_is_whole(spark):
+    rows = [(i, x.tolist()) for i, x in enumerate(unit(np.random.default_rng(3), 21))]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.lit(True)).collect()
+    assert whole(rows, got, range(21)) == 1
+
+
+@pytest.mark.parametrize("lengths", ["one long", "spread"])
+def test_lengths_far_apart(spark, lengths):
+    rng = np.random.default_rng(4)
+    x = unit(rng, 4000)
+    if lengths == "one long":
+        x[7] *= 100
+    else:
+        x *= np.exp(rng.normal(size=(4000, 1)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
+    assert whole(rows, got, range(0, 4000, 20)) >= 0.95
+
+
+def test_queries_without_near_vectors(spark, monkeypatch):
+    """Hashed vectors that all lie away from the query: it is compared with all."""
+    monkeypatch.setattr(ann, "SMALL", 5)
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(5)
+    x = unit(rng, 300)
+    x[:, 0] = np.abs(x[:, 0]) + 1
+    x[0] = -x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).collect()
+    assert whole(rows, got, [0]) == 1
+
+
+def test_ties_at_the_edge_of_a_block(spark):
+    """95 different vectors of one score behind five nearer ones: the smallest ids."""
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5 if i < 96 else 0.625, float(i % 2 * 2 - 1) * i / 128]) for i in range(1, 101)]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [96, 97, 98, 99, 100, *range(1, 16)]
