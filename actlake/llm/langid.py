@@ -8,11 +8,14 @@ the language that needs fewest wins.
 The automata are arrays of transitions, and many stretches of text run through them side by side. A document is cut
 into stretches of SEGMENT characters that are parsed apart, which adds less than one phrase each, to all languages
 alike; whole texts are parsed.
+
+Each letter of the references has a code of its own, whatever the scripts; letters that no reference has share one.
+Every automaton knows the letters of its own reference only. With up to DENSE of them it is a table of all transitions,
+else a sorted list of those that exist.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +28,7 @@ from actlake.llm.common import bounded_batches, held_out
 
 #: Rows that a language's reference is taken from at most, characters of a reference, and rows of that length or less preferred.
 ROWS, REFERENCE_CHARS, ROW_CHARS = 200, 30_000, 8_000
-SEGMENT, ALPHABET, CHUNK_CHARS = 256, 62, 1_000_000
+SEGMENT, DENSE, CHUNK_CHARS = 256, 62, 1_000_000
 UNKNOWN = "und"
 
 
@@ -43,8 +46,8 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions [state, code]; 0 is the first state, and where no transition is: none leads back to it."""
+def _edges(codes: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton's transitions of each state; 0 is the first state, none leads back to it."""
     link, length, edges = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -70,36 +73,84 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.zeros((len(edges), width), np.uint16)
+    return edges
+
+
+def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
+    """Transitions [state, code]; 0 is the first state, and where no transition is: none leads back to it."""
+    edges = _edges(codes)
+    table = np.zeros((len(edges), width), _smallest(len(edges)))
     for state, own in enumerate(edges):
         for c, to in own.items():
             table[state, c] = to
     return table
 
 
+def _smallest(n: int) -> type:
+    """The smallest type of numbers below n, of those in use."""
+    return np.uint16 if n <= 2**16 else np.uint32
+
+
+class DenseAutomaton:
+    """Codes: 0 to letters, then one for all others, then padding, which keeps the state."""
+
+    def __init__(self, codes: list[int], letters: int):
+        self.width = letters + 3
+        t = suffix_automaton(codes, self.width)
+        t[:, letters + 2] = np.arange(len(t))
+        self.table = t.ravel()
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.table[state * self.width + codes]
+
+    def first(self, codes: np.ndarray) -> np.ndarray:
+        return self.table[codes]
+
+
+class SparseAutomaton:
+    """The same, with the transitions that exist, sorted by state and code."""
+
+    def __init__(self, codes: list[int], letters: int):
+        self.width, self.pad = letters + 3, letters + 2
+        edges = _edges(codes)
+        pairs = sorted((state * self.width + c, to) for state, own in enumerate(edges) for c, to in own.items())
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([to for _, to in pairs] + [0], np.int64)
+        self.root = np.zeros(self.width, np.int64)
+        for c, to in edges[0].items():
+            self.root[c] = to
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + codes
+        at = np.searchsorted(self.keys, key)
+        return np.where(codes == self.pad, state, np.where(self.keys[at] == key, self.to[at], 0))
+
+    def first(self, codes: np.ndarray) -> np.ndarray:
+        return self.root[codes]
+
+
 class CrossParser:
-    """references: (language, text), in order of language. Codes: 0 for anything but letters, then letters, rare ones as one, then padding."""
+    """references: (language, text), in order of language. Codes: 0 for anything but letters, then the letters of all references, then one for all other letters, then padding."""
 
     def __init__(self, references: tuple[tuple[str, str], ...]):
         letters = _letters()
-        seen: Counter = Counter()
-        for _, text in references:
-            seen.update(letters[_points(text)].tolist())
-        seen.pop(0, None)
-        self.code = np.zeros(0x110000, np.uint8)
-        rare, pad = ALPHABET, ALPHABET + 1
-        table = np.zeros(0x110000, np.uint8)
-        for i, (c, _) in enumerate(sorted(seen.most_common(), key=lambda x: (-x[1], x[0]))[: rare - 1], 1):
-            table[c] = i
-        is_letter = letters > 0
-        self.code[is_letter] = np.where(table[letters[is_letter]] > 0, table[letters[is_letter]], rare)
-        self.letter, self.pad, self.width = is_letter, pad, pad + 1
+        seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *(letters[_points(text)] for _, text in references)]))[1:]
+        unknown, self.pad = len(seen) + 1, len(seen) + 2
+        table = np.full(0x110000, unknown, _smallest(len(seen) + 3))
+        table[seen] = np.arange(1, len(seen) + 1)
+        self.letter = letters > 0
+        self.code = np.where(self.letter, table[letters], 0).astype(table.dtype)
         self.names = [name for name, _ in references]
-        self.tables, self.bits = [], []
+        self.automata, self.own, self.bits = [], [], []
         for _, text in references:
-            t = suffix_automaton(self.code[_points(text)].tolist(), self.width)
-            t[:, pad] = np.arange(len(t))
-            self.tables.append(t.ravel())
+            codes = self.code[_points(text)]
+            held = np.setdiff1d(codes, [0])
+            # The automaton's own code of each code; those of letters that its reference lacks are one.
+            own = np.full(self.pad + 1, len(held) + 1, _smallest(len(held) + 3))
+            own[0], own[held], own[self.pad] = 0, np.arange(1, len(held) + 1), len(held) + 2
+            kind = DenseAutomaton if len(held) <= DENSE else SparseAutomaton
+            self.automata.append(kind(own[codes].tolist(), len(held)))
+            self.own.append(own)
             self.bits.append(np.log2(max(2, len(text))))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,20 +160,22 @@ class CrossParser:
         starts = np.cumsum(sizes) - sizes
         letters = np.add.reduceat(np.append(self.letter[points], False).astype(np.int64), starts) * (sizes > 0)
         segments = np.maximum(1, -(-sizes // SEGMENT))
-        grid = np.full(segments.sum() * SEGMENT, self.pad, np.uint8)
+        grid = np.full(segments.sum() * SEGMENT, self.pad, self.code.dtype)
         first = np.cumsum(segments) - segments
         grid[np.arange(len(points)) + np.repeat(first * SEGMENT - starts, sizes)] = self.code[points]
         grid = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
         out = np.zeros((len(texts), len(self.names)))
-        for k, table in enumerate(self.tables):
+        for k, (automaton, own) in enumerate(zip(self.automata, self.own)):
+            pad = own[self.pad]
             state = np.zeros(grid.shape[1], np.int32)
             ends = np.ones(grid.shape[1], np.int32)
             for codes in grid:
-                to = table[state * self.width + codes]
+                codes = own[codes]
+                to = automaton.step(state, codes)
                 miss = to == 0
-                miss &= codes != self.pad
+                miss &= codes != pad
                 ends += miss
-                state = np.where(miss, table[codes], to).astype(np.int32)
+                state = np.where(miss, automaton.first(codes), to).astype(np.int32)
             out[:, k] = np.add.reduceat(ends, first)
         return out, sizes, letters
 

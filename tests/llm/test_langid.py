@@ -53,3 +53,24 @@ def test_held_out_accuracy_and_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert all(odd[d] == ("und", 0.0) for d in (6, 7, 8)) and odd[1][0] == "en"
     assert {r["lang_pred"] for r in langid.identify(odd_docs, langid.learn(no_docs)).collect()} == {"und"}
     assert langid.identify(no_docs, refs).count() == 0 and langid.identify(odd_docs, langid.learn(odd_docs)).count() == len(odd_rows)
+
+
+def test_letters_of_small_scripts_stay_apart(spark):
+    """Two languages whose letters come after 80 more frequent ones of another."""
+    rng = np.random.default_rng(2)
+    words = {"big": [chr(0x100 + i) * 2 for i in range(80) if chr(0x100 + i).isalpha()] + [chr(0x430 + i) * 2 for i in range(32)]}
+    for lang, start in (("ja", 0x3041), ("ko", 0xAC00), ("zh", 0x4E00)):
+        words[lang] = [chr(start + i) + chr(start + 40 + (i * 7) % 40) for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words[lang], 60 if lang == "big" else 6)), lang) for i, lang in enumerate(["big"] * 120 + ["ja", "ko", "zh"] * 40)]
+    df = spark.createDataFrame([(int(a), str(b), str(c)) for a, b, c in rows], "doc_id long, text string, lang string")
+    out = langid.identify(df, langid.learn(df)).where(held_out(df["doc_id"])).collect()
+    assert len(out) > 50 and all(r["lang_pred"] == r["lang"] for r in out)
+
+
+def test_sparse_automata_parse_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    refs = tuple((name, "".join(rng.choice(list(letters), 3000))) for name, letters in (("a", "abcdefgh ij"), ("b", "fghijklm nop"), ("c", "漢字仮名交 文漢")))
+    texts = ["".join(rng.choice(list("abcfghkm 漢字仮Ωx."), n)) for n in (0, 1, 255, 256, 257, 2000)]
+    dense = langid.CrossParser(refs).phrases(texts)[0]
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (langid.CrossParser(refs).phrases(texts)[0] == dense).all() and dense.min() > 0
