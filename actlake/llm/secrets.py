@@ -1,9 +1,8 @@
-"""Secret scans behind a trigram index. Built-in functions only.
+"""Secret scans behind a trigram prefilter. Built-in functions only.
 
-From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy. The index
-is partitioned by document, as search engines shard theirs: the posting list of a trigram is a bit over the documents
-of a partition, held as one bit of a long column. Intersecting postings is a bitwise AND over these columns, so no
-text moves between machines. Only documents that satisfy a rule's query run its expression; a rule without mandatory
+From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy. A bitmap
+in each document's row, not an inverted index, says which of the wanted trigrams its text holds: each is looked for
+in every text, and a bitwise AND over the row's bits answers a rule's query, so no text moves between machines. Only documents that satisfy a rule's query run its expression; a rule without mandatory
 trigrams scans every document.
 """
 
