@@ -12,7 +12,7 @@ from actlake.functions.vectors import head_shares, l1_share, norm, scale
 from actlake.operators import attribution as dfa
 from actlake.operators import corr, encode, prompt_scores, prompts, sequences, stats, topk
 from actlake.sources import sinks
-from actlake.sources.model_tables import D_IN, FEATURES, HEADS, ModelTables
+from actlake.sources.model_tables import D_IN, FEATURES, HEADS, ModelTables, document_of
 
 GRID = [0.0, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,7 +423,7 @@ def conversation_prompts(m: ModelTables) -> DataFrame:
 @query
 def label_density(m: ModelTables) -> DataFrame:
     labels = m.read("labels").select("doc_id", "quality")
-    doc = F.floor(F.col("prompt_idx") / 1000).alias("doc_id")
+    doc = document_of(F.col("prompt_idx")).alias("doc_id")
     active = feat_acts(m).groupBy("feature_id", doc).agg(F.count(F.lit(1)).alias("k"))
     sizes = m.token_pos.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).join(labels, "doc_id").groupBy("quality").agg(F.sum("n").alias("n"))
     return active.join(labels, "doc_id").groupBy("feature_id", "quality").agg(F.sum("k").alias("k")).join(F.broadcast(sizes), "quality").select("feature_id", "quality", F.round(F.col("k") / F.col("n"), 6).alias("density"))

@@ -2,13 +2,16 @@
 
 prompts: each whole document, cut into windows of CONTEXT tokens (the last may be shorter). Activations, unembedding
 rows and probe vectors are taken from the embeddings table; encoder and decoder have a closed form.
+
+A window's id is doc_id * NEAR + its number below NEAR. Later windows of very long texts have negative ids, so that
+they don't meet the next document's; the SQL, which has the first form only, holds for texts up to NEAR windows.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CONTEXT, D_IN, FEATURES, BIAS, HEADS = 32, 64, 16, -0.15, 4
@@ -18,6 +21,18 @@ SEED2 = [0.2, -0.1, 0.4, -0.2]
 SEED3 = [0.3, -0.3, 0.6, -0.6]
 SEED4 = [-0.4, 0.4, 0.8, -0.8]
 SPACE = " \t\n\r"
+#: Windows of a document whose ids are non-negative, and more windows than a text can have.
+NEAR, FAR = 1000, 2**26
+
+
+def window_id(doc_id: Column, window: Column) -> Column:
+    """One id for each window of each document; doc_id isn't negative."""
+    return F.when(window < NEAR, doc_id * NEAR + window).otherwise(-(doc_id.cast("long") * FAR + window))
+
+
+def document_of(window_id: Column) -> Column:
+    """The document of a window_id."""
+    return F.when(window_id >= 0, F.floor(window_id / NEAR)).otherwise(F.shiftright(-window_id, FAR.bit_length() - 1))
 
 
 class ModelTables:
@@ -44,7 +59,7 @@ class ModelTables:
     @cached_property
     def token_pos(self) -> DataFrame:
         """prompt_idx, pos, token_id."""
-        return self.tokens.join(self.vocab, "token").select((F.col("doc_id") * 1000 + F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), "token_id")
+        return self.tokens.join(self.vocab, "token").select(window_id(F.col("doc_id"), F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), "token_id")
 
     @cached_property
     def prompts(self) -> DataFrame:
@@ -56,7 +71,7 @@ class ModelTables:
     def benchmark_acts(self) -> DataFrame:
         """prompt_idx, pos, token_id, next_token, act of the benchmark's texts, windowed alike; tokens outside the vocabulary are token 0."""
         rows = self.tokens_of("benchmark", "item_id").join(self.vocab, "token", "left")
-        rows = rows.select((F.col("item_id") * 1000 + F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), F.coalesce("token_id", F.lit(0)).alias("token_id"))
+        rows = rows.select(window_id(F.col("item_id"), F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), F.coalesce("token_id", F.lit(0)).alias("token_id"))
         rows = rows.withColumn("next_token", F.lead("token_id").over(Window.partitionBy("prompt_idx").orderBy("pos"))).withColumn("_at", (F.col("token_id") * 31 + F.col("pos") * 7) % 500)
         return rows.join(F.broadcast(self.vectors_by("_at", "act")), "_at").drop("_at")
 
