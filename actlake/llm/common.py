@@ -23,9 +23,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none is a local one made (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A single-machine session that names none gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="actlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -71,3 +73,43 @@ def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """The named columns, and the whole row as `_row`: whatever a caller's columns are called, they can't clash with an operator's own."""
+    return df.select(*(c.alias(name) for name, c in own.items()), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of packed() and the new ones; a column that is named like a new one is replaced, in its place."""
+    kept = [new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns]
+    return df.select(*kept, *(c.alias(name) for name, c in new.items() if name not in columns))
+
+
+#: A key with more than a HOT-th of all rows is hot (so fewer than HOT are), if it has more than HOT_ROWS.
+HOT, HOT_ROWS = 1_000, 10_000
+
+
+def hot_keys(counts: DataFrame, on: list[str], n_col: str = "n") -> DataFrame | None:
+    """on and _parts (pieces to deal a key's rows to) of hot keys, fewer than HOT rows; None if there is none.
+
+    counts: each key once, with its number of rows.
+    """
+    total = counts.agg(F.sum(n_col)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT)
+    rows = counts.where(F.col(n_col) > limit).select(*on, F.ceil(F.col(n_col) / limit).cast("int").alias("_parts")).collect()
+    return counts.sparkSession.createDataFrame(rows, counts.select(*on, F.lit(0).alias("_parts")).schema) if rows else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame | None, spread_by: list[str], how: str = "inner") -> DataFrame:
+    """many.join(one, on, how), where the rows of a hot key are dealt to several tasks by spread_by.
+
+    `one` has few rows a key (mostly one): those of hot keys are repeated for each piece. how: inner, left, left_semi
+    or left_anti. Null keys meet nothing.
+    """
+    if hot is None:
+        return many.join(one, on, how)
+    hot = F.broadcast(hot)  # fewer than HOT rows
+    left = many.join(hot, on, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = one.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*on, "_piece"], how).drop("_piece")
