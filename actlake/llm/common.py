@@ -82,8 +82,9 @@ def packed(df: DataFrame, **own: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The columns of packed() and the new ones; a column that is named like a new one is replaced, in its place."""
-    kept = [new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns]
-    return df.select(*kept, *(c.alias(name) for name, c in new.items() if name not in columns))
+    both = df.select("_row", F.struct(*(c.alias(name) for name, c in new.items())).alias("_new"))  # apart, as an alias may hide a column of its name
+    names = [*columns, *(name for name in new if name not in columns)]
+    return both.select(*(F.col(f"{'_new' if c in new else '_row'}.`{c}`").alias(c) for c in names))
 
 
 #: A key with more than a HOT-th of all rows is hot (so fewer than HOT are), if it has more than HOT_ROWS.

@@ -1,14 +1,15 @@
 """I-Match document fingerprints. Built-in functions only.
 
-Terms whose inverse document frequency lies in a band form the lexicon. A document's terms that are in the lexicon
-are made distinct, sorted and hashed; besides the whole lexicon this is done for randomised subsets of it, so that a
-few changed terms leave some hashes as they were. Subsets come in levels of falling density, one term in 2 to one in
-1,024, SEEDS subsets a level, each nested in the one before. Sparse levels tell long documents apart, dense ones short ones.
-
-The band's lower edge is a share of the documents so large that at most LEXICON terms can reach it: terms with a
-document frequency of at least share * N number at most (mean distinct terms of a document) / share. So the lexicon's
-size is bounded whatever the corpus, and it travels with the plan as a set of literals: fingerprints are computed
-row by row, and the text is shuffled once only, to bring each document's successor next to it.
+Terms whose inverse document frequency lies in a band form the lexicon: a term must be in at least a share RARE of the
+documents (two at least) and in at most a share COMMON. A document's terms that are in the lexicon are made distinct,
+sorted (by their 64-bit hashes) and hashed; besides the whole lexicon this is done for randomised subsets of it, so
+that a few changed terms leave some hashes as they were. Subsets come in levels of falling density, one term in 2 to
+one in 1,024, SEEDS subsets a level, each nested in the one before. Sparse levels tell long documents apart, dense ones
+short ones. A document with fewer than FEW terms in the band gets a wider band: its rarer terms count as well.
+
+The band is set by document frequencies alone. The lexicon is a table that the documents' terms are joined with: it is
+broadcast if its counted size allows, else Spark joins by a shuffle, with the same result. The text is shuffled once,
+to bring each document's successor next to it; terms are joined and gathered again where the text then is.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlake.llm.common import partitions
+from actlake.llm.common import Workspace, partitions
 
-#: Terms in the lexicon at most, and documents (as a share) that may have a term at most.
-LEXICON, COMMON = 20_000, 0.2
+#: Shares of the documents that a term of the band is in at least and at most; terms of a document that do without rarer ones.
+RARE, COMMON, FEW = 1e-4, 0.2, 4
+#: A lexicon of more bytes, counted with 64 for each term, isn't broadcast.
+BROADCAST_BYTES = 64_000_000
 #: A level keeps the terms whose draw ends in so many zero bits; subsets of a level.
 LEVEL_BITS, SEEDS = (1, 2, 4, 6, 8, 10), 8
 LEVELS = len(LEVEL_BITS)
@@ -27,43 +30,42 @@ BREAK = r"[^\p{L}\p{N}]+"
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-cased runs of letters and digits, sorted."""
+    """Distinct lower-cased runs of letters and digits."""
     return F.filter(F.array_distinct(F.split(F.lower(text), BREAK)), lambda t: t != "")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", size: int = LEXICON, common: float = COMMON) -> list[str]:
-    """The terms in the band, sorted. Counted over all documents; partial counts come before the shuffle."""
-    own = docs.select(terms(F.coalesce(F.col(text_col), F.lit(""))).alias("_terms"))
-    n, total = own.agg(F.count(F.lit(1)), F.sum(F.size("_terms"))).first()
-    if not total:
-        return []
-    least = max(2.0, n * (total / n) / size)
-    counts = own.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return sorted(r["term"] for r in counts.where((F.col("df") >= least) & (F.col("df") <= common * n)).select("term").collect())  # `size` at most
+def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
+    """term and above: false for terms in the band, true for more frequent ones; rarer terms are left out.
+
+    Counted over all documents; partial counts come before the shuffle. There are at most (mean number of distinct
+    terms of a document) / rare terms, and that divided by common above the band.
+    """
+    own = docs.select(terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    n = docs.count()
+    counts = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # In a corpus of a few documents every share is that of one document: two are no common term yet.
+    return counts.where(F.col("df") >= max(2.0, rare * n)).select("term", (F.col("df") > max(common * n, 2.0)).alias("above"))
 
 
-def fingerprint(df: DataFrame, text: Column, known: list[str], out_col: str) -> DataFrame:
-    """Adds out_col: the hashes of all subsets, 8 hex digits each, '-' where the document has no term of the subset.
+def hashed(own: Column, fallback: Column) -> Column:
+    """The fingerprint of an array of term hashes: of all and of all subsets, 8 hex digits each, '-' where a subset is empty.
 
-    A text without terms of the lexicon has '=' and a hash of its lower-cased text instead. Equal texts have equal
-    fingerprints. Null counts as empty.
+    Without terms it is '=' and the fallback.
     """
-    text = F.coalesce(text, F.lit(""))
-    df = df.withColumn("_own", F.array_sort(F.filter(F.array_distinct(F.split(F.lower(text), BREAK)), lambda t: t.isin(known))) if known else F.array().cast("array<string>"))
     said = lambda terms: F.when(F.size(terms) > 0, F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")).otherwise(F.lit("-"))
-    slots, made = [], ["_own"]
-    for seed in range(SEEDS):
-        before = "_own"
-        for level, bits in enumerate(LEVEL_BITS):
-            drawn, mask = f"_drawn{seed}_{level}", (1 << bits) - 1
-            df = df.withColumn(drawn, F.filter(before, lambda t: F.xxhash64(t, F.lit(seed)).bitwiseAND(F.lit(mask)) == 0))
-            slots.append((level, seed, said(F.col(drawn))))
-            made.append(drawn)
-            before = drawn
-    hashes = [s for _, _, s in sorted(slots, key=lambda x: x[:2])]
-    whole = F.concat(F.lit("="), F.substring(F.sha2(F.lower(text).cast("binary"), 256), 1, 32))
-    df = df.withColumn(out_col, F.when(F.size("_own") > 0, F.array_join(F.array(said(F.col("_own")), *hashes), ",")).otherwise(whole))
-    return df.drop(*made)
+
+    def nested(seed: int) -> list[Column]:
+        """The subsets of a seed, from dense to sparse, each drawn from the one before."""
+        out, before = [], own
+        for bits in LEVEL_BITS:
+            mask = F.lit((1 << bits) - 1)
+            before = F.filter(before, lambda t: F.xxhash64(t, F.lit(seed)).bitwiseAND(mask) == 0)  # noqa: B023
+            out.append(before)
+        return out
+
+    subsets = [nested(seed) for seed in range(SEEDS)]
+    slots = [said(subsets[seed][level]) for level in range(LEVELS) for seed in range(SEEDS)]
+    return F.when(F.size(own) > 0, F.array_join(F.array(said(own), *slots), ",")).otherwise(F.concat(F.lit("="), fallback))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,17 +85,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(a.startswith("=") | b.startswith("="), 0.0).otherwise(best)
 
 
-def with_next(df: DataFrame, order_col: str, columns: dict[str, str]) -> DataFrame:
-    """Adds columns[c] for each c: column c of the next row in ascending order_col (after the last: of the first).
+def stretches(df: DataFrame, order_col: str) -> DataFrame:
+    """Adds _to (a stretch of the order) and _copy: each stretch holds its rows, and as _copy = 1 the first rows of the next (the last: of the first).
 
-    The order's range is cut at quantiles into many stretches; each is a group of one window, and the first row of
-    every stretch is also sent to the stretch before it. So one shuffle brings successors together, and no task sees
-    more than a few stretches. Rows with the same key are ordered by their text columns; null keys come last.
+    The order's range is cut at quantiles into many stretches; each is a group of one window later on. So one shuffle
+    brings successors together, and no task sees more than a few stretches. Null keys come last, in one stretch, and
+    rows that share a key are in one stretch.
     """
     spark = df.sparkSession
-    stretches = 4 * partitions(spark)
+    n = 4 * partitions(spark)
     key = F.col(order_col)
-    cuts = sorted(set(df.agg(F.percentile_approx(order_col, [i / stretches for i in range(1, stretches)], 10 * stretches)).first()[0] or []))
+    cuts = sorted(set(df.agg(F.percentile_approx(order_col, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
     # The stretch of a key is the number of cuts below it: counted among every step-th cut, then within one step.
     step = max(1, int(len(cuts) ** 0.5))
     array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
@@ -105,26 +107,45 @@ def with_next(df: DataFrame, order_col: str, columns: dict[str, str]) -> DataFra
     heads = F.broadcast(spark.createDataFrame([(s, k, b) for (s, k), b in zip(firsts, before)], "_stretch int, _first long, _before int"))
     rows = df.withColumn("_stretch", at).join(heads, "_stretch")
     copies = F.array(F.struct(F.col("_stretch").alias("to"), F.lit(0).alias("copy")), F.struct(F.when(key.eqNullSafe(F.col("_first")), F.col("_before")).alias("to"), F.lit(1).alias("copy")))
-    sent = rows.withColumn("_sent", F.explode(F.filter(copies, lambda x: x["to"].isNotNull()))).withColumn("_to", F.col("_sent.to")).withColumn("_copy", F.col("_sent.copy")).drop("_sent", "_stretch", "_first", "_before")
-    window = Window.partitionBy("_to").orderBy("_copy", F.asc_nulls_last(order_col), *columns)
-    for c, name in columns.items():
-        sent = sent.withColumn(name, F.lead(c).over(window))
-    return sent.where("_copy = 0").drop("_to", "_copy")
+    sent = rows.withColumn("_sent", F.explode(F.filter(copies, lambda x: x["to"].isNotNull())))
+    return sent.withColumn("_to", F.col("_sent.to")).withColumn("_copy", F.col("_sent.copy")).drop("_sent", "_stretch", "_first", "_before")
 
 
-def compare(docs: DataFrame, size: int = LEXICON) -> DataFrame:
+def compare(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of documents.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document.
+    Null texts count as empty. Rows with one doc_id follow each other in the order of their texts, null ids come last.
+    Equal texts have equal fingerprints, repeated rows included. Other columns don't matter, whatever they are called.
+    An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = lexicon(rows, size=size)
-    rows = with_next(fingerprint(rows, F.col("text"), known, "fingerprint"), "doc_id", {"text": "next_text", "fingerprint": "next_fingerprint"})
-    cut = F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
-    rows = rows.withColumn("_edited", edited).withColumn("n_chars", F.length("text").cast("long")).drop("text", "next_text")
-    rows = fingerprint(rows, F.col("_edited"), known, "edited_fingerprint")
-    return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+    ws = Workspace(docs.sparkSession, "i-match")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = ws.save(lexicon(rows, rare=rare, common=common))
+    size = known.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+
+    order = Window.partitionBy("_to").orderBy("_copy", F.asc_nulls_last("doc_id"), "text")
+    rows = stretches(rows, "doc_id").withColumn("next_text", F.lead("text").over(order)).withColumn("_n", F.row_number().over(order))
+    length = F.length("text")
+    cut = F.floor(length / 4).cast("int")
+    edited = F.when(F.col("_copy") == 0, F.concat(F.substring("text", F.lit(1), length - cut), F.substring("next_text", F.lit(1), cut))).otherwise("")
+    rows = rows.select("_to", "_n", "_copy", "doc_id", "text", edited.alias("edited"))
+    # One row for each term, and one (form 2) with what else is wanted of a document.
+    whole = lambda c: F.substring(F.sha2(F.lower(c).cast("binary"), 256), 1, 32)
+    about = F.struct("_copy", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), whole("text").alias("own_hash"), whole("edited").alias("edited_hash"))
+    nothing = F.lit(None).cast("struct<_copy:int,doc_id:bigint,n_chars:bigint,edited_sha256:string,own_hash:string,edited_hash:string>")
+    form = lambda i, c: F.transform(terms(F.col(c)), lambda t: F.struct(F.lit(i).alias("form"), t.alias("term"), nothing.alias("about")))
+    parts = F.concat(form(0, "text"), form(1, "edited"), F.array(F.struct(F.lit(2).alias("form"), F.lit(None).cast("string").alias("term"), about.alias("about"))))
+    each = rows.select("_to", "_n", F.explode(parts).alias("x")).select("_to", "_n", "x.form", "x.term", "x.about")
+    met = each.join(small(known), "term", "left").where(~F.coalesce("above", F.lit(False)))
+    gather = lambda i, seen: F.collect_list(F.when((F.col("form") == i) & (F.col("above").isNotNull() if seen else F.col("above").isNull()), F.xxhash64("term")))
+    docs_ = met.groupBy("_to", "_n").agg(F.max("about").alias("about"), *(gather(i, seen).alias(f"{'band' if seen else 'rare'}{i}") for i in (0, 1) for seen in (True, False)))
+    chosen = lambda i: F.array_sort(F.when(F.size(f"band{i}") >= FEW, F.col(f"band{i}")).otherwise(F.concat(f"band{i}", f"rare{i}")))
+    docs_ = docs_.select("_to", "_n", "about", chosen(0).alias("own"), chosen(1).alias("changed"))
+    docs_ = docs_.select("_to", "_n", "about", hashed(F.col("own"), F.col("about.own_hash")).alias("fingerprint"), hashed(F.col("changed"), F.col("about.edited_hash")).alias("edited_fingerprint"))
+    docs_ = docs_.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("_to").orderBy("_n"))).where("about._copy = 0")
+    return docs_.select(
+        "about.doc_id", "about.n_chars", "about.edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

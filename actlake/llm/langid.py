@@ -33,8 +33,8 @@ from actlake.llm.common import bounded_batches, held_out, packed, unpacked
 #: Rows that a language's reference is taken from at most, characters of a reference, and rows of that length or less preferred.
 ROWS, REFERENCE_CHARS, ROW_CHARS = 200, 30_000, 8_000
 SEGMENT, DENSE, CHUNK_CHARS, TABLE_BYTES = 256, 62, 1_000_000, 64_000_000
-#: Languages that are learnt at most: those with most rows.
-LANGUAGES = 1_000
+#: Languages that are learnt at most: those with most rows; parts that a language's ids are ranked in.
+LANGUAGES, PARTS = 1_000, 8
 UNKNOWN = "und"
 
 
@@ -263,9 +263,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), (F.length(text) > ROW_CHARS).alias("long"), at.alias("at"), F.substring(text, start, F.lit(chars)).alias("text"))
     ids = usable.groupBy("lang", "id", "at").agg(F.min("long").alias("long"), F.count(F.lit(1)).alias("n"))
     known = ids.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    # Each partition keeps `rows` ids a language before they are shuffled, so a language of any size is no hot key.
-    ranked = ids.join(F.broadcast(known), "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "at", "id")))
-    chosen = F.broadcast(ranked.where(F.col("n") <= rows).select("lang", "id", "n"))  # at most languages * rows
+    # A language's ids are ranked in PARTS parts first: at most PARTS * rows of them meet in one task.
+    ranked = ids.join(F.broadcast(known), "lang").withColumn("part", F.pmod("at", F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("long", "at", "id"))).where(F.col("n") <= rows)
+    chosen = F.broadcast(ranked.select("lang", "id", "n"))  # at most languages * rows
     picked = usable.select("lang", "id", "text").join(chosen, ["lang", "id"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     parts: dict[str, dict[str, int]] = {}
     for r in _prefixes(picked, chars).collect():  # at most twice `chars` characters for each of at most `languages` languages

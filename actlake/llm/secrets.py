@@ -1,29 +1,35 @@
-"""Secret scans behind a trigram prefilter. Built-in functions only.
+"""Secret scans behind a trigram inverted index. Built-in functions only.
 
-From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy. A bitmap
-in each document's row, not an inverted index, says which of the wanted trigrams its text holds: each is looked for
-in every text, and a bitwise AND over the row's bits answers a rule's query, so no text moves between machines. Only documents that satisfy a rule's query run its expression; a rule without mandatory
-trigrams scans every document.
+From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy. The index
+holds a posting (trigram, text) for each trigram that some rule asks for and each text that holds it, sorted by
+trigram. A query is a union of clauses, and a clause an intersection of posting lists: clauses fetch the postings of
+their trigrams by a join, and a text is a candidate where all of a clause's trigrams have met. Only candidates run the
+rule's expression; a rule without mandatory trigrams scans every text.
+
+A text is known by its hash, so copies share their postings, and two texts that share a hash by chance are candidates
+of each other's rules, which costs an expression but changes nothing. Posting lists are never gathered into a row: a
+trigram of any frequency is spread out by the hashes of its texts.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
-from operator import and_, or_
 from re import _constants as op
 from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actlake.llm.common import ascii_lower
+from actlake.llm.common import Workspace, ascii_lower, hot_keys, packed, spread_join, unpacked
 
 #: Strings that a part of an expression may stand for while they are still listed, and characters of a class.
 STRINGS, CLASS = 64, 4
-BITS = 62
+#: Trigrams of a clause, and clauses of a rule; a query that has more is weakened, so that it stays true of all matches.
+GRAMS, CLAUSES = 62, 256
+#: Texts that are candidates of some rule are broadcast up to this many (16 bytes and their rules each), joined by a shuffle beyond.
+BROADCAST_TEXTS = 500_000
 
 #: A query is True (no condition), a trigram, or ("and" | "or", parts).
 Query = bool | str | tuple
@@ -52,6 +58,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
+SPAN = "struct<start:int,order:int,end:int,kind:string>"
 
 
 def _all(parts: list[Query]) -> Query:
@@ -147,47 +154,51 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1:]))
 
 
+def clauses(query: Query) -> list[tuple[str, ...]]:
+    """The query as a union of intersections; empty for True. A union or intersection too large loses conditions, never matches."""
+    if query is True:
+        return []
+    if isinstance(query, str):
+        return [(query,)]
+    parts = [clauses(p) for p in query[1:]]
+    if query[0] == "or":
+        return [] if any(not p for p in parts) or sum(map(len, parts)) > CLAUSES else list(dict.fromkeys(c for p in parts for c in p))
+    out: list[tuple[str, ...]] = [()]
+    for p in sorted(filter(None, parts), key=len):
+        if len(out) * len(p) <= CLAUSES:
+            out = list(dict.fromkeys(tuple(dict.fromkeys(x + y))[:GRAMS] for x, y in product(out, p)))
+    return [c for c in out if c] if all(out) else []
+
+
 class TrigramIndex:
-    """Posting bits of the trigrams that some rule asks for."""
+    """Postings of the trigrams that some rule asks for, and the queries over them."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.queries = {r.kind: trigram_query(r.pattern) for r in rules}
-        self.grams = sorted(set().union(*map(trigrams, self.queries.values())))
-        self.at = {g: divmod(i, BITS) for i, g in enumerate(self.grams)}
-
-    def columns(self) -> list[str]:
-        return [f"_postings{i}" for i in range(-(-len(self.grams) // BITS))]
-
-    def build(self, docs: DataFrame, text_col: str) -> DataFrame:
-        """Adds the posting columns. Other than ASCII letters are indexed as they are."""
-        out = docs.withColumn("_folded", ascii_lower(F.col(text_col)))
-        for i, name in enumerate(self.columns()):
-            own = [g for g in self.grams if self.at[g][0] == i]
-            bits = [F.when(F.contains("_folded", F.lit(g)), F.lit(1 << self.at[g][1]).cast("long")).otherwise(F.lit(0).cast("long")) for g in own]
-            out = out.withColumn(name, reduce(lambda a, b: a.bitwiseOR(b), bits))
-        return out.drop("_folded")
-
-    def candidates(self, kind: str) -> Column:
-        """Intersects and unites the postings of the rule's query."""
-
-        def test(query: Query) -> Column:
-            if query is True:
-                return F.lit(True)
-            if isinstance(query, str):
-                query = ("and", query)
-            if query[0] == "or":
-                return reduce(or_, map(test, query[1:]))
-            masks: dict[int, int] = {}
-            rest = []
-            for part in query[1:]:
-                if isinstance(part, str):
-                    i, bit = self.at[part]
-                    masks[i] = masks.get(i, 0) | 1 << bit
-                else:
-                    rest.append(test(part))
-            return reduce(and_, [F.col(f"_postings{i}").bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for i, m in masks.items()] + rest)
+        self.clauses = {i: clauses(trigram_query(r.pattern)) for i, r in enumerate(rules)}
+        self.grams = sorted({g for own in self.clauses.values() for c in own for g in c})
 
-        return test(self.queries[kind])
+    def postings(self, texts: DataFrame) -> DataFrame:
+        """gram, key of each wanted trigram and each of the texts (_key, _text) that hold it. Other than ASCII letters are indexed as they are.
+
+        One pass over a text finds the trigrams at all places, overlapping ones too.
+        """
+        heads: dict[str, list[str]] = {}
+        for g in self.grams:
+            heads.setdefault(g[0], []).append(re.escape(g[1:]))
+        wanted = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in heads.items())
+        found = F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(f"(?=({wanted}))"), F.lit(1))
+        return texts.select(F.explode(F.array_distinct(found)).alias("gram"), F.col("_key").alias("key"))
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """key and _rules (numbers of the rules whose query the text satisfies).
+
+        A clause's trigrams are bits, so that a posting that is met twice, by copies of a text, counts once.
+        """
+        spark = postings.sparkSession
+        asked = [(g, i, j, 1 << at, (1 << len(c)) - 1) for i, own in self.clauses.items() for j, c in enumerate(own) for at, g in enumerate(c)]
+        asked = F.broadcast(spark.createDataFrame(asked, "gram string, rule int, clause int, bit long, wanted long"))  # as many rows as the rules have trigrams
+        met = postings.join(asked, "gram").groupBy("key", "rule", "clause", "wanted").agg(F.bit_or("bit").alias("met")).where("met = wanted")
+        return met.groupBy("key").agg(F.collect_set("rule").alias("_rules"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -200,31 +211,52 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     parts = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length), F.transform(found, F.length), F.transform(checked, F.length))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + part["0"]
         end = begin + F.coalesce(part["1"], F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         keep = F.coalesce(part["2"], F.lit(0)) >= rule.least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["own"], F.array(span))).otherwise(acc["own"]).alias("own"))
+
+    # Stretches of the square root of the number of matches: an array that grows by one match is short.
+    def stretch(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("own")), step)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["all"], F.array(r["own"])).alias("all")))[0]
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    wide = F.ceil(F.sqrt(F.size(parts))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / wide).cast("int")), lambda i: F.slice(parts, i * wide + 1, wide))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("all"))
+    return F.aggregate(cut, start, stretch, lambda acc: F.flatten(acc["all"]))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Adds spans_col: array of (start, order, end, kind) of the secrets in each whole text, by start, then rule order.
 
     Offsets count code points, ends are exclusive. Matches of a rule are leftmost and don't overlap; rules are
-    independent of each other. Null and empty texts have none. Other columns pass through; one already named
-    spans_col is replaced.
+    independent of each other. Null and empty texts have none. Rows are neither merged nor dropped, repeated ones
+    included. Other columns pass through, whatever they are called; one already named spans_col is replaced. An empty
+    table gives an empty result.
     """
-    index = TrigramIndex(rules)
-    out = index.build(docs, text_col)
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    text = F.col(text_col)
-    found = [F.when(index.candidates(r.kind) & F.regexp_like(text, F.lit(r.pattern)), _spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return out.withColumn(spans_col, F.array_sort(F.concat(*found))).drop(*index.columns())
+    index, ws = TrigramIndex(rules), Workspace(docs.sparkSession, "secrets")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = packed(docs, _text=text, _key=F.xxhash64(text))
+    known = F.lit(None).cast("array<int>")
+    if index.grams:
+        postings = ws.save(index.postings(rows).sortWithinPartitions("gram"))
+        found = ws.save(index.candidates(postings))
+        if found.count() <= BROADCAST_TEXTS:
+            rows = rows.join(F.broadcast(found.withColumnRenamed("key", "_key")), "_key", "left")
+        else:
+            hot = hot_keys(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), ["_key"])
+            spread = rows.withColumn("_at", F.xxhash64("_row"))
+            rows = spread_join(spread, found.withColumnRenamed("key", "_key"), ["_key"], hot, ["_at"], "left")
+        known = F.col("_rules")
+    none, subject = F.array().cast(f"array<{SPAN}>"), F.col("_text")
+    asks = lambda i: F.coalesce(F.array_contains(known, i), F.lit(False)) if index.clauses[i] else F.lit(True)
+    spans = [F.when(asks(i) & F.regexp_like(subject, F.lit(r.pattern)), _spans(subject, r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return unpacked(rows, docs.columns, **{spans_col: F.array_sort(F.concat(*spans))})
 
 
 def digests(docs: DataFrame) -> DataFrame:

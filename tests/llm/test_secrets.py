@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from actlake.llm import secrets
 
@@ -54,3 +55,48 @@ def test_matches_satisfy_their_query(rule):
     for text in TEXTS:
         for m in re.finditer(rule.pattern, text, re.ASCII):
             assert holds(secrets.trigram_query(rule.pattern), m.group().lower())
+
+
+def test_clauses_hold_whatever_is_lost():
+    assert secrets.clauses(("and", ("or", "abc", "bcd"), "xyz")) == [("xyz", "abc"), ("xyz", "bcd")]
+    assert secrets.clauses(True) == [] and secrets.clauses(("or", "abc", True)) == []
+    many = ("or", *(f"a{i:02}" for i in range(90)))
+    assert len(secrets.clauses(("and", many, many, "xyz"))) <= secrets.CLAUSES
+    assert secrets.clauses(("or", *(f"{i:03}" for i in range(300)))) == []
+
+
+def test_postings_are_an_inverted_index(spark):
+    index = secrets.TrigramIndex()
+    texts = [(1, "my PASSWORD is"), (2, "passwo rd"), (3, "AKIAKIA"), (4, "aki"), (5, ""), (3, "AKIAKIA")]
+    rows = index.postings(spark.createDataFrame(texts, "_key long, _text string"))
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["gram"], set()).add(r["key"])
+    want = {}
+    for k, t in texts:
+        for g in index.grams:
+            if g in t.lower():
+                want.setdefault(g, set()).add(k)
+    assert got == want
+    found = {r["key"]: set(r["_rules"]) for r in index.candidates(rows).collect()}
+    kinds = [r.kind for r in secrets.RULES]
+    assert found == {1: {kinds.index("assign")}, 3: {kinds.index("access")}}
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_repeated_rows_clashing_names_and_both_joins(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(secrets, "BROADCAST_TEXTS", broadcast)
+    rows = [(i, "password = hunter22 and token=abcdefgh") for i in range(30)] + [(7, "password = hunter22 and token=abcdefgh")] * 20 + [(100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_text", "_key", "_rules", "_row", "key", "gram"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = secrets.scan(docs)
+    assert out.columns == [*docs.columns, "spans"]
+    got = out.collect()
+    assert len(got) == 51 and all(len(r["spans"]) == (2 if r["text"] else 0) and r["_key"] == "_key" for r in got)
+
+
+def test_very_many_matches(spark):
+    text = "token=abcdef " * 20_000
+    row = secrets.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_assign"] == 20_000 and row["spans"].endswith(f"assign:{13 * 19_999}:{13 * 19_999 + 12}")
