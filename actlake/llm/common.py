@@ -88,7 +88,7 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 
 
 #: A key with more than a HOT-th of all rows is hot (so fewer than HOT are), if it has more than HOT_ROWS.
-HOT, HOT_ROWS = 1_000, 10_000
+HOT, HOT_ROWS = 1_000, 500
 
 
 def hot_keys(counts: DataFrame, on: list[str], n_col: str = "n") -> DataFrame | None:

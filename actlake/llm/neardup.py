@@ -4,15 +4,17 @@ A document's set is its distinct word shingles. Equal sets form classes, and onl
 signature has SYMBOLS min-hashes of 16 bits each. Two signatures may differ in at most ERRORS symbols; signatures are
 split into chunks so few that, by the pigeonhole principle, such a pair has a chunk with at most one differing
 symbol. Each document is therefore indexed under every chunk less any one symbol: a pair within the threshold meets
-under at least one of these keys, always. Pairs that meet are compared on their whole signatures, and links are
-confirmed on the full sets. At similarity 0.8 the number of differing symbols is binomial(64, 0.2): the threshold of
-25 is exceeded by one such pair in some 7,000; pairs that are more alike miss it far more rarely.
+under at least one of these keys, always. Of pairs that meet, those that differ in at most NEAR symbols are confirmed
+on the full sets, whatever the number of documents under their key. At similarity 0.8 the number of differing symbols
+is binomial(64, 0.2): 32 are exceeded by one such pair in some 50 million, and as few meet under no key; pairs that
+are more alike miss far more rarely.
 
 Groups of any size are joined without listing their pairs. First a document is compared with the smallest id under
 any of its keys; then, outside its key's largest component, with a few pivots inside it. This joins nearly all that
 belong together. What is left outside is compared with all members of its key: in a join where a key has few members;
-else exactly, on full sets, with the whole largest component and with the others outside it, block by block inside
-tasks, which emit links only.
+else with the signatures of the whole largest component and of the others outside it, block by block inside tasks,
+which confirm what is near and emit links only. The members of a key that is shared by very many are dealt to several
+tasks in every join.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.llm.common import Workspace, bounded_batches
+from actlake.llm.common import Workspace, bounded_batches, hot_keys, spread_join
 from actlake.llm.components import components
 
 SYMBOLS, ERRORS, CHUNKS = 64, 25, 13  # CHUNKS * 2 > ERRORS
+NEAR = 32  # symbols in which a pair that meets may differ before it is confirmed
 #: Pivots of a key and of a document; members of a key that are paired by a join; documents of a block otherwise.
 KEY_PIVOTS, PIVOTS, FEW, BLOCK = 4, 8, 32, 512
 #: Pairs that are confirmed together; a document with more is dealt to several groups.
@@ -111,7 +114,7 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b of the pairs whose sets have percent * union <= 100 * intersection. pairs: distinct a < b."""
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    near = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_distance("sig_a", "sig_b") <= ERRORS).select("a", "b").distinct())
+    near = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_distance("sig_a", "sig_b") <= NEAR).select("a", "b").distinct())
     groups = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     right = near.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "part", "b", "text_b")
     left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select(F.col("a").alias("own"), F.col("part").alias("own_part"), "text_a")
@@ -131,12 +134,12 @@ def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame,
     return ws.save(left.groupBy("own", "own_part").cogroup(right.groupBy("a", "part")).applyInPandas(linked, "a long, b long").distinct())
 
 
-def _outside(ws: Workspace, members: DataFrame, component: DataFrame) -> DataFrame:
+def _outside(ws: Workspace, members: DataFrame, component: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Members of keys that hold several components, with key, id, component, top (the key's largest), largest (its members) and n."""
     placed = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     keys = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return ws.save(placed.join(keys, "key"))
+    return ws.save(spread_join(placed, keys, ["key"], hot, ["id"]))
 
 
 def _few(found: DataFrame) -> DataFrame:
@@ -146,12 +149,12 @@ def _few(found: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _families(ws: Workspace, found: DataFrame, component: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _families(ws: Workspace, found: DataFrame, component: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links under keys of many members: of each document outside its key's largest component (the family) with all in
     the family and with all others outside it. One link is returned for a document and a component.
 
-    Both sides are dealt to blocks; a task maps the shingles of its block to numbers and counts each document's
-    intersections with the whole block at once.
+    Both sides are dealt to blocks. A task compares a document's signature with its whole block at once, and counts the
+    intersections of the full sets for those that are near.
     """
     many = found.where(F.col("n") > FEW)
     outside = ws.save(many.where("component <> top").select(F.col("top").alias("family"), "id", "component").distinct())
@@ -160,31 +163,35 @@ def _families(ws: Workspace, found: DataFrame, component: DataFrame, texts: Data
     everyone = outside.unionByName(inside)
     blocks = lambda df, name: df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     sizes = ws.save(blocks(outside, "turns").join(blocks(everyone, "parts"), "family"))
+    signed = texts.join(sigs, "id")
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = outside.join(sizes, "family").withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(texts, "id")
-    right = everyone.join(sizes, "family").withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(texts, "id")
-    right = right.select(F.col("family").alias("family2"), F.col("turn").alias("turn2"), F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("text").alias("text2"))
+    left = outside.join(sizes, "family").withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(signed, "id")
+    right = everyone.join(sizes, "family").withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(signed, "id")
+    right = right.select(F.col("family").alias("family2"), F.col("turn").alias("turn2"), F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("text").alias("text2"), F.col("sig").alias("sig2"))
 
     def linked(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         if len(ours) and len(theirs):
-            sets = [shingles(t, words) for t in theirs["text2"]]
-            sizes = np.array([len(s) for s in sets])
-            known, number = np.unique(np.concatenate(sets), return_inverse=True)
-            starts, ids, components = np.cumsum(sizes) - sizes, theirs["id2"].to_numpy(), theirs["component2"].to_numpy()
-            flag = np.zeros(len(known), np.uint8)
-            for text, i, c in zip(ours["text"], ours["id"], ours["component"]):
-                own = shingles(text, words)
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                at = at[known[at] == own]
-                flag[at] = 1
-                common = np.add.reduceat(flag[number], starts, dtype=np.int64)
-                flag[at] = 0
-                near = np.flatnonzero((components != c) & (100 * common >= percent * (len(own) + sizes - common)))
-                for j in near[np.unique(components[near], return_index=True)[1]]:
-                    a.append(min(i, ids[j]))
-                    b.append(max(i, ids[j]))
+            matrix = lambda packed: np.frombuffer(b"".join(packed), "<u2").reshape(-1, SYMBOLS)
+            marks, ids, components, there = matrix(theirs["sig2"]), theirs["id2"].to_numpy(), theirs["component2"].to_numpy(), theirs["text2"].tolist()
+            sets: dict[int, np.ndarray] = {}
+            for text, i, c, mark in zip(ours["text"], ours["id"], ours["component"], matrix(ours["sig"])):
+                near = np.flatnonzero(((marks != mark).sum(axis=1) <= NEAR) & (components != c))
+                if not len(near):
+                    continue
+                own, done = shingles(text, words), set()
+                for j in near.tolist():
+                    if components[j] in done:
+                        continue  # one link to a component is enough
+                    if j not in sets:
+                        sets[j] = shingles(there[j], words)
+                    both = own[np.minimum(np.searchsorted(own, sets[j]), len(own) - 1)] == sets[j]
+                    common = int(both.sum())
+                    if 100 * common >= percent * (len(own) + len(sets[j]) - common):
+                        done.add(components[j])
+                        a.append(min(i, ids[j]))
+                        b.append(max(i, ids[j]))
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return ws.save(left.groupBy("family", "turn", "part").cogroup(right.groupBy("family2", "turn2", "part2")).applyInPandas(linked, "a long, b long").distinct())
@@ -209,20 +216,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sigs = classes.select("id", "sig")
 
     keyed = sigs.mapInArrow(_indexed, "key long, id long")
-    sizes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
-    members = ws.save(keyed.join(sizes, "key"))
+    sizes = ws.save(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").drop("hi"))
+    hot = hot_keys(sizes, ["key"])
+    members = ws.save(spread_join(keyed, sizes.drop("n"), ["key"], hot, ["id"]))
     texts = ws.save(own.join(members.select("id").distinct(), "id", "left_semi"))
     stars = members.groupBy("id").agg(F.min("lo").alias("lo")).where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     component = components(ws, _confirm(ws, stars, sigs, texts, words, percent))
-    found = _outside(ws, members, component)
+    found = _outside(ws, members, component, hot)
     many = found.where(F.col("n") > FEW)
     pivots = many.where("component = top").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(KEY_PIVOTS)))).alias("pivots"))
-    asked = many.where("component <> top").join(pivots, "key").select("id", F.explode("pivots").alias("pivot"))
+    asked = spread_join(many.where("component <> top"), pivots, ["key"], hot, ["id"]).select("id", F.explode("pivots").alias("pivot"))
     some = asked.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("id", "pivot").alias("at"), "pivot"))), 1, PIVOTS).alias("own")).select("id", F.explode("own.pivot").alias("pivot"))
     links = _confirm(ws, some.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sigs, texts, words, percent)
     component = components(ws, _joined(component, links))
-    found = _outside(ws, found.select("key", "id"), component)
-    links = _confirm(ws, _few(found), sigs, texts, words, percent).unionByName(_families(ws, found, component, texts, words, percent))
+    found = _outside(ws, found.select("key", "id"), component, hot)
+    links = _confirm(ws, _few(found), sigs, texts, words, percent).unionByName(_families(ws, found, component, sigs, texts, words, percent))
     component = components(ws, _joined(component, links))
     of_class = classes.select("h1", "h2", "id").join(component, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(of_class, ["h1", "h2"], "left")
