@@ -2,23 +2,27 @@
 
 Documents come in batches of ascending doc_id. The store holds sorted runs of (line hash, owner), where the owner is
 the smallest doc_id that has the line. Each batch reduces its lines to one row a hash, anti-joins them with every run
-(both sides sorted on the hash: a merge join) and adds what is new as a run of its own. When a level has FANOUT runs
-they are merged into one run of the next level, so a batch meets a number of runs that grows with the logarithm of
-the number of batches.
+and adds what is new as a run of its own. When a level has FANOUT runs they are merged into one run of the next level,
+so a batch meets a number of runs that grows with the logarithm of the number of batches.
+
+A run is a table that is bucketed and sorted by the hash, with as many buckets as a shuffle has partitions. So only a
+batch is shuffled: it meets all runs, and runs meet each other, by merge joins that neither shuffle nor sort them. A
+LineStore in a folder of its own outlives the session: it opens again with its runs, and takes further batches.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.llm.common import Workspace, bounded_batches, partitions
+from actlake.llm.common import HOT, HOT_ROWS, Workspace, bounded_batches, packed, partitions, unpacked
 
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 2
 KEY = ["_h1", "_h2"]
@@ -44,29 +48,61 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(ids, pa.int64())], names=[*KEY, "_doc"])
 
 
-def sorted_runs(ws: Workspace, lines: DataFrame, cuts: list, fanout: int = FANOUT) -> list[DataFrame]:
-    """The runs after the last batch; together they hold each hash once, with its owner. lines: _h1, _h2, _doc, _batch."""
-    levels: list[list[DataFrame]] = []
-
-    def add(run: DataFrame, level: int) -> None:
-        if len(levels) <= level:
-            levels.append([])
-        levels[level].append(run)
-        if len(levels[level]) == fanout:
-            parts, levels[level] = levels[level], []
-            merged = parts[0]
-            for part in parts[1:]:
-                merged = merged.unionByName(part)
-            add(ws.save(merged.repartition(partitions(ws.spark), *KEY).sortWithinPartitions(*KEY)), level + 1)
-            ws.drop(*parts)
-
-    for b in range(len(cuts) + 1):
-        new = lines.where(F.col("_batch") == b).groupBy(*KEY).agg(F.min("_doc").alias("_owner"))
-        for level in levels:
-            for run in level:
-                new = new.join(run, KEY, "left_anti")
-        add(ws.save(new.sortWithinPartitions(*KEY)), 0)
-    return [run for level in levels for run in level]
+class LineStore:
+    """Levelled sorted runs in a folder. Every batch's ids must be above those of the batches before."""
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        # Files of a bucket are single, so a bucket's order can be relied on.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.buckets, self.next = partitions(spark), 0
+        self.levels: list[list[tuple[str, DataFrame]]] = []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        known = sorted(x.getPath().getName() for x in self.files.listStatus(path)) if self.files.exists(path) else []
+        for name in known:  # run=<number>-<level>-<buckets>
+            number, level, self.buckets = map(int, name.removeprefix("run=").split("-"))
+            self.next = max(self.next, number + 1)
+            if self.files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")):
+                self._put(level, name, self._table(name))
+
+    def _table(self, name: str) -> DataFrame:
+        table = f"line_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} (_h1 BIGINT, _h2 BIGINT, _owner BIGINT) USING parquet CLUSTERED BY (_h1, _h2) SORTED BY (_h1, _h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(table)
+
+    def _put(self, level: int, name: str, run: DataFrame) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append((name, run))
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        name = f"run={self.next:06}-{level}-{self.buckets}"
+        self.next += 1
+        table = f"line_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+        self._put(level, name, self.spark.table(table))
+
+    def runs(self) -> list[DataFrame]:
+        """Together they hold each hash once, with its owner."""
+        return [run for level in self.levels for _, run in level]
+
+    def add(self, lines: DataFrame) -> None:
+        """lines: _h1, _h2, _doc of a batch."""
+        new = lines.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.min("_doc").alias("_owner"))
+        for run in self.runs():
+            new = new.join(run.hint("merge"), KEY, "left_anti")
+        self._write(new, 0)
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            parts, self.levels[level] = self.levels[level], []
+            merged = parts[0][1]
+            for _, part in parts[1:]:  # no hash is in two runs, so this merges them
+                merged = merged.join(part.withColumnRenamed("_owner", "_other").hint("merge"), KEY, "full").select(*KEY, F.coalesce("_owner", "_other").alias("_owner"))
+            self._write(merged, level + 1)
+            for name, _ in parts:
+                self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+            level += 1
 
 
 @F.pandas_udf(_KEPT)
@@ -91,8 +127,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are parted by \\n; a null or empty text is one empty line. A line's key is the line without ASCII space at
     both ends, A-Z lower-cased; keys under MIN_CHARS code points are never dropped. A key found in several documents
     keeps all its lines in the one with the smallest id. Rows that share an id are one document. A row whose id is
-    null takes no part: its lines stay and drop none. Keys are compared by 128-bit hashes. Other columns pass through;
-    columns named n_lines, n_dropped or kept are replaced. An empty table gives an empty result.
+    null takes no part: its lines stay and drop none. Keys are compared by 128-bit hashes. Other columns pass through,
+    whatever they are called; columns named n_lines, n_dropped or kept are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "line-dedup")
@@ -103,16 +139,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string")).where("_doc IS NOT NULL").mapInArrow(_line_hashes, "_h1 long, _h2 long, _doc long")
     lines = ws.save(lines.withColumn("_batch", batch), partition_by="_batch")
 
-    runs = sorted_runs(ws, lines, cuts)
-    owners = runs[0]
-    for run in runs[1:]:
-        owners = owners.unionByName(run)
-    drops = lines.join(owners, KEY).where("_owner < _doc").groupBy("_doc").agg(F.flatten(F.collect_list(F.array(*KEY))).alias("_drops"))
-    joined = docs.withColumn("_doc", F.col(id_col).cast("long")).join(drops, "_doc", "left")
-    out = joined.withColumn("_out", _kept_of(F.col(text_col).cast("string"), F.col("_drops")))
-    for c in ("n_lines", "n_dropped", "kept"):
-        out = out.withColumn(c, F.col(f"_out.{c}"))
-    return out.drop("_doc", "_drops", "_out")
+    store = LineStore(spark, f"{ws.base}/runs")
+    for b in range(len(cuts) + 1):
+        store.add(lines.where(F.col("_batch") == b))
+    # A line of very many documents is met where they are; the others go to the runs.
+    limit = max(HOT_ROWS, lines.count() // HOT)
+    hot = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("_doc").alias("_owner")).where(F.col("n") > limit).select(*KEY, "_owner").collect()  # fewer than HOT
+    hot = F.broadcast(spark.createDataFrame(hot, "_h1 long, _h2 long, _owner long"))
+    found = lines.join(hot, KEY).select("_doc", *KEY, "_owner")
+    cold = lines.select(*KEY, "_doc").join(hot, KEY, "left_anti").repartition(store.buckets, *KEY)
+    for run in store.runs():
+        found = found.unionByName(cold.join(run.hint("merge"), KEY).select("_doc", *KEY, "_owner"))
+    drops = found.where("_owner < _doc").groupBy("_doc").agg(F.flatten(F.collect_list(F.array(*KEY))).alias("_drops"))
+    rows = packed(docs, _doc=F.col(id_col).cast("long"), _text=F.col(text_col).cast("string")).join(drops, "_doc", "left")
+    rows = rows.select("_row", _kept_of("_text", "_drops").alias("_out"))
+    return unpacked(rows, docs.columns, **{c: F.col(f"_out.{c}") for c in ("n_lines", "n_dropped", "kept")})
 
 
 ORACLE_SQL = r"""
