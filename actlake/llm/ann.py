@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlake.llm.common import Workspace
+from actlake.llm.common import Workspace, hot_keys, spread_join
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 8, 3, 1.2, 12, 5
 #: Lengths in a band differ by less than this factor; bands with at most so many vectors aren't hashed.
@@ -112,12 +112,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("_v") == dim).mapInArrow(pack, "_id long, _vec binary, _len double")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row that is_query picks, itself left out.
 
     score is the inner product in double precision on the original vectors; nearest first, ties to the smaller id.
     Each query has k rows, or one for each other vector if there are fewer. Rows that share an id count as one if their
     vectors are equal. Vectors that usable() leaves out take no part, neither as queries. An empty table gives none.
+    More tables and probes find more; a narrower width makes buckets smaller. Other columns don't matter.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
@@ -127,12 +130,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     first = base.select("_vec").first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashing = PStableHash(len(first["_vec"]) // 8)
+    hashing = PStableHash(len(first["_vec"]) // 8, tables, hashes, width, probes)
 
     # Classes of equal vectors: their smallest ids. The window keeps but `keep` rows a partition before it shuffles.
     ranked = base.withColumn("_n", F.row_number().over(Window.partitionBy("_vec").orderBy("_id"))).where(F.col("_n") <= keep)
     classes = ws.save(ranked.groupBy("_vec", "_band", "_len").agg(F.sort_array(F.collect_list("_id")).alias("ids")).withColumn("cid", F.element_at("ids", 1)))
-    asking = ws.save(base.join(asks, "_id").select("_id", "_vec").join(classes.select("_vec", "cid"), "_vec").select(F.col("_id").alias("query_id"), "cid"))
+    # Queries that share one vector are dealt to several tasks, here and where they get their lists.
+    shared = hot_keys(base.groupBy("_vec").agg(F.count(F.lit(1)).alias("n")), ["_vec"])
+    asking = ws.save(spread_join(base.join(asks, "_id").select("_id", "_vec"), classes.select("_vec", "cid"), ["_vec"], shared, ["_id"]).select(F.col("_id").alias("query_id"), "cid"))
     queries = asking.select("cid").distinct().join(classes.select("cid", "_vec"), "cid")
     # Some thousand bands at most, as a double's exponent is bounded. The longest vector of those that are hashed.
     sizes = classes.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.max("_len").alias("longest")).collect()
@@ -212,6 +217,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     members = best.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
     top = members.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= keep)
     lists = ws.save(top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("list")))
-    found = asking.join(lists, asking["cid"] == lists["q"]).select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
+    shared = hot_keys(asking.groupBy("cid").agg(F.count(F.lit(1)).alias("n")), ["cid"])
+    found = spread_join(asking, lists.withColumnRenamed("q", "cid"), ["cid"], shared, ["query_id"]).select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
     out = found.select("query_id", F.posexplode("list").alias("at", "hit"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score"))
