@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlake.llm.common import ascii_lower
+from actlake.llm.common import ascii_lower, hot_keys, spread_join
 
 #: Rules are broadcast up to this many; beyond it Spark joins them by shuffling.
 BROADCAST_RULES = 20_000
@@ -44,6 +44,39 @@ def token_rule(verdict: str, *words: str) -> Rule:
     return Rule(" ".join(words), verdict, rf"(?:^|[^a-z0-9]){inner}(?:[^a-z0-9]|$)", tuple(words))
 
 
+def filter_rule(line: str) -> Rule | None:
+    """A rule from a line of a filter list, matched against the lower-cased host + path.
+
+    `*` stands for any characters, `^` for the end or one character other than letters, digits and `_.%-`, `|` at either
+    end for the start or end, `||` in front for the start of the host or of one of its labels; `@@` in front allows.
+    Blank lines, comments (`!`, `#`, `[`) and a list's options (from `$` on) are left out.
+    """
+    line = line.strip()
+    verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+    body = body.split("$", 1)[0].lower()
+    if not body.strip("*|^") or body[0] in "!#[":
+        return None
+    start = r"^(?:[^/]*\.)?" if body.startswith("||") else "^" if body.startswith("|") else ""
+    end = "$" if body.endswith("|") else ""
+    inner = body.strip("|")
+    parts = re.split(r"([*^])", inner)
+    pattern = start + "".join({"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}.get(x, re.escape(x)) for x in parts) + end
+    # A token is sure where a break, or a fixed border, stands on both of its sides.
+    sure = []
+    for m in re.finditer("[a-z0-9]+", inner):
+        left = inner[m.start() - 1] if m.start() else "^" if start else "*"
+        right = inner[m.end()] if m.end() < len(inner) else "^" if end else "*"
+        if left != "*" and right != "*":
+            sure.append(m.group())
+    return Rule(line, verdict, pattern, tuple(sure))
+
+
+def load_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """The rules of filter lists: text files with a rule a line, each text once."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").distinct().orderBy("v").collect()  # a list that people keep
+    return tuple(rule for r in lines if (rule := filter_rule(r["v"])))
+
+
 #: The contract's host rules.
 HOST_RULES = (
     host_rule("allow", "com", "/"),
@@ -69,18 +102,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, url_col: str = "url", key_cols: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """key_cols, host, path, rule (the longest host rule that fits, ties to the smaller text; else null), verdict, pattern.
 
-    Where no host rule fits, the verdict is block if a pattern rule fits (`pattern` names the smallest such), else
-    allow. Distinct URLs are judged once, so repeated URLs and rows cost one judgement; rows with a null url have
-    empty host and path and are allowed. Rows aren't dropped or merged; an empty table gives an empty result.
+    Where no host rule fits, the verdict is block if a blocking pattern rule fits and no allowing one does (`pattern`
+    names the smallest that decides), else allow. Rules without a sure token are tried on every distinct URL. Distinct
+    URLs are judged once, so repeated URLs and rows cost one judgement; rows with a null url have empty host and path
+    and are allowed. Rows aren't dropped or merged; an empty table gives an empty result. Other columns don't matter.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(*key_cols, host.alias("host"), path.alias("path"))
     urls = rows.select("host", "path").distinct()
-    tokens = urls.select("host", "path", F.explode(F.array_distinct(F.split(ascii_lower(F.concat("host", "path")), TOKEN_BREAK))).alias("token"))
+    tokens = urls.select("host", "path", F.explode(F.array_union(F.split(ascii_lower(F.concat("host", "path")), TOKEN_BREAK), F.array(F.lit("")))).alias("token"))
 
     listed = spark.createDataFrame([(i, r.text, r.verdict, r.pattern, r.listed, list(r.tokens)) for i, r in enumerate(rules)], "rule_no int, text string, rule_verdict string, pattern string, listed boolean, tokens array<string>")
-    wanted = listed.select("rule_no", F.explode("tokens").alias("token"))
+    # A rule without tokens is kept under the empty one, which every URL has.
+    wanted = listed.select("rule_no", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
     bounded = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda df: df)
     # How many URLs hold each token of a rule: counted over all of them, partial sums before the shuffle.
     counts = tokens.join(bounded(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -92,9 +127,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES
     hits = tokens.join(bounded(index), "token").where(F.when(F.col("listed"), F.regexp_like(subject, F.col("pattern"))).otherwise(F.regexp_like(ascii_lower(subject), F.col("pattern"))))
     best = hits.groupBy("host", "path").agg(
         F.min(F.when(F.col("listed"), F.struct((-F.length("text")).alias("len"), "text", "rule_verdict"))).alias("host_hit"),
-        F.min(F.when(~F.col("listed"), F.struct("text", "rule_verdict"))).alias("pattern_hit"),
+        F.min(F.when(~F.col("listed"), F.struct("rule_verdict", "text"))).alias("pattern_hit"),  # allow comes before block
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    # A URL that very many rows have is dealt to several tasks.
+    shared = hot_keys(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), ["host", "path"])
+    return spread_join(rows, best, ["host", "path"], shared, list(key_cols), "left").select(
         *key_cols,
         "host",
         "path",
