@@ -3,7 +3,7 @@
 Each class has a Gaussian over the statistics. Its covariance is shrunk towards the pooled covariance and towards a
 multiple of the identity. A document's score is the posterior of label 1: the sigmoid of the difference of log prior
 minus half the log determinant and half the squared Mahalanobis distance, both from Cholesky factors that are
-computed once. Fitting needs only counts, sums and sums of products, which Spark adds up over all labelled rows.
+computed and inverted once. Fitting needs only counts, sums and sums of products, which Spark adds up over all labelled rows.
 """
 
 from __future__ import annotations
@@ -92,19 +92,19 @@ class Quadratic:
         pooled = sum(n[k] * within[k] for k in n) / total
         self.scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
         unit = np.outer(self.scale, self.scale)
-        self.mean, self.factor, self.const = {}, {}, {}
+        self.mean, self.inverse, self.const = {}, {}, {}
         for k in n:
             cov = (1 - POOLED) * within[k] / unit + POOLED * pooled / unit
             cov = (1 - IDENTITY) * cov + IDENTITY * max(np.trace(cov) / d, 1e-3) * np.eye(d)
             factor = np.linalg.cholesky(cov + 1e-9 * np.eye(d))
-            self.mean[k], self.factor[k] = mean[k] / self.scale, factor
+            self.mean[k], self.inverse[k] = mean[k] / self.scale, np.linalg.inv(factor)
             self.const[k] = np.log(n[k] / total) - np.log(np.diag(factor)).sum()
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Posterior of label 1 for each row."""
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        log_density = [self.const[k] - 0.5 * (np.linalg.solve(self.factor[k], (x / self.scale - self.mean[k]).T) ** 2).sum(axis=0) for k in (0, 1)]
+        log_density = [self.const[k] - 0.5 * (((x / self.scale - self.mean[k]) @ self.inverse[k].T) ** 2).sum(axis=1) for k in (0, 1)]
         return 1 / (1 + np.exp(-np.clip(log_density[1] - log_density[0], -500, 500)))
 
 
@@ -138,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Quadratic, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Adds score_col (0 to 1, higher: label 1 likelier). Null and empty texts are scored like any other.
+    """Adds score_col (0 to 1, higher: label 1 likelier). Null and empty texts are scored like any other, equal texts equally.
 
-    Other columns pass through; one already named score_col is replaced.
+    Whole texts are scored. Repeated rows are scored one by one. Other columns pass through, whatever they are called;
+    one already named score_col is replaced. An empty table gives an empty result.
     """
 
     bounded_batches(docs.sparkSession)
