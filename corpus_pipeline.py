@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from actlake import ship
 from actlake.llm import bpe, line_dedup, mixing, neardup, quality
-from actlake.llm.common import Workspace, table
+from actlake.llm.common import ASCII_SPACE, Workspace, table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -30,8 +30,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that a document with a smaller id has as well; n_chars follows. No row goes; null texts stay null."""
+    """Texts without the lines that a document with a smaller id has as well; n_chars follows, null texts stay null.
+
+    A document of which nothing but space is left, because all else is in documents with smaller ids, goes. All others stay.
+    """
     kept = line_dedup.dedup_lines(_packed(docs))
+    kept = kept.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(ASCII_SPACE)) != ""))
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
     row = F.col("_row").withField("text", text)
     if "n_chars" in docs.columns:
@@ -46,15 +50,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes its document: none, once or more. Rows without words are in no mix and stay as they are."""
-    taken = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    """Each row as many times as the mix takes its document: none, once or more. A row without words adds nothing and is taken no time."""
+    size = mixing.word_count(F.col("text").cast("binary"))
+    rows = _packed(docs).withColumn("_size", size).where("_size > 0")
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     # Rows that share id, source and size may swap places, so their rank tells them apart.
     nth = lambda df, name, *keys: df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
-    rows = nth(_packed(docs).withColumn("_size", mixing.word_count(F.col("text").cast("binary"))), "_nth", "doc_id", "source", "_size")
-    taken = nth(taken, "_mth", "_id", "_source", "_words")
+    rows, taken = nth(rows, "_nth", "doc_id", "source", "_size"), nth(taken, "_mth", "_id", "_source", "_words")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_nth") == F.col("_mth"))
-    copies = F.coalesce(F.col("_copies"), F.lit(1))
-    return rows.join(taken, same, "left").where(copies > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
+    return rows.join(taken, same).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
