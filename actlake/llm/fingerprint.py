@@ -1,8 +1,8 @@
 """I-Match document fingerprints. Built-in functions only.
 
 Terms whose inverse document frequency lies in a band form the lexicon: a term must be in at least a share RARE of the
-documents (two at least) and in at most a share COMMON. A document's terms that are in the lexicon are made distinct,
-sorted (by their 64-bit hashes) and hashed; besides the whole lexicon this is done for randomised subsets of it, so
+documents (two at least) and in at most a share COMMON. Terms are known by 61-bit hashes of theirs. A document's terms
+that are in the lexicon are made distinct, sorted and hashed; besides the whole lexicon this is done for randomised subsets of it, so
 that a few changed terms leave some hashes as they were. Subsets come in levels of falling density, one term in 2 to
 one in 1,024, SEEDS subsets a level, each nested in the one before. Sparse levels tell long documents apart, dense ones
 short ones. A document with fewer than FEW terms in the band gets a wider band: its rarer terms count as well.
@@ -21,17 +21,29 @@ from actlake.llm.common import Workspace, partitions
 
 #: Shares of the documents that a term of the band is in at least and at most; terms of a document that do without rarer ones.
 RARE, COMMON, FEW = 1e-4, 0.2, 4
-#: A lexicon of more bytes, counted with 64 for each term, isn't broadcast.
-BROADCAST_BYTES = 64_000_000
+#: A lexicon of more terms isn't broadcast; a term takes some 32 bytes.
+BROADCAST_TERMS = 2_000_000
+#: Documents of a task whose terms are gathered in memory; beyond, Spark sorts. The terms of a task's texts take about as much as the texts.
+GATHERED = 16_384
 #: A level keeps the terms whose draw ends in so many zero bits; subsets of a level.
 LEVEL_BITS, SEEDS = (1, 2, 4, 6, 8, 10), 8
 LEVELS = len(LEVEL_BITS)
 BREAK = r"[^\p{L}\p{N}]+"
 
 
+#: Flags beside a term's hash: of a document's text, of its edited text, too rare for the band.
+OWN, EDITED, RARER, FLAGS = 1, 2, 4, 7
+
+
+def _bits(value: int) -> Column:
+    """A 64-bit pattern as a long."""
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
 def terms(text: Column) -> Column:
-    """Distinct lower-cased runs of letters and digits."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), BREAK)), lambda t: t != "")
+    """Hashes of the distinct lower-cased runs of letters and digits; their lowest 3 bits are 0."""
+    words = F.filter(F.split(F.lower(text), BREAK), lambda t: t != "")
+    return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t).bitwiseAND(_bits((1 << 64) - 1 - FLAGS))))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
@@ -40,32 +52,33 @@ def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common:
     Counted over all documents; partial counts come before the shuffle. There are at most (mean number of distinct
     terms of a document) / rare terms, and that divided by common above the band.
     """
-    own = docs.select(terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
     n = docs.count()
-    counts = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # In a corpus of a few documents every share is that of one document: two are no common term yet.
     return counts.where(F.col("df") >= max(2.0, rare * n)).select("term", (F.col("df") > max(common * n, 2.0)).alias("above"))
 
 
-def hashed(own: Column, fallback: Column) -> Column:
-    """The fingerprint of an array of term hashes: of all and of all subsets, 8 hex digits each, '-' where a subset is empty.
+def hashed(df: DataFrame, own: str, fallback: str, out_col: str) -> DataFrame:
+    """Adds out_col, the fingerprint of the sorted term hashes in column own: of all and of all subsets, 8 hex digits each, '-' where a subset is empty.
 
-    Without terms it is '=' and the fallback.
+    Without terms it is '=' and the fallback. Seeds draw by 10 bits each of the hash itself, the last ones of a hash of
+    it. Each subset is a column, so that the next one is drawn from it and not from the start.
     """
     said = lambda terms: F.when(F.size(terms) > 0, F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")).otherwise(F.lit("-"))
-
-    def nested(seed: int) -> list[Column]:
-        """The subsets of a seed, from dense to sparse, each drawn from the one before."""
-        out, before = [], own
-        for bits in LEVEL_BITS:
-            mask = F.lit((1 << bits) - 1)
-            before = F.filter(before, lambda t: F.xxhash64(t, F.lit(seed)).bitwiseAND(mask) == 0)  # noqa: B023
-            out.append(before)
-        return out
-
-    subsets = [nested(seed) for seed in range(SEEDS)]
-    slots = [said(subsets[seed][level]) for level in range(LEVELS) for seed in range(SEEDS)]
-    return F.when(F.size(own) > 0, F.array_join(F.array(said(own), *slots), ",")).otherwise(F.concat(F.lit("="), fallback))
+    before = [own] * SEEDS
+    made, slots = [], []
+    for level, bits in enumerate(LEVEL_BITS):
+        new = []
+        for seed in range(SEEDS):
+            mask, drawn = _bits(((1 << bits) - 1) << (3 + 10 * (seed % 6))), f"_drawn{seed}_{level}"
+            bits_of = (lambda t: t) if seed < 6 else (lambda t: F.xxhash64(t))
+            new.append(F.filter(before[seed], lambda t: bits_of(t).bitwiseAND(mask) == 0).alias(drawn))  # noqa: B023
+            before[seed] = drawn
+            slots.append(drawn)
+        df = df.select("*", *new)
+        made += slots[-SEEDS:]
+    mark = F.array_join(F.array(said(F.col(own)), *(said(F.col(c)) for c in slots)), ",")
+    return df.withColumn(out_col, F.when(F.size(own) > 0, mark).otherwise(F.concat(F.lit("="), F.col(fallback)))).drop(*made)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -122,30 +135,37 @@ def compare(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> Data
     ws = Workspace(docs.sparkSession, "i-match")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = ws.save(lexicon(rows, rare=rare, common=common))
-    size = known.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+    small = F.broadcast if known.count() <= BROADCAST_TERMS else (lambda df: df)
+    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GATHERED))
 
     order = Window.partitionBy("_to").orderBy("_copy", F.asc_nulls_last("doc_id"), "text")
     rows = stretches(rows, "doc_id").withColumn("next_text", F.lead("text").over(order)).withColumn("_n", F.row_number().over(order))
     length = F.length("text")
     cut = F.floor(length / 4).cast("int")
     edited = F.when(F.col("_copy") == 0, F.concat(F.substring("text", F.lit(1), length - cut), F.substring("next_text", F.lit(1), cut))).otherwise("")
-    rows = rows.select("_to", "_n", "_copy", "doc_id", "text", edited.alias("edited"))
-    # One row for each term, and one (form 2) with what else is wanted of a document.
-    whole = lambda c: F.substring(F.sha2(F.lower(c).cast("binary"), 256), 1, 32)
-    about = F.struct("_copy", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), whole("text").alias("own_hash"), whole("edited").alias("edited_hash"))
-    nothing = F.lit(None).cast("struct<_copy:int,doc_id:bigint,n_chars:bigint,edited_sha256:string,own_hash:string,edited_hash:string>")
-    form = lambda i, c: F.transform(terms(F.col(c)), lambda t: F.struct(F.lit(i).alias("form"), t.alias("term"), nothing.alias("about")))
-    parts = F.concat(form(0, "text"), form(1, "edited"), F.array(F.struct(F.lit(2).alias("form"), F.lit(None).cast("string").alias("term"), about.alias("about"))))
-    each = rows.select("_to", "_n", F.explode(parts).alias("x")).select("_to", "_n", "x.form", "x.term", "x.about")
-    met = each.join(small(known), "term", "left").where(~F.coalesce("above", F.lit(False)))
-    gather = lambda i, seen: F.collect_list(F.when((F.col("form") == i) & (F.col("above").isNotNull() if seen else F.col("above").isNull()), F.xxhash64("term")))
-    docs_ = met.groupBy("_to", "_n").agg(F.max("about").alias("about"), *(gather(i, seen).alias(f"{'band' if seen else 'rare'}{i}") for i in (0, 1) for seen in (True, False)))
-    chosen = lambda i: F.array_sort(F.when(F.size(f"band{i}") >= FEW, F.col(f"band{i}")).otherwise(F.concat(f"band{i}", f"rare{i}")))
-    docs_ = docs_.select("_to", "_n", "about", chosen(0).alias("own"), chosen(1).alias("changed"))
-    docs_ = docs_.select("_to", "_n", "about", hashed(F.col("own"), F.col("about.own_hash")).alias("fingerprint"), hashed(F.col("changed"), F.col("about.edited_hash")).alias("edited_fingerprint"))
-    docs_ = docs_.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("_to").orderBy("_n"))).where("about._copy = 0")
+    whole = lambda c: F.unhex(F.substring(F.sha2(F.lower(c).cast("binary"), 256), 1, 32))
+    about = F.col("_copy"), F.col("doc_id"), F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), whole("text").alias("own_hash"), whole("edited").alias("edited_hash")
+    rows = rows.withColumn("edited", edited)
+    rows = rows.select("_to", "_n", *about, terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
+    flagged = lambda terms, flags: F.transform(terms, lambda t: t.bitwiseOR(F.lit(flags).cast("long")))
+    parts = F.concat(flagged(F.array_intersect("own", "changed"), OWN | EDITED), flagged(F.array_except("own", "changed"), OWN), flagged(F.array_except("changed", "own"), EDITED))
+    keys = ["_to", "_n", "_copy", "doc_id", "n_chars", "sha", "own_hash", "edited_hash"]
+    each = rows.select(*keys, F.explode_outer(parts).alias("code")).withColumn("term", F.col("code").bitwiseAND(_bits((1 << 64) - 1 - FLAGS)))
+    met = each.join(small(known), "term", "left")
+    code = F.when(F.col("above").isNull(), F.col("code").bitwiseOR(F.lit(RARER).cast("long"))).when(~F.col("above"), F.col("code"))
+    docs_ = met.groupBy(*keys).agg(F.collect_list(code).alias("codes"))
+
+    def chosen(flag: int) -> Column:
+        """The document's terms in the band, or all but the common ones if these are few; sorted, without flags."""
+        own = lambda flags, wanted: F.filter("codes", lambda c: c.bitwiseAND(F.lit(flags).cast("long")) == wanted)
+        band, all_ = own(flag | RARER, flag), own(flag, flag)
+        few = F.size(band) < FEW
+        return F.array_sort(F.transform(F.when(few, all_).otherwise(band), lambda c: c.bitwiseAND(_bits((1 << 64) - 1 - FLAGS))))
+
+    docs_ = docs_.select("_to", "_n", "_copy", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.lower(F.hex("own_hash")).alias("own_hash"), F.lower(F.hex("edited_hash")).alias("edited_hash"), chosen(OWN).alias("own"), chosen(EDITED).alias("changed"))
+    docs_ = hashed(hashed(docs_, "own", "own_hash", "fingerprint"), "changed", "edited_hash", "edited_fingerprint")
+    docs_ = docs_.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("_to").orderBy("_n"))).where("_copy = 0")
     return docs_.select(
-        "about.doc_id", "about.n_chars", "about.edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

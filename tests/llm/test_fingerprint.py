@@ -32,7 +32,7 @@ def brute(spark, rows, rare=fingerprint.RARE, common=fingerprint.COMMON):
     for i, (d, t) in enumerate(ordered):
         cut = len(t) // 4
         texts.append((d, t, t[: len(t) - cut] + ordered[(i + 1) % n][1][:cut]))
-    code = xxhash64(spark, {w for _, t, e in texts for w in words_of(t) | words_of(e)})
+    code = {w: h & ~7 for w, h in xxhash64(spark, {w for _, t, e in texts for w in words_of(t) | words_of(e)}).items()}
     signed = lambda h: h - (1 << 64) if h >> 63 else h
 
     def long_hash(values, seed=42):
@@ -43,8 +43,8 @@ def brute(spark, rows, rare=fingerprint.RARE, common=fingerprint.COMMON):
         return h
 
     def drawn(h, seed, bits):
-        first = xxhash.xxh64_intdigest((h & (2**64 - 1)).to_bytes(8, "little"), 42)
-        return xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), first) & ((1 << bits) - 1) == 0
+        own = h & (2**64 - 1) if seed < 6 else long_hash([h])
+        return (own >> (3 + 10 * (seed % 6))) & ((1 << bits) - 1) == 0
 
     def mark(text):
         own = words_of(text) - {""}
@@ -99,7 +99,8 @@ def test_odd_documents(spark, odd_docs, odd_rows, no_docs):
 @pytest.mark.parametrize("broadcast", [0, 10**9])
 def test_whole_results_against_brute_force(spark, monkeypatch, broadcast):
     """With the lexicon broadcast and joined by a shuffle."""
-    monkeypatch.setattr(fingerprint, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(fingerprint, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(fingerprint, "GATHERED", 128 if broadcast else 3)
     rows = [(i * 3 % 101, f"{'é😀x ' * (i % 9)}word{i} common term{i % 5} kind{i % 12} " * (i % 6) + f" own{i // 2}") for i in range(101)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for options in ({}, {"rare": 0.05, "common": 0.1}):
@@ -113,7 +114,8 @@ def test_single_document(spark):
 
 def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(i, f"everywhere half{i % 2} tenth{i % 10} only{i}") for i in range(100)], "doc_id long, text string")
-    found = {r["term"]: r["above"] for r in fingerprint.lexicon(docs).collect()}
+    code = {h & ~7: w for w, h in xxhash64(spark, {w for r in docs.collect() for w in words_of(r["text"])}).items()}
+    found = {code[r["term"]]: r["above"] for r in fingerprint.lexicon(docs).collect()}
     assert found == {"everywhere": True, "half0": True, "half1": True} | {f"tenth{i}": False for i in range(10)}
     assert not any(not r["above"] for r in fingerprint.lexicon(docs, rare=0.11).collect())
 
