@@ -89,7 +89,7 @@ class LineStore:
 
     def add(self, lines: DataFrame) -> None:
         """lines: _h1, _h2, _doc of a batch."""
-        new = lines.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.min("_doc").alias("_owner"))
+        new = lines.groupBy(*KEY).agg(F.min("_doc").alias("_owner"))
         for run in self.runs():
             new = new.join(run.hint("merge"), KEY, "left_anti")
         self._write(new, 0)
