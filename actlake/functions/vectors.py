@@ -33,21 +33,32 @@ def head_shares(w: Column, heads: int, width: int) -> Column:
     return F.transform(norms, lambda n: n / F.nullif(total(norms), F.lit(0.0)))
 
 
-def sorted_quantile(nonzero: Column, zeros: Column, q: Column) -> Column:
-    """Linear-interpolated quantile q of the sorted positive values with `zeros` zeros before them."""
-    n = zeros + F.size(nonzero)
-    at = q * (n - 1)
-    low = F.floor(at)
-    value = lambda i: F.when(i < zeros, F.lit(0.0)).otherwise(F.get(nonzero, (i - zeros).cast("int")))
-    first = value(low)
-    return first + (at - low) * (F.coalesce(value(F.least(low + 1, n - 1)), first) - first)
-
-
 def zero_suppressed(values: Column, least: float = 1e-6) -> Column:
     """Values whose absolute value is above `least`, rounded to 4 places."""
     return F.transform(F.filter(values, lambda x: F.abs(x) > least), lambda x: F.round(x, 4))
 
 
+def zero_suppressed_with(ids: Column, values: Column, least: float = 1e-6) -> Column:
+    """struct(ids, values): both cut to the places whose absolute value is above `least`, values rounded to 4 places."""
+    kept = F.filter(F.zip_with(ids, values, lambda i, v: F.struct(i.alias("i"), v.alias("v"))), lambda x: F.abs(x["v"]) > least)
+    return F.struct(F.transform(kept, lambda x: x["i"]).alias("ids"), F.transform(kept, lambda x: F.round(x["v"], 4)).alias("values"))
+
+
+def max_or_one(values: Column, absolute: bool = False) -> Column:
+    """The largest (absolute) value; 1 for an empty or null array."""
+    return F.coalesce(F.array_max(F.transform(values, F.abs) if absolute else values).cast("double"), F.lit(1.0))
+
+
+def argmax(values: Column) -> Column:
+    """Place from 0 of the first largest value; null for an empty array."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def finite_or(values: Column, sentinel: float = 0.0) -> Column:
+    """NaN, infinite and null entries replaced."""
+    return F.transform(values, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(sentinel)).otherwise(v))
+
+
 def pad(values: Column, n: int, left: bool = True) -> Column:
     """Zeros added up to n entries; a longer array raises."""
     missing = F.array_repeat(F.lit(0.0), F.lit(n) - F.size(values))

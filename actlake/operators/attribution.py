@@ -1,41 +1,82 @@
 """Attribution of a feature's activation to source positions through attention.
 
 out[dest, src, feature] = sum over heads of attn[head, dest, src] * (v[src, kv_head] . w_enc[feature, head]). Only the
-destination with a prompt's largest activation is wanted, so it is joined first: the work is linear in the prompt's
-length.
+destination with a prompt's largest activation is wanted, so the work is linear in the prompt's length. Prompts are
+dealt to groups of bounded size; a group multiplies its values with the encoder as matrices and gives out the sums.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlake.functions.vectors import dot
+from actlake.operators.encode import Weights, passes
+
+#: Prompts of a group, about.
+GROUP = 256
 
 
 def by_source(attn: DataFrame) -> DataFrame:
-    """prompt_idx, dest, src, w (array by head) from rows of one head each: prompt_idx, head, dest, src, w."""
-    pairs = F.array_sort(F.collect_list(F.struct("head", "w")))
-    return attn.groupBy("prompt_idx", "dest", "src").agg(F.transform(pairs, lambda x: x["w"]).alias("w"))
+    """prompt_idx, dest, w (by source, then head, without gaps) from rows of one head each: prompt_idx, head, dest, src, w."""
+    pairs = F.array_sort(F.collect_list(F.struct("src", "head", "w")))
+    return attn.groupBy("prompt_idx", "dest").agg(F.transform(pairs, lambda x: x["w"]).alias("w"))
 
 
 def attribute(targets: DataFrame, attn: DataFrame, values: DataFrame, encoder: DataFrame, heads: int, width: int, kv_heads: int | None = None) -> DataFrame:
-    """feature_id, prompt_idx, src, value for each target's source positions.
+    """feature_id, prompt_idx, dfa (by source position from 0) for each target.
 
-    targets: feature_id, prompt_idx, pos. attn: as by_source() returns it. values: prompt_idx, pos, v (kv_heads blocks
-    of `width`). With fewer kv_heads than heads, each serves heads / kv_heads heads in turn.
+    targets: feature_id, prompt_idx, pos. attn: as by_source() returns it. values: prompt_idx, pos (without gaps), v
+    (kv_heads blocks of `width`). With fewer kv_heads than heads, each serves heads / kv_heads heads in turn. No
+    features give no rows; an encoder of another length than heads * width is an error.
     """
-    shared = heads // (kv_heads or heads)
-    at = targets.select("feature_id", "prompt_idx", F.col("pos").alias("dest")).join(attn, ["prompt_idx", "dest"])
-    with_v = at.join(values.select("prompt_idx", F.col("pos").alias("src"), "v"), ["prompt_idx", "src"]).join(F.broadcast(encoder.select("feature_id", "w_enc")), "feature_id")
-    parts = [F.col("w")[h] * dot(F.slice("v", h // shared * width + 1, width), F.slice("w_enc", h * width + 1, width)) for h in range(heads)]
-    return with_v.select("feature_id", "prompt_idx", "src", reduce(add, parts).alias("value"))
+    kv_heads = kv_heads or heads
+    if heads % kv_heads:
+        raise ValueError("heads isn't a multiple of kv_heads")
+    spark = targets.sparkSession
+    groups = max(1, -(-values.select("prompt_idx").distinct().count() // GROUP))
+    deal = lambda: F.pmod(F.xxhash64("prompt_idx"), F.lit(groups)).alias("group")
+    asked = targets.groupBy("prompt_idx", F.col("pos").alias("dest")).agg(F.collect_list("feature_id").alias("features"))  # at most the features of a report
+    asked = asked.join(attn, ["prompt_idx", "dest"]).select(deal(), "prompt_idx", "features", "w")
+    given = values.select(deal(), "prompt_idx", "pos", "v")
+    schema, out = "feature_id int, prompt_idx long, dfa array<double>", None
+
+    def summed(shared: Broadcast) -> DataFrame:
+        def run(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+            own = shared.value
+            place = {int(f): i for i, f in enumerate(own.ids)}
+            given = given.sort_values(["prompt_idx", "pos"], kind="stable")
+            prompts = given["prompt_idx"].to_numpy()
+            out: dict[str, list] = {"feature_id": [], "prompt_idx": [], "dfa": []}
+            if len(given) and len(asked):
+                v = np.stack(given["v"].to_list()).astype(np.float64).reshape(len(given), kv_heads, width)
+                w = own.w.reshape(kv_heads, heads // kv_heads, width, len(own.ids))
+                # [position, head, feature]: what a source would give through each head.
+                gives = np.concatenate([np.einsum("nw,gwf->ngf", v[:, h], w[h]) for h in range(kv_heads)], axis=1)
+                starts = np.searchsorted(prompts, asked["prompt_idx"].to_numpy())
+                for prompt, features, attn, start in zip(asked["prompt_idx"].tolist(), asked["features"], asked["w"], starts.tolist()):
+                    known = [f for f in features if f in place]
+                    attn = np.asarray(attn, dtype=np.float64).reshape(-1, heads)
+                    sums = np.einsum("nh,nhf->fn", attn, gives[start : start + len(attn)][:, :, [place[f] for f in known]])
+                    out["feature_id"] += known
+                    out["prompt_idx"] += [prompt] * len(known)
+                    out["dfa"] += list(sums)
+            return pd.DataFrame(out)
+
+        return asked.groupBy("group").cogroup(given.groupBy("group")).applyInPandas(run, schema)
+
+    for rows in passes(encoder.select("feature_id", "w_enc", F.lit(0.0).alias("b_enc")), []):
+        own = Weights(rows)
+        if own.w.shape[0] != heads * width:
+            raise ValueError(f"encoder rows have {own.w.shape[0]} entries, not {heads} * {width}")
+        part = summed(spark.sparkContext.broadcast(own))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def records(parts: DataFrame) -> DataFrame:
     """feature_id, prompt_idx, dfa_values (by source position, 3 decimals), dfa_max_value, dfa_target_index (the first maximum)."""
-    lists = parts.groupBy("feature_id", "prompt_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "value"))), lambda x: F.round(x["value"], 3) + 0.0).alias("dfa_values"))
+    lists = parts.select("feature_id", "prompt_idx", F.transform("dfa", lambda x: F.round(x, 3) + 0.0).alias("dfa_values"))
     return lists.withColumn("dfa_max_value", F.array_max("dfa_values")).withColumn("dfa_target_index", (F.array_position("dfa_values", F.col("dfa_max_value")) - 1).cast("int"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actlake.operators.encode import Weights, matrix, passes
+
 EPSILON = 1e-6
 
 
@@ -21,6 +23,16 @@ def cosine(sxx: Column, syy: Column, sxy: Column) -> Column:
     return sxy / (F.sqrt(sxx * syy) + EPSILON)
 
 
+def _finished(sxy: DataFrame, sums: DataFrame, positions: int) -> DataFrame:
+    """x_id, y_id, pearson, cossim both ways and the diagonal as 0. sxy: x_id < y_id, sxy; sums: feature_id, s, ss."""
+    side = lambda c: sums.select(F.col("feature_id").alias(f"{c}_id"), F.col("s").alias(f"s{c}"), F.col("ss").alias(f"s{c}{c}"))
+    found = sxy.join(side("x"), "x_id").join(side("y"), "y_id")
+    found = found.select("x_id", "y_id", pearson(F.lit(float(positions)), *map(F.col, ("sx", "sy", "sxx", "syy", "sxy"))).alias("pearson"), cosine(*map(F.col, ("sxx", "syy", "sxy"))).alias("cossim"))
+    mirrored = found.unionByName(found.select(F.col("y_id").alias("x_id"), F.col("x_id").alias("y_id"), "pearson", "cossim"))
+    diagonal = sums.select(F.col("feature_id").alias("x_id"), F.col("feature_id").alias("y_id"), F.lit(0.0).alias("pearson"), F.lit(0.0).alias("cossim"))
+    return mirrored.unionByName(diagonal)
+
+
 def feature_pairs(feat_acts: DataFrame, batches: DataFrame | None, positions: int) -> DataFrame:
     """x_id, y_id, pearson, cossim of features that are active together somewhere, and the diagonal as 0.
 
@@ -28,18 +40,48 @@ def feature_pairs(feat_acts: DataFrame, batches: DataFrame | None, positions: in
     features are gathered once and paired inside the row, so the join has no skew; sums are partly added up before
     the shuffle.
     """
-    rows = feat_acts if batches is None else feat_acts.join(F.broadcast(batches), "feature_id")
+    rows = feat_acts if batches is None else feat_acts.join(batches, "feature_id")
     keys = ["prompt_idx", "pos"] + ([] if batches is None else ["batch_id"])
     at = rows.groupBy(*keys).agg(F.collect_list(F.struct("feature_id", "act")).alias("own"))
     pairs = at.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y")).where("x.feature_id < y.feature_id")
     sxy = pairs.groupBy(F.col("x.feature_id").alias("x_id"), F.col("y.feature_id").alias("y_id")).agg(F.sum(F.col("x.act") * F.col("y.act")).alias("sxy"))
     sums = feat_acts.groupBy("feature_id").agg(F.sum("act").alias("s"), F.sum(F.col("act") * F.col("act")).alias("ss"))
-    side = lambda c: sums.select(F.col("feature_id").alias(f"{c}_id"), F.col("s").alias(f"s{c}"), F.col("ss").alias(f"s{c}{c}"))
-    found = sxy.join(side("x"), "x_id").join(side("y"), "y_id")
-    found = found.select("x_id", "y_id", pearson(F.lit(float(positions)), *map(F.col, ("sx", "sy", "sxx", "syy", "sxy"))).alias("pearson"), cosine(*map(F.col, ("sxx", "syy", "sxy"))).alias("cossim"))
-    mirrored = found.unionByName(found.select(F.col("y_id").alias("x_id"), F.col("x_id").alias("y_id"), "pearson", "cossim"))
-    diagonal = sums.select(F.col("feature_id").alias("x_id"), F.col("feature_id").alias("y_id"), F.lit(0.0).alias("pearson"), F.lit(0.0).alias("cossim"))
-    return mirrored.unionByName(diagonal)
+    return _finished(sxy, sums, positions)
+
+
+def feature_gram(acts: DataFrame, encoder: DataFrame, batches: DataFrame, positions: int) -> DataFrame:
+    """The same for features (ReLU) of one batch, from the activations themselves.
+
+    Each task adds up a Gram matrix for each batch of features over its rows, and emits one row a pair; no row leaves a
+    worker for each position. batches: feature_id, batch_id.
+    """
+    pairs = sums = None
+    for rows in passes(encoder.join(batches, "feature_id"), ["batch_id"], whole="batch_id"):
+        own, of = Weights(rows), np.array([r["batch_id"] for r in rows])
+        groups = [np.flatnonzero(of == g) for g in np.unique(of)]
+        shared = acts.sparkSession.sparkContext.broadcast((own, groups))
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            own, groups = shared.value
+            gram, s = [np.zeros((len(g), len(g))) for g in groups], np.zeros(len(own.ids))
+            seen = False
+            for batch in batches:
+                for _, h in own.apply(matrix(batch.column(0), own.w.shape[0])):
+                    h = np.maximum(h, 0.0)
+                    s += h.sum(axis=0)
+                    for total, g in zip(gram, groups):
+                        total += h[:, g].T @ h[:, g]
+                    seen = True
+            for total, g in zip(gram, groups) if seen else ():
+                x, y = np.triu_indices(len(g))
+                cols = own.ids[g[x]], own.ids[g[y]], total[x, y], np.where(x == y, s[g[x]], 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["x_id", "y_id", "sxy", "s"])
+
+        part = acts.select("act").mapInArrow(run, "x_id int, y_id int, sxy double, s double").groupBy("x_id", "y_id").agg(F.sum("sxy").alias("sxy"), F.sum("s").alias("s")).where("sxy > 0")
+        pairs = part.where("x_id < y_id") if pairs is None else pairs.unionByName(part.where("x_id < y_id"))
+        own = part.where("x_id = y_id").select(F.col("x_id").alias("feature_id"), "s", F.col("sxy").alias("ss"))
+        sums = own if sums is None else sums.unionByName(own)
+    return _finished(pairs.drop("s"), sums, positions)
 
 
 def neuron_sums(acts: DataFrame, encoder: DataFrame) -> DataFrame:
@@ -47,26 +89,25 @@ def neuron_sums(acts: DataFrame, encoder: DataFrame) -> DataFrame:
 
     Each task adds up Gram matrices of its rows and emits one row a feature and dimension; Spark adds those up.
     """
-    rows = encoder.select("feature_id", "w_enc", "b_enc").orderBy("feature_id").collect()  # a model's parameters
-    ids = np.array([r["feature_id"] for r in rows], dtype=np.int32)
-    w, b = np.array([r["w_enc"] for r in rows]).T, np.array([r["b_enc"] for r in rows])
+    rows = [r for part in passes(encoder, []) for r in part]  # a model's parameters
+    shared = acts.sparkSession.sparkContext.broadcast(Weights(rows))
 
-    def run(batches: Iterator) -> Iterator[pd.DataFrame]:
-        n, d, f = 0, w.shape[0], w.shape[1]
+    def run(batches: Iterator) -> Iterator:
+        own = shared.value
+        n, (d, f) = 0, own.w.shape
         sx, sxx, sy, syy, sxy = np.zeros(f), np.zeros(f), np.zeros(d), np.zeros(d), np.zeros((f, d))
         for batch in batches:
-            y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            x = np.maximum(np.round(y @ w + b, 6), 0.0)
+            y = matrix(batch.column(0), d)
             n += len(y)
-            sx += x.sum(axis=0)
-            sxx += (x * x).sum(axis=0)
             sy += y.sum(axis=0)
             syy += (y * y).sum(axis=0)
-            sxy += x.T @ y
+            for i, x in own.apply(y):
+                x = np.maximum(x, 0.0)
+                sx += x.sum(axis=0)
+                sxx += (x * x).sum(axis=0)
+                sxy += x.T @ y[i : i + len(x)]
         if n:
-            import pyarrow as pa
-
-            cols = [np.repeat(ids, d), np.tile(np.arange(d, dtype=np.int32), f), np.full(f * d, float(n)), np.repeat(sx, d), np.tile(sy, f), np.repeat(sxx, d), np.tile(syy, f), sxy.ravel()]
+            cols = [np.repeat(own.ids, d), np.tile(np.arange(d, dtype=np.int32), f), np.full(f * d, float(n)), np.repeat(sx, d), np.tile(sy, f), np.repeat(sxx, d), np.tile(syy, f), sxy.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["feature_id", "idx", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
     parts = acts.select("act").mapInArrow(run, "feature_id int, idx int, n double, sx double, sy double, sxx double, syy double, sxy double")

@@ -6,13 +6,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlake.functions.vectors import dot, norm, scale
+from actlake.functions.vectors import norm, scale
+from actlake.operators.topk import top_k
 
-#: Decimals that activations are kept with, and numbers of a weight matrix that are shipped with a plan at once.
-DECIMALS, BLOCK_NUMBERS = 6, 16_000_000
+#: Decimals that activations are kept with; numbers of a weight matrix that one pass over the activations takes; numbers of a block of results.
+DECIMALS, PASS_NUMBERS, BLOCK_NUMBERS = 6, 128_000_000, 4_000_000
+
+
+class Weights:
+    """A model's encoder as arrays, in order of feature_id."""
+
+    def __init__(self, rows: list, least: bool = False):
+        self.ids = np.array([r["feature_id"] for r in rows], dtype=np.int32)
+        self.w = np.array([r["w_enc"] for r in rows], dtype=np.float64).T
+        self.b = np.array([r["b_enc"] for r in rows], dtype=np.float64)
+        self.least = np.maximum(np.array([r["threshold"] for r in rows]), 0.0) if least else 0.0
+
+    def apply(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """First row and activations [row, feature], by blocks of bounded size."""
+        step = max(1, BLOCK_NUMBERS // max(1, len(self.ids)))
+        for i in range(0, len(x), step):
+            yield i, np.round(x[i : i + step] @ self.w + self.b, DECIMALS) + 0.0
+
+
+def passes(weights: DataFrame, columns: list[str], whole: str | None = None) -> Iterator[list]:
+    """The rows of a weight matrix in order of feature_id, as many at a time as one pass over the activations takes.
+
+    With `whole`, rows come in order of that column, and those that share a value in one pass.
+    """
+    part, size = [], 0
+    order = ["feature_id"] if whole is None else [whole, "feature_id"]
+    for r in weights.select("feature_id", "w_enc", "b_enc", *columns).orderBy(*order).toLocalIterator():
+        if size >= PASS_NUMBERS and (whole is None or r[whole] != part[-1][whole]):
+            yield part
+            part, size = [], 0
+        part.append(r)
+        size += len(r["w_enc"])
+    if part:
+        yield part
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of arrays as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64, copy=False)
 
 
 def encode(acts: DataFrame, weights: DataFrame, keep: str = "positive", key_cols: tuple[str, ...] = ("prompt_idx", "pos", "token_id")) -> DataFrame:
@@ -20,42 +59,26 @@ def encode(acts: DataFrame, weights: DataFrame, keep: str = "positive", key_cols
 
     keep: "positive" (ReLU, stored without its zeros), "threshold" (JumpReLU: above the weights' threshold, else
     zero) or "all" (probes, which may be negative). Only the rows kept leave the Python worker. The weights are a
-    model's parameters; matrices above BLOCK_NUMBERS are cut into blocks of features that are encoded one after another.
+    model's parameters and are broadcast; the activations are read once for each PASS_NUMBERS of them.
     """
-    rows = weights.select("feature_id", "w_enc", "b_enc", *(["threshold"] if keep == "threshold" else [])).orderBy("feature_id")
-    first = rows.first()
     names = ["feature_id", *key_cols, "act"]
     types = dict(acts.dtypes) | {"feature_id": "int", "act": "double"}
     schema = ", ".join(f"{c} {types[c]}" for c in names)
-    if first is None:
-        return acts.sparkSession.createDataFrame([], schema)
-    per_block = max(1, BLOCK_NUMBERS // len(first["w_enc"]))
-    out, block = None, []
-
-    def encoded(block: list) -> DataFrame:
-        ids = np.array([r["feature_id"] for r in block], dtype=np.int32)
-        w = np.array([r["w_enc"] for r in block], dtype=np.float64).T
-        b = np.array([r["b_enc"] for r in block], dtype=np.float64)
-        least = np.array([r["threshold"] for r in block]) if keep == "threshold" else 0.0
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = None
+    for rows in passes(weights, ["threshold"] if keep == "threshold" else []):
+        shared = acts.sparkSession.sparkContext.broadcast(Weights(rows, keep == "threshold"))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
             for batch in batches:
-                x = batch.column(len(key_cols)).flatten().to_numpy(zero_copy_only=False).reshape(-1, w.shape[0])
-                for i in range(0, len(x), 4096):
-                    h = np.round(x[i : i + 4096] @ w + b, DECIMALS) + 0.0
-                    row, col = np.nonzero(np.ones_like(h, dtype=bool) if keep == "all" else h > np.maximum(least, 0.0))
+                for i, h in own.apply(matrix(batch.column(len(key_cols)), own.w.shape[0])):
+                    row, col = np.nonzero(np.ones_like(h, dtype=bool) if keep == "all" else h > own.least)
                     at = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[col]), *(batch.column(k).take(at) for k in range(len(key_cols))), pa.array(h[row, col])], names=names)
-
-        return acts.select(*key_cols, "act").mapInArrow(run, schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.ids[col]), *(batch.column(k).take(at) for k in range(len(key_cols))), pa.array(h[row, col])], names=names)
 
-    for r in rows.toLocalIterator():
-        block.append(r)
-        if len(block) == per_block:
-            out, block = encoded(block) if out is None else out.unionByName(encoded(block)), []
-    if block:
-        out = encoded(block) if out is None else out.unionByName(encoded(block))
-    return out
+        part = acts.select(*key_cols, "act").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return acts.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def batch_top_k(feat_acts: DataFrame, k: int, prompts_per_batch: int) -> DataFrame:
@@ -63,8 +86,7 @@ def batch_top_k(feat_acts: DataFrame, k: int, prompts_per_batch: int) -> DataFra
 
     All features are ranked before any is selected. Ties go to the smaller prompt, position and feature.
     """
-    batch = F.floor(F.col("prompt_idx") / prompts_per_batch)
-    rows = feat_acts.withColumn("batch_id", batch)
+    rows = feat_acts.withColumn("batch_id", F.floor(F.col("prompt_idx") / prompts_per_batch))
     sizes = rows.groupBy("batch_id").agg(F.countDistinct("prompt_idx", "pos").alias("_n"))
     order = Window.partitionBy("batch_id").orderBy(F.desc("act"), "prompt_idx", "pos", "feature_id")
     return rows.join(sizes, "batch_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k * F.col("_n")).drop("_r", "_n")
@@ -114,6 +136,36 @@ def logit_lens(decoder: DataFrame, unembed: DataFrame) -> DataFrame:
     return out.withColumnRenamed("act", "logit")
 
 
+def logit_lens_top(decoder: DataFrame, unembed: DataFrame, k: int, smallest: bool = False) -> DataFrame:
+    """feature_id, rank, token_id, logit of each feature's k largest (smallest) logits, ties to the smaller token.
+
+    Each task keeps the best k of its part of the vocabulary; only those leave it.
+    """
+    sign = -1.0 if smallest else 1.0
+    weights = decoder.select("feature_id", F.col("w_dec").alias("w_enc"), F.lit(0.0).alias("b_enc"))
+    out = None
+    for rows in passes(weights, []):
+        shared = unembed.sparkSession.sparkContext.broadcast(Weights(rows))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            best, ids = np.empty((len(own.ids), 0)), np.empty((len(own.ids), 0), np.int64)
+            for batch in batches:
+                tokens = batch.column(0).to_numpy(zero_copy_only=False)
+                for i, h in own.apply(matrix(batch.column(1), own.w.shape[0])):
+                    best = np.concatenate((best, sign * h.T), axis=1)
+                    ids = np.concatenate((ids, np.broadcast_to(tokens[i : i + len(h)], (len(own.ids), len(h)))), axis=1)
+                    order = np.stack([np.lexsort((t, -v))[:k] for v, t in zip(best, ids)])
+                    best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+            if best.size:
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.ids, n)), pa.array(ids.ravel().astype(np.int32)), pa.array(sign * best.ravel() + 0.0)], names=["feature_id", "token_id", "logit"])
+
+        part = unembed.select("token_id", "w_u").mapInArrow(run, "feature_id int, token_id int, logit double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, ["feature_id"], [F.asc("logit") if smallest else F.desc("logit"), F.asc("token_id")], k)
+
+
 def through_output(decoder: DataFrame, w_out: DataFrame) -> DataFrame:
     """Residual directions of features whose decoder writes before an output matrix: w_dec @ w_out. w_out: i, row (array)."""
     parts = decoder.select("feature_id", F.posexplode("w_dec").alias("i", "w")).join(w_out, "i").select("feature_id", F.posexplode("row").alias("j", "v"), "w")

@@ -18,7 +18,7 @@ def groups(feat_acts: DataFrame, positions: int, intervals: int) -> DataFrame:
     i = F.col("i")
     bounds = best.select("feature_id", "m", F.explode(F.sequence(F.lit(0), F.lit(intervals - 1))).alias("i")) if intervals else best.limit(0).withColumn("i", F.lit(0))
     bounds = bounds.select("feature_id", (intervals - i).cast("int").alias("group_ord"), F.lit("INTERVAL").alias("kind"), F.round(F.col("m") * i / max(1, intervals), 6).alias("lower"), F.round(F.col("m") * (i + 1) / max(1, intervals), 6).alias("upper"))
-    counts = feat_acts.join(F.broadcast(bounds), "feature_id").where(F.col("act").between(F.col("lower"), F.col("upper"))).groupBy("feature_id", "group_ord").agg(F.count(F.lit(1)).alias("n"))
+    counts = feat_acts.join(bounds, "feature_id").where(F.col("act").between(F.col("lower"), F.col("upper"))).groupBy("feature_id", "group_ord").agg(F.count(F.lit(1)).alias("n"))
     active = feat_acts.groupBy("feature_id").agg(F.count(F.lit(1)).alias("active"))
     shares = bounds.join(counts, ["feature_id", "group_ord"], "left").join(active, "feature_id")
     zeros = F.when(F.col("lower") <= 0, F.lit(positions) - F.col("active")).otherwise(0)
@@ -58,10 +58,10 @@ def members(feat_acts: DataFrame, token_pos: DataFrame, grouped: DataFrame, top:
     """
     best = top_positions(feat_acts, top).select("feature_id", F.lit(0).alias("group_ord"), "rank", "prompt_idx", "pos", "act")
     intervals = grouped.where("kind = 'INTERVAL'").select("feature_id", "group_ord", "lower", "upper")
-    rows = feat_acts.join(F.broadcast(intervals), "feature_id").where(F.col("act").between(F.col("lower"), F.col("upper"))).select("feature_id", "group_ord", "prompt_idx", "pos", "act")
+    rows = feat_acts.join(intervals, "feature_id").where(F.col("act").between(F.col("lower"), F.col("upper"))).select("feature_id", "group_ord", "prompt_idx", "pos", "act")
     some = rows.withColumn("_key", draw(seed, "prompt_idx", "pos"))
     lowest = intervals.where("lower <= 0").select("feature_id", "group_ord")
-    zeros = inactive_sample(feat_acts, lowest, token_pos, per_interval, seed).join(F.broadcast(lowest), "feature_id").select("feature_id", "group_ord", "prompt_idx", "pos", F.lit(0.0).alias("act"), "_key")
+    zeros = inactive_sample(feat_acts, lowest, token_pos, per_interval, seed).join(lowest, "feature_id").select("feature_id", "group_ord", "prompt_idx", "pos", F.lit(0.0).alias("act"), "_key")
     order = [F.asc("_key"), F.asc("prompt_idx"), F.asc("pos")]
     drawn = top_k(some.unionByName(zeros), ["feature_id", "group_ord"], order, per_interval)
     return best.unionByName(drawn.select("feature_id", "group_ord", "rank", "prompt_idx", "pos", "act"))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from actlake.functions.vectors import total
 
-from actlake.functions.vectors import sorted_quantile, total
+#: Numbers of a quantile table that are broadcast at once.
+TABLE_NUMBERS = 8_000_000
 
 #: Ranges of the quantile grid, and decimals of the labels in each.
 RANGES = (([0.0, 0.95], 3), ([0.95, 0.99], 4), ([0.99, 1.0], 5))
@@ -47,12 +56,35 @@ def value_counts(feat_acts: DataFrame) -> DataFrame:
     return feat_acts.where("act > 0").groupBy("feature_id", "act").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(feat_acts: DataFrame, features: DataFrame, positions: int, grid: list[float]) -> DataFrame:
-    """feature_id, quantile_data: linear-interpolated quantiles at the grid, over all positions with their implicit zeros, 6 decimals."""
-    lists = feat_acts.where("act > 0").groupBy("feature_id").agg(F.sort_array(F.collect_list("act")).alias("acts"))
-    out = features.select("feature_id").join(lists, "feature_id", "left").withColumn("acts", F.coalesce("acts", F.array().cast("array<double>")))
-    points = F.transform(F.array(*map(F.lit, grid)), lambda q: F.round(sorted_quantile(F.col("acts"), F.lit(positions) - F.size("acts"), q), 6))
-    return out.select("feature_id", points.alias("quantile_data"))
+def quantiles(feat_acts: DataFrame, features: DataFrame, positions: int, grid: list[float], save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """feature_id, quantile_data: linear-interpolated quantiles at the grid, over all positions with their implicit zeros, 6 decimals.
+
+    Distinct values are counted and sorted in ranges. The running counts of a feature's ranges say in which range each
+    wanted rank lies; inside a range it is looked up among the running counts of its values. So a feature of any number
+    of activations is spread over many tasks. save() writes a table and reads it again.
+    """
+    ranged = save(value_counts(feat_acts).repartitionByRange("feature_id", "act").withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("feature_id").orderBy("range")
+    held = ranged.groupBy("feature_id", "range").agg(F.sum("n").alias("held")).withColumn("end", F.sum("held").over(before)).withColumn("start", F.col("end") - F.col("held"))
+    totals = held.groupBy("feature_id").agg(F.max("end").alias("total"))
+    rank = F.col("q") * F.lit(float(positions - 1))
+    wanted = features.select("feature_id").distinct().join(totals, "feature_id", "left").select("feature_id", (F.lit(positions) - F.coalesce("total", F.lit(0))).alias("zeros"), F.posexplode(F.array(*map(F.lit, grid))).alias("j", "q"))
+    low = F.floor(rank)
+    sides = F.array(F.struct(F.lit(0).alias("side"), low.alias("at")), F.struct(F.lit(1).alias("side"), F.least(low + 1, F.lit(positions - 1)).alias("at")))
+    wanted = wanted.select("feature_id", "j", (rank - low).alias("part"), "zeros", F.explode(sides).alias("x")).select("feature_id", "j", "part", "x.side", (F.col("x.at") - F.col("zeros")).alias("at"))
+    asked = wanted.where("at >= 0").join(held.select("feature_id", F.col("range").alias("asked_range"), "start", "end"), "feature_id").where("start <= at AND at < end").select("feature_id", "asked_range", "j", "side", (F.col("at") - F.col("start")).alias("at"))
+
+    def looked_up(values: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+        values = values.sort_values("act")
+        place = np.searchsorted(values["n"].cumsum().to_numpy(), ranks["at"].to_numpy(), side="right")
+        return pd.DataFrame({"feature_id": ranks["feature_id"].to_numpy(), "j": ranks["j"].to_numpy(), "side": ranks["side"].to_numpy(), "act": values["act"].to_numpy()[place]})
+
+    found = ranged.groupBy("feature_id", "range").cogroup(asked.groupBy("feature_id", "asked_range")).applyInPandas(looked_up, "feature_id int, j int, side int, act double")
+    both = wanted.join(found, ["feature_id", "j", "side"], "left").groupBy("feature_id", "j").agg(
+        F.max("part").alias("part"), *(F.coalesce(F.max(F.when(F.col("side") == i, F.col("act"))), F.lit(0.0)).alias(name) for i, name in ((0, "lo"), (1, "hi")))
+    )
+    point = F.round(F.col("lo") + F.col("part") * (F.col("hi") - F.col("lo")), 6)
+    return both.groupBy("feature_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", point.alias("v")))), lambda x: x["v"]).alias("quantile_data"))
 
 
 def without_leading_zeros(values: Column) -> Column:
@@ -67,6 +99,45 @@ def reverse_quantile(value: Column, quantile_data: Column, grid: list[float]) ->
     return label, F.when(label >= 0.99, 5).when(label >= 0.95, 4).otherwise(3)
 
 
+def quantile_labels(values: DataFrame, table: DataFrame, grid: list[float]) -> DataFrame:
+    """Adds label (of the first grid point whose quantile isn't below the row's act; 1 beyond) and decimals (of labels there).
+
+    values: feature_id, act and others; features that the table lacks drop out. A feature's quantiles are searched by
+    halves in Arrow batches; tables of many features are broadcast in blocks of bounded size.
+    """
+    schema = T.StructType([*values.schema.fields, T.StructField("label", T.DoubleType()), T.StructField("decimals", T.IntegerType())])
+    places = values.columns.index("feature_id"), values.columns.index("act")
+    out, part = None, []
+
+    def labelled(part: list) -> DataFrame:
+        ids, rows = np.array([r["feature_id"] for r in part]), np.array([r["quantile_data"] for r in part])
+        shared = values.sparkSession.sparkContext.broadcast((ids, rows, np.array([*grid, 1.0])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, rows, grid = shared.value
+            for batch in batches:
+                own, act = (batch.column(k).to_numpy(zero_copy_only=False) for k in places)
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                known = np.flatnonzero(ids[at] == own)
+                label = np.empty(len(known))
+                for k in np.unique(at[known]):
+                    mine = np.flatnonzero(at[known] == k)
+                    label[mine] = grid[np.searchsorted(rows[k], act[known][mine], side="left")]
+                decimals = np.where(label >= 0.99, 5, np.where(label >= 0.95, 4, 3)).astype(np.int32)
+                columns = batch.take(pa.array(known)).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(label), pa.array(decimals)], names=schema.names)
+
+        return values.where(F.col("feature_id").between(int(ids.min()), int(ids.max()))).mapInArrow(run, schema)
+
+    for r in table.select("feature_id", "quantile_data").orderBy("feature_id").toLocalIterator():
+        part.append(r)
+        if len(part) * len(grid) >= TABLE_NUMBERS:
+            out, part = labelled(part) if out is None else out.unionByName(labelled(part)), []
+    if part:
+        out = labelled(part) if out is None else out.unionByName(labelled(part))
+    return values.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def histogram(values: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """key, bin, height, bar_value: equal bins between a key's smallest and largest value, the last closed on both sides.
 
@@ -75,7 +146,7 @@ def histogram(values: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     edges = values.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(F.col("hi") == F.col("lo"), bins // 2).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    heights = values.join(F.broadcast(edges) if key == "feature_id" else edges, key).groupBy(key, place.alias("bin")).agg(F.count(F.lit(1)).alias("height"))
+    heights = values.join(edges, key).groupBy(key, place.alias("bin")).agg(F.count(F.lit(1)).alias("height"))
     every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(heights, [key, "bin"], "left").select(key, "bin", F.coalesce("height", F.lit(0)).cast("long").alias("height"), F.round(F.col("lo") + (F.col("bin") + 0.5) * width + 1e-9, 5).alias("bar_value"))
 
@@ -104,4 +175,4 @@ def union_stats(*batches: DataFrame) -> DataFrame:
     return last.select("feature_id", *(F.col(f"_s.{c}") for c in columns))
 
 
-__all__ = ["density", "histogram", "int_ticks", "moments", "quantile_grid", "quantiles", "reverse_quantile", "ticks", "total", "union_stats", "value_counts", "without_leading_zeros"]
+__all__ = ["density", "histogram", "int_ticks", "moments", "quantile_grid", "quantile_labels", "quantiles", "reverse_quantile", "ticks", "total", "union_stats", "value_counts", "without_leading_zeros"]

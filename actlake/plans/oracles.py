@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from actlake.operators.stats import quantile_grid
+
 PREFIX = r"""
 WITH toks AS (SELECT doc_id, string_split_regex(trim(text, chr(32)||chr(9)||chr(10)||chr(13)), '[ \t\n\r]+') AS t FROM documents WHERE length(trim(text, chr(32)||chr(9)||chr(10)||chr(13))) > 0),
-flat AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM toks),
-vocab AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::INT AS token_id FROM (SELECT DISTINCT token FROM flat)),
-token_pos AS (SELECT doc_id * 1000 + i // 32 AS prompt_idx, (i % 32)::INT AS pos, token_id FROM flat JOIN vocab USING (token)),
+flat AS MATERIALIZED (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM toks),
+vocab AS MATERIALIZED (SELECT token, (row_number() OVER (ORDER BY token) - 1)::INT AS token_id FROM (SELECT DISTINCT token FROM flat)),
+token_pos AS MATERIALIZED (SELECT doc_id * 67108864 + i // 32 AS prompt_idx, (i % 32)::INT AS pos, token_id FROM flat JOIN vocab USING (token)),
 prompts AS (SELECT prompt_idx, list(token_id ORDER BY pos) AS token_ids FROM token_pos GROUP BY prompt_idx),
-emb AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 500),
-posv AS (SELECT prompt_idx, pos, token_id, ((token_id::BIGINT * 31 + pos * 7) % 500) AS vec_id FROM token_pos),
+emb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+nvec AS (SELECT count(*) AS nv FROM emb),
+posv AS MATERIALIZED (SELECT prompt_idx, pos, token_id, ((token_id::BIGINT * 31 + pos * 7) % nv) AS vec_id FROM token_pos, nvec),
 encoder AS (SELECT f::INT AS feature_id, list_transform(range(0, 64), lambda i: (CASE WHEN i = f % 64 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + ([0.1, -0.2, 0.3, -0.4]::DOUBLE[])[i % 4 + 1] * ([0.2, -0.1, 0.4, -0.2]::DOUBLE[])[f % 4 + 1]) AS w, -0.15::DOUBLE AS b, f * 0.01::DOUBLE AS threshold FROM range(16) r(f)),
 decoder AS (SELECT f::INT AS feature_id, list_transform(range(0, 64), lambda i: (CASE WHEN i = f % 64 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + ([-0.4, 0.4, 0.8, -0.8]::DOUBLE[])[f % 4 + 1] * ([0.3, -0.3, 0.6, -0.6]::DOUBLE[])[i % 4 + 1]) AS w FROM range(16) r(f)),
-vec_acts AS (SELECT feature_id, vec_id, round(list_dot_product(x, w) + b, 6) AS act FROM emb, encoder),
-fa AS (SELECT feature_id, prompt_idx, pos, token_id, act FROM posv JOIN vec_acts USING (vec_id) WHERE act > 0),
+vec_acts AS MATERIALIZED (SELECT feature_id, vec_id, round(list_dot_product(x, w) + b, 6) AS act FROM emb, encoder),
+fa AS MATERIALIZED (SELECT feature_id, prompt_idx, pos, token_id, act FROM posv JOIN vec_acts USING (vec_id) WHERE act > 0),
 vec_n AS (SELECT vec_id, count(*) AS n FROM posv GROUP BY vec_id),
 total AS (SELECT count(*) AS n FROM token_pos),
-unembed AS (SELECT token_id, x AS w_u FROM vocab JOIN emb ON vec_id = (token_id::BIGINT * 17 + 3) % 500),
+vocv AS (SELECT token_id, token, (token_id::BIGINT * 17 + 3) % nv AS vec_id FROM vocab, nvec),
+unembed AS (SELECT token_id, x AS w_u FROM vocv JOIN emb USING (vec_id)),
 vec_logits AS (SELECT feature_id, vec_id, round(list_dot_product(x, w), 6) + 0.0 AS logit FROM emb, decoder),
-logits AS (SELECT feature_id, token_id, logit FROM vocab JOIN vec_logits ON vec_id = (token_id::BIGINT * 17 + 3) % 500),
+logits AS (SELECT feature_id, token_id, logit FROM vocv JOIN vec_logits USING (vec_id)),
 """
 
 _TOP = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY act DESC, prompt_idx, pos) AS rank FROM fa) WHERE rank <= 20),
@@ -44,38 +48,45 @@ SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, l
 
 
 _LOSS = r"""bflat AS (SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM (SELECT item_id, string_split_regex(trim(text, chr(32)||chr(9)||chr(10)||chr(13)), '[ \t\n\r]+') AS t FROM benchmark)),
-bpos AS (SELECT item_id * 1000 + i // 32 AS prompt_idx, (i % 32)::INT AS pos, coalesce(token_id, 0) AS token_id FROM bflat LEFT JOIN vocab USING (token)),
-bv AS (SELECT prompt_idx, pos, (token_id::BIGINT * 31 + pos * 7) % 500 AS vec_id, lead(token_id) OVER (PARTITION BY prompt_idx ORDER BY pos) AS nx FROM bpos),
-a AS (SELECT feature_id, prompt_idx, pos, vec_id, (nx::BIGINT * 17 + 3) % 500 AS u FROM bv JOIN vec_acts USING (vec_id) WHERE act > 0 AND nx IS NOT NULL),
-un AS (SELECT (token_id::BIGINT * 17 + 3) % 500 AS u, count(*) AS n FROM vocab GROUP BY 1),
+bpos AS (SELECT item_id * 67108864 + i // 32 AS prompt_idx, (i % 32)::INT AS pos, coalesce(token_id, 0) AS token_id FROM bflat LEFT JOIN vocab USING (token)),
+bv AS (SELECT prompt_idx, pos, (token_id::BIGINT * 31 + pos * 7) % (SELECT nv FROM nvec) AS vec_id, lead(token_id) OVER (PARTITION BY prompt_idx ORDER BY pos) AS nx FROM bpos),
+a AS (SELECT feature_id, prompt_idx, pos, vec_id, (nx::BIGINT * 17 + 3) % (SELECT nv FROM nvec) AS u FROM bv JOIN vec_acts USING (vec_id) WHERE act > 0 AND nx IS NOT NULL),
+un AS (SELECT vec_id AS u, count(*) AS n FROM vocv GROUP BY 1),
 abl AS (SELECT feature_id, vec_id, x, list_transform(range(1, 65), lambda i: x[i] - act * w[i]) AS y FROM vec_acts JOIN emb USING (vec_id) JOIN decoder USING (feature_id) WHERE act > 0),
 z AS (SELECT feature_id, abl.vec_id, u, n, list_dot_product(y, e.x) / list_aggregate(y, 'stddev_samp') AS zn, list_dot_product(abl.x, e.x) / list_aggregate(abl.x, 'stddev_samp') AS zo FROM abl, un JOIN emb e ON e.vec_id = u),
 ls AS (SELECT feature_id, vec_id, ln(sum(n * exp(zn))) AS sn, ln(sum(n * exp(zo))) AS so FROM z GROUP BY ALL),
 l AS (SELECT a.feature_id, prompt_idx, pos, round((zn - sn) - (zo - so), 6) + 0.0 AS loss FROM a JOIN z USING (feature_id, vec_id, u) JOIN ls USING (feature_id, vec_id)),
 x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY loss, feature_id) AS rank FROM l)
 SELECT 'loss_effect' AS metric, prompt_idx, pos + 1 AS pos, rank, feature_id, loss AS score FROM x WHERE rank <= 3"""
-_GRID = "[0.0, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0]"
+_GRID = f"[{', '.join(map(str, quantile_grid()))}]"
+
+# The label of each distinct activation: of the first grid point whose quantile isn't below it.
+_LABELS = f"""a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)),
+q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id),
+lab0 AS (SELECT feature_id, act, list_append({_GRID}::DOUBLE[], 1.0::DOUBLE)[len(list_filter(qd, lambda v: v < act)) + 1] AS label FROM (SELECT DISTINCT feature_id, act FROM fa) JOIN q USING (feature_id)),
+lab AS (SELECT *, CASE WHEN label >= 0.99 THEN 5 WHEN label >= 0.95 THEN 4 ELSE 3 END::INT AS decimals FROM lab0),
+"""
 
 SQL: dict[str, str] = {
     "prompt_dedupe": "x AS (SELECT min(prompt_idx) AS prompt_idx, token_ids FROM prompts GROUP BY token_ids) SELECT prompt_idx, len(token_ids) AS n_tokens, md5(array_to_string(token_ids, ',')) AS tokens_md5 FROM x",
     "duplicate_rows": "x AS (SELECT token_ids, count(*) AS n FROM prompts GROUP BY token_ids HAVING count(*) > 1) SELECT md5(array_to_string(token_ids, ',')) AS tokens_md5, n FROM x",
     "prompt_sample": "x AS (SELECT prompt_idx, len(token_ids) AS n_tokens FROM prompts ORDER BY md5('0|' || prompt_idx), prompt_idx LIMIT 100) SELECT * FROM x",
-    "prompt_prefix_suffix": "x AS (SELECT prompt_idx, list_concat(token_ids[1:1], [7, 8, 9], token_ids[2:len(token_ids) - 5], [10, 11]) AS t FROM prompts WHERE len(token_ids) >= 6) SELECT prompt_idx, len(t) AS n_tokens, md5(array_to_string(t, ',')) AS tokens_md5 FROM x",
+    "prompt_prefix_suffix": "x AS (SELECT prompt_idx, CASE WHEN len(token_ids) >= 6 THEN list_concat(token_ids[1:1], [7, 8, 9], token_ids[2:len(token_ids) - 5], [10, 11]) ELSE token_ids END AS t FROM prompts) SELECT prompt_idx, len(t) AS n_tokens, md5(array_to_string(t, ',')) AS tokens_md5 FROM x",
     "prompt_template": "x AS (SELECT prompt_idx, list_concat([1, 2, 3], token_ids[2:])[1:32] AS t FROM prompts) SELECT prompt_idx, len(t) AS n_tokens, md5(array_to_string(t, ',')) AS tokens_md5 FROM x",
     "vocab_clean_pad": "x AS (SELECT r.i::INT AS token_id, coalesce(replace(replace(token, 'Ġ', ' '), 'Ċ', chr(10)), '<|missing token|>') AS token FROM range((SELECT count(*) FROM vocab) + 100) r(i) LEFT JOIN vocab ON token_id = r.i) SELECT * FROM x",
     "encode_relu": "x AS (SELECT * FROM fa) SELECT feature_id, prompt_idx, pos, token_id, act FROM x",
     "encode_jumprelu": "x AS (SELECT feature_id, prompt_idx, pos, act FROM posv JOIN vec_acts USING (vec_id) JOIN encoder USING (feature_id) WHERE act > greatest(threshold, 0)) SELECT feature_id, prompt_idx, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, max(act) AS act_max FROM x GROUP BY ALL",
     "encode_probe": "p AS (SELECT label, list(m ORDER BY i) AS w FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label), va AS (SELECT label, vec_id, round(list_dot_product(x, w), 6) + 0.0 AS act FROM emb, p) SELECT label AS feature_id, prompt_idx, count(*) AS n, min(act) AS act_min, max(act) AS act_max, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum FROM posv JOIN va USING (vec_id) GROUP BY ALL",
-    "encode_batchtopk": "r AS (SELECT *, prompt_idx // 8000 AS batch_id FROM fa), s AS (SELECT batch_id, 2 * count(DISTINCT (prompt_idx, pos)) AS k FROM r GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY act DESC, prompt_idx, pos, feature_id) AS rn FROM r) SELECT batch_id, feature_id, count(*) AS n, min(act) AS act_min, max(act) AS act_max FROM t JOIN s USING (batch_id) WHERE rn <= k GROUP BY ALL",
+    "encode_batchtopk": "r AS (SELECT *, prompt_idx // (8 * 67108864::BIGINT) AS batch_id FROM fa), s AS (SELECT batch_id, 2 * count(DISTINCT (prompt_idx, pos)) AS k FROM r GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY act DESC, prompt_idx, pos, feature_id) AS rn FROM r) SELECT batch_id, feature_id, count(*) AS n, min(act) AS act_min, max(act) AS act_max FROM t JOIN s USING (batch_id) WHERE rn <= k GROUP BY ALL",
     "encode_normalised": "xn AS (SELECT vec_id, list_transform(x, lambda v, i: (v - 0.01) / (0.1 + (i - 1) * 0.001 + 1e-6)) AS x FROM emb), va AS (SELECT feature_id, vec_id, round(list_dot_product(x, w) + b, 6) AS act FROM xn, encoder) SELECT feature_id, prompt_idx, count(*) AS n, max(act) AS act_max, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum FROM posv JOIN va USING (vec_id) WHERE act > 0 GROUP BY ALL",
     "fold_decoder_norm": "n AS (SELECT feature_id, sqrt(list_sum(list_transform(w, lambda v: v * v))) AS s FROM decoder) SELECT feature_id, (i - 1)::INT AS i, round(w * s, 6) AS w_enc, round(b * s, 6) AS b_enc, round(w, 6) AS unfolded FROM (SELECT feature_id, s, b, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM encoder JOIN (SELECT feature_id, CASE WHEN s = 0 THEN 1 ELSE s END AS s FROM n) USING (feature_id))",
-    "high_norm_mask": "xs AS (SELECT vec_id, list_transform(x, lambda v: v * (1 + vec_id % 7)) AS x FROM emb), nv AS (SELECT vec_id, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS nrm FROM xs), p AS (SELECT prompt_idx, pos, nrm, prompt_idx // 64000 AS b FROM posv JOIN nv USING (vec_id)), m AS (SELECT b, quantile_disc(nrm, 0.5) AS med FROM p GROUP BY b) SELECT prompt_idx, count(*) AS n, count(*) FILTER (nrm > 1.5 * med) AS outliers, round(sum(CASE WHEN nrm > 1.5 * med THEN 0 ELSE nrm END), 4) AS kept_norm FROM p JOIN m USING (b) GROUP BY prompt_idx",
+    "high_norm_mask": "xs AS (SELECT vec_id, list_transform(x, lambda v: v * (1 + vec_id % 7)) AS x FROM emb), nv AS (SELECT vec_id, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS nrm FROM xs), p AS (SELECT prompt_idx, pos, nrm, prompt_idx // (64 * 67108864::BIGINT) AS b FROM posv JOIN nv USING (vec_id)), m AS (SELECT b, quantile_disc(nrm, 0.5) AS med FROM p GROUP BY b) SELECT prompt_idx, count(*) AS n, count(*) FILTER (nrm > 1.5 * med) AS outliers, round(sum(CASE WHEN nrm > 1.5 * med THEN 0 ELSE nrm END), 4) AS kept_norm FROM p JOIN m USING (b) GROUP BY prompt_idx",
     "ignore_masks": "freq AS (SELECT token_id FROM token_pos GROUP BY token_id ORDER BY count(*) DESC, token_id LIMIT 3) SELECT feature_id, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, max(act) AS act_max FROM fa WHERE token_id NOT IN (SELECT token_id FROM freq) AND pos NOT IN (0, 1, 2) GROUP BY feature_id",
     "threshold_mask": "x AS (SELECT feature_id, prompt_idx, pos, act FROM fa JOIN encoder USING (feature_id) WHERE act >= threshold) SELECT feature_id, count(*) AS n, sum(round(act * 1000000)::BIGINT)::BIGINT AS act_sum, min(act) AS act_min FROM x GROUP BY feature_id",
     "feature_density": "a AS (SELECT feature_id, max(act) AS m, count(*) AS k, count(*) FILTER (abs(act) > 1e-6) AS z FROM fa GROUP BY feature_id) SELECT feature_id, coalesce(m, 0.0) AS max_act, coalesce(k, 0) AS n_active, round(coalesce(k, 0) / n, 6) AS frac_active, round(coalesce(z, 0) / n, 6) AS frac_nonzero FROM encoder LEFT JOIN a USING (feature_id), total",
     "feature_moments": "s AS (SELECT feature_id, sum(act) / any_value(n) AS m, sum(act ** 2) / any_value(n) AS e2, sum(act ** 3) / any_value(n) AS e3, sum(act ** 4) / any_value(n) AS e4 FROM fa, total GROUP BY feature_id) SELECT feature_id, round(m, 6) AS mean_act, round((e3 - 3 * m * e2 + 2 * m ** 3) / pow(e2 - m * m, 1.5), 4) AS skewness, round((e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m ** 4) / ((e2 - m * m) * (e2 - m * m)) - 3, 4) AS kurtosis FROM s",
     "feature_quantiles": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, quantile_cont(act, {_GRID}) AS qd FROM a GROUP BY feature_id) SELECT feature_id, unnest({_GRID}::DOUBLE[]) AS q, round(unnest(qd), 6) AS quantile FROM q",
-    "reverse_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), m AS (SELECT feature_id, prompt_idx, max(act) AS act FROM fa GROUP BY ALL) SELECT feature_id, prompt_idx, act, list_append({_GRID}::DOUBLE[], 1.0::DOUBLE)[len(list_filter(qd, lambda v: v < act)) + 1] AS label FROM m JOIN q USING (feature_id)",
+    "reverse_quantile": _LABELS + "m AS (SELECT feature_id, prompt_idx, max(act) AS act FROM fa GROUP BY ALL) SELECT feature_id, prompt_idx, act, label, decimals FROM m JOIN lab USING (feature_id, act)",
     "acts_histogram": "e AS (SELECT feature_id, min(act) AS lo, max(act) AS hi FROM fa GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((act - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM fa JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
     "logits_histogram": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), h AS (SELECT feature_id, CASE WHEN hi = lo THEN 25 ELSE least(floor((logit - lo) / ((hi - lo) / 50)), 49) END::INT AS bin, count(*) AS c FROM logits JOIN e USING (feature_id) GROUP BY ALL) SELECT e.feature_id, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 50) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(50) r(i) LEFT JOIN h ON h.feature_id = e.feature_id AND h.bin = r.i",
     "histogram_ticks": "e AS (SELECT feature_id, min(logit) AS lo, max(logit) AS hi FROM logits GROUP BY feature_id), s AS (SELECT *, 0.1::DOUBLE * floor(1e-4::DOUBLE + greatest(hi, -lo) / 0.3::DOUBLE) + 1e-6::DOUBLE AS step FROM e), k AS (SELECT *, least(3, greatest(0, floor(least(hi, -lo) / step)))::INT AS k FROM s), j AS (SELECT feature_id, step, unnest(range(CASE WHEN hi > -lo THEN -k ELSE -3 END, CASE WHEN hi > -lo THEN 4 ELSE k + 1 END)) AS i FROM k) SELECT feature_id, round(i * step, 1) + 0.0 AS tick FROM j",
@@ -98,7 +109,7 @@ SQL: dict[str, str] = {
     "attribution": _attribution("list_dot_product(x, w) * p"),
     "attribution_gqa": _attribution("p * (list_dot_product(x[1:16], w[1:16]) + list_dot_product(x[1:16], w[17:32]) + list_dot_product(x[17:32], w[33:48]) + list_dot_product(x[17:32], w[49:64]))"),
     "prompt_scores_act": "x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY act DESC, feature_id) AS rank FROM fa) SELECT 'act_size' AS metric, prompt_idx, pos, rank, feature_id, act AS score FROM x WHERE rank <= 3",
-    "prompt_scores_quantile": f"a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)), q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id), s AS (SELECT prompt_idx, pos, feature_id, list_append({_GRID}::DOUBLE[], 1.0::DOUBLE)[len(list_filter(qd, lambda v: v < act)) + 1] AS score FROM fa JOIN q USING (feature_id)), x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY score DESC, feature_id) AS rank FROM s) SELECT 'act_quantile' AS metric, prompt_idx, pos, rank, feature_id, score FROM x WHERE rank <= 3",
+    "prompt_scores_quantile": _LABELS + "x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY label DESC, feature_id) AS rank FROM fa JOIN lab USING (feature_id, act)) SELECT 'act_quantile' AS metric, prompt_idx, pos, rank, feature_id, label AS score FROM x WHERE rank <= 3",
     "prompt_scores_loss": _LOSS,
     "feature_batches": "x AS (SELECT feature_id, ntile(4) OVER (ORDER BY feature_id) - 1 AS balanced, (row_number() OVER (ORDER BY feature_id) - 1) // 5 AS fixed FROM encoder) SELECT feature_id, balanced, fixed FROM x",
     "skipped_features": "a AS (SELECT feature_id, count(*) / any_value(n) AS f FROM fa, total GROUP BY feature_id) SELECT feature_id FROM encoder WHERE feature_id NOT IN (SELECT feature_id FROM a WHERE f BETWEEN 0.165 AND 1)",
@@ -110,7 +121,7 @@ SQL: dict[str, str] = {
     "token_colours": "a AS (SELECT feature_id, prompt_idx, max(act) AS m FROM fa GROUP BY ALL), b AS (SELECT feature_id, max(m) AS top FROM a GROUP BY feature_id), s AS (SELECT feature_id, prompt_idx, least(1, greatest(0, m / top)) AS s FROM a JOIN b USING (feature_id)) SELECT feature_id, prompt_idx, '#ff' || lower(printf('%02x', round(255 - 115 * s)::INT)) || lower(printf('%02x', round(255 - 255 * s)::INT)) AS colour FROM s",
     "group_titles": _GROUPS + "c AS (SELECT feature_id, group_ord, count(*) AS k FROM inside GROUP BY ALL), g AS (SELECT b.feature_id, b.group_ord, lower, upper, (coalesce(k, 0) + CASE WHEN lower <= 0 THEN n - active ELSE 0 END) / n AS pct FROM bounds b LEFT JOIN c USING (feature_id, group_ord), total) SELECT feature_id, group_ord, printf('INTERVAL %.3f - %.3f<br>CONTAINS %.3f%%', lower, upper, pct * 100) AS title, printf('%.3f', lower)::DOUBLE AS bin_min, printf('%.3f', upper)::DOUBLE AS bin_max, round(printf('%.3f', pct * 100)::DOUBLE / 100, 8) AS bin_contains FROM g",
     "conversation_prompts": "c AS (SELECT conv_id, string_agg('<' || role || '> ' || coalesce(text, ''), chr(10) ORDER BY turn) AS t, count(*) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, md5(t) AS text_md5 FROM c",
-    "label_density": "a AS (SELECT feature_id, prompt_idx // 1000 AS doc_id, count(*) AS k FROM fa GROUP BY ALL), t AS (SELECT prompt_idx // 1000 AS doc_id, count(*) AS n FROM token_pos GROUP BY 1), q AS (SELECT quality, sum(n) AS n FROM labels JOIN t USING (doc_id) GROUP BY quality) SELECT feature_id, quality, round(sum(k) / any_value(q.n), 6) AS density FROM a JOIN labels USING (doc_id) JOIN q USING (quality) GROUP BY feature_id, quality",
+    "label_density": "a AS (SELECT feature_id, prompt_idx // 67108864 AS doc_id, count(*) AS k FROM fa GROUP BY ALL), t AS (SELECT prompt_idx // 67108864 AS doc_id, count(*) AS n FROM token_pos GROUP BY 1), q AS (SELECT quality, sum(n) AS n FROM labels JOIN t USING (doc_id) GROUP BY quality) SELECT feature_id, quality, round(sum(k) / any_value(q.n), 6) AS density FROM a JOIN labels USING (doc_id) JOIN q USING (quality) GROUP BY feature_id, quality",
     "page_scripts": "s AS (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS l FROM pages) SELECT page_id, len(l) AS n_scripts, md5(array_to_string(l, '|')) AS scripts_md5 FROM s",
     "neuron_histogram": "x AS (SELECT 'quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem), e AS (SELECT k, min(v) AS lo, max(v) AS hi FROM x GROUP BY k), h AS (SELECT k, CASE WHEN hi = lo THEN 5 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END::INT AS bin, count(*) AS c FROM x JOIN e USING (k) GROUP BY ALL) SELECT e.k AS neuron, r.i::INT AS bin, coalesce(c, 0) AS height, round(lo + (r.i + 0.5) * ((hi - lo) / 10) + 1e-9::DOUBLE, 5) AS bar_value FROM e CROSS JOIN range(10) r(i) LEFT JOIN h ON h.k = e.k AND h.bin = r.i",
 }

@@ -12,9 +12,9 @@ from actlake.functions.vectors import head_shares, l1_share, norm, scale
 from actlake.operators import attribution as dfa
 from actlake.operators import corr, encode, prompt_scores, prompts, sequences, stats, topk
 from actlake.sources import sinks
-from actlake.sources.model_tables import D_IN, FEATURES, HEADS, ModelTables, document_of
+from actlake.sources.model_tables import D_IN, FEATURES, HEADS, WINDOW_BITS, ModelTables, document_of
 
-GRID = [0.0, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0]
+GRID = stats.quantile_grid()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -35,10 +35,6 @@ def tokens_md5(tokens: Column) -> Column:
     return F.md5(F.array_join(F.transform(tokens, lambda t: t.cast("string")), ","))
 
 
-def feat_acts(m: ModelTables) -> DataFrame:
-    return encode.encode(m.model_acts, m.encoder)
-
-
 def features(m: ModelTables) -> DataFrame:
     return prompts.universe(m.spark, FEATURES)
 
@@ -68,7 +64,9 @@ def _prompt_digest(df: DataFrame, tokens: Column) -> DataFrame:
 
 @query
 def prompt_prefix_suffix(m: ModelTables) -> DataFrame:
-    return _prompt_digest(m.prompts.where(F.size("token_ids") >= 6), prompts.with_affixes(F.col("token_ids"), [7, 8, 9], [10, 11]))
+    """Prompts that are too short for prefix and suffix stay as they are."""
+    tokens = F.col("token_ids")
+    return _prompt_digest(m.prompts, F.when(F.size(tokens) >= 6, prompts.with_affixes(tokens, [7, 8, 9], [10, 11])).otherwise(tokens))
 
 
 @query
@@ -83,7 +81,7 @@ def vocab_clean_pad(m: ModelTables) -> DataFrame:
 
 @query
 def encode_relu(m: ModelTables) -> DataFrame:
-    return feat_acts(m)
+    return m.feat_acts
 
 
 def micro_sum(c: str) -> Column:
@@ -97,18 +95,18 @@ def _by_prompt(acts: DataFrame, *aggs: Column) -> DataFrame:
 
 @query
 def encode_jumprelu(m: ModelTables) -> DataFrame:
-    return _by_prompt(encode.encode(m.model_acts, m.encoder, keep="threshold"), micro_sum("act").alias("act_sum"), F.max("act").alias("act_max"))
+    return _by_prompt(encode.encode(m.model_acts32, m.encoder, keep="threshold"), micro_sum("act").alias("act_sum"), F.max("act").alias("act_max"))
 
 
 @query
 def encode_probe(m: ModelTables) -> DataFrame:
-    acts = encode.encode(m.model_acts, m.probes, keep="all")
+    acts = encode.encode(m.model_acts32, m.probes, keep="all")
     return _by_prompt(acts, F.min("act").alias("act_min"), F.max("act").alias("act_max"), micro_sum("act").alias("act_sum"))
 
 
 @query
 def encode_batchtopk(m: ModelTables) -> DataFrame:
-    kept = encode.batch_top_k(feat_acts(m), k=2, prompts_per_batch=8000)
+    kept = encode.batch_top_k(m.feat_acts, k=2, prompts_per_batch=8 << WINDOW_BITS)
     return kept.groupBy("batch_id", "feature_id").agg(F.count(F.lit(1)).alias("n"), F.min("act").alias("act_min"), F.max("act").alias("act_max"))
 
 
@@ -128,9 +126,8 @@ def fold_decoder_norm(m: ModelTables) -> DataFrame:
 
 @query
 def high_norm_mask(m: ModelTables) -> DataFrame:
-    at = (F.col("token_id") * 31 + F.col("pos") * 7) % 500
-    acts = m.model_acts.withColumn("act", scale(F.col("act"), (1 + at % 7).cast("double")))
-    done = encode.high_norm_mask(acts, 1.5, 64_000)
+    acts = m.model_acts.withColumn("act", scale(F.col("act"), (1 + m.position_vector % 7).cast("double")))
+    done = encode.high_norm_mask(acts, 1.5, 64 << WINDOW_BITS)
     left = F.when(F.col("outlier"), 0.0).otherwise(F.round(norm(F.col("act")), 6))
     return done.groupBy("prompt_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("outlier").alias("outliers"), F.round(F.sum(left), 4).alias("kept_norm"))
 
@@ -138,44 +135,45 @@ def high_norm_mask(m: ModelTables) -> DataFrame:
 @query
 def ignore_masks(m: ModelTables) -> DataFrame:
     frequent = [r["token_id"] for r in m.token_pos.groupBy("token_id").count().orderBy(F.desc("count"), "token_id").limit(3).collect()]
-    kept = encode.masked(feat_acts(m), ignore_tokens=[None, *frequent], ignore_positions=[0, 1, 2])
+    kept = encode.masked(m.feat_acts, ignore_tokens=[None, *frequent], ignore_positions=[0, 1, 2])
     return kept.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), micro_sum("act").alias("act_sum"), F.max("act").alias("act_max"))
 
 
 @query
 def threshold_mask(m: ModelTables) -> DataFrame:
-    kept = encode.masked(feat_acts(m), thresholds=m.encoder)
+    kept = encode.masked(m.feat_acts, thresholds=m.encoder)
     return kept.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), micro_sum("act").alias("act_sum"), F.min("act").alias("act_min"))
 
 
 @query
 def feature_density(m: ModelTables) -> DataFrame:
-    return stats.density(feat_acts(m), features(m), m.positions)
+    return stats.density(m.feat_acts, features(m), m.positions)
 
 
 @query
 def feature_moments(m: ModelTables) -> DataFrame:
-    return stats.moments(feat_acts(m), m.positions)
+    return stats.moments(m.feat_acts, m.positions)
+
+
+def _quantiles(m: ModelTables) -> DataFrame:
+    return stats.quantiles(m.feat_acts, features(m), m.positions, GRID, m.cache.save)
 
 
 @query
 def feature_quantiles(m: ModelTables) -> DataFrame:
-    q = stats.quantiles(feat_acts(m), features(m), m.positions, GRID)
-    return q.select("feature_id", F.explode(F.arrays_zip(F.array(*map(F.lit, GRID)).alias("q"), "quantile_data")).alias("x")).select("feature_id", F.col("x.q").alias("q"), F.col("x.quantile_data").alias("quantile"))
+    q = _quantiles(m).select("feature_id", F.explode(F.arrays_zip(F.array(*map(F.lit, GRID)).alias("q"), "quantile_data")).alias("x"))
+    return q.select("feature_id", F.col("x.q").alias("q"), F.col("x.quantile_data").alias("quantile"))
 
 
 @query
 def reverse_quantile(m: ModelTables) -> DataFrame:
-    acts = feat_acts(m)
-    best = acts.groupBy("feature_id", "prompt_idx").agg(F.max("act").alias("act"))
-    q = stats.quantiles(acts, features(m), m.positions, GRID)
-    label, _ = stats.reverse_quantile(F.col("act"), F.col("quantile_data"), GRID)
-    return best.join(F.broadcast(q), "feature_id").select("feature_id", "prompt_idx", "act", label.alias("label"))
+    best = m.feat_acts.groupBy("feature_id", "prompt_idx").agg(F.max("act").alias("act"))
+    return stats.quantile_labels(best, _quantiles(m), GRID)
 
 
 @query
 def acts_histogram(m: ModelTables) -> DataFrame:
-    return stats.histogram(feat_acts(m), "feature_id", "act", 50)
+    return stats.histogram(m.feat_acts, "feature_id", "act", 50)
 
 
 @query
@@ -189,19 +187,24 @@ def histogram_ticks(m: ModelTables) -> DataFrame:
     return edges.select("feature_id", F.explode(stats.ticks(F.col("lo"), F.col("hi"))).alias("tick"))
 
 
-def _logit_table(m: ModelTables, order: Column) -> DataFrame:
-    top = topk.top_k(logits(m), ["feature_id"], [order, F.asc("token_id")], 10)
-    return top.join(m.vocab, "token_id").select("feature_id", "rank", "token_id", "token", "logit")
+def named(df: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Adds token; "UNK" for ids that the vocabulary lacks."""
+    return df.join(vocab, "token_id", "left").withColumn("token", F.coalesce("token", F.lit("UNK")))
+
+
+def _logit_table(m: ModelTables, smallest: bool) -> DataFrame:
+    top = encode.logit_lens_top(m.decoder, m.unembed, 10, smallest)
+    return named(top, m.vocab).select("feature_id", "rank", "token_id", "token", "logit")
 
 
 @query
 def logit_lens_topk(m: ModelTables) -> DataFrame:
-    return _logit_table(m, F.desc("logit"))
+    return _logit_table(m, False)
 
 
 @query
 def logit_lens_bottomk(m: ModelTables) -> DataFrame:
-    return _logit_table(m, F.asc("logit"))
+    return _logit_table(m, True)
 
 
 @query
@@ -218,7 +221,7 @@ def decoder_head_allocation(m: ModelTables) -> DataFrame:
 
 @query
 def residual_direction(m: ModelTables) -> DataFrame:
-    out = encode.through_output(m.decoder, m.vectors_by("i", "row").where(F.col("i") < D_IN))
+    out = encode.through_output(m.decoder, m.vectors.where(F.col("at") < D_IN).select(F.col("at").alias("i"), F.col("embedding").cast("array<double>").alias("row")))
     return out.select("feature_id", F.posexplode("resid_dir").alias("j", "v")).select("feature_id", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -228,29 +231,29 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def corr_features_topk(m: ModelTables) -> DataFrame:
-    pairs = _rounded(corr.feature_pairs(feat_acts(m), prompts.balanced_batches(features(m), 8), m.positions))
+    pairs = _rounded(corr.feature_gram(m.model_acts32, m.encoder, prompts.balanced_batches(features(m), 8), m.positions))
     return topk.top_k(pairs, ["x_id"], [F.desc("pearson"), F.asc("y_id")], 3).select("x_id", "rank", "y_id", "pearson", "cossim")
 
 
 @query
 def corr_neurons_topk(m: ModelTables) -> DataFrame:
-    found = _rounded(corr.finalise(corr.neuron_sums(m.model_acts, m.encoder)))
+    found = _rounded(corr.finalise(corr.neuron_sums(m.model_acts32, m.encoder)))
     return topk.top_k(found, ["feature_id"], [F.desc("pearson"), F.asc("idx")], 3).select("feature_id", "rank", "idx", "pearson", "cossim")
 
 
 def _top(m: ModelTables) -> DataFrame:
-    return topk.top_positions(feat_acts(m), 20)
+    return topk.top_positions(m.feat_acts, 20)
 
 
 @query
 def top_activations(m: ModelTables) -> DataFrame:
-    rows = sequences.windows(_top(m), m.prompts, 5, 5).join(m.vocab, "token_id")
+    rows = named(sequences.windows(_top(m), m.prompts, 5, 5), m.vocab)
     return rows.select("feature_id", "rank", "prompt_idx", "pos", "token", "act", tokens_md5(F.col("window")).alias("window_md5"))
 
 
 @query
 def bottom_activations(m: ModelTables) -> DataFrame:
-    return topk.top_positions(feat_acts(m), 20, smallest=True).select("feature_id", "rank", "prompt_idx", "pos", "act")
+    return topk.top_positions(m.feat_acts, 20, smallest=True).select("feature_id", "rank", "prompt_idx", "pos", "act")
 
 
 def _groups(m: ModelTables, acts: DataFrame) -> DataFrame:
@@ -259,18 +262,18 @@ def _groups(m: ModelTables, acts: DataFrame) -> DataFrame:
 
 @query
 def interval_share(m: ModelTables) -> DataFrame:
-    return _groups(m, feat_acts(m)).where("kind = 'INTERVAL'").select("feature_id", "group_ord", "lower", "upper", F.round("pct", 6).alias("pct"))
+    return _groups(m, m.feat_acts).where("kind = 'INTERVAL'").select("feature_id", "group_ord", "lower", "upper", F.round("pct", 6).alias("pct"))
 
 
 @query
 def interval_samples(m: ModelTables) -> DataFrame:
-    acts = feat_acts(m)
+    acts = m.feat_acts
     return sequences.members(acts, m.token_pos, _groups(m, acts), top=20, per_interval=5).where("group_ord > 0")
 
 
 @query
 def context_windows(m: ModelTables) -> DataFrame:
-    acts = feat_acts(m)
+    acts = m.feat_acts
     rows = sequences.window_acts(sequences.windows(topk.top_positions(acts, 20).withColumn("group_ord", F.lit(0)), m.prompts, 5, 5), acts)
     out = rows.select("feature_id", "rank", "prompt_idx", "pos", "start", F.posexplode(F.arrays_zip("window", "acts")).alias("i", "x"))
     return out.select("feature_id", "rank", "prompt_idx", "pos", (F.col("start") + F.col("i")).alias("wpos"), F.col("x.window").alias("token_id"), F.col("x.acts").alias("act"))
@@ -284,54 +287,56 @@ def full_sequence_windows(m: ModelTables) -> DataFrame:
 
 @query
 def act_lag_lead(m: ModelTables) -> DataFrame:
-    rows = sequences.neighbours(feat_acts(m), m.token_pos)
+    rows = sequences.neighbours(m.feat_acts, m.token_pos)
     return _by_prompt(rows, F.round(F.sum(F.col("act") * F.col("prev_act")), 4).alias("lag_product"), F.coalesce(F.sum("next_token"), F.lit(0)).alias("next_sum"), F.coalesce(F.sum("prev_token"), F.lit(0)).alias("prev_sum"))
 
 
 @query
 def argmax_position(m: ModelTables) -> DataFrame:
-    return sequences.argmax_positions(feat_acts(m))
+    return sequences.argmax_positions(m.feat_acts)
 
 
 @query
 def group_offsets(m: ModelTables) -> DataFrame:
-    acts = feat_acts(m)
+    acts = m.feat_acts
     grouped = _groups(m, acts).where("kind = 'INTERVAL'")
-    sizes = acts.join(F.broadcast(grouped), "feature_id").where(F.col("act").between(F.col("lower"), F.col("upper"))).groupBy("feature_id", "group_ord").agg(F.count(F.lit(1)).alias("n"))
+    sizes = acts.join(grouped, "feature_id").where(F.col("act").between(F.col("lower"), F.col("upper"))).groupBy("feature_id", "group_ord").agg(F.count(F.lit(1)).alias("n"))
     return sequences.offsets(grouped, sizes)
 
 
 def _attribution(m: ModelTables, kv_heads: int) -> DataFrame:
     """Uniform causal attention, held as a table of the destinations that are wanted."""
-    targets = sequences.argmax_positions(feat_acts(m))
+    targets = sequences.argmax_positions(m.feat_acts)
     wanted = targets.select("prompt_idx", F.col("pos").alias("dest")).distinct()
-    uniform = F.array_repeat(F.lit(1.0) / (F.col("dest") + 1), HEADS)
-    attn = wanted.select("prompt_idx", "dest", F.explode(F.sequence(F.lit(0), F.col("dest"))).alias("src"), uniform.alias("w"))
-    parts = dfa.attribute(targets, attn, m.model_acts.select("prompt_idx", "pos", F.col("act").alias("v")), m.encoder, HEADS, D_IN // HEADS, kv_heads)
-    return dfa.records(parts).select("feature_id", "prompt_idx", "dfa_max_value", "dfa_target_index", F.size("dfa_values").alias("n_src"), (F.round(F.aggregate("dfa_values", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("dfa_sum"))
+    uniform = F.array_repeat(F.lit(1.0) / (F.col("dest") + 1), HEADS * (F.col("dest") + 1))
+    attn = wanted.select("prompt_idx", "dest", uniform.alias("w"))
+    width = D_IN // HEADS
+    return dfa.attribute(targets, attn, m.model_acts32.select("prompt_idx", "pos", F.slice("act", 1, kv_heads * width).alias("v")), m.encoder, HEADS, width, kv_heads)
+
+
+def _dfa_records(m: ModelTables, kv_heads: int) -> DataFrame:
+    found = dfa.records(_attribution(m, kv_heads))
+    return found.select("feature_id", "prompt_idx", "dfa_max_value", "dfa_target_index", F.size("dfa_values").alias("n_src"), (F.round(F.aggregate("dfa_values", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("dfa_sum"))
 
 
 @query
 def attribution(m: ModelTables) -> DataFrame:
-    return _attribution(m, HEADS)
+    return _dfa_records(m, HEADS)
 
 
 @query
 def attribution_gqa(m: ModelTables) -> DataFrame:
-    return _attribution(m, HEADS // 2)
+    return _dfa_records(m, HEADS // 2)
 
 
 @query
 def prompt_scores_act(m: ModelTables) -> DataFrame:
-    return prompt_scores.scores(feat_acts(m), "act_size", F.col("act"), k=3)
+    return prompt_scores.scores(m.feat_acts, "act_size", F.col("act"), k=3)
 
 
 @query
 def prompt_scores_quantile(m: ModelTables) -> DataFrame:
-    acts = feat_acts(m)
-    q = stats.quantiles(acts, features(m), m.positions, GRID)
-    label, _ = stats.reverse_quantile(F.col("act"), F.col("quantile_data"), GRID)
-    return prompt_scores.scores(acts.join(F.broadcast(q), "feature_id"), "act_quantile", label, k=3)
+    return prompt_scores.scores(stats.quantile_labels(m.feat_acts, _quantiles(m), GRID), "act_quantile", F.col("label"), k=3)
 
 
 @query
@@ -352,7 +357,7 @@ def feature_batches(m: ModelTables) -> DataFrame:
 
 @query
 def skipped_features(m: ModelTables) -> DataFrame:
-    acts = feat_acts(m)
+    acts = m.feat_acts
     return prompts.skipped(features(m), prompts.by_statistic(acts.groupBy("feature_id").agg((F.count(F.lit(1)) / m.positions).alias("f")), "f", 0.165, 1.0))
 
 
@@ -364,13 +369,13 @@ def resume_batches(m: ModelTables) -> DataFrame:
 
 @query
 def stats_union(m: ModelTables) -> DataFrame:
-    best = feat_acts(m).groupBy("feature_id").agg(F.max("act").alias("max_act"))
+    best = m.feat_acts.groupBy("feature_id").agg(F.max("act").alias("max_act"))
     return stats.union_stats(best.where("feature_id < 10").select("feature_id", F.lit(0).alias("batch"), "max_act"), best.where("feature_id >= 6").select("feature_id", F.lit(1).alias("batch"), "max_act"))
 
 
 def dashboard_features(m: ModelTables) -> DataFrame:
     """Rows of the dashboard schema's main fields: top activations over whole prompts without their first token."""
-    acts = feat_acts(m)
+    acts = m.feat_acts
     top = topk.top_positions(acts, 20).withColumn("group_ord", F.lit(0))
     rows = sequences.window_acts(sequences.windows(top, m.prompts, None, 0), acts).where(F.size("window") > 0)
     names = rows.select("feature_id", "rank", F.posexplode("window").alias("i", "token_id")).join(m.vocab, "token_id").groupBy("feature_id", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
@@ -401,14 +406,14 @@ def html_tokens(m: ModelTables) -> DataFrame:
 
 @query
 def token_colours(m: ModelTables) -> DataFrame:
-    best = feat_acts(m).groupBy("feature_id", "prompt_idx").agg(F.max("act").alias("m"))
+    best = m.feat_acts.groupBy("feature_id", "prompt_idx").agg(F.max("act").alias("m"))
     top = best.groupBy("feature_id").agg(F.max("m").alias("top"))
-    return best.join(F.broadcast(top), "feature_id").select("feature_id", "prompt_idx", tx.warm_colour(F.col("m") / F.col("top")).alias("colour"))
+    return best.join(top, "feature_id").select("feature_id", "prompt_idx", tx.warm_colour(F.col("m") / F.col("top")).alias("colour"))
 
 
 @query
 def group_titles(m: ModelTables) -> DataFrame:
-    g = _groups(m, feat_acts(m)).where("kind = 'INTERVAL'").withColumn("title", tx.group_title(F.col("kind"), F.col("lower"), F.col("upper"), F.col("pct")))
+    g = _groups(m, m.feat_acts).where("kind = 'INTERVAL'").withColumn("title", tx.group_title(F.col("kind"), F.col("lower"), F.col("upper"), F.col("pct")))
     b = tx.title_bounds(F.col("title"))
     return g.select("feature_id", "group_ord", "title", b["bin_min"].alias("bin_min"), b["bin_max"].alias("bin_max"), F.round(b["bin_contains"], 8).alias("bin_contains"))
 
@@ -424,9 +429,9 @@ def conversation_prompts(m: ModelTables) -> DataFrame:
 def label_density(m: ModelTables) -> DataFrame:
     labels = m.read("labels").select("doc_id", "quality")
     doc = document_of(F.col("prompt_idx")).alias("doc_id")
-    active = feat_acts(m).groupBy("feature_id", doc).agg(F.count(F.lit(1)).alias("k"))
+    active = m.feat_acts.groupBy("feature_id", doc).agg(F.count(F.lit(1)).alias("k"))
     sizes = m.token_pos.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).join(labels, "doc_id").groupBy("quality").agg(F.sum("n").alias("n"))
-    return active.join(labels, "doc_id").groupBy("feature_id", "quality").agg(F.sum("k").alias("k")).join(F.broadcast(sizes), "quality").select("feature_id", "quality", F.round(F.col("k") / F.col("n"), 6).alias("density"))
+    return active.join(labels, "doc_id").groupBy("feature_id", "quality").agg(F.sum("k").alias("k")).join(sizes, "quality").select("feature_id", "quality", F.round(F.col("k") / F.col("n"), 6).alias("density"))
 
 
 @query

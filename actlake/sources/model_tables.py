@@ -1,10 +1,13 @@
 """Tables of a model run, derived from the shared tables in a way that SQL can repeat.
 
 prompts: each whole document, cut into windows of CONTEXT tokens (the last may be shorter). Activations, unembedding
-rows and probe vectors are taken from the embeddings table; encoder and decoder have a closed form.
+rows and probe vectors are taken from all rows of the embeddings table, numbered in order of vec_id; encoder and
+decoder have a closed form.
 
-A window's id is doc_id * NEAR + its number below NEAR. Later windows of very long texts have negative ids, so that
-they don't meet the next document's; the SQL, which has the first form only, holds for texts up to NEAR windows.
+A prompt's id is doc_id * 2**WINDOW_BITS + the number of the window in its document; no text has so many windows.
+
+What all reports share (vocabulary, token positions, sparse activations) is built once for each set of tables and
+settings and loaded from the cache after that.
 """
 
 from __future__ import annotations
@@ -14,6 +17,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from actlake.operators.encode import encode
+from actlake.operators.spread import hot_keys, numbered, spread_join
+from actlake.sources.cache import TableCache
+
 CONTEXT, D_IN, FEATURES, BIAS, HEADS = 32, 64, 16, -0.15, 4
 # The seeds of the closed-form weights.
 SEED1 = [0.1, -0.2, 0.3, -0.4]
@@ -21,18 +28,21 @@ SEED2 = [0.2, -0.1, 0.4, -0.2]
 SEED3 = [0.3, -0.3, 0.6, -0.6]
 SEED4 = [-0.4, 0.4, 0.8, -0.8]
 SPACE = " \t\n\r"
-#: Windows of a document whose ids are non-negative, and more windows than a text can have.
-NEAR, FAR = 1000, 2**26
+#: Bits of a prompt's id for the window; a text has at most 2**31 bytes, so at most 2**25 windows.
+WINDOW_BITS = 26
+#: Vectors of more bytes aren't broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def window_id(doc_id: Column, window: Column) -> Column:
-    """One id for each window of each document; doc_id isn't negative."""
-    return F.when(window < NEAR, doc_id * NEAR + window).otherwise(-(doc_id.cast("long") * FAR + window))
+    """One id for each window of each document. An id that leaves no room for it is an error."""
+    fits = (doc_id >= 0) & (doc_id < 2 ** (63 - WINDOW_BITS))
+    return F.when(fits, F.shiftleft(doc_id.cast("long"), WINDOW_BITS) + window).otherwise(F.raise_error(F.lit("document id out of range")).cast("long"))
 
 
 def document_of(window_id: Column) -> Column:
     """The document of a window_id."""
-    return F.when(window_id >= 0, F.floor(window_id / NEAR)).otherwise(F.shiftright(-window_id, FAR.bit_length() - 1))
+    return F.shiftright(window_id, WINDOW_BITS)
 
 
 class ModelTables:
@@ -42,6 +52,11 @@ class ModelTables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def cache(self) -> TableCache:
+        settings = {"version": 2, "context": CONTEXT, "d_in": D_IN, "features": FEATURES, "bias": BIAS, "seeds": [SEED1, SEED2]}
+        return TableCache(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in ("documents", "embeddings")], settings)
+
     def tokens_of(self, table: str, key: str) -> DataFrame:
         """key, i, token of every token of every text of a table."""
         text = F.btrim("text", F.lit(SPACE))
@@ -51,15 +66,26 @@ class ModelTables:
     def tokens(self) -> DataFrame:
         return self.tokens_of("documents", "doc_id")
 
+    @cached_property
+    def counted_vocab(self) -> DataFrame:
+        """token_id, token, n (its occurrences); ids in order of the token."""
+        counts = lambda: self.tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        return self.cache.load_or_build("vocab", lambda: numbered(counts(), ["token"], "token_id", self.cache.save).select(F.col("token_id").cast("int").alias("token_id"), "token", "n"))
+
     @cached_property
     def vocab(self) -> DataFrame:
-        """token_id, token; a vocabulary is a model's dimension table, so one task may number it."""
-        return self.tokens.select("token").distinct().select((F.row_number().over(Window.orderBy("token")) - 1).cast("int").alias("token_id"), "token")
+        """token_id, token."""
+        return self.counted_vocab.select("token_id", "token")
+
+    def with_ids(self, tokens: DataFrame, key: str, how: str = "inner") -> DataFrame:
+        """Adds token_id; a token that is very frequent in the corpus is dealt to several tasks."""
+        return spread_join(tokens, self.vocab, ["token"], hot_keys(self.counted_vocab, ["token"]), [key, "i"], how)
 
     @cached_property
     def token_pos(self) -> DataFrame:
         """prompt_idx, pos, token_id."""
-        return self.tokens.join(self.vocab, "token").select(window_id(F.col("doc_id"), F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), "token_id")
+        at = window_id(F.col("doc_id"), F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), "token_id"
+        return self.cache.load_or_build("token_pos", lambda: self.with_ids(self.tokens, "doc_id").select(*at))
 
     @cached_property
     def prompts(self) -> DataFrame:
@@ -70,19 +96,44 @@ class ModelTables:
     @cached_property
     def benchmark_acts(self) -> DataFrame:
         """prompt_idx, pos, token_id, next_token, act of the benchmark's texts, windowed alike; tokens outside the vocabulary are token 0."""
-        rows = self.tokens_of("benchmark", "item_id").join(self.vocab, "token", "left")
+        rows = self.with_ids(self.tokens_of("benchmark", "item_id"), "item_id", "left")
         rows = rows.select(window_id(F.col("item_id"), F.floor(F.col("i") / CONTEXT)).alias("prompt_idx"), (F.col("i") % CONTEXT).alias("pos"), F.coalesce("token_id", F.lit(0)).alias("token_id"))
-        rows = rows.withColumn("next_token", F.lead("token_id").over(Window.partitionBy("prompt_idx").orderBy("pos"))).withColumn("_at", (F.col("token_id") * 31 + F.col("pos") * 7) % 500)
-        return rows.join(F.broadcast(self.vectors_by("_at", "act")), "_at").drop("_at")
+        rows = rows.withColumn("next_token", F.lead("token_id").over(Window.partitionBy("prompt_idx").orderBy("pos")))
+        return self._with_vectors(rows, self.position_vector, "act")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """at (number in order of vec_id), embedding."""
+        return self.cache.load_or_build("vectors", lambda: numbered(self.read("embeddings").select("vec_id", "embedding"), ["vec_id"], "at", self.cache.save).select("at", "embedding"))
+
+    @cached_property
+    def n_vectors(self) -> int:
+        return self.vectors.count()
+
+    @property
+    def position_vector(self) -> Column:
+        """The number of the vector that a position has."""
+        return (F.col("token_id").cast("long") * 31 + F.col("pos") * 7) % max(1, self.n_vectors)
 
-    def vectors_by(self, key: str, out: str) -> DataFrame:
-        return self.read("embeddings").where("vec_id < 500").select(F.col("vec_id").alias(key), F.col("embedding").cast("array<double>").alias(out))
+    def _with_vectors(self, rows: DataFrame, at: Column, out: str, kind: str = "double") -> DataFrame:
+        vectors = self.vectors.select("at", F.col("embedding").cast(f"array<{kind}>").alias(out))
+        small = self.n_vectors * D_IN * 8 <= BROADCAST_BYTES
+        return rows.withColumn("at", at).join(F.broadcast(vectors) if small else vectors, "at").drop("at")
 
     @cached_property
     def model_acts(self) -> DataFrame:
         """prompt_idx, pos, token_id, act (array of D_IN)."""
-        at = (F.col("token_id") * 31 + F.col("pos") * 7) % 500
-        return self.token_pos.withColumn("_at", at).join(F.broadcast(self.vectors_by("_at", "act")), "_at").drop("_at")
+        return self._with_vectors(self.token_pos, self.position_vector, "act")
+
+    @cached_property
+    def model_acts32(self) -> DataFrame:
+        """The same in the precision of the vectors, for operators that compute in double precision themselves."""
+        return self._with_vectors(self.token_pos, self.position_vector, "act", "float")
+
+    @cached_property
+    def feat_acts(self) -> DataFrame:
+        """feature_id, prompt_idx, pos, token_id, act > 0 of the encoder's features."""
+        return self.cache.load_or_build("feat_acts", lambda: encode(self.model_acts32, self.encoder))
 
     @cached_property
     def encoder(self) -> DataFrame:
@@ -103,7 +154,7 @@ class ModelTables:
     @cached_property
     def unembed(self) -> DataFrame:
         """token_id, w_u."""
-        return self.vocab.withColumn("_at", (F.col("token_id") * 17 + 3) % 500).join(F.broadcast(self.vectors_by("_at", "w_u")), "_at").select("token_id", "w_u")
+        return self._with_vectors(self.vocab, (F.col("token_id").cast("long") * 17 + 3) % max(1, self.n_vectors), "w_u").select("token_id", "w_u")
 
     @cached_property
     def probes(self) -> DataFrame:

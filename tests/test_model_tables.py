@@ -3,13 +3,15 @@
 import numpy as np
 import pytest
 
-from actlake.plans.queries import QUERIES, feat_acts
-from actlake.sources.model_tables import CONTEXT, NEAR, ModelTables
+from actlake.plans.queries import QUERIES
+from actlake.sources.model_tables import CONTEXT, ModelTables
+
+NEAR = 1000
 
 
 @pytest.fixture(scope="module")
 def long_texts(spark, tmp_path_factory):
-    """Documents 5, with 3 windows more than have ids of the first form, and 6; labels differ."""
+    """Documents 5, with more than 1,000 windows, and 6; labels differ."""
     path = f"file://{tmp_path_factory.mktemp('long')}"
     texts = {5: NEAR * CONTEXT + 70, 6: 100}
     docs = [(d, " ".join(f"w{d}_{i % 50}" for i in range(n))) for d, n in texts.items()]
@@ -34,7 +36,7 @@ def test_labels_of_long_texts(spark, long_texts):
     names = {r["token_id"]: r["token"] for r in m.vocab.collect()}
     hits = {}
     at = {(r["prompt_idx"], r["pos"]): names[r["token_id"]] for r in m.token_pos.collect()}
-    for r in feat_acts(m).select("feature_id", "prompt_idx", "pos").collect():
+    for r in m.feat_acts.select("feature_id", "prompt_idx", "pos").collect():
         doc = int(at[r["prompt_idx"], r["pos"]][1])
         hits[r["feature_id"], doc] = hits.get((r["feature_id"], doc), 0) + 1
     got = {(r["feature_id"], r["quality"]): r["density"] for r in QUERIES["label_density"](spark, path).collect()}
