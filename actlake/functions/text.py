@@ -46,7 +46,7 @@ HTML_MARKS = {
     "}": "&#125;",
 }
 # Back from HTML.
-HTML_BACK = {v: k for k, v in HTML_MARKS.items()} | {"&mdash": "—", "&ndash": "–", "&ldquo": "“", "&rdquo": "”", "&lsquo": "‘", "&rsquo": "’", "&nbsp;": " ", "&bsol;": "\\"}
+HTML_BACK = {"&mdash;": "—", "&ndash;": "–", "&#8203;": " ", "&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "’", "&nbsp;": " "} | {v: k for k, v in HTML_QUOTES.items()} | {v: k for k, v in HTML_MARKS.items() if k != "\\"}
 
 
 def replaced(text: Column, table: dict[str, str]) -> Column:
@@ -65,7 +65,13 @@ def to_html(token: Column, escape: bool = True) -> Column:
 
 
 def from_html(token: Column) -> Column:
-    return replaced(token, HTML_BACK)
+    """The token that to_html() has escaped, with artefacts as the characters that they stand for."""
+    out = replaced(token, HTML_BACK)
+    # Backslashes last, so that none that they give is read as the start of another escape.
+    pair = "&bsol;&bsol;"
+    out = F.replace(out, F.lit(pair), F.lit("\x00"))
+    out = replaced(out, {"&bsol;n": "\n", "&bsol;t": "\t", "&bsol;r": "\r"})
+    return F.replace(out, F.lit("\x00"), F.lit("\\"))
 
 
 def _hex(x: Column) -> Column:

@@ -8,12 +8,12 @@ dealt to groups of bounded size; a group multiplies its values with the encoder
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlake.operators.encode import Weights, passes
+from actlake.operators.encode import Weights, matrix, passes
 
 #: Prompts of a group, about.
 GROUP = 256
@@ -44,28 +44,30 @@ def attribute(targets: DataFrame, attn: DataFrame, values: DataFrame, encoder: D
     schema, out = "feature_id int, prompt_idx long, dfa array<double>", None
 
     def summed(shared: Broadcast) -> DataFrame:
-        def run(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        def run(asked: pa.Table, given: pa.Table) -> pa.Table:
             own = shared.value
-            place = {int(f): i for i, f in enumerate(own.ids)}
-            given = given.sort_values(["prompt_idx", "pos"], kind="stable")
-            prompts = given["prompt_idx"].to_numpy()
-            out: dict[str, list] = {"feature_id": [], "prompt_idx": [], "dfa": []}
-            if len(given) and len(asked):
-                v = np.stack(given["v"].to_list()).astype(np.float64).reshape(len(given), kv_heads, width)
-                w = own.w.reshape(kv_heads, heads // kv_heads, width, len(own.ids))
-                # [position, head, feature]: what a source would give through each head.
-                gives = np.concatenate([np.einsum("nw,gwf->ngf", v[:, h], w[h]) for h in range(kv_heads)], axis=1)
-                starts = np.searchsorted(prompts, asked["prompt_idx"].to_numpy())
-                for prompt, features, attn, start in zip(asked["prompt_idx"].tolist(), asked["features"], asked["w"], starts.tolist()):
-                    known = [f for f in features if f in place]
-                    attn = np.asarray(attn, dtype=np.float64).reshape(-1, heads)
-                    sums = np.einsum("nh,nhf->fn", attn, gives[start : start + len(attn)][:, :, [place[f] for f in known]])
-                    out["feature_id"] += known
-                    out["prompt_idx"] += [prompt] * len(known)
-                    out["dfa"] += list(sums)
-            return pd.DataFrame(out)
+            weights = own.w.reshape(kv_heads, heads // kv_heads, width, len(own.ids))
+            prompts, pos = (given.column(c).to_numpy() for c in ("prompt_idx", "pos"))
+            order = np.lexsort((pos, prompts))
+            v = matrix(given.column("v").combine_chunks(), kv_heads * width)[order].reshape(-1, kv_heads, width) if len(given) else np.empty((0, kv_heads, width))
+            wanted = asked.column("prompt_idx").to_numpy()
+            begin, end = (np.searchsorted(prompts[order], wanted, side=side) for side in ("left", "right"))
+            features, attn = asked.column("features").to_pylist(), asked.column("w").combine_chunks()
+            offsets, attn = (attn.offsets.to_numpy(), attn.values.to_numpy()) if len(asked) else ((), ())
+            ids, of, sums, last = [], [], [], None
+            for i in np.argsort(wanted, kind="stable").tolist():
+                if wanted[i] != last:
+                    last = wanted[i]
+                    # [position, head, feature]: what each source of the prompt would give through each head.
+                    gives = np.concatenate([v[begin[i] : end[i], h] @ w for h in range(kv_heads) for w in weights[h]]).reshape(heads, end[i] - begin[i], -1)
+                known = np.flatnonzero(np.isin(own.ids, features[i]))
+                a = attn[offsets[i] : offsets[i + 1]].reshape(-1, heads)
+                sums += list((a.T[:, :, None] * gives[:, : len(a), known]).sum(axis=0).T)
+                ids += own.ids[known].tolist()
+                of += [last] * len(known)
+            return pa.table({"feature_id": pa.array(ids, pa.int32()), "prompt_idx": pa.array(of, pa.int64()), "dfa": pa.array(sums, pa.list_(pa.float64()))})
 
-        return asked.groupBy("group").cogroup(given.groupBy("group")).applyInPandas(run, schema)
+        return asked.groupBy("group").cogroup(given.groupBy("group")).applyInArrow(run, schema)
 
     for rows in passes(encoder.select("feature_id", "w_enc", F.lit(0.0).alias("b_enc")), []):
         own = Weights(rows)

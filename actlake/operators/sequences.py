@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlake.operators.encode import logit_lens
 from actlake.operators.topk import draw, top_k, top_positions
 
 
@@ -92,11 +93,24 @@ def window_acts(rows: DataFrame, feat_acts: DataFrame, whole: bool = True) -> Da
     return joined.withColumn("acts", acts).drop("_by_pos")
 
 
+def with_token_logits(rows: DataFrame, decoder: DataFrame, unembed: DataFrame) -> DataFrame:
+    """Adds token_logits: the feature's logit of each token of its windows. Only tokens that occur in a window are unembedded."""
+    keys = ["feature_id", "group_ord", "rank"]
+    places = rows.select(*keys, F.posexplode("window").alias("i", "token_id"))
+    own = unembed.join(places.select("token_id").distinct(), "token_id", "left_semi")
+    found = places.join(logit_lens(decoder, own), ["feature_id", "token_id"], "left")
+    lists = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "logit"))), lambda x: x["logit"]).alias("token_logits"))
+    return rows.join(lists, keys, "left")
+
+
 def packaged(rows: DataFrame, grouped: DataFrame) -> DataFrame:
-    """One row a feature: its groups in order, each with bounds and its sequences in order of rank."""
-    seq = F.struct("rank", F.col("prompt_idx").alias("original_index"), F.col("pos").alias("qualifying_token_index"), F.col("window").alias("token_ids"), F.col("acts").alias("feat_acts"))
+    """One row a feature: its groups in order, each with bounds and its sequences in order of rank; a group without any has none.
+
+    rows: as with_token_logits() returns them.
+    """
+    seq = F.struct("rank", F.col("prompt_idx").alias("original_index"), F.col("pos").alias("qualifying_token_index"), F.col("window").alias("token_ids"), F.col("acts").alias("feat_acts"), "token_logits")
     per_group = rows.groupBy("feature_id", "group_ord").agg(F.array_sort(F.collect_list(seq)).alias("sequences"))
-    full = grouped.join(per_group, ["feature_id", "group_ord"], "left")
+    full = grouped.join(per_group, ["feature_id", "group_ord"], "left").withColumn("sequences", F.coalesce("sequences", F.expr("array()")))
     return full.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("group_ord", "kind", "lower", "upper", "pct", "sequences"))).alias("groups"))
 
 

@@ -42,6 +42,7 @@ def numbered(df: DataFrame, order: list[str], name: str, save: Callable[[DataFra
     Ranges of the order are numbered apart and shifted by the sizes of the ranges before; save() writes a table and
     reads it again, so that the ranges stay as they are.
     """
+    df = save(df)  # ranges are sampled, so it is read twice
     ranged = save(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
     starts, start = [], 0

@@ -63,7 +63,7 @@ def quantiles(feat_acts: DataFrame, features: DataFrame, positions: int, grid: l
     wanted rank lies; inside a range it is looked up among the running counts of its values. So a feature of any number
     of activations is spread over many tasks. save() writes a table and reads it again.
     """
-    ranged = save(value_counts(feat_acts).repartitionByRange("feature_id", "act").withColumn("range", F.spark_partition_id()))
+    ranged = save(save(value_counts(feat_acts)).repartitionByRange("feature_id", "act").withColumn("range", F.spark_partition_id()))
     before = Window.partitionBy("feature_id").orderBy("range")
     held = ranged.groupBy("feature_id", "range").agg(F.sum("n").alias("held")).withColumn("end", F.sum("held").over(before)).withColumn("start", F.col("end") - F.col("held"))
     totals = held.groupBy("feature_id").agg(F.max("end").alias("total"))

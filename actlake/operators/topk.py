@@ -33,6 +33,13 @@ def sample_k(df: DataFrame, by: list[str], parts: list[str], k: int, seed: int =
     return top_k(df, by, [draw(seed, *parts).asc()], k)
 
 
-def masked_top_k(df: DataFrame, by: list[str], mask: Column, order: list[Column], k: int) -> DataFrame:
-    """top_k among the rows that the mask admits; k is at most their number, so nothing is made up."""
-    return top_k(df.where(mask), by, order, k)
+def masked_top_k(df: DataFrame, by: list[str], mask: Column, order: list[Column], k: int, value: str, index: str) -> DataFrame:
+    """rank, value and index of the first k rows of each group that the mask admits; a group with fewer admitted rows is filled up with 0 and 0.
+
+    k is at most the number of a group's rows.
+    """
+    groups = df.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_k"))
+    every = groups.select(*by, F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("rank"))
+    best = top_k(df.where(mask).select(*by, value, index), by, order, k)
+    filled = every.join(best, [*by, "rank"], "left")
+    return filled.select(*by, "rank", *(F.coalesce(c, F.lit(0)).cast(df.schema[c].dataType).alias(c) for c in (value, index)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from actlake.functions.text import ARTEFACTS
 from actlake.operators.stats import quantile_grid
 
 PREFIX = r"""
@@ -47,19 +50,36 @@ SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, l
     )
 
 
-_LOSS = r"""bflat AS (SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM (SELECT item_id, string_split_regex(trim(text, chr(32)||chr(9)||chr(10)||chr(13)), '[ \t\n\r]+') AS t FROM benchmark)),
+_CHANGES = r"""bflat AS (SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM (SELECT item_id, string_split_regex(trim(text, chr(32)||chr(9)||chr(10)||chr(13)), '[ \t\n\r]+') AS t FROM benchmark)),
 bpos AS (SELECT item_id * 67108864 + i // 32 AS prompt_idx, (i % 32)::INT AS pos, coalesce(token_id, 0) AS token_id FROM bflat LEFT JOIN vocab USING (token)),
 bv AS (SELECT prompt_idx, pos, (token_id::BIGINT * 31 + pos * 7) % (SELECT nv FROM nvec) AS vec_id, lead(token_id) OVER (PARTITION BY prompt_idx ORDER BY pos) AS nx FROM bpos),
 a AS (SELECT feature_id, prompt_idx, pos, vec_id, (nx::BIGINT * 17 + 3) % (SELECT nv FROM nvec) AS u FROM bv JOIN vec_acts USING (vec_id) WHERE act > 0 AND nx IS NOT NULL),
 un AS (SELECT vec_id AS u, count(*) AS n FROM vocv GROUP BY 1),
 abl AS (SELECT feature_id, vec_id, x, list_transform(range(1, 65), lambda i: x[i] - act * w[i]) AS y FROM vec_acts JOIN emb USING (vec_id) JOIN decoder USING (feature_id) WHERE act > 0),
 z AS (SELECT feature_id, abl.vec_id, u, n, list_dot_product(y, e.x) / list_aggregate(y, 'stddev_samp') AS zn, list_dot_product(abl.x, e.x) / list_aggregate(abl.x, 'stddev_samp') AS zo FROM abl, un JOIN emb e ON e.vec_id = u),
-ls AS (SELECT feature_id, vec_id, ln(sum(n * exp(zn))) AS sn, ln(sum(n * exp(zo))) AS so FROM z GROUP BY ALL),
+"""
+_LOSS = _CHANGES + r"""ls AS (SELECT feature_id, vec_id, ln(sum(n * exp(zn))) AS sn, ln(sum(n * exp(zo))) AS so FROM z GROUP BY ALL),
 l AS (SELECT a.feature_id, prompt_idx, pos, round((zn - sn) - (zo - so), 6) + 0.0 AS loss FROM a JOIN z USING (feature_id, vec_id, u) JOIN ls USING (feature_id, vec_id)),
 x AS (SELECT *, row_number() OVER (PARTITION BY prompt_idx, pos ORDER BY loss, feature_id) AS rank FROM l)
 SELECT 'loss_effect' AS metric, prompt_idx, pos + 1 AS pos, rank, feature_id, loss AS score FROM x WHERE rank <= 3"""
 _GRID = f"[{', '.join(map(str, quantile_grid()))}]"
 
+def _sequences(members: str) -> str:
+    """Whole prompts without their first token for rows of feature_id, group_ord, rank, prompt_idx, pos: seqs, vals and named."""
+    return f"""members AS ({members}),
+seqs AS (SELECT m.*, token_ids[2:] AS ids FROM members m JOIN prompts USING (prompt_idx) WHERE len(token_ids) > 1),
+places AS (SELECT feature_id, group_ord, rank, prompt_idx, generate_subscripts(ids, 1) AS i, unnest(ids) AS token_id FROM seqs),
+vals AS (SELECT e.feature_id, e.group_ord, e.rank, list(round(coalesce(fa.act, 0) + 1e-9::DOUBLE, 4) ORDER BY i) AS vals FROM places e LEFT JOIN fa ON fa.feature_id = e.feature_id AND fa.prompt_idx = e.prompt_idx AND fa.pos = e.i GROUP BY ALL),
+named AS (SELECT feature_id, group_ord, rank, string_agg(token, ' ' ORDER BY i) AS tokens, count(*) AS n_tokens FROM places JOIN vocab USING (token_id) GROUP BY ALL),
+"""
+
+
+_SAMPLES = "z AS (SELECT b.feature_id, b.group_ord, p.prompt_idx, p.pos, 0.0 AS act FROM (SELECT feature_id, group_ord FROM bounds WHERE lower <= 0) b, token_pos p ANTI JOIN fa ON fa.feature_id = b.feature_id AND fa.prompt_idx = p.prompt_idx AND fa.pos = p.pos), drawn AS (SELECT *, md5('0|' || prompt_idx || '|' || pos) AS k FROM (FROM inside UNION ALL FROM z)), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id, group_ord ORDER BY k, prompt_idx, pos) AS rank FROM drawn),\n"
+_ALL_GROUPS = _TOP + _GROUPS + _SAMPLES + _sequences("SELECT feature_id, 0 AS group_ord, rank, prompt_idx, pos FROM top UNION ALL SELECT feature_id, group_ord, rank, prompt_idx, pos FROM r WHERE rank <= 5")
+_BINS = """shares AS (SELECT feature_id, group_ord, count(*) AS k FROM inside GROUP BY ALL),
+bins AS (SELECT b.feature_id, b.group_ord, printf('%.3f', lower)::DOUBLE AS bin_min, printf('%.3f', upper)::DOUBLE AS bin_max, round(printf('%.3f', (coalesce(k, 0) + CASE WHEN lower <= 0 THEN n - active ELSE 0 END) / n * 100)::DOUBLE / 100, 8) AS bin_contains FROM bounds b LEFT JOIN shares USING (feature_id, group_ord), total
+UNION ALL SELECT feature_id, 0, -1.0, printf('%.3f', m)::DOUBLE, -1.0 FROM best),
+"""
 # The label of each distinct activation: of the first grid point whose quantile isn't below it.
 _LABELS = f"""a AS (SELECT feature_id, CASE WHEN act > 0 THEN act ELSE 0.0 END AS act FROM posv JOIN vec_acts USING (vec_id)),
 q AS (SELECT feature_id, list_transform(quantile_cont(act, {_GRID}), lambda v: round(v, 6)) AS qd FROM a GROUP BY feature_id),
@@ -101,7 +121,7 @@ SQL: dict[str, str] = {
     "bottom_activations": "x AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY act, prompt_idx, pos) AS rank FROM fa) SELECT feature_id, rank, prompt_idx, pos, act FROM x WHERE rank <= 20",
     "interval_share": _GROUPS + "c AS (SELECT feature_id, group_ord, count(*) AS k FROM inside GROUP BY ALL) SELECT b.feature_id, b.group_ord, lower, upper, round((coalesce(k, 0) + CASE WHEN lower <= 0 THEN n - active ELSE 0 END) / n, 6) AS pct FROM bounds b LEFT JOIN c USING (feature_id, group_ord), total",
     "interval_samples": _GROUPS + "z AS (SELECT b.feature_id, b.group_ord, p.prompt_idx, p.pos, 0.0 AS act FROM (SELECT feature_id, group_ord FROM bounds WHERE lower <= 0) b, token_pos p ANTI JOIN fa ON fa.feature_id = b.feature_id AND fa.prompt_idx = p.prompt_idx AND fa.pos = p.pos), a AS (SELECT *, md5('0|' || prompt_idx || '|' || pos) AS k FROM (FROM inside UNION ALL FROM z)), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id, group_ord ORDER BY k, prompt_idx, pos) AS rank FROM a) SELECT feature_id, group_ord, rank, prompt_idx, pos, act FROM r WHERE rank <= 5",
-    "context_windows": _TOP + "d AS (SELECT feature_id, rank, t.prompt_idx, t.pos, p.pos AS wpos, p.token_id FROM top t JOIN token_pos p ON p.prompt_idx = t.prompt_idx AND p.pos BETWEEN t.pos - 5 AND t.pos + 5) SELECT d.feature_id, d.rank, d.prompt_idx, d.pos, d.wpos, d.token_id, round(coalesce(fa.act, 0), 4) AS act FROM d LEFT JOIN fa ON fa.feature_id = d.feature_id AND fa.prompt_idx = d.prompt_idx AND fa.pos = d.wpos",
+    "context_windows": _TOP + "d AS (SELECT feature_id, rank, t.prompt_idx, t.pos, p.pos AS wpos, p.token_id FROM top t JOIN token_pos p ON p.prompt_idx = t.prompt_idx AND p.pos BETWEEN t.pos - 5 AND t.pos + 5) SELECT d.feature_id, d.rank, d.prompt_idx, d.pos, d.wpos, d.token_id, round(coalesce(fa.act, 0) + 1e-9::DOUBLE, 4) AS act FROM d LEFT JOIN fa ON fa.feature_id = d.feature_id AND fa.prompt_idx = d.prompt_idx AND fa.pos = d.wpos",
     "full_sequence_windows": _TOP + "x AS (SELECT * FROM top) SELECT feature_id, rank, prompt_idx, pos, len(token_ids[2:]) AS n_tokens, md5(array_to_string(token_ids[2:], ',')) AS window_md5 FROM x JOIN prompts USING (prompt_idx)",
     "act_lag_lead": "o AS (SELECT prompt_idx, pos, lead(token_id) OVER w AS nx, lag(token_id) OVER w AS pv FROM token_pos WINDOW w AS (PARTITION BY prompt_idx ORDER BY pos)), x AS (SELECT a.feature_id, a.prompt_idx, a.pos, a.act, coalesce(b.act, 0) AS prev_act, nx, pv FROM fa a JOIN o USING (prompt_idx, pos) LEFT JOIN fa b ON b.feature_id = a.feature_id AND b.prompt_idx = a.prompt_idx AND b.pos = a.pos - 1) SELECT feature_id, prompt_idx, count(*) AS n, round(sum(act * prev_act), 4) AS lag_product, coalesce(sum(nx), 0)::BIGINT AS next_sum, coalesce(sum(pv), 0)::BIGINT AS prev_sum FROM x GROUP BY ALL",
     "argmax_position": "x AS (SELECT feature_id, prompt_idx, arg_max(pos, {'a': act, 'p': -pos}) AS pos, max(act) AS act FROM fa GROUP BY ALL) SELECT * FROM x",
@@ -115,8 +135,8 @@ SQL: dict[str, str] = {
     "skipped_features": "a AS (SELECT feature_id, count(*) / any_value(n) AS f FROM fa, total GROUP BY feature_id) SELECT feature_id FROM encoder WHERE feature_id NOT IN (SELECT feature_id FROM a WHERE f BETWEEN 0.165 AND 1)",
     "resume_batches": "x AS (SELECT DISTINCT ntile(8) OVER (ORDER BY feature_id) - 1 AS batch_id FROM encoder) SELECT batch_id FROM x WHERE batch_id BETWEEN 1 AND 6 AND batch_id NOT IN (2, 3)",
     "stats_union": "a AS (SELECT feature_id, max(act) AS m FROM fa GROUP BY feature_id) SELECT feature_id, CASE WHEN feature_id >= 6 THEN 1 ELSE 0 END AS batch, m AS max_act FROM a",
-    "bulk_activations": _TOP + "s AS (SELECT feature_id, rank, prompt_idx, pos, token_ids[2:] AS ids FROM top JOIN prompts USING (prompt_idx)), e AS (SELECT feature_id, rank, pos, generate_subscripts(ids, 1) AS i, prompt_idx FROM s WHERE len(ids) > 0), v AS (SELECT e.feature_id, e.rank, e.pos, list(round(coalesce(fa.act, 0), 4) ORDER BY i) AS vals FROM e LEFT JOIN fa ON fa.feature_id = e.feature_id AND fa.prompt_idx = e.prompt_idx AND fa.pos = e.i GROUP BY ALL) SELECT feature_id AS index, rank, list_max(vals) AS \"maxValue\", (list_position(vals, list_max(vals)) - 1)::INT AS \"maxValueTokenIndex\", list_min(vals) AS \"minValue\", (pos - 1)::INT AS \"qualifyingTokenIndex\", 'c' || md5(feature_id || '|' || (row_number() OVER (PARTITION BY feature_id ORDER BY rank) - 1))[1:24] AS id FROM v",
-    "bulk_features": _TOP + "s AS (SELECT feature_id, prompt_idx, rank FROM top), m AS (SELECT s.feature_id, max(round(act, 4)) AS m FROM s JOIN fa ON fa.feature_id = s.feature_id AND fa.prompt_idx = s.prompt_idx AND fa.pos >= 1 GROUP BY 1) SELECT feature_id AS index, greatest(0, coalesce(m, 0)) AS \"maxActApprox\", false AS \"hasVector\", 'demo-model' AS \"modelId\", '3-demo-set' AS layer FROM (SELECT DISTINCT feature_id FROM top) LEFT JOIN m USING (feature_id)",
+    "bulk_activations": _TOP + _sequences("SELECT feature_id, 0 AS group_ord, rank, prompt_idx, pos FROM top") + "v AS (SELECT * FROM vals JOIN named USING (feature_id, group_ord, rank) JOIN seqs USING (feature_id, group_ord, rank)) SELECT feature_id AS index, row_number() OVER w AS place, list_max(vals) AS \"maxValue\", (list_position(vals, list_max(vals)) - 1)::INT AS \"maxValueTokenIndex\", list_min(vals) AS \"minValue\", (pos - 1)::INT AS \"qualifyingTokenIndex\", 'c' || md5(feature_id || '|' || (row_number() OVER w - 1))[1:24] AS id, md5(tokens) AS tokens_md5 FROM v WINDOW w AS (PARTITION BY feature_id ORDER BY rank)",
+    "bulk_features": _TOP + "s AS (SELECT feature_id, prompt_idx, rank FROM top), m AS (SELECT s.feature_id, max(round(act + 1e-9::DOUBLE, 4)) AS m FROM s JOIN fa ON fa.feature_id = s.feature_id AND fa.prompt_idx = s.prompt_idx AND fa.pos >= 1 GROUP BY 1) SELECT feature_id AS index, greatest(0, coalesce(m, 0)) AS \"maxActApprox\", false AS \"hasVector\", 'demo-model' AS \"modelId\", '3-demo-set' AS layer FROM (SELECT DISTINCT feature_id FROM top) LEFT JOIN m USING (feature_id)",
     "html_tokens": "h AS (SELECT token_id, token, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(token, 'Ġ', '&nbsp;'), '''', '&apos;'), '\"', '&quot;'), chr(92), chr(92)||chr(92)), chr(92), '&bsol;'), '<', '&lt;'), '>', '&gt;'), ')', '&#41;'), '(', '&#40;'), '[', '&#91;'), ']', '&#93;'), '{', '&#123;') AS h0 FROM vocab) SELECT token_id, replace(h0, '}', '&#125;') AS html FROM h",
     "token_colours": "a AS (SELECT feature_id, prompt_idx, max(act) AS m FROM fa GROUP BY ALL), b AS (SELECT feature_id, max(m) AS top FROM a GROUP BY feature_id), s AS (SELECT feature_id, prompt_idx, least(1, greatest(0, m / top)) AS s FROM a JOIN b USING (feature_id)) SELECT feature_id, prompt_idx, '#ff' || lower(printf('%02x', round(255 - 115 * s)::INT)) || lower(printf('%02x', round(255 - 255 * s)::INT)) AS colour FROM s",
     "group_titles": _GROUPS + "c AS (SELECT feature_id, group_ord, count(*) AS k FROM inside GROUP BY ALL), g AS (SELECT b.feature_id, b.group_ord, lower, upper, (coalesce(k, 0) + CASE WHEN lower <= 0 THEN n - active ELSE 0 END) / n AS pct FROM bounds b LEFT JOIN c USING (feature_id, group_ord), total) SELECT feature_id, group_ord, printf('INTERVAL %.3f - %.3f<br>CONTAINS %.3f%%', lower, upper, pct * 100) AS title, printf('%.3f', lower)::DOUBLE AS bin_min, printf('%.3f', upper)::DOUBLE AS bin_max, round(printf('%.3f', pct * 100)::DOUBLE / 100, 8) AS bin_contains FROM g",
@@ -127,5 +147,50 @@ SQL: dict[str, str] = {
 }
 
 
+def _sub(name: str, query: str) -> str:
+    """Another query's SQL as a table."""
+    return f"{name} AS (WITH {SQL[query]}),\n"
+
+
+_SHOWN = lambda v: f"CASE WHEN {v} >= 0 THEN printf('rgba(%d,%d,255,0.5)', floor(255 * (1 - abs({v}) / size))::INT, floor(255 * (1 - abs({v}) / size))::INT) ELSE printf('rgba(255,%d,%d,0.5)', floor(255 * (1 - abs({v}) / size))::INT, floor(255 * (1 - abs({v}) / size))::INT) END"
+_SIGNED = lambda v: f"printf('%+.3f', round({v} + 1e-9::DOUBLE * sign({v}), 3))"
+_MARKS = reduce(lambda c, kv: f"replace({c}, '{kv[0]}', {chr(39) + kv[1] + chr(39) if kv[1].isprintable() else f'chr({ord(kv[1])})'})", ARTEFACTS.items(), "token")
+
+SQL |= {
+    "dashboard_tables": _sub("na", "neuron_alignment") + _sub("cn", "corr_neurons_topk") + _sub("cf", "corr_features_topk") + "u AS (SELECT feature_id AS feature_index, rank AS place, idx, value, l1_share AS other, 'neuron_alignment' AS kind FROM na UNION ALL SELECT feature_id, rank, idx, pearson, cossim, 'correlated_neurons' FROM cn UNION ALL SELECT x_id, rank, y_id, pearson, cossim, 'correlated_features' FROM cf) SELECT * FROM u",
+    "dashboard_logits": _sub("t", "logit_lens_topk") + _sub("b", "logit_lens_bottomk") + "u AS (SELECT feature_id AS feature_index, rank AS place, token, round(logit + 1e-9::DOUBLE * sign(logit), 5) AS value, 'pos' AS side FROM t UNION ALL SELECT feature_id, rank, token, round(logit + 1e-9::DOUBLE * sign(logit), 5), 'neg' FROM b) SELECT * FROM u",
+    "dashboard_histograms": _sub("ah", "acts_histogram") + _sub("lh", "logits_histogram") + "k AS (SELECT feature_id, count(*) AS k FROM fa GROUP BY feature_id), f AS (SELECT feature_id AS feature_index, round(round(coalesce(k, 0) / n * 100, 3) / 100, 8) AS frac_nonzero FROM encoder LEFT JOIN k USING (feature_id), total), u AS (SELECT feature_id AS feature_index, bin + 1::BIGINT AS place, height, bar_value AS value, 'freq' AS kind FROM ah UNION ALL SELECT feature_id, bin + 1::BIGINT, height, bar_value, 'logits' FROM lh) SELECT * FROM u JOIN f USING (feature_index)",
+    "dashboard_decoder": _sub("d", "decoder_head_allocation") + "x AS (SELECT feature_id AS feature_index, head + 1::BIGINT AS place, share FROM d) SELECT * FROM x",
+    "dashboard_activations": _ALL_GROUPS + _BINS + _ATTN + """parts AS (SELECT feature_id, prompt_idx, src, round(list_dot_product(x, w) * p, 3) + 0.0 AS v FROM attn_at),
+lists AS (SELECT feature_id, prompt_idx, list(v ORDER BY src) AS l FROM parts GROUP BY ALL),
+dfa AS (SELECT feature_id, prompt_idx, l[2:] AS own, list_position(l, list_max(l)) - 1 AS target FROM lists)
+SELECT s.feature_id AS feature_index, row_number() OVER (PARTITION BY s.feature_id ORDER BY s.group_ord, s.rank) AS place, bin_min, bin_max, bin_contains, (pos - 1)::INT AS qualifying_token_index, n_tokens, md5(tokens) AS tokens_md5, list_max(vals) AS value_max, round(list_sum(vals), 4) + 0.0 AS value_sum,
+  coalesce(len(own), 0) AS n_src, coalesce(list_max(own), 0.0) AS "dfa_maxValue", coalesce(target - 1, -1)::INT AS "dfa_targetIndex", coalesce(round(list_sum(own), 3), 0.0) + 0.0 AS dfa_sum
+FROM seqs s JOIN vals USING (feature_id, group_ord, rank) JOIN named USING (feature_id, group_ord, rank) JOIN bins USING (feature_id, group_ord) LEFT JOIN dfa ON dfa.feature_id = s.feature_id AND dfa.prompt_idx = s.prompt_idx""",
+    "sequence_package": _ALL_GROUPS + "l AS (SELECT feature_id, group_ord, rank, count(*) AS n_logits, sum(round(logit * 1000000)::BIGINT)::BIGINT AS logit_sum FROM places JOIN logits USING (feature_id, token_id) GROUP BY ALL) SELECT feature_id, group_ord, rank, prompt_idx AS original_index, pos AS qualifying_token_index, md5(array_to_string(ids, ',')) AS tokens_md5, list_max(vals) AS act_max, n_logits, logit_sum FROM seqs JOIN vals USING (feature_id, group_ord, rank) JOIN l USING (feature_id, group_ord, rank)",
+    "dashboard_payloads": _sub("na", "neuron_alignment") + _sub("cf", "corr_features_topk") + _sub("t", "logit_lens_topk") + _sub("b", "logit_lens_bottomk") + f"sz AS (SELECT feature_id, max(round(abs(logit) + 1e-9::DOUBLE, 5)) AS size FROM (FROM t UNION ALL FROM b) GROUP BY feature_id) SELECT na.feature_id AS feature_index, {_SIGNED('value')} AS aligned, printf('%.1f%%', round(l1_share * 100 + 1e-9::DOUBLE, 1)) AS aligned_share, y_id AS near, {_SIGNED('pearson')} AS near_pearson, t.token AS pos_symbol, round(round(t.logit + 1e-9::DOUBLE * sign(t.logit), 5) + 1e-9::DOUBLE * sign(t.logit), 2) AS pos_value, {_SHOWN('round(t.logit + 1e-9::DOUBLE * sign(t.logit), 5)')} AS pos_color, {_SHOWN('round(b.logit + 1e-9::DOUBLE * sign(b.logit), 5)')} AS neg_color, 50::BIGINT AS n_colors, '#ff8c00' AS last_color FROM na JOIN cf ON x_id = na.feature_id AND cf.rank = 1 JOIN t ON t.feature_id = na.feature_id AND t.rank = 1 JOIN b ON b.feature_id = na.feature_id AND b.rank = 1 JOIN sz ON sz.feature_id = na.feature_id WHERE na.rank = 1",
+    "dashboard_batches": _TOP + _sequences("SELECT feature_id, 0 AS group_ord, rank, prompt_idx, pos FROM top") + "x AS (SELECT * FROM seqs) SELECT (feature_id // 8)::INT AS batch_id, 'demo-model' AS model_id, count(DISTINCT feature_id) AS n_features, count(*) AS n_activations FROM x GROUP BY ALL",
+    "bulk_export": _TOP + _sequences("SELECT feature_id, 0 AS group_ord, rank, prompt_idx, pos FROM top") + "u AS (SELECT 'features' AS part, 'renamed-model' AS \"modelId\", feature_id AS i FROM (SELECT DISTINCT feature_id FROM seqs) UNION ALL SELECT 'activations', 'demo-model', feature_id FROM seqs UNION ALL SELECT unnest(['release', 'model', 'sourceset', 'source']), NULL, 0) SELECT part, \"modelId\", count(*) AS n, sum(i)::BIGINT AS index_sum FROM u GROUP BY ALL",
+    "result_json": _TOP + _sequences("SELECT feature_id, 0 AS group_ord, rank, prompt_idx, pos FROM top") + _sub("d", "feature_density") + "q AS (SELECT feature_id, count(*) AS n_sequences FROM seqs GROUP BY 1) SELECT feature_id, max_act, n_active, n_sequences FROM d LEFT JOIN q USING (feature_id)",
+    "vector_set_json": "p AS (SELECT label, sqrt(sum(m * m)) AS s FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label) SELECT (row_number() OVER (ORDER BY label) - 1)::INT AS feature_id, 'label ' || label AS name, round(s, 6) AS norm, 0.0::DOUBLE AS b_enc FROM p",
+    "norm_stats_json": "e AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM emb), st AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM e GROUP BY i), y AS (SELECT vec_id, (v - m) / (s + 1e-6::DOUBLE) AS y FROM e JOIN st USING (i)) SELECT vec_id AS vec_no, round(sum(y), 5) + 0.0 AS total, round(sqrt(sum(y * y)), 5) AS norm FROM y GROUP BY vec_id",
+    "buffered_top": "n AS (SELECT prompt_idx, count(*) AS n FROM token_pos GROUP BY 1), x AS (SELECT feature_id, prompt_idx, pos, act, row_number() OVER (PARTITION BY feature_id ORDER BY act DESC, prompt_idx, pos) AS rank FROM fa JOIN n USING (prompt_idx) WHERE pos >= 6 AND pos < n - 5) SELECT feature_id, rank, prompt_idx, pos, act FROM x WHERE rank <= 10",
+    "masked_topk": "g AS (SELECT feature_id, prompt_idx, least(count(*), 3) AS k FROM fa GROUP BY ALL), e AS (SELECT feature_id, prompt_idx, unnest(range(1, k + 1)) AS rank FROM g), b AS (SELECT feature_id, prompt_idx, act, pos, row_number() OVER (PARTITION BY feature_id, prompt_idx ORDER BY act DESC, pos) AS rank FROM fa WHERE pos % 2 = 0) SELECT feature_id, prompt_idx, rank, coalesce(act, 0.0) AS act, coalesce(pos, 0) AS pos FROM e LEFT JOIN b USING (feature_id, prompt_idx, rank)",
+    "window_argmax": _sub("c", "context_windows") + "v AS (SELECT feature_id, rank, list(act ORDER BY wpos) AS l FROM c GROUP BY ALL) SELECT feature_id, rank, list_position(l, list_max(l)) - 1::BIGINT AS bold, list_max(l) AS scale, 1.0::DOUBLE AS negative_scale FROM v",
+    "suppressed_values": "d AS (SELECT feature_id, (generate_subscripts(w, 1) - 1)::INT AS i, unnest(w) AS v FROM decoder) SELECT feature_id, i, round(v, 4) AS v FROM d WHERE abs(v) > 0.3::DOUBLE",
+    "start_zeroing": "x AS (SELECT prompt_idx, len(token_ids) AS n FROM prompts) SELECT prompt_idx, ((n + 1) * (n + 2) // 2 - 1)::DOUBLE AS total FROM x",
+    "gathered_shards": "x AS (SELECT feature_id, sqrt(list_sum(list_transform(w, lambda v: v * v))) AS s FROM encoder) SELECT feature_id, round(s, 6) AS norm FROM x",
+    "layer_weights": "x AS (SELECT feature_id, sqrt(list_sum(list_transform(w, lambda v: (v * 11) * (v * 11)))) AS s FROM decoder) SELECT feature_id, 2::INT AS from_layer, 2::INT AS to_layer, round(s, 6) AS norm FROM x",
+    "hook_names": "x AS (SELECT doc_id, source, CASE WHEN doc_id % 3 > 0 OR lang IS NOT NULL THEN (doc_id % 48)::INT END AS layer, CASE WHEN doc_id % 3 = 0 THEN 'hook_' || lang END AS hook FROM documents) SELECT doc_id, layer, hook, layer || '-' || source || CASE WHEN doc_id % 2 = 0 THEN '__long' ELSE '' END AS source_id FROM x",
+    "html_round_trip": f"x AS (SELECT token_id, {_MARKS} AS token FROM vocab) SELECT * FROM x",
+    "prompt_deltas": _CHANGES + """d AS (SELECT feature_id, vec_id, u, round(zo - zn, 9) AS d FROM z),
+few AS (SELECT *, rank() OVER (PARTITION BY feature_id, vec_id ORDER BY d DESC) AS hi, rank() OVER (PARTITION BY feature_id, vec_id ORDER BY d) AS lo FROM d),
+uv AS (SELECT * FROM (SELECT vec_id AS u, token_id, row_number() OVER (PARTITION BY vec_id ORDER BY token_id) AS k FROM vocv) WHERE k <= 5),
+tokens AS (SELECT feature_id, vec_id, token_id, hi, lo, row_number() OVER (PARTITION BY feature_id, vec_id, hi <= 5 ORDER BY d DESC, token_id) AS top_at, row_number() OVER (PARTITION BY feature_id, vec_id, lo <= 5 ORDER BY d, token_id) AS low_at FROM few JOIN uv USING (u) WHERE hi <= 5 OR lo <= 5),
+tl AS (SELECT feature_id, vec_id, t.top_at AS place, t.token_id AS top, l.token_id AS bottom FROM (FROM tokens WHERE hi <= 5 AND top_at <= 5) t JOIN (FROM tokens WHERE lo <= 5 AND low_at <= 5) l USING (feature_id, vec_id) WHERE l.low_at = t.top_at)
+SELECT a.feature_id, prompt_idx, pos, place, top, bottom FROM a JOIN tl USING (feature_id, vec_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: PREFIX + body for name, body in SQL.items()}

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actlake.functions import text as tx
-from actlake.functions.vectors import head_shares, l1_share, norm, scale
+from actlake.functions.vectors import argmax, finite_or, head_shares, l1_share, max_or_one, norm, scale, zero_suppressed_with
 from actlake.operators import attribution as dfa
 from actlake.operators import corr, encode, prompt_scores, prompts, sequences, stats, topk
-from actlake.sources import sinks
+from actlake.plans.dashboard import Report, Settings, named, payloads
+from actlake.sources import readers, sinks
 from actlake.sources.model_tables import D_IN, FEATURES, HEADS, WINDOW_BITS, ModelTables, document_of
 
 GRID = stats.quantile_grid()
@@ -187,11 +190,6 @@ def histogram_ticks(m: ModelTables) -> DataFrame:
     return edges.select("feature_id", F.explode(stats.ticks(F.col("lo"), F.col("hi"))).alias("tick"))
 
 
-def named(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Adds token; "UNK" for ids that the vocabulary lacks."""
-    return df.join(vocab, "token_id", "left").withColumn("token", F.coalesce("token", F.lit("UNK")))
-
-
 def _logit_table(m: ModelTables, smallest: bool) -> DataFrame:
     top = encode.logit_lens_top(m.decoder, m.unembed, 10, smallest)
     return named(top, m.vocab).select("feature_id", "rank", "token_id", "token", "logit")
@@ -304,18 +302,18 @@ def group_offsets(m: ModelTables) -> DataFrame:
     return sequences.offsets(grouped, sizes)
 
 
-def _attribution(m: ModelTables, kv_heads: int) -> DataFrame:
-    """Uniform causal attention, held as a table of the destinations that are wanted."""
-    targets = sequences.argmax_positions(m.feat_acts)
+def _attributed(m: ModelTables, targets: DataFrame, kv_heads: int) -> DataFrame:
+    """Attribution by uniform causal attention, held as a table of the destinations that are wanted."""
     wanted = targets.select("prompt_idx", F.col("pos").alias("dest")).distinct()
     uniform = F.array_repeat(F.lit(1.0) / (F.col("dest") + 1), HEADS * (F.col("dest") + 1))
-    attn = wanted.select("prompt_idx", "dest", uniform.alias("w"))
-    width = D_IN // HEADS
-    return dfa.attribute(targets, attn, m.model_acts32.select("prompt_idx", "pos", F.slice("act", 1, kv_heads * width).alias("v")), m.encoder, HEADS, width, kv_heads)
+    attn, width = wanted.select("prompt_idx", "dest", uniform.alias("w")), D_IN // HEADS
+    values = m.model_acts32.select("prompt_idx", "pos", F.slice("act", 1, kv_heads * width).alias("v"))
+    return dfa.attribute(targets, attn, values.join(targets.select("prompt_idx").distinct(), "prompt_idx", "left_semi"), m.encoder, HEADS, width, kv_heads)
 
 
 def _dfa_records(m: ModelTables, kv_heads: int) -> DataFrame:
-    found = dfa.records(_attribution(m, kv_heads))
+    targets = m.cache.load_or_build("argmax", lambda: sequences.argmax_positions(m.feat_acts))
+    found = dfa.records(_attributed(m, targets, kv_heads))
     return found.select("feature_id", "prompt_idx", "dfa_max_value", "dfa_target_index", F.size("dfa_values").alias("n_src"), (F.round(F.aggregate("dfa_values", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("dfa_sum"))
 
 
@@ -339,14 +337,24 @@ def prompt_scores_quantile(m: ModelTables) -> DataFrame:
     return prompt_scores.scores(stats.quantile_labels(m.feat_acts, _quantiles(m), GRID), "act_quantile", F.col("label"), k=3)
 
 
-@query
-def prompt_scores_loss(m: ModelTables) -> DataFrame:
-    """On the benchmark's texts: how much features at the position before lower a token's loss."""
+def _ablated(m: ModelTables) -> DataFrame:
     rows = m.benchmark_acts
     active = encode.encode(rows, m.encoder).select("feature_id", "prompt_idx", "pos", "act")
     following = rows.where("next_token IS NOT NULL").select("prompt_idx", "pos", "next_token")
-    found = prompt_scores.ablation(active, rows.select("prompt_idx", "pos", F.col("act").alias("x")), m.decoder, m.unembed, following)
-    return prompt_scores.scores(found.withColumn("pos", F.col("pos") + 1), "loss_effect", F.round("loss", 6) + 0.0, k=3, smallest=True)
+    return prompt_scores.ablation(active, rows.select("prompt_idx", "pos", F.col("act").alias("x")), m.decoder, m.unembed, following)
+
+
+@query
+def prompt_scores_loss(m: ModelTables) -> DataFrame:
+    """On the benchmark's texts: how much features at the position before lower a token's loss."""
+    return prompt_scores.scores(_ablated(m).withColumn("pos", F.col("pos") + 1), "loss_effect", F.round("loss", 6) + 0.0, k=3, smallest=True)
+
+
+@query
+def prompt_deltas(m: ModelTables) -> DataFrame:
+    """On the benchmark's texts: the tokens that each active feature makes likelier and less likely, most first; the last position has none."""
+    found = _ablated(m)
+    return found.select("feature_id", "prompt_idx", "pos", F.posexplode(F.arrays_zip("top5", "bottom5")).alias("at", "x")).select("feature_id", "prompt_idx", "pos", (F.col("at") + 1).cast("long").alias("place"), F.col("x.top5").alias("top"), F.col("x.bottom5").alias("bottom"))
 
 
 @query
@@ -373,30 +381,228 @@ def stats_union(m: ModelTables) -> DataFrame:
     return stats.union_stats(best.where("feature_id < 10").select("feature_id", F.lit(0).alias("batch"), "max_act"), best.where("feature_id >= 6").select("feature_id", F.lit(1).alias("batch"), "max_act"))
 
 
+def _dfa(m: ModelTables, wanted: DataFrame) -> DataFrame:
+    """Attribution records for some features and prompts, by uniform causal attention."""
+    targets = sequences.argmax_positions(m.feat_acts.join(wanted, ["feature_id", "prompt_idx"], "left_semi"))
+    return dfa.records(_attributed(m, m.cache.save(targets), HEADS))
+
+
+def report(m: ModelTables, **settings) -> Report:
+    own = Settings(batch=8, heads=HEADS, dataset="documents", **settings)
+    return Report(feat_acts=m.feat_acts, token_pos=m.token_pos, prompts=m.prompts, vocab=m.vocab, acts=m.model_acts32, encoder=m.encoder, decoder=m.decoder, unembed=m.unembed, positions=m.positions, save=m.cache.save, settings=own, dfa=lambda wanted: _dfa(m, wanted))
+
+
 def dashboard_features(m: ModelTables) -> DataFrame:
-    """Rows of the dashboard schema's main fields: top activations over whole prompts without their first token."""
-    acts = m.feat_acts
-    top = topk.top_positions(acts, 20).withColumn("group_ord", F.lit(0))
-    rows = sequences.window_acts(sequences.windows(top, m.prompts, None, 0), acts).where(F.size("window") > 0)
-    names = rows.select("feature_id", "rank", F.posexplode("window").alias("i", "token_id")).join(m.vocab, "token_id").groupBy("feature_id", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
-    full = rows.join(names, ["feature_id", "rank"])
-    one = F.struct(F.col("rank"), F.lit(-1.0).alias("bin_min"), F.max("act").over(Window.partitionBy("feature_id")).alias("bin_max"), F.lit(-1.0).alias("bin_contains"), "tokens", F.col("acts").alias("values"), (F.col("pos") - 1).cast("int").alias("qualifying_token_index"), F.array().cast("array<double>").alias("dfa_values"), F.lit(0.0).alias("dfa_maxValue"), F.lit(-1).alias("dfa_targetIndex"))
-    listed = full.withColumn("_a", one).groupBy("feature_id").agg(F.array_sort(F.collect_list("_a")).alias("activations"))
-    return listed.select(F.col("feature_id").alias("feature_index"), "activations", F.lit(None).cast("array<double>").alias("vector"))
+    """Rows of the dashboard schema with the fields that the bulk export reads: the top group over whole prompts without their first token."""
+    out = report(m, intervals=0).activations()
+    return out.select(F.col("feature_id").alias("feature_index"), "activations", F.lit(None).cast("array<double>").alias("vector"))
+
+
+def _places(df: DataFrame, *arrays: str) -> DataFrame:
+    """A row for each place of parallel arrays, numbered from 1."""
+    return df.select("feature_id", F.posexplode(F.arrays_zip(*arrays)).alias("at", "x")).select(F.col("feature_id").alias("feature_index"), (F.col("at") + 1).cast("long").alias("place"), *(F.col(f"x.{a}") for a in arrays))
+
+
+@query
+def dashboard_tables(m: ModelTables) -> DataFrame:
+    tables, out = m.cache.save(report(m).tables()), None
+    for kind, names in (("neuron_alignment", ("indices", "values", "l1")), ("correlated_neurons", ("indices", "pearson", "l1")), ("correlated_features", ("indices", "pearson", "l1"))):
+        rows = _places(tables, *(f"{kind}_{n}" for n in names)).toDF("feature_index", "place", "idx", "value", "other").withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def dashboard_logits(m: ModelTables) -> DataFrame:
+    logits = m.cache.save(report(m).logits())
+    sides = [_places(logits, f"{s}_str", f"{s}_values").toDF("feature_index", "place", "token", "value").withColumn("side", F.lit(s)) for s in ("pos", "neg")]
+    return sides[0].unionByName(sides[1])
+
+
+@query
+def dashboard_histograms(m: ModelTables) -> DataFrame:
+    bars = m.cache.save(report(m).histograms())
+    kinds = [_places(bars, f"{k}_hist_data_bar_heights", f"{k}_hist_data_bar_values").toDF("feature_index", "place", "height", "value").withColumn("kind", F.lit(k)) for k in ("freq", "logits")]
+    return kinds[0].unionByName(kinds[1]).withColumn("height", F.col("height").cast("long")).join(bars.select(F.col("feature_id").alias("feature_index"), "frac_nonzero"), "feature_index")
+
+
+@query
+def dashboard_decoder(m: ModelTables) -> DataFrame:
+    return _places(report(m).decoder_shares(), "decoder_weights_dist").toDF("feature_index", "place", "share").withColumn("share", F.round("share", 6))
+
+
+@query
+def dashboard_activations(m: ModelTables) -> DataFrame:
+    rows = report(m).activations().select(F.col("feature_id").alias("feature_index"), F.posexplode("activations").alias("at", "a"))
+    total = lambda c, places: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), places) + 0.0
+    return rows.select(
+        "feature_index", (F.col("at") + 1).cast("long").alias("place"), "a.bin_min", "a.bin_max", "a.bin_contains", "a.qualifying_token_index", F.size("a.tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("a.tokens", " ")).alias("tokens_md5"),
+        F.array_max("a.values").alias("value_max"), total("a.values", 4).alias("value_sum"), F.size("a.dfa_values").cast("long").alias("n_src"), "a.dfa_maxValue", "a.dfa_targetIndex", total("a.dfa_values", 3).alias("dfa_sum"),
+    )
+
+
+@query
+def sequence_package(m: ModelTables) -> DataFrame:
+    rows = report(m).packaged().select("feature_id", F.explode("groups").alias("g")).select("feature_id", "g.group_ord", F.explode("g.sequences").alias("s"))
+    return rows.select("feature_id", "group_ord", F.col("s.rank").alias("rank"), "s.original_index", "s.qualifying_token_index", tokens_md5(F.col("s.token_ids")).alias("tokens_md5"), F.array_max("s.feat_acts").alias("act_max"), F.size("s.token_logits").cast("long").alias("n_logits"), F.aggregate("s.token_logits", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1_000_000).cast("long")).alias("logit_sum"))
+
+
+@query
+def dashboard_payloads(m: ModelTables) -> DataFrame:
+    r = report(m)
+    parts = r.tables().join(r.logits(), "feature_id").join(r.histograms(), "feature_id").withColumnRenamed("feature_id", "feature_index")
+    shown = payloads(parts)
+    first = lambda c: F.element_at(c, 1)
+    return shown.select(
+        "feature_index", first("neuronAlignment")["value"].alias("aligned"), first("neuronAlignment")["percentageL1"].alias("aligned_share"), first("correlatedFeatures")["index"].alias("near"), first("correlatedFeatures")["value"].alias("near_pearson"),
+        first("posLogits")["symbol"].alias("pos_symbol"), first("posLogits")["value"].alias("pos_value"), first("posLogits")["color"].alias("pos_color"), first("negLogits")["color"].alias("neg_color"), F.size("actsHistogramColors").cast("long").alias("n_colors"), F.element_at("actsHistogramColors", -1).alias("last_color"),
+    )
+
+
+def _written(m: ModelTables, name: str) -> str:
+    """A folder of its own for what a query writes and reads again."""
+    return f"{m.cache.folder}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+HEAD = {"model_id": "demo-model", "layer": "3", "sae_set": "demo-set", "sae_id_suffix": ""}
+CONFIG = sinks.ExportConfig("demo-model", "me", "demo", "Demo", "https://example.com", "demo-set", 3, "hook_resid_post")
+
+
+def _batched(m: ModelTables) -> DataFrame:
+    return dashboard_features(m).withColumn("batch_id", F.floor(F.col("feature_index") / 8).cast("int"))
+
+
+@query
+def dashboard_batches(m: ModelTables) -> DataFrame:
+    """Batches of dashboards written twice and read again: the second time adds nothing."""
+    folder, rows = _written(m, "batches"), m.cache.save(_batched(m))
+    for _ in range(2):
+        sinks.write_batches(rows, HEAD, folder)
+    features = readers.written_batches(m.spark, folder).select("batch_id", "model_id", F.explode("features").alias("f"))
+    return features.groupBy("batch_id", "model_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.size("f.activations")).alias("n_activations"))
+
+
+@query
+def bulk_export(m: ModelTables) -> DataFrame:
+    """Everything of an export, written as gzipped JSON lines, renamed in place and read again."""
+    folder = _written(m, "export")
+    sinks.export(m.cache.save(_batched(m)), CONFIG, "2026-01-01", folder)
+    sinks.rename_in_place(m.spark, f"{folder}/features", "modelId", "renamed-model")
+    rows = m.spark.read.json(f"{folder}/features").select(F.lit("features").alias("part"), "modelId", "index")
+    acts = m.spark.read.json(f"{folder}/activations").select(F.lit("activations").alias("part"), "modelId", "index")
+    heads = [m.spark.read.json(f"{folder}/{h}").select(F.lit(h).alias("part"), F.lit(None).cast("string").alias("modelId"), F.lit(0).cast("long").alias("index")) for h in ("release", "model", "sourceset", "source")]
+    every = reduce(DataFrame.unionByName, [rows, acts, *heads])
+    return every.groupBy("part", "modelId").agg(F.count(F.lit(1)).alias("n"), F.sum("index").alias("index_sum"))
+
+
+@query
+def result_json(m: ModelTables) -> DataFrame:
+    path = _written(m, "result") + ".json"
+    sinks.write_result(dashboard_features(m), stats.density(m.feat_acts, features(m), m.positions), path)
+    rows, numbers = readers.result(m.spark, path)
+    sizes = rows.select(F.col("feature_index").alias("feature_id"), F.size("activations").cast("long").alias("n_sequences"))
+    return numbers.join(sizes, "feature_id", "left").select("feature_id", "max_act", "n_active", "n_sequences")
+
+
+@query
+def vector_set_json(m: ModelTables) -> DataFrame:
+    """The probes written as a vector set and read again, with their names and norms."""
+    path = _written(m, "vectors")
+    probes = m.probes.groupBy().agg(F.array_sort(F.collect_list(F.struct("feature_id", "w_enc"))).alias("l"))  # a set of some vectors
+    names = F.transform("l", lambda x: F.concat(F.lit("label "), x["feature_id"].cast("string")))
+    probes.select(F.transform("l", lambda x: x["w_enc"]).alias("vectors"), F.struct(names.alias("vector_names")).alias("config")).write.json(path)
+    return readers.vector_set(m.spark, path, D_IN).select("feature_id", "name", F.round(norm(F.col("w_enc")), 6).alias("norm"), "b_enc")
+
+
+@query
+def norm_stats_json(m: ModelTables) -> DataFrame:
+    """Mean and deviation of the vectors' components, written as statistics of a layer and read again; the vectors normalised by them."""
+    path = _written(m, "norms")
+    parts = m.vectors.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("mean"), F.stddev_samp(F.col("v").cast("double")).alias("std"))
+    lists = parts.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "mean", "std"))).alias("l"))
+    lists.select(F.struct(F.struct(F.transform("l", lambda x: x["mean"]).alias("mean"), F.transform("l", lambda x: x["std"]).alias("std")).alias("inputs")).alias("7")).write.json(path)
+    mean, std = readers.norm_stats(m.spark, path, 7)
+    rows = encode.normalise_input(m.vectors.select("at", F.col("embedding").cast("array<double>").alias("act")), mean, std)
+    return rows.select(F.col("at").alias("vec_no"), (F.round(F.aggregate("act", F.lit(0.0), lambda s, x: s + x), 5) + 0.0).alias("total"), F.round(norm(F.col("act")), 5).alias("norm"))
+
+
+@query
+def buffered_top(m: ModelTables) -> DataFrame:
+    """Top positions with five tokens on both sides of them."""
+    lengths = m.token_pos.groupBy("prompt_idx").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return topk.top_positions(topk.inside_buffer(m.feat_acts, lengths, 5, 5), 10).select("feature_id", "rank", "prompt_idx", "pos", "act")
+
+
+@query
+def masked_topk(m: ModelTables) -> DataFrame:
+    """Of each feature's prompts, the three largest activations at even positions; groups with fewer are filled up."""
+    return topk.masked_top_k(m.feat_acts, ["feature_id", "prompt_idx"], F.col("pos") % 2 == 0, [F.desc("act"), F.asc("pos")], 3, "act", "pos")
+
+
+@query
+def window_argmax(m: ModelTables) -> DataFrame:
+    """Place of the largest activation in each window of the top group, and its scale: the largest, or 1 without any."""
+    rows = report(m, intervals=0, before=5, after=5).rows
+    return rows.select("feature_id", "rank", argmax(F.col("acts")).cast("long").alias("bold"), max_or_one(F.col("acts")).alias("scale"), max_or_one(F.filter("acts", lambda x: x < 0), True).alias("negative_scale"))
+
+
+@query
+def suppressed_values(m: ModelTables) -> DataFrame:
+    """The decoder's values above 0.3, with their places."""
+    kept = zero_suppressed_with(F.sequence(F.lit(0), F.lit(D_IN - 1)), finite_or(F.col("w_dec")), 0.3)
+    return m.decoder.select("feature_id", F.explode(F.arrays_zip(kept["ids"].alias("i"), kept["values"].alias("v"))).alias("x")).select("feature_id", "x.i", "x.v")
+
+
+@query
+def start_zeroing(m: ModelTables) -> DataFrame:
+    """Values of tokens that start a sequence are zeroed: the prompts' tokens behind a start token."""
+    tokens = F.concat(F.array(F.lit(sinks.START_TOKENS[0])), F.transform("token_ids", lambda t: t.cast("string")))
+    values = F.transform(tokens, lambda t, i: (i + 1).cast("double"))
+    return m.prompts.select("prompt_idx", F.aggregate(sinks.without_start(tokens, values), F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query
+def gathered_shards(m: ModelTables) -> DataFrame:
+    """The encoder in two shards of ten rows each, filled up with nulls, and whole again."""
+    low, high = m.encoder.where("feature_id < 10"), m.encoder.where("feature_id >= 10")
+    filler = m.spark.range(16, 20).select(F.col("id").cast("int").alias("feature_id"), F.lit(None).cast("array<double>").alias("w_enc"), F.lit(0.0).alias("b_enc"), F.lit(0.0).alias("threshold"))
+    return encode.gather_shards(low, high.unionByName(filler)).select("feature_id", F.round(norm(F.col("w_enc")), 6).alias("norm"))
+
+
+@query
+def layer_weights(m: ModelTables) -> DataFrame:
+    """The decoder from a layer to itself, of decoders from each of four layers to each."""
+    pair = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pair")
+    every = m.decoder.select("feature_id", "w_dec", pair).select("feature_id", "w_dec", F.floor(F.col("pair") / 4).cast("int").alias("from_layer"), (F.col("pair") % 4).alias("to_layer")).withColumn("w_dec", scale(F.col("w_dec"), (1 + F.col("from_layer") * 4 + F.col("to_layer")).cast("double")))
+    return encode.layer_decoder(every, 2).select("feature_id", "from_layer", "to_layer", F.round(norm(F.col("w_dec")), 6).alias("norm"))
+
+
+@query
+def hook_names(m: ModelTables) -> DataFrame:
+    """Layer and hook of names that are made of the documents, and the ids of their sources."""
+    layer = (F.col("doc_id") % 48).cast("string")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("blocks."), layer, F.lit(".hook_"), "lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("model.layers."), layer, F.lit(".mlp"))).otherwise(F.concat(F.lit("transformer.h."), layer, F.lit(".attn")))
+    rows = m.read("documents").select("doc_id", name.alias("name"), "source")
+    suffix = F.when(F.col("doc_id") % 2 == 0, F.lit("long"))
+    return rows.select("doc_id", tx.hook_layer(F.col("name")).alias("layer"), tx.hook_point(F.col("name")).alias("hook"), tx.source_id(tx.hook_layer(F.col("name")), F.col("source"), suffix).alias("source_id"))
+
+
+@query
+def html_round_trip(m: ModelTables) -> DataFrame:
+    return m.vocab.select("token_id", tx.from_html(tx.to_html(F.col("token"))).alias("token"))
 
 
 @query
 def bulk_activations(m: ModelTables) -> DataFrame:
-    rows = dashboard_features(m)
-    ranks = rows.select(F.col("feature_index").alias("_f"), F.posexplode("activations").alias("_at", "a")).select("_f", "_at", F.col("a.rank").alias("rank"), tx.key_id(F.col("_f"), F.col("_at")).alias("id"))
-    return sinks.activation_rows(rows).join(ranks, "id").select("index", "rank", "maxValue", "maxValueTokenIndex", "minValue", "qualifyingTokenIndex", "id")
+    rows = m.cache.save(dashboard_features(m))
+    places = rows.select(F.col("feature_index").alias("_f"), F.posexplode("activations").alias("_at", "a")).select(tx.key_id(F.col("_f"), F.col("_at")).alias("id"), (F.col("_at") + 1).alias("place"))
+    return sinks.activation_rows(rows).join(places, "id").select("index", F.col("place").cast("long").alias("place"), "maxValue", "maxValueTokenIndex", "minValue", "qualifyingTokenIndex", "id", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 @query
 def bulk_features(m: ModelTables) -> DataFrame:
     rows = dashboard_features(m)
-    config = sinks.ExportConfig("demo-model", "me", "demo", "Demo", "https://example.com", "demo-set", 3, "hook_resid_post")
-    return sinks.feature_rows(rows, sinks.activation_rows(rows), config).select("index", "maxActApprox", "hasVector", "modelId", "layer")
+    return sinks.feature_rows(rows, sinks.activation_rows(rows), CONFIG).select("index", "maxActApprox", "hasVector", "modelId", "layer")
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
+import os
 from dataclasses import asdict, dataclass, field
 
 
@@ -88,8 +89,23 @@ def cache_path(base: str, kind: str, settings: object) -> str:
     return f"{base.rstrip('/')}/{kind}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
 
 
+def differences(a: object, b: object, tolerance: float = 1e-6, at: str = "") -> list[str]:
+    """Where two trees of dictionaries, lists and values differ; numbers by more than the tolerance. NaN equals NaN."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return [d for k in sorted(a.keys() | b.keys(), key=str) for d in ([f"{at}/{k}"] if (k in a) != (k in b) else differences(a[k], b[k], tolerance, f"{at}/{k}"))]
+    if isinstance(a, list) and isinstance(b, list):
+        return [at or "/"] if len(a) != len(b) else [d for i, (x, y) in enumerate(zip(a, b)) for d in differences(x, y, tolerance, f"{at}/{i}")]
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and not isinstance(b, bool):
+        return [] if abs(a - b) <= tolerance or (a != a and b != b) or a == b else [at or "/"]
+    return [] if a == b else [at or "/"]
+
+
 def output_folder(base: str, model: str, source_set: str, hook: str, width: int, suffix: str | None = None) -> str:
-    return f"{base.rstrip('/')}/{model}_{source_set}_{hook}_{width}" + (f"_{suffix}" if suffix else "")
+    """The folder of a run's output; a file in its place is an error."""
+    path = f"{base.rstrip('/')}/{model}_{source_set}_{hook}_{width}" + (f"_{suffix}" if suffix else "")
+    if os.path.isfile(path.removeprefix("file://")):
+        raise NotADirectoryError(path)
+    return path
 
 
 def main(argv: list[str] | None = None) -> None:

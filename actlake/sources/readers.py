@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlake.sources.schemas import BATCH
+from actlake.sources.schemas import BATCH, FEATURE
 
 
 def vector_set(spark: SparkSession, path: str, d_model: int | None = None) -> DataFrame:
@@ -33,10 +33,16 @@ def norm_stats(spark: SparkSession, path: str, layer: int) -> tuple[list[float],
 
 
 def dashboard_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of batch-<n>.json files, with batch_id; any number of files, read in parallel."""
+    """Rows of batch-<n>.json files, with batch_id; any number of files, read in parallel. A folder without any is an error."""
     return spark.read.schema(BATCH).json(f"{folder}/batch-*.json").withColumn("batch_id", F.regexp_extract(F.col("_metadata.file_name"), r"batch-(\d+)", 1).cast("int"))
 
 
 def written_batches(spark: SparkSession, folder: str) -> DataFrame:
     """What sinks.write_batches() wrote, with batch_id from the folder names."""
     return spark.read.schema(T.StructType([*BATCH.fields, T.StructField("batch_id", T.IntegerType())])).json(folder)
+
+
+def result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Features and statistics of what sinks.write_result() wrote."""
+    features = spark.read.schema(FEATURE).json(f"{path}/feature_data_dict")
+    return features, spark.read.schema("feature_id int, max_act double, n_active long, frac_active double, frac_nonzero double").json(f"{path}/feature_stats")

@@ -73,12 +73,51 @@ def feature_rows(features: DataFrame, activations: DataFrame, config: ExportConf
     return out.withColumns(extra).withColumnRenamed("feature_index", "index").drop("_m", "activations")
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop path and file system of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def batch_ids(spark: SparkSession, folder: str) -> list[int]:
+    """Batches that a folder has already."""
+    at, files = _folder(spark, folder)
+    names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+
+
 def write_batches(features: DataFrame, head: dict[str, str], folder: str) -> None:
-    """One JSON document a row of `batch_id`, nulls left out; batches that exist already stay."""
-    batches = features.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in features.columns if c != "batch_id"]))).alias("features"))
+    """One JSON document a row of `batch_id`, nulls left out; batches that exist already stay as they are, so a rerun adds nothing.
+
+    A batch is a bounded number of features, each with a bounded report.
+    """
+    new = features.where(~F.col("batch_id").isin(batch_ids(features.sparkSession, folder)))
+    batches = new.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in features.columns if c != "batch_id"]))).alias("features"))
     batches.select(*(F.lit(v).alias(k) for k, v in head.items()), "features", "batch_id").write.mode("append").partitionBy("batch_id").json(folder)
 
 
+def write_result(features: DataFrame, stats: DataFrame, path: str) -> None:
+    """A report's data as JSON lines, one a feature, under the keys feature_data_dict and feature_stats. path ends in .json."""
+    if not path.endswith(".json"):
+        raise ValueError("the path of a result must end in .json")
+    for name, rows in (("feature_data_dict", features), ("feature_stats", stats)):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def export(features: DataFrame, config: ExportConfig, created_at: str, folder: str) -> None:
+    """Everything a bulk import takes: release, model, source set and source once, and gzipped features and activations by batch.
+
+    features: rows of the dashboard schema with batch_id.
+    """
+    write_heads(features.sparkSession, config, created_at, folder)
+    activations = activation_rows(features, config.zero_out_start)
+    about = {"modelId": F.lit(config.model_name), "layer": F.lit(config.source), "creatorId": F.lit(config.creator_id), "createdAt": F.lit(created_at)}
+    batch = features.select(F.col("feature_index").alias("index"), "batch_id")
+    rows = activations.withColumns(about).join(batch, "index")
+    for name, part in (("features", feature_rows(features, activations, config).withColumn("createdAt", F.lit(created_at))), ("activations", rows)):
+        part.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).partitionBy("batch_id").json(f"{folder}/{name}")
+
+
 def write_bulk(rows: DataFrame, folder: str) -> None:
     """Gzipped JSON lines; nulls are written."""
     rows.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(folder)
@@ -103,10 +142,34 @@ def renamed(rows: DataFrame, field: str, value: str) -> DataFrame:
 
 
 def rewrite(spark: SparkSession, source: str, target: str, field: str, value: str) -> None:
-    """A bulk folder with one field rewritten, written apart; the caller swaps the folders when it is whole."""
+    """A bulk folder with one field rewritten, written apart."""
     write_bulk(renamed(spark.read.json(source), field, value), target)
 
 
+def rename_in_place(spark: SparkSession, folder: str, field: str, value: str) -> None:
+    """Rewrites one field of all rows of a bulk folder.
+
+    The new rows are written beside it and take its place when they are whole; the old ones are kept as .old until then,
+    and put back if that fails. An .old that a lost run has left is put back first.
+    """
+    folder = folder.rstrip("/")
+    (at, files), (new, _), (old, _) = (_folder(spark, f"{folder}{end}") for end in ("", ".new", ".old"))
+    if files.exists(old) and not files.exists(at):
+        files.rename(old, at)
+    files.delete(new, True)
+    rewrite(spark, folder, f"{folder}.new", field, value)
+    files.delete(old, True)
+    if not files.rename(at, old):
+        raise OSError(f"{folder} can't be moved")
+    try:
+        if not files.rename(new, at):
+            raise OSError(f"{folder}.new can't be moved")
+    except Exception:
+        files.rename(old, at)
+        raise
+    files.delete(old, True)
+
+
 def run_settings(config: object) -> str:
     return json.dumps(asdict(config), sort_keys=True, default=str)
 
