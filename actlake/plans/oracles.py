@@ -114,7 +114,7 @@ SQL: dict[str, str] = {
     "logit_lens_bottomk": "x AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY logit, token_id) AS rank FROM logits) SELECT feature_id, rank, token_id, token, logit FROM x JOIN vocab USING (token_id) WHERE rank <= 10",
     "neuron_alignment": "d AS (SELECT feature_id, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS idx, list_sum(list_transform(w, lambda v: abs(v))) AS l1 FROM decoder), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY v DESC, idx) AS rank FROM d) SELECT feature_id, rank, idx::INT AS idx, round(v, 5) AS value, round(abs(v) / l1, 5) AS l1_share FROM r WHERE rank <= 3",
     "decoder_head_allocation": "h AS (SELECT feature_id, list_transform(range(0, 4), lambda h: sqrt(list_sum(list_transform(w[h * 16 + 1 : h * 16 + 16], lambda v: v * v)))) AS n FROM decoder) SELECT feature_id, (i - 1)::INT AS head, round(n[i] / list_sum(n), 6) AS share FROM h, range(1, 5) r(i)",
-    "residual_direction": "d AS (SELECT feature_id, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i FROM decoder), o AS (SELECT vec_id AS i, unnest(x) AS o, generate_subscripts(x, 1) - 1 AS j FROM emb WHERE vec_id < 64) SELECT feature_id, j::INT AS j, round(sum(v * o), 6) + 0.0 AS v FROM d JOIN o USING (i) GROUP BY ALL",
+    "residual_direction": "d AS (SELECT feature_id, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i FROM decoder), o AS (SELECT vec_id AS i, unnest(x) AS o, generate_subscripts(x, 1) - 1 AS j FROM emb WHERE vec_id IN (SELECT unnest(range(64)))) SELECT feature_id, j::INT AS j, round(sum(v * o), 6) + 0.0 AS v FROM d JOIN o USING (i) GROUP BY ALL",
     "corr_features_topk": f"a AS (SELECT feature_id, vec_id, act, v.n AS c FROM vec_acts JOIN vec_n v USING (vec_id) WHERE act > 0), s AS (SELECT feature_id, sum(act * c) AS s, sum(act * act * c) AS ss FROM a GROUP BY feature_id), p AS (SELECT x.feature_id AS x_id, y.feature_id AS y_id, sum(x.act * y.act * x.c) AS sxy FROM a x JOIN a y ON x.vec_id = y.vec_id AND x.feature_id <> y.feature_id AND x.feature_id // 8 = y.feature_id // 8 GROUP BY ALL), c AS (SELECT x_id, y_id, {_PEARSON} AS pearson, {_COSINE} AS cossim FROM (SELECT x_id, y_id, sxy, sx.s AS sx, sx.ss AS sxx, sy.s AS sy, sy.ss AS syy, n::DOUBLE AS n FROM p JOIN s sx ON sx.feature_id = x_id JOIN s sy ON sy.feature_id = y_id, total) UNION ALL SELECT feature_id, feature_id, 0.0, 0.0 FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY pearson DESC, y_id) AS rank FROM c) SELECT x_id, rank, y_id, pearson, cossim FROM r WHERE rank <= 3",
     "corr_neurons_topk": f"d AS (SELECT vec_id, unnest(x) AS y, (generate_subscripts(x, 1) - 1)::INT AS idx FROM emb), q AS (SELECT feature_id, idx, sum(v.n)::DOUBLE AS n, sum(greatest(act, 0) * v.n) AS sx, sum(y * v.n) AS sy, sum(greatest(act, 0) ** 2 * v.n) AS sxx, sum(y * y * v.n) AS syy, sum(greatest(act, 0) * y * v.n) AS sxy FROM vec_acts JOIN vec_n v USING (vec_id) JOIN d USING (vec_id) GROUP BY ALL), c AS (SELECT feature_id, idx, {_PEARSON} AS pearson, {_COSINE} AS cossim FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY pearson DESC, idx) AS rank FROM c) SELECT feature_id, rank, idx, pearson, cossim FROM r WHERE rank <= 3",
     "top_activations": _TOP + "x AS (SELECT * FROM top) SELECT feature_id, rank, prompt_idx, pos, token, act, md5(array_to_string(token_ids[greatest(pos - 5, 0) + 1 : pos + 6], ',')) AS window_md5 FROM x JOIN prompts USING (prompt_idx) JOIN vocab USING (token_id)",
