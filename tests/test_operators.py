@@ -176,3 +176,70 @@ def test_dashboard_batches_round_trip(spark, tmp_path):
     assert len(one["tokens"]) == len(one["values"]) and one["bin_min"] == -1.0
     assert max(one["values"]) <= one["bin_max"] + 1e-4
     assert to_run(batched, back.select("batch_id"), 0, 1).count() == 0
+
+
+def test_rename_in_place_puts_back_what_a_lost_run_left(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "old"), (2, "old")], "index int, modelId string")
+    sinks.write_bulk(rows, f"file://{tmp_path}/bulk")
+    (tmp_path / "bulk").rename(tmp_path / "bulk.old")  # as if a run had been stopped between its two moves
+    sinks.rename_in_place(spark, f"file://{tmp_path}/bulk", "modelId", "new")
+    assert {r["modelId"] for r in spark.read.json(f"file://{tmp_path}/bulk").collect()} == {"new"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bulk"]
+
+
+def test_cache_is_keyed_by_files_and_settings(spark, tmp_path):
+    from actlake.sources.cache import TableCache
+
+    spark.range(3).write.parquet(f"file://{tmp_path}/in")
+    built = []
+    make = lambda: built.append(1) or spark.range(5)
+    for settings in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert TableCache(spark, [f"file://{tmp_path}/in"], settings).load_or_build("t", make).count() == 5
+    assert len(built) == 2
+    spark.range(4).write.mode("overwrite").parquet(f"file://{tmp_path}/in")
+    TableCache(spark, [f"file://{tmp_path}/in"], {"a": 1}).load_or_build("t", make)
+    assert len(built) == 3
+
+
+def test_hot_keys_are_spread_and_numbers_are_dense(spark, monkeypatch):
+    from actlake.operators import spread
+
+    monkeypatch.setattr(spread, "HOT_ROWS", 10)
+    many = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(200)], "i int, k string")
+    one = spark.createDataFrame([("hot", 1), ("k2", 2)], "k string, v int")
+    hot = spread.hot_keys(many.groupBy("k").count().withColumnRenamed("count", "n"), ["k"])
+    assert hot.collect()[0]["_parts"] == 10
+    for how, n in (("inner", 101), ("left", 200), ("left_semi", 101), ("left_anti", 99)):
+        assert spread.spread_join(many, one, ["k"], hot, ["i"], how).count() == n
+    parts = []
+
+    def save(df):
+        parts.append(f"{len(parts)}")
+        df.write.mode("overwrite").saveAsTable(f"numbered_{parts[-1]}")
+        return spark.table(f"numbered_{parts[-1]}")
+
+    got = spread.numbered(many.repartition(5), ["i"], "no", save).collect()
+    assert all(r["no"] == r["i"] for r in got)
+    for p in parts:
+        spark.sql(f"DROP TABLE numbered_{p}")
+
+
+def test_attribution_guards(spark):
+    from actlake.operators import attribution as dfa
+
+    rng = np.random.default_rng(4)
+    heads, kv, width, n, feats = 4, 2, 3, 5, 7
+    w, v, a = rng.normal(size=(feats, heads * width)), rng.normal(size=(n, kv * width)), rng.random((n, heads))
+    enc = spark.createDataFrame([(f, w[f].tolist()) for f in range(feats)], "feature_id int, w_enc array<double>")
+    rows = spark.createDataFrame([(9, h, 4, s, float(a[s, h])) for h in range(heads) for s in range(n)], "prompt_idx long, head int, dest int, src int, w double")
+    values = spark.createDataFrame([(9, i, v[i].tolist()) for i in range(n)], "prompt_idx long, pos int, v array<double>")
+    targets = spark.createDataFrame([(f, 9, 4) for f in (2, 5)], "feature_id int, prompt_idx long, pos int")
+    got = {r["feature_id"]: r["dfa"] for r in dfa.attribute(targets, dfa.by_source(rows), values, enc, heads, width, kv).collect()}
+    for f in (2, 5):
+        want = [sum(a[s, h] * (v[s, h // 2 * width : h // 2 * width + width] @ w[f, h * width : h * width + width]) for h in range(heads)) for s in range(n)]
+        assert got[f] == pytest.approx(want)
+    assert dfa.attribute(targets, dfa.by_source(rows), values, enc.limit(0), heads, width, kv).count() == 0
+    with pytest.raises(ValueError, match="entries"):
+        dfa.attribute(targets, dfa.by_source(rows), values, enc, heads, width + 1, kv)
+    with pytest.raises(ValueError, match="multiple"):
+        dfa.attribute(targets, dfa.by_source(rows), values, enc, heads, width, 3)

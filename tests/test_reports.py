@@ -32,3 +32,15 @@ def test_paths():
 def test_command_line(spark, tmp_path):
     r.main(["feature_batches", "--tables", "/root/testdata/sf0.001", "--out", f"{tmp_path}/out"])
     assert spark.read.parquet(f"{tmp_path}/out").count() == 16
+
+
+def test_differences():
+    assert r.differences({"a": [1.0, float("nan")], "b": "x"}, {"a": [1.0 + 1e-9, float("nan")], "b": "x"}) == []
+    assert r.differences({"a": [1.0, 2.0], "b": 1, "c": True}, {"a": [1.0, 2.1], "d": 1, "c": False}) == ["/a/1", "/b", "/c", "/d"]
+    assert r.differences([1], [1, 2]) == ["/"] and r.differences(1, "1") == ["/"]
+
+
+def test_output_folder_must_not_be_a_file(tmp_path):
+    (tmp_path / "m_s_h_1").write_text("x")
+    with pytest.raises(NotADirectoryError):
+        r.output_folder(str(tmp_path), "m", "s", "h", 1)
