@@ -54,18 +54,21 @@ def attribute(targets: DataFrame, attn: DataFrame, values: DataFrame, encoder: D
             begin, end = (np.searchsorted(prompts[order], wanted, side=side) for side in ("left", "right"))
             features, attn = asked.column("features").to_pylist(), asked.column("w").combine_chunks()
             offsets, attn = (attn.offsets.to_numpy(), attn.values.to_numpy()) if len(asked) else ((), ())
-            ids, of, sums, last = [], [], [], None
+            place = {f: k for k, f in enumerate(own.ids.tolist())}
+            ids, of, sums, sizes, last = [], [], [], [0], None
             for i in np.argsort(wanted, kind="stable").tolist():
                 if wanted[i] != last:
                     last = wanted[i]
                     # [position, head, feature]: what each source of the prompt would give through each head.
                     gives = np.concatenate([v[begin[i] : end[i], h] @ w for h in range(kv_heads) for w in weights[h]]).reshape(heads, end[i] - begin[i], -1)
-                known = np.flatnonzero(np.isin(own.ids, features[i]))
+                known = [f for f in features[i] if f in place]
                 a = attn[offsets[i] : offsets[i + 1]].reshape(-1, heads)
-                sums += list((a.T[:, :, None] * gives[:, : len(a), known]).sum(axis=0).T)
-                ids += own.ids[known].tolist()
+                sums.append((a.T[:, :, None] * gives[:, : len(a), [place[f] for f in known]]).sum(axis=0).T.ravel())
+                ids += known
                 of += [last] * len(known)
-            return pa.table({"feature_id": pa.array(ids, pa.int32()), "prompt_idx": pa.array(of, pa.int64()), "dfa": pa.array(sums, pa.list_(pa.float64()))})
+                sizes += [len(a)] * len(known)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(sums) if sums else [], pa.float64()))
+            return pa.table({"feature_id": pa.array(ids, pa.int32()), "prompt_idx": pa.array(of, pa.int64()), "dfa": lists})
 
         return asked.groupBy("group").cogroup(given.groupBy("group")).applyInArrow(run, schema)
 

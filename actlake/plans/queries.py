@@ -302,18 +302,18 @@ def group_offsets(m: ModelTables) -> DataFrame:
     return sequences.offsets(grouped, sizes)
 
 
-def _attributed(m: ModelTables, targets: DataFrame, kv_heads: int) -> DataFrame:
-    """Attribution by uniform causal attention, held as a table of the destinations that are wanted."""
+def _attributed(m: ModelTables, targets: DataFrame, values: DataFrame, kv_heads: int) -> DataFrame:
+    """Attribution by uniform causal attention, held as a table of the destinations that are wanted. values: rows of model_acts."""
     wanted = targets.select("prompt_idx", F.col("pos").alias("dest")).distinct()
     uniform = F.array_repeat(F.lit(1.0) / (F.col("dest") + 1), HEADS * (F.col("dest") + 1))
     attn, width = wanted.select("prompt_idx", "dest", uniform.alias("w")), D_IN // HEADS
-    values = m.model_acts32.select("prompt_idx", "pos", F.slice("act", 1, kv_heads * width).alias("v"))
-    return dfa.attribute(targets, attn, values.join(targets.select("prompt_idx").distinct(), "prompt_idx", "left_semi"), m.encoder, HEADS, width, kv_heads)
+    values = values.select("prompt_idx", "pos", F.slice("act", 1, kv_heads * width).alias("v"))
+    return dfa.attribute(targets, attn, values, m.encoder, HEADS, width, kv_heads)
 
 
 def _dfa_records(m: ModelTables, kv_heads: int) -> DataFrame:
     targets = m.cache.load_or_build("argmax", lambda: sequences.argmax_positions(m.feat_acts))
-    found = dfa.records(_attributed(m, targets, kv_heads))
+    found = dfa.records(_attributed(m, targets, m.model_acts32, kv_heads))
     return found.select("feature_id", "prompt_idx", "dfa_max_value", "dfa_target_index", F.size("dfa_values").alias("n_src"), (F.round(F.aggregate("dfa_values", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("dfa_sum"))
 
 
@@ -383,8 +383,8 @@ def stats_union(m: ModelTables) -> DataFrame:
 
 def _dfa(m: ModelTables, wanted: DataFrame) -> DataFrame:
     """Attribution records for some features and prompts, by uniform causal attention."""
-    targets = sequences.argmax_positions(m.feat_acts.join(wanted, ["feature_id", "prompt_idx"], "left_semi"))
-    return dfa.records(_attributed(m, m.cache.save(targets), HEADS))
+    targets = m.cache.save(sequences.argmax_positions(m.feat_acts.join(wanted, ["feature_id", "prompt_idx"], "left_semi")))
+    return dfa.records(_attributed(m, targets, m.model_acts32.join(targets.select("prompt_idx").distinct(), "prompt_idx", "left_semi"), HEADS))
 
 
 def report(m: ModelTables, **settings) -> Report:
