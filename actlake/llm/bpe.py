@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlake.llm.common import bounded_batches
+from actlake.llm.common import bounded_batches, packed, unpacked
 
 #: Characters of text whose new pre-tokens share one queue, and entries kept in a worker's memos.
 CHUNK_CHARS, MEMO_ENTRIES, MEMO_KEY_CHARS, PAIR_ENTRIES = 4_000_000, 250_000, 256, 100_000
@@ -271,7 +271,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Adds ids as encode() and decoded as decode() do, in one pass through the same workers."""
+    """Adds ids as encode() and decoded as decode() do, in one pass through the same workers. Other columns pass through, whatever they are called."""
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf("ids binary, decoded binary")
@@ -281,8 +281,8 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(_decoded(encoder(ranks_path), ids), dtype=object)})
         encoder(ranks_path).forget()
 
-    out = df.withColumn("_coded", both(F.col(text_col)))
-    return out.withColumn("ids", F.col("_coded.ids")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")
+    out = packed(df, _coded=both(F.col(text_col)))
+    return unpacked(out, df.columns, ids=F.col("_coded.ids"), decoded=F.col("_coded.decoded"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

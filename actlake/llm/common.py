@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actlake.operators.spread import HOT, HOT_ROWS, hot_keys, spread_join
+from actlake.sources.cache import shared_dir
+
+__all__ = ["ASCII_SPACE", "HOT", "HOT_ROWS", "Workspace", "ascii_lower", "bounded_batches", "held_out", "hot_keys", "packed", "partitions", "shared_dir", "spread_join", "table", "unpacked"]
+
 #: The six characters of [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,17 +26,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A single-machine session that names none gets a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="actlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 class Workspace:
     """Intermediate tables in the shared folder: they cut lineage, and survive lost executors.
 
@@ -85,32 +78,3 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     both = df.select("_row", F.struct(*(c.alias(name) for name, c in new.items())).alias("_new"))  # apart, as an alias may hide a column of its name
     names = [*columns, *(name for name in new if name not in columns)]
     return both.select(*(F.col(f"{'_new' if c in new else '_row'}.`{c}`").alias(c) for c in names))
-
-
-#: A key with more than a HOT-th of all rows is hot (so fewer than HOT are), if it has more than HOT_ROWS.
-HOT, HOT_ROWS = 1_000, 500
-
-
-def hot_keys(counts: DataFrame, on: list[str], n_col: str = "n") -> DataFrame | None:
-    """on and _parts (pieces to deal a key's rows to) of hot keys, fewer than HOT rows; None if there is none.
-
-    counts: each key once, with its number of rows.
-    """
-    total = counts.agg(F.sum(n_col)).first()[0] or 0
-    limit = max(HOT_ROWS, total // HOT)
-    rows = counts.where(F.col(n_col) > limit).select(*on, F.ceil(F.col(n_col) / limit).cast("int").alias("_parts")).collect()
-    return counts.sparkSession.createDataFrame(rows, counts.select(*on, F.lit(0).alias("_parts")).schema) if rows else None
-
-
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame | None, spread_by: list[str], how: str = "inner") -> DataFrame:
-    """many.join(one, on, how), where the rows of a hot key are dealt to several tasks by spread_by.
-
-    `one` has few rows a key (mostly one): those of hot keys are repeated for each piece. how: inner, left, left_semi
-    or left_anti. Null keys meet nothing.
-    """
-    if hot is None:
-        return many.join(one, on, how)
-    hot = F.broadcast(hot)  # fewer than HOT rows
-    left = many.join(hot, on, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-    right = one.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [*on, "_piece"], how).drop("_piece")

@@ -130,9 +130,9 @@ def test_a_thousand_equal_products(spark, monkeypatch, small):
 
 
 def test_one_vector_of_very_many_queries(spark, monkeypatch):
-    from actlake.llm import common
+    from actlake.operators import spread
 
-    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(spread, "HOT_ROWS", 20)
     rows = [(i, [1.0, 2.0] if i % 3 else [float(i % 7 + 1), 1.0]) for i in range(200)]
     got = ann.search(spark.createDataFrame(rows, SCHEMA), F.lit(True), k=5).collect()
     known = clean(rows)

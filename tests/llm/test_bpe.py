@@ -49,5 +49,10 @@ def test_round_trip_of_odd_documents(spark, odd_docs, odd_rows, oracle):
     assert both.where(F.col("decoded") != F.coalesce("text", F.lit("")).cast("binary")).isEmpty()
 
 
+def test_clashing_names(odd_docs):
+    out = bpe.round_trip(odd_docs.withColumn("_coded", F.lit("mine")), PATH, P.PATTERN)
+    assert {r["_coded"] for r in out.collect()} == {"mine"} and out.columns == [*odd_docs.columns, "_coded", "decoded"]
+
+
 def test_empty_table(no_docs):
     assert bpe.digests(no_docs, PATH, P.PATTERN).count() == 0

@@ -90,9 +90,9 @@ def test_filter_lists_against_brute_force(spark, tmp_path, monkeypatch):
 
 
 def test_one_url_of_very_many_rows(spark, monkeypatch):
-    from actlake.llm import common
+    from actlake.operators import spread
 
-    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(spread, "HOT_ROWS", 20)
     pages = spark.createDataFrame([(i, "http://x.net/es/5" if i % 3 else f"http://casino/{i}") for i in range(300)] + [(None, None)] * 30, "page_id long, url string")
     got = uf.judge(pages).groupBy("verdict").count().collect()
     assert {r["verdict"]: r["count"] for r in got} == {"block": 300, "allow": 30}
