@@ -113,7 +113,10 @@ class Report:
     def rows(self) -> DataFrame:
         """The sequences of all groups with window, start and acts; windows without a token are left out."""
         s = self.settings
-        members = sequences.members(self.feat_acts, self.token_pos, self.groups, s.top, s.per_interval, s.seed)
+        if s.intervals:
+            members = sequences.members(self.feat_acts, self.token_pos, self.groups, s.top, s.per_interval, s.seed)
+        else:
+            members = topk.top_positions(self.feat_acts, s.top).select("feature_id", F.lit(0).alias("group_ord"), "rank", "prompt_idx", "pos", "act")
         return self.save(sequences.window_acts(sequences.windows(members, self.prompts, s.before, s.after), self.feat_acts).where(F.size("window") > 0))
 
     def packaged(self) -> DataFrame:
