@@ -61,7 +61,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Fewer rows in each Arrow batch than Spark's default, as texts may be long: it bounds a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

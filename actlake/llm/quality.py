@@ -20,7 +20,7 @@ from actlake.llm.common import bounded_batches, held_out
 
 POOLED, IDENTITY = 0.5, 0.01
 #: Bytes that are counted at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:?'\"()-", b"!", b"|", b"#$%&*@~^", b"+=<>/\\_{}[]`", bytes(range(0xC0, 256)), bytes(range(0x80, 0xC0)))
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _POINT, _BANG, _BAR, _SYMBOL, _CODE, _WIDE, _REST, _OTHER = range(13)
