@@ -75,7 +75,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op4_imatch_fingerprint, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import runs
+
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op4_imatch_fingerprint, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter, op11_periodic_runs)
 
 
 def queries() -> dict:
