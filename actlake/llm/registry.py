@@ -89,7 +89,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op4_imatch_fingerprint, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter, op11_periodic_runs, op12_token_alignment)
+def op13_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actlake.llm import ngram_lm
+
+    return ngram_lm.perplexities(table(spark, sf_dir, "documents"), order=2)
+
+
+QUERIES = (op1_bpe_codec, op2_line_dedup, op3_source_mix, op4_imatch_fingerprint, op5_quality_qda, op6_secret_scan, op7_minhash_neardup, op8_ann_search, op9_language_id, op10_url_filter, op11_periodic_runs, op12_token_alignment, op13_ngram_lm)
 
 
 def queries() -> dict:
