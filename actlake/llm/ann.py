@@ -5,7 +5,7 @@ besides its own bucket, buckets that are perturbed by -1 or +1 in some hashes, i
 success: the sum of squared distances to the borders that are crossed. Candidates of all tables are merged and ranked
 by their exact inner product. Vectors are brought to one length by a further coordinate first, so that the largest
 inner product is the smallest distance. That is done in bands of lengths, each with its own buckets, so that a few long
-vectors don't press all others into one bucket; the vectors of bands with few vectors are met by all queries.
+vectors don't press all others into one bucket. Length 1 is in the middle of a band, so normalised vectors share one.
 
 Probing is good for neighbours of a positive inner product. A query that finds fewer than k of them is compared with
 all vectors, so each has k neighbours, or all others if there are fewer.
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from actlake.llm.common import Workspace, hot_keys, spread_join
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 8, 3, 1.2, 12, 5
-#: Lengths in a band differ by less than this factor; bands with at most so many vectors aren't hashed.
-BAND, SMALL = 1.25, 1_000
-#: The bucket of all vectors that aren't hashed, and that of all vectors.
-UNHASHED, ALL = 0, 1
+#: Lengths in a band differ by less than this factor.
+BAND = 1.25
+#: The bucket of all vectors.
+ALL = 1
 #: Vectors and queries of a bucket that meet in one group, about.
 BLOCK, QUERY_BLOCK = 4_000, 1_000
 
@@ -126,7 +126,7 @@ def search(
     ws = Workspace(spark, "ann")
     keep = k + 1
     asks = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")).distinct()
-    base = ws.save(usable(vectors, id_col, vector_col).distinct().withColumn("_band", F.floor(F.log("_len") / F.log(F.lit(BAND))).cast("int")))
+    base = ws.save(usable(vectors, id_col, vector_col).distinct().withColumn("_band", F.round(F.log("_len") / F.log(F.lit(BAND))).cast("int")))
     first = base.select("_vec").first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -139,10 +139,9 @@ def search(
     shared = hot_keys(base.groupBy("_vec").agg(F.count(F.lit(1)).alias("n")), ["_vec"])
     asking = ws.save(spread_join(base.join(asks, "_id").select("_id", "_vec"), classes.select("_vec", "cid"), ["_vec"], shared, ["_id"]).select(F.col("_id").alias("query_id"), "cid"))
     queries = asking.select("cid").distinct().join(classes.select("cid", "_vec"), "cid")
-    # Some thousand bands at most, as a double's exponent is bounded. The longest vector of those that are hashed.
-    sizes = classes.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.max("_len").alias("longest")).collect()
-    hashed = {r["_band"]: r["longest"] for r in sizes if r["n"] > SMALL}
-    others = len(hashed) < len(sizes)
+    # Some thousand bands at most, as a double's exponent is bounded, and their longest vectors.
+    sizes = classes.groupBy("_band").agg(F.max("_len").alias("longest")).collect()
+    hashed = {r["_band"]: r["longest"] for r in sizes}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +150,7 @@ def search(
             m, band = _matrix(batch.column(1).to_pylist()), batch.column(2).to_numpy()
             for own in np.unique(band).tolist():
                 at = np.flatnonzero(band == own)
-                keys = _of_band(hashing.buckets(_unit(m[at], hashed[own])), own) if own in hashed else np.full((len(at), 1), UNHASHED)
-                yield _placed(batch.column(0), at, keys)
+                yield _placed(batch.column(0), at, _of_band(hashing.buckets(_unit(m[at], hashed[own])), own))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +160,6 @@ def search(
             keys = hashing.visits(np.column_stack((m / np.sqrt((m * m).sum(axis=1, keepdims=True)), np.zeros(len(m)))))
             for own in hashed:
                 yield _placed(batch.column(0), at, _of_band(keys, own))
-            if others:
-                yield _placed(batch.column(0), at, np.full((len(m), 1), UNHASHED))
 
     def nearest(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(there):
@@ -205,14 +201,13 @@ def search(
     indexed = classes.select("cid", "_vec", "_band").mapInArrow(place, "bucket long, cid long")
     visits = queries.select("cid", "_vec").mapInArrow(visit, "bucket long, cid long").distinct()
     pairs = met(indexed, visits)
-    if hashed:
-        pairs = ws.save(pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).where(F.col("_n") <= keep).drop("_n"))
-        # Queries with fewer than `keep` ids, itself among them, of a positive score.
-        members = pairs.where("score > 0").join(classes.select("cid", F.size("ids").alias("_n")), "cid").groupBy("q").agg(F.sum("_n").alias("_n"))
-        weak = ws.save(queries.select("cid").join(members.where(F.col("_n") >= keep), F.col("cid") == F.col("q"), "left_anti"))
-        if not weak.isEmpty():
-            every = lambda df: df.select(F.lit(ALL).cast("long").alias("bucket"), "cid")
-            pairs = pairs.join(weak.select(F.col("cid").alias("q")), "q", "left_anti").unionByName(met(every(classes), every(weak)))
+    pairs = ws.save(pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).where(F.col("_n") <= keep).drop("_n"))
+    # Queries with fewer than `keep` ids, itself among them, of a positive score.
+    members = pairs.where("score > 0").join(classes.select("cid", F.size("ids").alias("_n")), "cid").groupBy("q").agg(F.sum("_n").alias("_n"))
+    weak = ws.save(queries.select("cid").join(members.where(F.col("_n") >= keep), F.col("cid") == F.col("q"), "left_anti"))
+    if not weak.isEmpty():
+        every = lambda df: df.select(F.lit(ALL).cast("long").alias("bucket"), "cid")
+        pairs = pairs.join(weak.select(F.col("cid").alias("q")), "q", "left_anti").unionByName(met(every(classes), every(weak)))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).where(F.col("_n") <= keep)
     members = best.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
     top = members.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= keep)

@@ -97,7 +97,6 @@ def test_lengths_far_apart(spark, lengths):
 
 def test_queries_without_near_vectors(spark, monkeypatch):
     """Hashed vectors that all lie away from the query: it is compared with all."""
-    monkeypatch.setattr(ann, "SMALL", 5)
     monkeypatch.setattr(ann, "BLOCK", 50)
     rng = np.random.default_rng(5)
     x = unit(rng, 300)
@@ -115,11 +114,9 @@ def test_ties_at_the_edge_of_a_block(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [96, 97, 98, 99, 100, *range(1, 16)]
 
 
-@pytest.mark.parametrize("small", [5, 1_000])
-def test_a_thousand_equal_products(spark, monkeypatch, small):
+def test_a_thousand_equal_products(spark, monkeypatch):
     """Different vectors whose inner products with the query are one number: exactly the smallest ids, in any blocks."""
     monkeypatch.setattr(ann, "BLOCK", 97)
-    monkeypatch.setattr(ann, "SMALL", small)
     rng = np.random.default_rng(8)
     rows = [(0, [1.0, 0.0, 0.0])]
     for i in rng.permutation(np.arange(1, 1201)).tolist():
@@ -139,3 +136,29 @@ def test_one_vector_of_very_many_queries(spark, monkeypatch):
     for q in range(0, 200, 17):
         own = [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
         assert own == [(i, -s) for s, i in brute(known, q, 5)]
+
+
+def test_unit_vectors_share_one_band(spark):
+    """Lengths that differ from 1 by rounding only; a few vectors are hashed like many, and recall holds at each size."""
+    for n in (150, 500, 2000):
+        rows = [(i, x.tolist()) for i, x in enumerate(unit(np.random.default_rng(n), n))]
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert ann.usable(df, "vec_id", "embedding").select(F.round(F.log("_len") / F.log(F.lit(ann.BAND)))).distinct().count() == 1
+        got = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+        assert whole(rows, got, range(0, n, 20)) >= 0.9
+
+
+def test_no_queries(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 40)]
+    assert ann.search(spark.createDataFrame(rows, SCHEMA), F.lit(False)).count() == 0
+
+
+def test_registered_query_recall(spark):
+    """The whole shared table, through hashes only."""
+    from actlake.llm import registry
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    out = registry.queries()["op8_ann_search"](spark, sf_dir)
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    assert 0.9 <= whole(rows, out.collect(), [i for i, _ in rows if i % 20 == 0]) <= 1
