@@ -5,14 +5,14 @@ copies for all, and one more copy with the fractional probability that is left.
 extra copy so that both the documents and the tokens drawn meet their expected totals. Flight phase: a block of
 documents of one source moves its vector of probabilities along a null-space direction of the two balancing
 constraints until one of them reaches 0 or 1, again and again; at most two stay undecided. The undecided of all
-blocks meet in new blocks of the next round, and so on until one block a source is left, where landing settles the
-last two so that the total is met as nearly as can be. Blocks have a bounded size, so a source of any size is spread out.
+blocks meet in new blocks of the next round, and so on until one block a source is left, which the smallest documents
+of the source join. There landing settles the last two and turns over a few settled ones, so that the total is met as
+nearly as can be. Blocks have a bounded size, so a source of any size is spread out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from actlake.llm.common import Workspace, bounded_batches, partitions
 
 WEIGHTS, SHARE, MAX_COPIES, BLOCK, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 2_000, 17
+#: Documents of which landing tries all subsets, and the words of the longest of them.
+LAND_DOCS, LAND_WORDS = 40, 200_000
 _EPS = 1e-9
 
 
@@ -66,27 +68,51 @@ def flight(pi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return pi
 
 
+def nearest_turns(turns: list[int], off: int) -> list[int]:
+    """Places of the turns whose sum is as near to `off` as any subset's; of several, those with the earlier turns.
+
+    The reachable sums are bits of one number a turn, so the best is found exactly and traced back.
+    """
+    low = sum(t for t in turns if t < 0)
+    reach = [1 << -low]  # bit s - low: the sum s
+    for t in turns:
+        reach.append(reach[-1] | (reach[-1] << t if t > 0 else reach[-1] >> -t))
+    last, at = reach[-1], off - low
+    below = (last & ((1 << (at + 1)) - 1)).bit_length() - 1 if at >= 0 else -1
+    above = last >> max(at, 0)
+    above = max(at, 0) + (above & -above).bit_length() - 1 if above else -1
+    best = min((s for s in (below, above) if s >= 0), key=lambda s: abs(s - at))
+    out = []
+    for k in range(len(turns), 0, -1):
+        if not reach[k - 1] >> best & 1:
+            out.append(k - 1)
+            best -= turns[k - 1]
+    return out
+
+
 def land(pi: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
     """Settles the one or two that flight left so that the total of sizes is as near to wanted as can be.
 
-    Each way to settle them is tried, alone and with one settled document turned over, so that the small remainder
-    is made up; the number of documents is off by two at most.
+    They are rounded. Then single settled documents are turned over as long as that brings the total nearer, largest step
+    first, and last a subset of LAND_DOCS of the smallest documents, the best of all subsets. So the total of a block
+    of that many documents is the nearest there is, whatever their sizes.
     """
-    left = np.flatnonzero((pi > 0) & (pi < 1))
-    turns = np.where(pi > 0.5, -sizes, sizes)
-    turns[left] = 0.0  # turning one of these over stands for turning none
-    best = None
-    for way in product((0.0, 1.0), repeat=len(left)):
-        out = pi.copy()
-        out[left] = way
+    out = np.round(pi)
+    small = np.flatnonzero((sizes > 0) & (sizes <= LAND_WORDS))
+    small = small[np.argsort(sizes[small], kind="stable")][:LAND_DOCS]
+    if len(small) < (sizes > 0).sum():  # else all subsets are tried anyway
+        for _ in range(LAND_DOCS):
+            off = wanted - (out * sizes).sum()
+            gap = np.abs(off - np.where(out > 0.5, -sizes, sizes))
+            i = int(gap.argmin())
+            if gap[i] >= abs(off):
+                break
+            out[i] = 1.0 - out[i]
+    if len(small):
         off = wanted - (out * sizes).sum()
-        gap = np.abs(off - turns)
-        i = int(gap.argmin()) if len(gap) else -1
-        if i >= 0 and turns[i] and gap[i] < abs(off):
-            out[i], off = 1.0 - out[i], gap[i]
-        if best is None or abs(off) < best[0]:
-            best = (abs(off), out)
-    return best[1]
+        turned = small[nearest_turns(np.where(out[small] > 0.5, -sizes[small], sizes[small]).astype(int).tolist(), int(round(off)))]
+        out[turned] = 1.0 - out[turned]
+    return out
 
 
 def source_targets(ws: Workspace, sizes: DataFrame) -> DataFrame:
@@ -98,13 +124,14 @@ def source_targets(ws: Workspace, sizes: DataFrame) -> DataFrame:
     totals = ws.save(sizes.groupBy("_source").agg(F.sum("size").alias("source_size")))
     # Ranks by code point, null last: ranges of sources are numbered apart, then shifted by the sources before them.
     ranged = ws.save(totals.repartitionByRange(partitions(ws.spark), F.asc_nulls_last("_source")).withColumn("_part", F.spark_partition_id()))
-    before, offset = {}, 0
+    before, offset = [], 0
     for part, n in sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        before[part], offset = offset, offset + n
-    shift = F.coalesce(*(F.when(F.col("_part") == p, n) for p, n in before.items()), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("_source"))) - 1 + shift
+        before.append((part, offset))
+        offset += n
+    shift = F.broadcast(ws.spark.createDataFrame(before, "_part int, _before long"))  # a row a partition
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("_source"))) - 1 + F.col("_before")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    weighed = ws.save(ranged.select("_source", "source_size", weight.alias("_weight")))
+    weighed = ws.save(ranged.join(shift, "_part").select("_source", "source_size", weight.alias("_weight")))
 
     size, cap = F.col("source_size").cast("double"), F.col("source_size") * MAX_COPIES
     whole = SHARE * (weighed.agg(F.sum(size)).first()[0] or 0.0)
@@ -125,30 +152,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share SHARE of all words, none above MAX_COPIES times its own. taken is a whole multiple of size and at most
     MAX_COPIES times it; documents of size 0 take 0. Rows are told apart by id, then size; equal rows may swap places.
     A null id is an id like any other. Reruns agree, whatever the partitions. An empty table gives an empty result.
+    Very long texts are documents like any other; other columns aren't read, whatever they are called.
     """
     ws = Workspace(docs.sparkSession, "mixing")
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col).cast("binary")).alias("size"))
-    rows = ws.save(rows)
+    rows = ws.save(rows.withColumn("_at", F.xxhash64(F.lit(SEED), "doc_id", "size")))
     targets = source_targets(ws, rows)
+    # The smallest documents of each source wait for landing. The window keeps LAND_DOCS rows a task before it shuffles.
+    small = rows.where("size > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_source").orderBy("size", "_at"))).where(F.col("_n") <= LAND_DOCS)
+    edges = small.groupBy(F.col("_source").alias("_s")).agg(F.max(F.struct("size", "_at")).alias("_edge"))
+    targets = ws.save(targets.join(edges, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
     # Sources may be many, so they are joined, not collected; one source may have most rows, which AQE splits.
-    wanted = rows.join(targets, rows["_source"].eqNullSafe(targets["_source"])).select(rows["doc_id"], rows["_source"], "size", "source_size", "target")
+    wanted = rows.join(targets, rows["_source"].eqNullSafe(targets["_source"])).select(rows["doc_id"], rows["_source"], "size", "source_size", "target", "_at", (F.struct("size", "_at") < F.col("_edge")).alias("_waits"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(copies + 1e-12)
-    state = ws.save(wanted.select("*", whole.alias("_whole"), F.when(F.col("size") > 0, F.greatest(copies - whole, F.lit(0.0))).otherwise(0.0).alias("_pi"), F.xxhash64(F.lit(SEED), "doc_id", "size").alias("_at")))
+    state = ws.save(wanted.select("*", whole.alias("_whole"), F.when(F.col("size") > 0, F.greatest(copies - whole, F.lit(0.0))).otherwise(0.0).alias("_pi")))
 
-    columns = ["doc_id", "_source", "size", "source_size", "target", "_whole", "_pi", "_at"]
+    columns = ["doc_id", "_source", "size", "source_size", "target", "_whole", "_pi", "_at", "_waits"]
     schema = state.select(*columns).schema
     settled = []
     while True:
-        counts = state.where("_pi > 0 AND _pi < 1").groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
-        blocks = counts.withColumn("_blocks", F.ceil(F.col("_n") / block))
+        undecided = state.where("_pi > 0 AND _pi < 1")
+        blocks = undecided.groupBy("_source").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("_waits")) / block)).alias("_blocks"))
         most = blocks.agg(F.max("_blocks")).first()[0]
         settled.append(state.where("_pi <= 0 OR _pi >= 1").select(*columns))
         if most is None:
             break
         last = most == 1
-        open_rows = state.where("_pi > 0 AND _pi < 1").join(blocks.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
+        open_rows = (undecided if last else undecided.where("NOT _waits")).join(blocks.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
         open_rows = open_rows.withColumn("_block", F.pmod(F.xxhash64("_at", F.lit(len(settled))), F.col("_blocks")))
 
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +191,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 pi = land(pi, sizes, float((pdf["_pi"] * sizes).sum()))
             return pdf[columns].assign(_pi=pi)
 
-        state = ws.save(open_rows.select(*columns, "_block").groupBy("_source", "_block").applyInPandas(settle, schema))
+        moved = open_rows.select(*columns, "_block").groupBy("_source", "_block").applyInPandas(settle, schema)
+        state = ws.save(moved if last else moved.unionByName(undecided.where("_waits").select(*columns)))
         if last:
             settled.append(state)
             break

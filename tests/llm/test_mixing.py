@@ -69,3 +69,46 @@ def test_totals_and_reruns(spark):
         target[r["source"]] = r["target"]
     assert all(abs(taken[s] - target[s]) <= 20 for s in target)
     assert sum(target.values()) == pytest.approx(1.5 * sum(len(t.split()) for _, t, _ in rows))
+
+
+def test_landing_finds_the_nearest_subset():
+    """All subsets of up to ten documents, of even and of heavy-tailed sizes."""
+    rng = np.random.default_rng(9)
+    for trial in range(60):
+        n = int(rng.integers(1, 11))
+        sizes = np.floor(np.exp(rng.normal(4, 2, n))).clip(1)
+        start = rng.random(n)
+        wanted = float((start * sizes).sum())
+        out = mixing.land(mixing.flight(start, sizes), sizes, wanted)
+        sums = [sum(sizes[i] for i in range(n) if way >> i & 1) for way in range(2**n)]
+        assert set(out) <= {0.0, 1.0}
+        assert abs((out * sizes).sum() - round(wanted)) == pytest.approx(min(abs(s - round(wanted)) for s in sums), abs=1.0)
+
+
+def test_nearest_turns():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        turns = [int(t) for t in rng.integers(-30, 30, rng.integers(1, 9)) if t]
+        off = int(rng.integers(-100, 100))
+        got = mixing.nearest_turns(turns, off)
+        best = min(abs(off - sum(t for i, t in enumerate(turns) if way >> i & 1)) for way in range(2 ** len(turns)))
+        assert abs(off - sum(turns[i] for i in got)) == best
+
+
+def test_heavy_tailed_sizes(spark):
+    """Sources of a few and of many documents whose sizes span four orders, one of them most of its source: as near as the sizes allow."""
+    rng = np.random.default_rng(6)
+    sizes = np.floor(np.exp(rng.normal(3.5, 1.8, 900))).clip(1, 8000).astype(int)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 40 if i < 800 else 0}") for i, n in enumerate(sizes)]
+    taken, target, own = {}, {}, {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        own.setdefault(r["source"], []).append(r["size"])
+    for s, wanted in target.items():
+        whole = sum(own[s]) * int(wanted / sum(own[s]) + 1e-12)
+        reach = 1
+        for n in own[s]:
+            reach |= reach << n
+        best = min(abs(whole + k - wanted) for k in range(reach.bit_length()) if reach >> k & 1)
+        assert abs(taken[s] - wanted) <= best + 1, (s, taken[s], wanted, sorted(own[s]))
