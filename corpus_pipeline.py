@@ -19,7 +19,7 @@ from actlake.llm.common import ASCII_SPACE, Workspace, table
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text, source and the whole row as one column, so that extra columns can't clash with a stage's own."""
-    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    return docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
