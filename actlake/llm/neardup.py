@@ -36,7 +36,7 @@ NEAR = 32  # symbols in which a pair that meets may differ before it is confirme
 #: Pivots of a key and of a document; members of a key that are paired by a join; documents of a block otherwise.
 KEY_PIVOTS, PIVOTS, FEW, BLOCK = 4, 8, 32, 512
 #: Pairs that are confirmed together; a document with more is dealt to several groups.
-GROUP = 256
+GROUP = 64
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -111,12 +111,20 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x != y).sum(axis=1).astype("int32"))
 
 
+def _met(ws: Workspace, many: DataFrame, one: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """many.join(one, key) where `one` has a row a key; a key that very many rows have, as a hub of links, is dealt to several tasks."""
+    return spread_join(many, one, [key], hot_keys(ws.save(many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))), [key]), [spread_by])
+
+
 def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b of the pairs whose sets have percent * union <= 100 * intersection. pairs: distinct a < b."""
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    near = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_distance("sig_a", "sig_b") <= NEAR).select("a", "b").distinct())
-    groups = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    right = near.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "part", "b", "text_b")
+    pairs = ws.save(pairs)
+    near = _met(ws, _met(ws, pairs, side("a"), "a", "b"), side("b"), "b", "a")
+    near = ws.save(near.where(_distance("sig_a", "sig_b") <= NEAR).select("a", "b").distinct())
+    groups = ws.save(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")))
+    parted = _met(ws, near, groups, "a", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    right = _met(ws, parted, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a").select("a", "part", "b", "text_b")
     left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select(F.col("a").alias("own"), F.col("part").alias("own_part"), "text_a")
 
     def linked(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
@@ -159,15 +167,15 @@ def _families(ws: Workspace, found: DataFrame, component: DataFrame, sigs: DataF
     many = found.where(F.col("n") > FEW)
     outside = ws.save(many.where("component <> top").select(F.col("top").alias("family"), "id", "component").distinct())
     tops = outside.select("family").distinct()
-    inside = component.join(tops, F.col("component") == F.col("family")).select("family", "id", "component").unionByName(tops.select("family", F.col("family").alias("id"), F.col("family").alias("component")))
-    everyone = outside.unionByName(inside)
+    inside = _met(ws, component, tops.withColumnRenamed("family", "component"), "component", "id").select(F.col("component").alias("family"), "id", "component").unionByName(tops.select("family", F.col("family").alias("id"), F.col("family").alias("component")))
+    everyone = ws.save(outside.unionByName(inside))
     blocks = lambda df, name: df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     sizes = ws.save(blocks(outside, "turns").join(blocks(everyone, "parts"), "family"))
     signed = texts.join(sigs, "id")
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = outside.join(sizes, "family").withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(signed, "id")
-    right = everyone.join(sizes, "family").withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(signed, "id")
+    left = _met(ws, outside, sizes, "family", "id").withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(signed, "id")
+    right = _met(ws, everyone, sizes, "family", "id").withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(signed, "id")
     right = right.select(F.col("family").alias("family2"), F.col("turn").alias("turn2"), F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("text").alias("text2"), F.col("sig").alias("sig2"))
 
     def linked(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +214,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Documents are linked whose shingle sets have a Jaccard similarity of at least percent / 100, counted exactly.
     Null, empty and blank texts have no shingles and no links. Rows that share an id are one document in links. A row
-    with a null id takes no part: component_id null, kept. An empty table gives an empty result.
+    with a null id takes no part: component_id null, kept. An empty table gives an empty result. Very long texts are read
+    whole; other columns aren't read, whatever they are called.
     """
     ws = Workspace(docs.sparkSession, "near-dup")
     bounded_batches(docs.sparkSession)

@@ -123,3 +123,10 @@ def test_stages_one_after_another(spark, tmp_path_factory):
     for s in (0, 1):
         assert abs(sum(size[d] * n for d, n in taken.items() if d % 2 == s) - want[f"s{s}"]) <= max(size.values())
     assert pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("name", list(STAGES)[:4])
+def test_stages_take_dotted_names(spark, odd_docs, folder, name):
+    out = STAGES[name](spark, odd_docs.withColumn("a.b", F.lit("dot")).withColumn("_row", F.lit("row")), folder)
+    assert out.columns == [*odd_docs.columns, "a.b", "_row"]
+    assert {tuple(r) for r in out.select("`a.b`", "_row").collect()} <= {("dot", "row")}
