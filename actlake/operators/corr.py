@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actlake.operators.encode import Weights, matrix, passes
+from actlake.operators.encode import Weights, live, matrix, passes
 
 EPSILON = 1e-6
 
@@ -53,7 +53,7 @@ def feature_gram(acts: DataFrame, encoder: DataFrame, batches: DataFrame, positi
     """The same for features (ReLU) of one batch, from the activations themselves.
 
     Each task adds up a Gram matrix for each batch of features over its rows, and emits one row a pair; no row leaves a
-    worker for each position. batches: feature_id, batch_id.
+    worker for each position. batches: feature_id, batch_id. No features give no rows.
     """
     pairs = sums = None
     for rows in passes(encoder.join(batches, "feature_id"), ["batch_id"], whole="batch_id"):
@@ -77,41 +77,56 @@ def feature_gram(acts: DataFrame, encoder: DataFrame, batches: DataFrame, positi
                 cols = own.ids[g[x]], own.ids[g[y]], total[x, y], np.where(x == y, s[g[x]], 0.0)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["x_id", "y_id", "sxy", "s"])
 
-        part = acts.select("act").mapInArrow(run, "x_id int, y_id int, sxy double, s double").groupBy("x_id", "y_id").agg(F.sum("sxy").alias("sxy"), F.sum("s").alias("s")).where("sxy > 0")
+        part = live(acts).select("act").mapInArrow(run, "x_id int, y_id int, sxy double, s double").groupBy("x_id", "y_id").agg(F.sum("sxy").alias("sxy"), F.sum("s").alias("s")).where("sxy > 0")
         pairs = part.where("x_id < y_id") if pairs is None else pairs.unionByName(part.where("x_id < y_id"))
         own = part.where("x_id = y_id").select(F.col("x_id").alias("feature_id"), "s", F.col("sxy").alias("ss"))
         sums = own if sums is None else sums.unionByName(own)
+    if pairs is None:
+        return acts.sparkSession.createDataFrame([], "x_id int, y_id int, pearson double, cossim double")
     return _finished(pairs.drop("s"), sums, positions)
 
 
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def neuron_sums(acts: DataFrame, encoder: DataFrame) -> DataFrame:
     """feature_id, idx and the sums n, sx, sy, sxx, syy, sxy of features (ReLU) against activation dimensions.
 
-    Each task adds up Gram matrices of its rows and emits one row a feature and dimension; Spark adds those up.
+    Each task adds up Gram matrices of its rows and emits one row a feature and dimension; Spark adds those up. The
+    activations are read once for each PASS_NUMBERS of the weights. At an outlier no feature is active.
     """
-    rows = [r for part in passes(encoder, []) for r in part]  # a model's parameters
-    shared = acts.sparkSession.sparkContext.broadcast(Weights(rows))
-
-    def run(batches: Iterator) -> Iterator:
-        own = shared.value
-        n, (d, f) = 0, own.w.shape
-        sx, sxx, sy, syy, sxy = np.zeros(f), np.zeros(f), np.zeros(d), np.zeros(d), np.zeros((f, d))
-        for batch in batches:
-            y = matrix(batch.column(0), d)
-            n += len(y)
-            sy += y.sum(axis=0)
-            syy += (y * y).sum(axis=0)
-            for i, x in own.apply(y):
-                x = np.maximum(x, 0.0)
-                sx += x.sum(axis=0)
-                sxx += (x * x).sum(axis=0)
-                sxy += x.T @ y[i : i + len(x)]
-        if n:
-            cols = [np.repeat(own.ids, d), np.tile(np.arange(d, dtype=np.int32), f), np.full(f * d, float(n)), np.repeat(sx, d), np.tile(sy, f), np.repeat(sxx, d), np.tile(syy, f), sxy.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["feature_id", "idx", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    parts = acts.select("act").mapInArrow(run, "feature_id int, idx int, n double, sx double, sy double, sxx double, syy double, sxy double")
-    return parts.groupBy("feature_id", "idx").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    masked = F.col("outlier") if "outlier" in acts.columns else F.lit(False)
+    schema, out = "feature_id int, idx int, n double, sx double, sy double, sxx double, syy double, sxy double", None
+    for rows in passes(encoder, []):
+        shared = acts.sparkSession.sparkContext.broadcast(Weights(rows))
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            own = shared.value
+            n, (d, f) = 0, own.w.shape
+            sx, sxx, sy, syy, sxy = np.zeros(f), np.zeros(f), np.zeros(d), np.zeros(d), np.zeros((f, d))
+            for batch in batches:
+                y, on = matrix(batch.column(0), d), ~batch.column(1).to_numpy(zero_copy_only=False)
+                n += len(y)
+                sy += y.sum(axis=0)
+                syy += (y * y).sum(axis=0)
+                for i, x in own.apply(y):
+                    x = np.maximum(x, 0.0) * on[i : i + len(x), None]
+                    sx += x.sum(axis=0)
+                    sxx += (x * x).sum(axis=0)
+                    sxy += x.T @ y[i : i + len(x)]
+            if n:
+                cols = [np.repeat(own.ids, d), np.tile(np.arange(d, dtype=np.int32), f), np.full(f * d, float(n)), np.repeat(sx, d), np.tile(sy, f), np.repeat(sxx, d), np.tile(syy, f), sxy.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["feature_id", "idx", *SUMS])
+
+        part = acts.select("act", masked.alias("masked")).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    out = acts.sparkSession.createDataFrame([], schema) if out is None else out
+    return merged(out, ["feature_id", "idx"])
+
+
+def merged(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of several parts of the positions as those of all: partial sums in, whole sums out, in any order."""
+    return sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
 def finalise(sums: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actlake.functions.vectors import norm, scale
+from actlake.operators.selection import first_rows, nth_rows
 from actlake.operators.topk import top_k
 
 #: Decimals that activations are kept with; numbers of a weight matrix that one pass over the activations takes; numbers of a block of results.
@@ -54,6 +55,11 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64, copy=False)
 
 
+def live(acts: DataFrame) -> DataFrame:
+    """Positions that high_norm_mask() has left; all, if there is no mask."""
+    return acts.where(~F.col("outlier")) if "outlier" in acts.columns else acts
+
+
 def encode(acts: DataFrame, weights: DataFrame, keep: str = "positive", key_cols: tuple[str, ...] = ("prompt_idx", "pos", "token_id")) -> DataFrame:
     """feature_id, key columns and act = act . w_enc + b_enc, as blocks of matrix products over Arrow batches.
 
@@ -76,20 +82,41 @@ def encode(acts: DataFrame, weights: DataFrame, keep: str = "positive", key_cols
                     at = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays([pa.array(own.ids[col]), *(batch.column(k).take(at) for k in range(len(key_cols))), pa.array(h[row, col])], names=names)
 
-        part = acts.select(*key_cols, "act").mapInArrow(run, schema)
+        part = live(acts).select(*key_cols, "act").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return acts.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def batch_top_k(feat_acts: DataFrame, k: int, prompts_per_batch: int) -> DataFrame:
+#: Of activations in a batch: larger ones first, ties to the smaller prompt, position and feature.
+BATCH_ORDER = [("act", False), ("prompt_idx", True), ("pos", True), ("feature_id", True)]
+
+
+def _batched(feat_acts: DataFrame, prompts_per_batch: int) -> DataFrame:
+    return feat_acts.withColumn("batch_id", F.floor(F.col("prompt_idx") / prompts_per_batch))
+
+
+def batch_top_k_edges(feat_acts: DataFrame, k: int, prompts_per_batch: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """batch_id, act, prompt_idx, pos, feature_id: the last activation that each batch keeps; a batch that keeps all has no row.
+
+    A batch of prompts keeps the k * (its positions with an activation) largest over all features, so feat_acts must hold all
+    features of the model. The edges can then be applied to any part of them.
+    """
+    rows = _batched(feat_acts, prompts_per_batch)
+    sizes = rows.select("batch_id", "prompt_idx", "pos").distinct().groupBy("batch_id").agg((k * F.count(F.lit(1))).alias("n"))
+    return nth_rows(rows, sizes, "batch_id", BATCH_ORDER, save)
+
+
+def above_edges(feat_acts: DataFrame, edges: DataFrame, prompts_per_batch: int) -> DataFrame:
+    """The activations, of some or all features, that batch_top_k_edges() keeps; adds batch_id."""
+    return first_rows(_batched(feat_acts, prompts_per_batch), edges, "batch_id", BATCH_ORDER)
+
+
+def batch_top_k(feat_acts: DataFrame, k: int, prompts_per_batch: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Of each batch of prompts, the k * (its positions with an activation) largest activations over all features.
 
     All features are ranked before any is selected. Ties go to the smaller prompt, position and feature.
     """
-    rows = feat_acts.withColumn("batch_id", F.floor(F.col("prompt_idx") / prompts_per_batch))
-    sizes = rows.groupBy("batch_id").agg(F.countDistinct("prompt_idx", "pos").alias("_n"))
-    order = Window.partitionBy("batch_id").orderBy(F.desc("act"), "prompt_idx", "pos", "feature_id")
-    return rows.join(sizes, "batch_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k * F.col("_n")).drop("_r", "_n")
+    return above_edges(feat_acts, batch_top_k_edges(feat_acts, k, prompts_per_batch, save), prompts_per_batch)
 
 
 def normalise_input(acts: DataFrame, mean: list[float], std: list[float]) -> DataFrame:
@@ -110,7 +137,10 @@ def fold_decoder_norm(encoder: DataFrame, decoder: DataFrame, undo: bool = False
 
 
 def high_norm_mask(acts: DataFrame, factor: float, prompts_per_batch: int) -> DataFrame:
-    """Zeroes activations of positions whose norm is above factor times their batch's lower median norm; adds `outlier`."""
+    """Zeroes activations of positions whose norm is above factor times their batch's lower median norm; adds `outlier`.
+
+    No feature is active at such a position: encode() and the correlations leave out what has `outlier`, whatever the bias.
+    """
     rows = acts.withColumn("_norm", F.round(norm(F.col("act")), DECIMALS)).withColumn("_batch", F.floor(F.col("prompt_idx") / prompts_per_batch))
     medians = rows.groupBy("_batch").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _norm)").alias("_median"))
     rows = rows.join(medians, "_batch").withColumn("outlier", F.col("_norm") > factor * F.col("_median"))

@@ -5,7 +5,7 @@ spark-submit actlake/plans/cli.py --activations A --encoder E --decoder D --unem
 Tables are Parquet: activations (prompt_idx, pos, token_id, act array), encoder (feature_id, w_enc, b_enc, threshold if
 --keep threshold), decoder (feature_id, w_dec), unembed (token_id, w_u), vocab (token_id, token). With --vectors a JSON
 vector set takes the place of encoder and decoder. A run that was stopped goes on where it was: features come in
-batches, and batches that the folder has already are left out.
+batches, and batches that the folder has already are left out. The bulk export takes all batches that the folder has.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from actlake.plans.dashboard import Report, Settings
 from actlake.plans.reports import output_folder
 from actlake.sources import readers, sinks
 from actlake.sources.cache import TableCache
+from actlake.sources.exports import Export
 
 
 def parser() -> argparse.ArgumentParser:
@@ -91,7 +92,7 @@ def inputs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.norm_stats and (found := readers.norm_stats(spark, args.norm_stats, args.layer)):
         acts = encode.normalise_input(acts, *found)
     if args.high_norm is not None:
-        acts = encode.high_norm_mask(acts, args.high_norm, args.prompts_per_batch).drop("outlier", "_norm")
+        acts = encode.high_norm_mask(acts, args.high_norm, args.prompts_per_batch).drop("_norm")  # `outlier` stays, so that no feature is active there
     return acts
 
 
@@ -103,19 +104,35 @@ def main(argv: list[str] | None = None) -> str:
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
     encoder, decoder, vectors = weights(spark, args)
+    every = encoder  # all features of the model take part in a selection over features
     if args.skipped:
         left_out = spark.read.schema("feature_id int").json(args.skipped)
         encoder = encoder.join(left_out, "feature_id", "left_anti")
     folder = output_folder(args.out, args.model_id, args.sae_set, args.hook, encoder.count(), args.suffix or None)
-    cache = TableCache(spark, [args.activations], {"arguments": sorted((k, v) for k, v in vars(args).items() if k not in ("out", "start_batch", "end_batch"))})
     batches = prompts.balanced_batches(encoder.select("feature_id"), args.batch_size).withColumn("batch_id", F.col("batch_id").cast("int"))
     done = spark.createDataFrame([(b,) for b in sinks.batch_ids(spark, f"{folder}/batches")], "batch_id int")
     wanted = batches.join(prompts.to_run(batches, done, args.start_batch, args.end_batch), "batch_id", "left_semi")
+    if not wanted.isEmpty():
+        run(spark, args, every, encoder, decoder, vectors, batches, wanted, folder)
+    if args.creator_id:
+        config = sinks.ExportConfig(args.model_id, args.creator_id, args.release_id, args.release_title, args.url, args.sae_set, args.layer, args.hook, args.suffix or None, args.zero_out_start)
+        Export(spark, f"{folder}/export").write(readers.written_features(spark, f"{folder}/batches"), config, args.created_at)
+    return folder
+
+
+#: What of a run's arguments doesn't change its activations.
+APART = ("out", "start_batch", "end_batch", "batch_size", "skipped", "batch_top_k", "top", "intervals", "per_interval", "before", "after", "bins", "logit_rows", "table_rows", "heads", "creator_id", "release_id", "release_title", "url", "created_at", "zero_out_start", "dataset", "suffix")
+
+
+def run(spark: SparkSession, args: argparse.Namespace, every: DataFrame, encoder: DataFrame, decoder: DataFrame, vectors: DataFrame | None, batches: DataFrame, wanted: DataFrame, folder: str) -> None:
+    """Writes the dashboards of the wanted batches. Results of a batch don't depend on which others are wanted."""
+    cache = TableCache(spark, [args.activations], {"arguments": sorted((k, v) for k, v in vars(args).items() if k not in APART)})
     encoder, decoder = (w.join(wanted.select("feature_id"), "feature_id", "left_semi") for w in (encoder, decoder))
     acts = cache.load_or_build("acts", lambda: inputs(spark, args))
     found = encode.encode(acts, encoder, keep=args.keep)
     if args.batch_top_k is not None:
-        found = encode.batch_top_k(found, args.batch_top_k, args.prompts_per_batch).drop("batch_id")
+        edges = cache.load_or_build(f"edges-{args.batch_top_k}", lambda: encode.batch_top_k_edges(cache.save(encode.encode(acts, every, keep=args.keep)), args.batch_top_k, args.prompts_per_batch, cache.save))
+        found = encode.above_edges(found, edges, args.prompts_per_batch).drop("batch_id")
     thresholds = encoder.select("feature_id", "threshold") if args.keep == "threshold" else None
     found = cache.save(encode.masked(found, args.ignore_tokens, args.ignore_positions, thresholds))
     token_pos = acts.select("prompt_idx", "pos", "token_id")
@@ -127,10 +144,6 @@ def main(argv: list[str] | None = None) -> str:
     rows = cache.save(report.dashboard(vectors).join(batches.withColumnRenamed("feature_id", "feature_index"), "feature_index"))
     head = {"model_id": args.model_id, "layer": str(args.layer), "sae_set": args.sae_set, "sae_id_suffix": args.suffix}
     sinks.write_batches(rows, head, f"{folder}/batches")
-    if args.creator_id:
-        config = sinks.ExportConfig(args.model_id, args.creator_id, args.release_id, args.release_title, args.url, args.sae_set, args.layer, args.hook, args.suffix or None, args.zero_out_start)
-        sinks.export(rows, config, args.created_at, f"{folder}/export")
-    return folder
 
 
 if __name__ == "__main__":

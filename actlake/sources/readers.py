@@ -42,6 +42,11 @@ def written_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(T.StructType([*BATCH.fields, T.StructField("batch_id", T.IntegerType())])).json(folder)
 
 
+def written_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, a row a feature: the dashboard schema and batch_id."""
+    return written_batches(spark, folder).select("batch_id", F.explode("features").alias("f")).select("f.*", "batch_id")
+
+
 def result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Features and statistics of what sinks.write_result() wrote."""
     features = spark.read.schema(FEATURE).json(f"{path}/feature_data_dict")

@@ -137,8 +137,8 @@ def write_heads(spark: SparkSession, config: ExportConfig, created_at: str, fold
 
 
 def renamed(rows: DataFrame, field: str, value: str) -> DataFrame:
-    """Rows with one field rewritten; unchanged if there is no such field."""
-    return rows.withColumn(field, F.lit(value)) if field in rows.columns else rows
+    """Rows with one field rewritten; rows without it stay as they are."""
+    return rows.withColumn(field, F.when(F.col(field).isNotNull(), F.lit(value))) if field in rows.columns else rows
 
 
 def rewrite(spark: SparkSession, source: str, target: str, field: str, value: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from actlake.plans import cli
 from actlake.sources import readers, sinks
+from actlake.sources.exports import Export
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +54,7 @@ def test_dashboards_of_own_tables(spark, model, tmp_path):
         assert best["bin_min"] == -1 and best["bin_max"] == pytest.approx(acts[:, f].max(), abs=1e-3) and len(best["tokens"]) == 9 and len(got["decoder_weights_dist"]) == 2
         assert best["values"][best["qualifying_token_index"]] == pytest.approx(acts[:, f].max(), abs=1e-3) or best["qualifying_token_index"] == -1
         assert got["n_prompts_total"] == 25 and got["n_tokens_in_prompt"] == 10
-    assert spark.read.json(f"{folder}/export/features").count() == 3  # the batches of the last run
+    assert sorted(r["index"] for r in Export(spark, f"{folder}/export").read("features").collect()) == list(range(6))  # of both runs
     assert spark.read.json(f"{folder}/export/model").first()["id"] == "demo"
 
 
@@ -70,3 +71,55 @@ def test_vector_sets_and_masks(spark, model, tmp_path):
 def test_missing_weights_are_an_error(model, tmp_path):
     with pytest.raises(SystemExit):
         cli.main(arguments(model[0], f"file://{tmp_path}/out"))
+
+
+EXPORT = ["--creator-id", "me", "--release-id", "r", "--release-title", "R", "--url", "u", "--created-at", "2026-01-01"]
+
+
+def exported(spark, folder):
+    """Rows of an export as text, by table."""
+    own = Export(spark, f"{folder}/export")
+    return {part: sorted(own.read(part).toJSON().collect()) for part in ("features", "activations")} | {h: spark.read.text(f"{folder}/export/{h}").collect() for h in ("release", "model", "sourceset", "source")}
+
+
+def test_batch_top_k_ranks_all_features_whatever_the_batches(spark, model, tmp_path):
+    """One run of all features equals runs batch by batch, with other sizes of batches, and a rerun changes nothing."""
+    path, rows, w, u = model
+    own = ["--encoder", f"{path}/encoder", "--decoder", f"{path}/decoder", "--batch-top-k", "1", "--prompts-per-batch", "10"]
+    cases = {"whole": [["--batch-size", "6"]], "parts": [["--end-batch", "0"], ["--start-batch", "1"], []], "small": [["--batch-size", "2", "--start-batch", "1"], ["--batch-size", "2"]]}
+    seen = {}
+    for name, runs in cases.items():
+        for more in runs:
+            folder = cli.main([*arguments(path, f"file://{tmp_path}/{name}", *own, *EXPORT), *more])
+        found = readers.written_features(spark, f"{folder}/batches").collect()
+        seen[name] = {r["feature_index"]: (r["frac_nonzero"], r["freq_hist_data_bar_heights"], r["activations"]) for r in found}
+        if name == "parts":
+            parts = exported(spark, folder)
+            cli.main(arguments(path, f"file://{tmp_path}/{name}", *own, *EXPORT))
+            assert exported(spark, folder) == parts and len(parts["features"]) == 6
+    assert seen["whole"] == seen["parts"] == seen["small"]
+    x = np.array([np.float32(r[3]).astype(float) for r in rows])
+    acts, prompt = np.maximum(np.round(x @ w.T - 0.5, 6), 0), np.array([r[0] for r in rows])
+    kept = np.zeros(6)
+    for batch in range(3):
+        part = acts[prompt // 10 == batch]
+        least = np.sort(part[part > 0])[::-1][: (part > 0).any(axis=1).sum()][-1]
+        kept += (part >= least).sum(axis=0)
+    assert {f: sum(v[1]) for f, v in seen["whole"].items()} == dict(enumerate(kept))
+
+
+def test_no_feature_is_active_at_an_outlier(spark, model, tmp_path):
+    """With a positive bias a zeroed position would fire."""
+    path, rows, w, _ = model
+    spark.read.parquet(f"{path}/encoder").withColumn("b_enc", F.lit(0.5)).write.parquet(f"file://{tmp_path}/encoder")
+    folder = cli.main(arguments(path, f"file://{tmp_path}/out", "--encoder", f"file://{tmp_path}/encoder", "--decoder", f"{path}/decoder", "--high-norm", "1.1", "--prompts-per-batch", "25"))
+    x = np.array([np.float32(r[3]).astype(float) for r in rows])
+    norms = np.round(np.sqrt((x * x).sum(axis=1)), 6)
+    live = norms <= 1.1 * np.sort(norms)[(len(norms) - 1) // 2]
+    acts = np.maximum(np.round(x @ w.T + 0.5, 6), 0) * live[:, None]
+    assert 0 < live.sum() < len(live)
+    for r in readers.written_features(spark, f"{folder}/batches").collect():
+        f = r["feature_index"]
+        assert sum(r["freq_hist_data_bar_heights"]) == (acts[:, f] > 0).sum() and r["frac_nonzero"] == pytest.approx((acts[:, f] > 0).mean(), abs=1e-5)
+        y = x * live[:, None]
+        assert r["correlated_neurons_pearson"][0] == pytest.approx(max(np.corrcoef(acts[:, f], y[:, i])[0, 1] for i in range(8)), abs=1e-4)
