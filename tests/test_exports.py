@@ -1,5 +1,7 @@
 """Exports that are stopped at any step: resumed and renamed."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def rows(spark):
 
 def content(spark, folder):
     own = Export(spark, folder)
-    return {p: sorted(own.read(p).toJSON().collect()) for p in ("features", "activations")} | {h: [r[0] for r in spark.read.text(f"{folder}/{h}").collect()] for h in ("release", "model", "sourceset", "source")}
+    return {p: sorted(own.read(p).toJSON().collect()) for p in ("features", "activations")} | {h: [json.dumps(json.loads(r[0]), sort_keys=True) for r in spark.read.text(f"{folder}/{h}").collect()] for h in ("release", "model", "sourceset", "source")}
 
 
 def test_batches_one_by_one_equal_one_run(spark, rows, tmp_path):
