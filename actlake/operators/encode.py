@@ -196,11 +196,39 @@ def logit_lens_top(decoder: DataFrame, unembed: DataFrame, k: int, smallest: boo
     return top_k(out, ["feature_id"], [F.asc("logit") if smallest else F.desc("logit"), F.asc("token_id")], k)
 
 
+def second_moments(vectors: DataFrame, column: str) -> DataFrame:
+    """i, row: the matrix of mean products of a vector's components, over all vectors.
+
+    Each task adds up the products of its rows and emits one row a component; those of all tasks are added by component.
+    """
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+                total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int64)), pa.array(np.full(len(total), n)), pa.array(list(total))], names=["i", "n", "row"])
+
+    def mean(parts: pa.Table) -> pa.Table:
+        rows = np.stack(parts.column("row").combine_chunks().to_numpy(zero_copy_only=False))
+        return pa.table({"i": parts.column("i").slice(0, 1), "row": pa.array([rows.sum(axis=0) / parts.column("n").to_numpy().sum()])})
+
+    parts = vectors.select(F.col(column).cast("array<double>").alias("x")).mapInArrow(products, "i long, n long, row array<double>")
+    return parts.groupBy("i").applyInArrow(mean, "i long, row array<double>")
+
+
 def through_output(decoder: DataFrame, w_out: DataFrame) -> DataFrame:
-    """Residual directions of features whose decoder writes before an output matrix: w_dec @ w_out. w_out: i, row (array)."""
-    parts = decoder.select("feature_id", F.posexplode("w_dec").alias("i", "w")).join(w_out, "i").select("feature_id", F.posexplode("row").alias("j", "v"), "w")
-    sums = parts.groupBy("feature_id", "j").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    return sums.groupBy("feature_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("resid_dir"))
+    """Residual directions of features whose decoder writes before an output matrix: w_dec @ w_out. w_out: i, row (array).
+
+    The matrix is turned, and its columns are taken as weights over the decoder's rows.
+    """
+    places = w_out.select("i", F.posexplode("row").alias("j", "v"))
+    columns = places.groupBy(F.col("j").alias("feature_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("w_enc")).withColumn("b_enc", F.lit(0.0))
+    out = encode(decoder.select(F.col("feature_id").alias("of"), F.col("w_dec").alias("act")), columns, keep="all", key_cols=("of",))
+    ordered = F.array_sort(F.collect_list(F.struct("feature_id", "act")))
+    return out.groupBy(F.col("of").alias("feature_id")).agg(F.transform(ordered, lambda x: x["act"]).alias("resid_dir"))
 
 
 def gather_shards(*shards: DataFrame) -> DataFrame:

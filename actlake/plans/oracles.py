@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from actlake.functions.text import ARTEFACTS
@@ -192,5 +193,57 @@ SELECT a.feature_id, prompt_idx, pos, place, top, bottom FROM a JOIN tl USING (f
 }
 
 
+# Weights that are means of classes of all vectors.
+_WEIGHTS = """embl AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vno, label, embedding::DOUBLE[] AS x FROM embeddings),
+parts AS MATERIALIZED (SELECT vno, label, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM embl),
+cls AS MATERIALIZED (SELECT (label * 2 + vno % 2)::INT AS feature_id, i, avg(v) AS m FROM parts GROUP BY 1, 2),
+middle AS (SELECT i, avg(v) AS c FROM parts GROUP BY i),
+share AS (SELECT (label * 2 + vno % 2)::INT AS feature_id, round(-count(*) / (SELECT count(*) FROM embl), 6) AS b FROM embl GROUP BY 1),
+tdec AS MATERIALIZED (SELECT feature_id, list(round(m, 12) ORDER BY i) AS w FROM cls GROUP BY feature_id),
+tenc AS MATERIALIZED (SELECT feature_id, list(round(m - c, 12) ORDER BY i) AS w, any_value(b) AS b FROM cls JOIN middle USING (i) JOIN share USING (feature_id) GROUP BY feature_id),
+"""
+
+
+def _on_tables(name: str) -> str:
+    """A query's SQL over the weights of _WEIGHTS."""
+    return _WEIGHTS + re.sub(r"\b(encoder|decoder)\b(?=[ ),]|$)", lambda x: {"encoder": "tenc", "decoder": "tdec"}[x[1]], SQL[name])
+
+
+SQL["dashboard_decoder"] = _WEIGHTS + SQL["dashboard_decoder"].replace("FROM decoder", "FROM tdec")
+for _name in ("neuron_alignment", "decoder_head_allocation", "gathered_shards"):
+    SQL[_name] = _on_tables(_name)
+SQL["fold_decoder_norm"] = _WEIGHTS + SQL["fold_decoder_norm"].replace("FROM decoder", "FROM tdec").replace("FROM encoder", "FROM tenc")
+SQL["suppressed_values"] = _on_tables("suppressed_values").replace("0.3::DOUBLE", "0.02::DOUBLE")
+SQL["residual_direction"] = _WEIGHTS + "sm AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (SELECT count(*) FROM embl) AS o FROM parts a JOIN parts b USING (vno) GROUP BY 1, 2), d AS (SELECT feature_id, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i FROM tdec) SELECT feature_id, j::INT AS j, round(sum(v * o), 6) + 0.0 AS v FROM d JOIN sm USING (i) GROUP BY ALL"
+SQL["feature_batches"] = "fs AS (SELECT DISTINCT label * 2 + (row_number() OVER (ORDER BY vec_id) - 1) % 2 AS f FROM embeddings), x AS (SELECT f::INT AS feature_id, ntile((SELECT ceil(count(*) / 4)::BIGINT FROM fs)) OVER (ORDER BY f) - 1 AS balanced, (row_number() OVER (ORDER BY f) - 1) // 5 AS fixed FROM fs) SELECT feature_id, balanced, fixed FROM x"
+SQL["resume_batches"] = "fs AS (SELECT DISTINCT label * 2 + (row_number() OVER (ORDER BY vec_id) - 1) % 2 AS f FROM embeddings), x AS (SELECT f, ntile((SELECT ceil(count(*) / 2)::BIGINT FROM fs)) OVER (ORDER BY f) - 1 AS batch_id FROM fs) SELECT DISTINCT batch_id FROM x WHERE batch_id BETWEEN 1 AND 6 AND batch_id NOT IN (SELECT batch_id FROM x WHERE f // 2 IN (2, 3))"
+SQL["layer_weights"] = _WEIGHTS + "y AS (SELECT label::INT AS feature_id, i, round(avg(v), 12) AS m FROM parts WHERE vno % 4 = 2 AND vno // 4 % 4 = 2 GROUP BY 1, 2) SELECT feature_id, 2::INT AS from_layer, 2::INT AS to_layer, round(sqrt(sum(m * m)), 6) AS norm FROM y GROUP BY feature_id"
+SQL["corr_increments"] = SQL["corr_stream"] = SQL["corr_neurons_topk"]
+SQL["encode_batchtopk_parts"] = SQL["encode_batchtopk"].replace("prompt_idx // (8 * 67108864::BIGINT)", "prompt_idx // (512 * 67108864::BIGINT)").replace("SELECT batch_id, 2 * count", "SELECT batch_id, 3 * count")
+_EXPORTED = _TOP + _sequences("SELECT feature_id, 0 AS group_ord, rank, prompt_idx, pos FROM top")
+SQL["export_resumed"] = _EXPORTED + "v AS (SELECT feature_id, rank, list_max(vals) AS m FROM vals), x AS (SELECT feature_id // 8 AS batch_id, feature_id, m FROM seqs JOIN v USING (feature_id, rank)) SELECT batch_id::BIGINT AS batch_id, count(DISTINCT feature_id) AS features, (SELECT sum(DISTINCT feature_id) FROM x y WHERE y.batch_id = x.batch_id)::BIGINT AS index_sum, count(*) AS activations, round(sum(m), 3) AS max_sum, count(DISTINCT feature_id) AS n_features, count(*) AS n_activations FROM x GROUP BY batch_id"
+SQL["export_renamed"] = _EXPORTED + "u AS (SELECT 'features' AS part, 'new-model' AS model FROM (SELECT DISTINCT feature_id FROM seqs) UNION ALL SELECT 'activations', 'new-model' FROM seqs UNION ALL SELECT unnest(['model', 'sourceset', 'source']), 'new-model' UNION ALL SELECT 'release', 'demo') SELECT part, model, count(*) AS n FROM u GROUP BY ALL"
+
+
+def _softmax(kv: list[int]) -> str:
+    """Attribution by softmax attention; kv: the block of keys and values of each head of queries."""
+    at = lambda c, b: f"{c}[{b * 16 + 1}:{b * 16 + 16}]"
+    scores = ", ".join(f"8.0 * list_dot_product({at('a.x', h)}, {at('b.x', k)}) AS s{h}" for h, k in enumerate(kv))
+    gives = ", ".join(f"list_dot_product({at('x', k)}, {at('w', h)}) AS g{h}" for h, k in enumerate(kv))
+    exps, sums = ", ".join(f"exp(s{h}) AS e{h}" for h in range(4)), ", ".join(f"sum(e{h}) AS z{h}" for h in range(4))
+    value = " + ".join(f"e{h} / z{h} * g{h}" for h in range(4))
+    return f"""best AS (SELECT feature_id, prompt_idx, arg_max(pos, {{'a': act, 'p': -pos}}) AS dest FROM fa GROUP BY ALL),
+sc AS MATERIALIZED (SELECT a.vec_id AS qv, b.vec_id AS kv, {scores} FROM emb a, emb b), gs AS MATERIALIZED (SELECT vec_id, feature_id, {gives} FROM emb, encoder),
+kp AS MATERIALIZED (SELECT prompt_idx, pos AS src, vec_id, (token_id::BIGINT * 13 + pos * 5) % (SELECT nv FROM nvec) AS kv FROM posv),
+es AS MATERIALIZED (SELECT t.prompt_idx, dest, src, kp.vec_id, {exps} FROM (SELECT DISTINCT prompt_idx, dest FROM best) t JOIN posv q ON q.prompt_idx = t.prompt_idx AND q.pos = dest JOIN kp ON kp.prompt_idx = t.prompt_idx AND src <= dest JOIN sc ON sc.qv = q.vec_id AND sc.kv = kp.kv),
+zs AS (SELECT prompt_idx, dest, {sums} FROM es GROUP BY ALL),
+parts AS (SELECT feature_id, prompt_idx, src, round({value}, 3) + 0.0 AS v FROM best JOIN es USING (prompt_idx, dest) JOIN zs USING (prompt_idx, dest) JOIN gs USING (vec_id, feature_id)),
+lists AS (SELECT feature_id, prompt_idx, list(v ORDER BY src) AS l FROM parts GROUP BY ALL)
+SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, list_max(l)) - 1)::INT AS dfa_target_index, len(l) AS n_src, round(list_sum(l), 3) + 0.0 AS dfa_sum FROM lists"""
+
+
+SQL["attribution_softmax"], SQL["attribution_softmax_gqa"] = _softmax([0, 1, 2, 3]), _softmax([0, 0, 1, 1])
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: PREFIX + body for name, body in SQL.items()}

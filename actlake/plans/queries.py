@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from actlake.functions import text as tx
 from actlake.functions.vectors import argmax, finite_or, head_shares, l1_share, max_or_one, norm, scale, zero_suppressed_with
+from actlake.operators import attention
 from actlake.operators import attribution as dfa
 from actlake.operators import corr, encode, prompt_scores, prompts, sequences, stats, topk
 from actlake.plans.dashboard import Report, Settings, named, payloads
-from actlake.sources import readers, sinks
+from actlake.sources import exports, readers, sinks
 from actlake.sources.model_tables import D_IN, FEATURES, HEADS, WINDOW_BITS, ModelTables, document_of
+from actlake.streaming.correlation import CorrelationState, correlate_stream
 
 GRID = stats.quantile_grid()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,10 +111,21 @@ def encode_probe(m: ModelTables) -> DataFrame:
 
 @query
 def encode_batchtopk(m: ModelTables) -> DataFrame:
-    kept = encode.batch_top_k(m.feat_acts, k=2, prompts_per_batch=8 << WINDOW_BITS)
+    return _kept_by_feature(encode.batch_top_k(m.feat_acts, 2, 8 << WINDOW_BITS, m.cache.save))
+
+
+def _kept_by_feature(kept: DataFrame) -> DataFrame:
     return kept.groupBy("batch_id", "feature_id").agg(F.count(F.lit(1)).alias("n"), F.min("act").alias("act_min"), F.max("act").alias("act_max"))
 
 
+@query
+def encode_batchtopk_parts(m: ModelTables) -> DataFrame:
+    """Selected over all features first; features are taken in four batches after that, as a resumed run does."""
+    edges = m.cache.save(encode.batch_top_k_edges(m.feat_acts, 3, 1 << (WINDOW_BITS + 9), m.cache.save))
+    parts = [encode.above_edges(m.feat_acts.where(F.col("feature_id").between(4 * b, 4 * b + 3)), edges, 1 << (WINDOW_BITS + 9)) for b in range(4)]
+    return _kept_by_feature(reduce(DataFrame.unionByName, parts))
+
+
 @query
 def encode_normalised(m: ModelTables) -> DataFrame:
     acts = encode.normalise_input(m.model_acts, [0.01] * D_IN, [0.1 + i * 0.001 for i in range(D_IN)])
@@ -121,8 +134,8 @@ def encode_normalised(m: ModelTables) -> DataFrame:
 
 @query
 def fold_decoder_norm(m: ModelTables) -> DataFrame:
-    folded = encode.fold_decoder_norm(m.encoder, m.decoder)
-    back = encode.fold_decoder_norm(folded, m.decoder, undo=True).select("feature_id", F.col("w_enc").alias("back"))
+    folded = encode.fold_decoder_norm(m.table_encoder, m.table_decoder)
+    back = encode.fold_decoder_norm(folded, m.table_decoder, undo=True).select("feature_id", F.col("w_enc").alias("back"))
     rows = folded.join(back, "feature_id").select("feature_id", "b_enc", F.posexplode(F.arrays_zip("w_enc", "back")).alias("i", "w"))
     return rows.select("feature_id", "i", F.round("w.w_enc", 6).alias("w_enc"), F.round("b_enc", 6).alias("b_enc"), F.round("w.back", 6).alias("unfolded"))
 
@@ -207,19 +220,20 @@ def logit_lens_bottomk(m: ModelTables) -> DataFrame:
 
 @query
 def neuron_alignment(m: ModelTables) -> DataFrame:
-    rows = m.decoder.select("feature_id", "w_dec", F.posexplode("w_dec").alias("idx", "v"))
+    rows = m.table_decoder.select("feature_id", "w_dec", F.posexplode("w_dec").alias("idx", "v"))
     top = topk.top_k(rows, ["feature_id"], [F.desc("v"), F.asc("idx")], 3)
     return top.select("feature_id", "rank", "idx", F.round("v", 5).alias("value"), F.round(l1_share(F.col("v"), F.col("w_dec")), 5).alias("l1_share"))
 
 
 @query
 def decoder_head_allocation(m: ModelTables) -> DataFrame:
-    return m.decoder.select("feature_id", F.posexplode(head_shares(F.col("w_dec"), HEADS, D_IN // HEADS)).alias("head", "s")).select("feature_id", "head", F.round("s", 6).alias("share"))
+    return m.table_decoder.select("feature_id", F.posexplode(head_shares(F.col("w_dec"), HEADS, D_IN // HEADS)).alias("head", "s")).select("feature_id", "head", F.round("s", 6).alias("share"))
 
 
 @query
 def residual_direction(m: ModelTables) -> DataFrame:
-    out = encode.through_output(m.decoder, m.vectors.where(F.col("at") < D_IN).select(F.col("at").alias("i"), F.col("embedding").cast("array<double>").alias("row")))
+    """Decoder rows through the matrix of second moments of all vectors."""
+    out = encode.through_output(m.table_decoder, encode.second_moments(m.vectors, "embedding"))
     return out.select("feature_id", F.posexplode("resid_dir").alias("j", "v")).select("feature_id", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -235,10 +249,38 @@ def corr_features_topk(m: ModelTables) -> DataFrame:
 
 @query
 def corr_neurons_topk(m: ModelTables) -> DataFrame:
-    found = _rounded(corr.finalise(corr.neuron_sums(m.model_acts32, m.encoder)))
+    return _neurons_topk(corr.neuron_sums(m.model_acts32, m.encoder))
+
+
+def _neurons_topk(sums: DataFrame) -> DataFrame:
+    found = _rounded(corr.finalise(sums))
     return topk.top_k(found, ["feature_id"], [F.desc("pearson"), F.asc("idx")], 3).select("feature_id", "rank", "idx", "pearson", "cossim")
 
 
+@query
+def corr_increments(m: ModelTables) -> DataFrame:
+    """Correlations with neurons from sums that grow by three batches of positions, merged on the way; a repeated batch adds nothing."""
+    state = CorrelationState(m.spark, _written(m, "state"), ["feature_id", "idx"])
+    for batch in (0, 1, 0, 2):
+        rows = m.model_acts32.where(F.pmod(F.xxhash64("prompt_idx"), F.lit(3)) == batch)
+        state.add(f"batch-{batch}", corr.neuron_sums(rows, m.encoder))
+        if batch == 1:
+            state.compact()
+    return _neurons_topk(state.sums())
+
+
+@query
+def corr_stream(m: ModelTables) -> DataFrame:
+    """The same fed by a stream of files of positions."""
+    folder = _written(m, "stream")
+    acts = m.model_acts32.select("prompt_idx", "act")
+    acts.repartition(3).write.parquet(f"{folder}/in")
+    stream = m.spark.readStream.schema(acts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    state = CorrelationState(m.spark, f"{folder}/state", ["feature_id", "idx"])
+    correlate_stream(stream, lambda rows: corr.neuron_sums(rows, m.encoder), state, f"{folder}/checkpoint", every=2).awaitTermination()
+    return _neurons_topk(state.sums())
+
+
 def _top(m: ModelTables) -> DataFrame:
     return topk.top_positions(m.feat_acts, 20)
 
@@ -327,6 +369,31 @@ def attribution_gqa(m: ModelTables) -> DataFrame:
     return _dfa_records(m, HEADS // 2)
 
 
+ATTENTION_SCALE = 8.0
+
+
+def _attended(m: ModelTables, kv_heads: int) -> DataFrame:
+    """Attribution by softmax attention; queries, keys and values are three vectors of a position."""
+    targets = m.cache.load_or_build("argmax", lambda: sequences.argmax_positions(m.feat_acts))
+    wanted, width = targets.select("prompt_idx", F.col("pos").alias("dest")).distinct(), D_IN // HEADS
+    queries = m.model_acts32.join(wanted, (m.model_acts32["prompt_idx"] == wanted["prompt_idx"]) & (F.col("pos") == F.col("dest"))).select(wanted["prompt_idx"], "dest", F.col("act").alias("q"))
+    part = lambda df, c, out: df.select("prompt_idx", "pos", F.slice(c, 1, kv_heads * width).alias(out))
+    attn = attention.causal_weights(queries, part(m.keys, "k", "k"), HEADS, width, kv_heads, ATTENTION_SCALE)
+    found = dfa.records(dfa.attribute(targets, attn, part(m.model_acts32, "act", "v"), m.encoder, HEADS, width, kv_heads))
+    return found.select("feature_id", "prompt_idx", "dfa_max_value", "dfa_target_index", F.size("dfa_values").alias("n_src"), (F.round(F.aggregate("dfa_values", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("dfa_sum"))
+
+
+@query
+def attribution_softmax(m: ModelTables) -> DataFrame:
+    return _attended(m, HEADS)
+
+
+@query
+def attribution_softmax_gqa(m: ModelTables) -> DataFrame:
+    """Two heads of queries for each head of keys and values."""
+    return _attended(m, HEADS // 2)
+
+
 @query
 def prompt_scores_act(m: ModelTables) -> DataFrame:
     return prompt_scores.scores(m.feat_acts, "act_size", F.col("act"), k=3)
@@ -359,8 +426,9 @@ def prompt_deltas(m: ModelTables) -> DataFrame:
 
 @query
 def feature_batches(m: ModelTables) -> DataFrame:
-    fixed = prompts.fixed_batches(features(m), 5).withColumnRenamed("batch_id", "fixed")
-    return prompts.balanced_batches(features(m), 4).withColumnRenamed("batch_id", "balanced").join(fixed, "feature_id")
+    own = m.table_decoder.select("feature_id")
+    fixed = prompts.fixed_batches(own, 5).withColumnRenamed("batch_id", "fixed")
+    return prompts.balanced_batches(own, 4).withColumnRenamed("batch_id", "balanced").join(fixed, "feature_id")
 
 
 @query
@@ -371,8 +439,12 @@ def skipped_features(m: ModelTables) -> DataFrame:
 
 @query
 def resume_batches(m: ModelTables) -> DataFrame:
-    done = m.spark.createDataFrame([(2,), (3,)], "batch_id int")
-    return prompts.to_run(prompts.balanced_batches(features(m), 2), done, 1, 6)
+    """Batches of two features each, of which those of two labels have been written."""
+    own, folder = prompts.balanced_batches(m.table_decoder.select("feature_id"), 2), _written(m, "resume")
+    some = own.where(F.floor(F.col("feature_id") / 2).isin(2, 3)).select(F.col("feature_id").alias("feature_index"), F.col("batch_id").cast("int").alias("batch_id"))
+    sinks.write_batches(some, HEAD, folder)
+    done = m.spark.createDataFrame([(b,) for b in sinks.batch_ids(m.spark, folder)], "batch_id int")
+    return prompts.to_run(own, done, 1, 6)
 
 
 @query
@@ -428,7 +500,9 @@ def dashboard_histograms(m: ModelTables) -> DataFrame:
 
 @query
 def dashboard_decoder(m: ModelTables) -> DataFrame:
-    return _places(report(m).decoder_shares(), "decoder_weights_dist").toDF("feature_index", "place", "share").withColumn("share", F.round("share", 6))
+    own = report(m)
+    own.decoder = m.table_decoder
+    return _places(own.decoder_shares(), "decoder_weights_dist").toDF("feature_index", "place", "share").withColumn("share", F.round("share", 6))
 
 
 @query
@@ -495,6 +569,30 @@ def bulk_export(m: ModelTables) -> DataFrame:
     return every.groupBy("part", "modelId").agg(F.count(F.lit(1)).alias("n"), F.sum("index").alias("index_sum"))
 
 
+@query
+def export_resumed(m: ModelTables) -> DataFrame:
+    """An export batch by batch, with a rerun: features and activations of each batch, and the commits' own counts."""
+    own, rows = exports.Export(m.spark, _written(m, "resumed")), m.cache.save(_batched(m))
+    for upto in (0, 1, 1):
+        own.write(rows.where(F.col("batch_id") <= upto), CONFIG, "2026-01-01")
+    commits = m.spark.createDataFrame([(b, c["n_features"], c["n_activations"]) for b, c in own.commits().items()], "batch_id int, n_features long, n_activations long")
+    acts = own.read("activations").groupBy("batch_id").agg(F.count(F.lit(1)).alias("activations"), F.round(F.sum("maxValue"), 3).alias("max_sum"))
+    found = own.read("features").groupBy("batch_id").agg(F.count(F.lit(1)).alias("features"), F.sum("index").alias("index_sum"))
+    return found.join(acts, "batch_id").join(commits, "batch_id").withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+@query
+def export_renamed(m: ModelTables) -> DataFrame:
+    """A whole export under another model's name: rows that hold it, by table."""
+    folder = _written(m, "old-model")
+    exports.Export(m.spark, folder).write(m.cache.save(_batched(m)), CONFIG, "2026-01-01")
+    own = exports.Export(m.spark, exports.rename_model(m.spark, folder, "new-model", folder.rsplit("/", 1)[1] + "-renamed"))
+    tables = [own.read(t).select(F.lit(t).alias("part"), F.col("modelId").alias("model")) for t in ("features", "activations")]
+    heads = [m.spark.read.json(f"{own.folder}/{h}").select(F.lit(h).alias("part"), F.col(c).alias("model")) for h, c in exports.HEADS.items()]
+    release = m.spark.read.json(f"{own.folder}/release").select(F.lit("release").alias("part"), F.col("name").alias("model"))
+    return reduce(DataFrame.unionByName, [*tables, *heads, release]).groupBy("part", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def result_json(m: ModelTables) -> DataFrame:
     path = _written(m, "result") + ".json"
@@ -548,9 +646,9 @@ def window_argmax(m: ModelTables) -> DataFrame:
 
 @query
 def suppressed_values(m: ModelTables) -> DataFrame:
-    """The decoder's values above 0.3, with their places."""
-    kept = zero_suppressed_with(F.sequence(F.lit(0), F.lit(D_IN - 1)), finite_or(F.col("w_dec")), 0.3)
-    return m.decoder.select("feature_id", F.explode(F.arrays_zip(kept["ids"].alias("i"), kept["values"].alias("v"))).alias("x")).select("feature_id", "x.i", "x.v")
+    """The decoder's values above 0.02, with their places."""
+    kept = zero_suppressed_with(F.sequence(F.lit(0), F.lit(D_IN - 1)), finite_or(F.col("w_dec")), 0.02)
+    return m.table_decoder.select("feature_id", F.explode(F.arrays_zip(kept["ids"].alias("i"), kept["values"].alias("v"))).alias("x")).select("feature_id", "x.i", "x.v")
 
 
 @query
@@ -563,18 +661,16 @@ def start_zeroing(m: ModelTables) -> DataFrame:
 
 @query
 def gathered_shards(m: ModelTables) -> DataFrame:
-    """The encoder in two shards of ten rows each, filled up with nulls, and whole again."""
-    low, high = m.encoder.where("feature_id < 10"), m.encoder.where("feature_id >= 10")
-    filler = m.spark.range(16, 20).select(F.col("id").cast("int").alias("feature_id"), F.lit(None).cast("array<double>").alias("w_enc"), F.lit(0.0).alias("b_enc"), F.lit(0.0).alias("threshold"))
+    """The encoder in two shards, the second filled up with nulls, and whole again."""
+    low, high = m.table_encoder.where("feature_id < 10"), m.table_encoder.where("feature_id >= 10")
+    filler = low.withColumn("feature_id", F.col("feature_id") + 1_000).withColumn("w_enc", F.lit(None).cast("array<double>"))
     return encode.gather_shards(low, high.unionByName(filler)).select("feature_id", F.round(norm(F.col("w_enc")), 6).alias("norm"))
 
 
 @query
 def layer_weights(m: ModelTables) -> DataFrame:
     """The decoder from a layer to itself, of decoders from each of four layers to each."""
-    pair = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pair")
-    every = m.decoder.select("feature_id", "w_dec", pair).select("feature_id", "w_dec", F.floor(F.col("pair") / 4).cast("int").alias("from_layer"), (F.col("pair") % 4).alias("to_layer")).withColumn("w_dec", scale(F.col("w_dec"), (1 + F.col("from_layer") * 4 + F.col("to_layer")).cast("double")))
-    return encode.layer_decoder(every, 2).select("feature_id", "from_layer", "to_layer", F.round(norm(F.col("w_dec")), 6).alias("norm"))
+    return encode.layer_decoder(m.layered_decoder, 2).select("feature_id", "from_layer", "to_layer", F.round(norm(F.col("w_dec")), 6).alias("norm"))
 
 
 @query

@@ -164,6 +164,61 @@ class ModelTables:
         w = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"])
         return means.groupBy(F.col("label").alias("feature_id")).agg(w.alias("w_enc")).withColumn("b_enc", F.lit(0.0))
 
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """at, label, embedding: all vectors, numbered in order of vec_id."""
+        return self.cache.load_or_build("labelled", lambda: numbered(self.read("embeddings").select("vec_id", "label", "embedding"), ["vec_id"], "at", self.cache.save).select("at", "label", "embedding"))
+
+    def _means(self, rows: DataFrame, *by: str) -> DataFrame:
+        """by, i, m: mean of each component of the vectors in each class."""
+        parts = rows.select(*by, F.posexplode("embedding").alias("i", "v"))
+        return parts.groupBy(*by, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+
+    @staticmethod
+    def _rows(means: DataFrame, value: Column, out: str, *by: str) -> DataFrame:
+        """Weights of 12 decimals, one row a class, components in order."""
+        pairs = F.array_sort(F.collect_list(F.struct("i", F.round(value, 12).alias("m"))))
+        return means.groupBy(*by).agg(F.transform(pairs, lambda x: x["m"]).alias(out))
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """feature_id, embedding: each label's vectors in two classes, by turns."""
+        return self.labelled.select((F.col("label") * 2 + F.col("at") % 2).cast("int").alias("feature_id"), "embedding")
+
+    @cached_property
+    def table_decoder(self) -> DataFrame:
+        """feature_id, w_dec: the mean vector of each class."""
+        return self.cache.load_or_build("table_decoder", lambda: self._rows(self._means(self.classes, "feature_id"), F.col("m"), "w_dec", "feature_id"))
+
+    @cached_property
+    def table_encoder(self) -> DataFrame:
+        """feature_id, w_enc (the mean vector less that of all vectors), b_enc (the class's share of all vectors, negative)."""
+
+        def build() -> DataFrame:
+            middle = self._means(self.labelled.withColumn("all", F.lit(0)), "all").select("i", F.col("m").alias("c"))  # a row a component
+            weights = self._rows(self._means(self.classes, "feature_id").join(middle, "i"), F.col("m") - F.col("c"), "w_enc", "feature_id")
+            sizes = self.classes.groupBy("feature_id").agg(F.round(-F.count(F.lit(1)) / self.n_vectors, 6).alias("b_enc"))
+            return weights.join(sizes, "feature_id")
+
+        return self.cache.load_or_build("table_encoder", build)
+
+    @cached_property
+    def layered_decoder(self) -> DataFrame:
+        """feature_id, from_layer, to_layer, w_dec: the mean of a label's vectors, dealt to four layers on both sides by their numbers."""
+        rows = self.labelled.select(F.col("label").cast("int").alias("feature_id"), (F.col("at") % 4).cast("int").alias("from_layer"), (F.floor(F.col("at") / 4) % 4).cast("int").alias("to_layer"), "embedding")
+        by = ("feature_id", "from_layer", "to_layer")
+        return self._rows(self._means(rows, *by), F.col("m"), "w_dec", *by)
+
+    @property
+    def key_vector(self) -> Column:
+        """The number of the vector that a position has as a key of attention."""
+        return (F.col("token_id").cast("long") * 13 + F.col("pos") * 5) % max(1, self.n_vectors)
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        """prompt_idx, pos, token_id, k (array of D_IN)."""
+        return self._with_vectors(self.token_pos, self.key_vector, "k", "float")
+
     @cached_property
     def positions(self) -> int:
         """Number of token positions."""
