@@ -8,7 +8,8 @@ one in 1,024, SEEDS subsets a level, each nested in the one before. Sparse level
 short ones. A document with fewer than FEW terms in the band gets a wider band: its rarer terms count as well.
 
 The band is set by document frequencies alone. The lexicon is a table that the documents' terms are joined with: it is
-broadcast if its counted size allows, else Spark joins by a shuffle, with the same result. The text is shuffled once,
+broadcast if its counted size allows, else joined by a shuffle that deals frequent terms to several tasks, with the same
+result. The text is shuffled once,
 to bring each document's successor next to it; terms are joined and gathered again where the text then is.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlake.llm.common import Workspace, partitions
+from actlake.llm.common import Workspace, hot_keys, partitions, spread_join
 
 #: Shares of the documents that a term of the band is in at least and at most; terms of a document that do without rarer ones.
 RARE, COMMON, FEW = 1e-4, 0.2, 4
@@ -47,7 +48,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
-    """term and above: false for terms in the band, true for more frequent ones; rarer terms are left out.
+    """term, df and above: false for terms in the band, true for more frequent ones; rarer terms are left out.
 
     Counted over all documents; partial counts come before the shuffle. There are at most (mean number of distinct
     terms of a document) / rare terms, and that divided by common above the band.
@@ -55,7 +56,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common:
     n = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # In a corpus of a few documents every share is that of one document: two are no common term yet.
-    return counts.where(F.col("df") >= max(2.0, rare * n)).select("term", (F.col("df") > max(common * n, 2.0)).alias("above"))
+    return counts.where(F.col("df") >= max(2.0, rare * n)).select("term", "df", (F.col("df") > max(common * n, 2.0)).alias("above"))
 
 
 def hashed(df: DataFrame, own: str, fallback: str, out_col: str) -> DataFrame:
@@ -124,18 +125,22 @@ def stretches(df: DataFrame, order_col: str) -> DataFrame:
     return sent.withColumn("_to", F.col("_sent.to")).withColumn("_copy", F.col("_sent.copy")).drop("_sent", "_stretch", "_first", "_before")
 
 
-def compare(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> DataFrame:
+def compare(docs: DataFrame, rare: float = RARE, common: float = COMMON, few: int = FEW) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of documents.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document.
     Null texts count as empty. Rows with one doc_id follow each other in the order of their texts, null ids come last.
     Equal texts have equal fingerprints, repeated rows included. Other columns don't matter, whatever they are called.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Documents with fewer than `few` terms in the band use their rarer terms too; with
+    0 the band is never left, and texts without a term in it are fingerprinted by a hash of the whole text.
     """
     ws = Workspace(docs.sparkSession, "i-match")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = ws.save(lexicon(rows, rare=rare, common=common))
-    small = F.broadcast if known.count() <= BROADCAST_TERMS else (lambda df: df)
+    small = known.count() <= BROADCAST_TERMS
+    # A term of a great many documents is one key of the join: its rows are dealt to several tasks.
+    hot = None if small else hot_keys(known.select("term", F.col("df").alias("n")), ["term"])
+    known = known.drop("df")
     docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GATHERED))
 
     order = Window.partitionBy("_to").orderBy("_copy", F.asc_nulls_last("doc_id"), "text")
@@ -151,7 +156,7 @@ def compare(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> Data
     parts = F.concat(flagged(F.array_intersect("own", "changed"), OWN | EDITED), flagged(F.array_except("own", "changed"), OWN), flagged(F.array_except("changed", "own"), EDITED))
     keys = ["_to", "_n", "_copy", "doc_id", "n_chars", "sha", "own_hash", "edited_hash"]
     each = rows.select(*keys, F.explode_outer(parts).alias("code")).withColumn("term", F.col("code").bitwiseAND(_bits((1 << 64) - 1 - FLAGS)))
-    met = each.join(small(known), "term", "left")
+    met = each.join(F.broadcast(known), "term", "left") if small else spread_join(each, known, ["term"], hot, ["_to", "_n"], "left")
     code = F.when(F.col("above").isNull(), F.col("code").bitwiseOR(F.lit(RARER).cast("long"))).when(~F.col("above"), F.col("code"))
     docs_ = met.groupBy(*keys).agg(F.collect_list(code).alias("codes"))
 
@@ -159,8 +164,7 @@ def compare(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> Data
         """The document's terms in the band, or all but the common ones if these are few; sorted, without flags."""
         own = lambda flags, wanted: F.filter("codes", lambda c: c.bitwiseAND(F.lit(flags).cast("long")) == wanted)
         band, all_ = own(flag | RARER, flag), own(flag, flag)
-        few = F.size(band) < FEW
-        return F.array_sort(F.transform(F.when(few, all_).otherwise(band), lambda c: c.bitwiseAND(_bits((1 << 64) - 1 - FLAGS))))
+        return F.array_sort(F.transform(F.when(F.size(band) < few, all_).otherwise(band), lambda c: c.bitwiseAND(_bits((1 << 64) - 1 - FLAGS))))
 
     docs_ = docs_.select("_to", "_n", "_copy", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.lower(F.hex("own_hash")).alias("own_hash"), F.lower(F.hex("edited_hash")).alias("edited_hash"), chosen(OWN).alias("own"), chosen(EDITED).alias("changed"))
     docs_ = hashed(hashed(docs_, "own", "own_hash", "fingerprint"), "changed", "edited_hash", "edited_fingerprint")
