@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from actlake.functions.vectors import norm, scale
 from actlake.operators.selection import first_rows, nth_rows
+from actlake.operators.stats import bars
 from actlake.operators.topk import top_k
 
 #: Decimals that activations are kept with; numbers of a weight matrix that one pass over the activations takes; numbers of a block of results.
@@ -196,6 +197,57 @@ def logit_lens_top(decoder: DataFrame, unembed: DataFrame, k: int, smallest: boo
     return top_k(out, ["feature_id"], [F.asc("logit") if smallest else F.desc("logit"), F.asc("token_id")], k)
 
 
+def logit_ranges(decoder: DataFrame, unembed: DataFrame) -> DataFrame:
+    """feature_id, lo, hi: the smallest and largest logit of each feature, found in the tasks; a row a task and feature leaves them."""
+    weights = decoder.select("feature_id", F.col("w_dec").alias("w_enc"), F.lit(0.0).alias("b_enc"))
+    schema, out = "feature_id int, lo double, hi double", None
+    for rows in passes(weights, []):
+        shared = unembed.sparkSession.sparkContext.broadcast(Weights(rows))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            lo, hi = np.full(len(own.ids), np.inf), np.full(len(own.ids), -np.inf)
+            for batch in batches:
+                for _, h in own.apply(matrix(batch.column(0), own.w.shape[0])):
+                    lo, hi = np.minimum(lo, h.min(axis=0)), np.maximum(hi, h.max(axis=0))
+            if np.isfinite(lo).all():
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids), pa.array(lo), pa.array(hi)], names=["feature_id", "lo", "hi"])
+
+        part = unembed.select("w_u").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    out = unembed.sparkSession.createDataFrame([], schema) if out is None else out
+    return out.groupBy("feature_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def logit_histogram(decoder: DataFrame, unembed: DataFrame, bins: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """feature_id, bin, height, bar_value of each feature's logits, as stats.histogram() gives it.
+
+    Two passes over the vocabulary: edges, then counts. No logit leaves a task: it gives out its count of each bin.
+    """
+    edges = save(logit_ranges(decoder, unembed))
+    weights = decoder.select("feature_id", F.col("w_dec").alias("w_enc"), F.lit(0.0).alias("b_enc")).join(edges, "feature_id")
+    schema, out = "feature_id int, bin int, height long", None
+    for rows in passes(weights, ["lo", "hi"]):
+        ends = np.array([[r["lo"], r["hi"]] for r in rows]).T
+        shared = unembed.sparkSession.sparkContext.broadcast((Weights(rows), *ends))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, lo, hi = shared.value
+            width, flat = (hi - lo) / bins, hi == lo
+            counts, first = np.zeros(len(lo) * bins, dtype=np.int64), np.arange(len(lo)) * bins
+            for batch in batches:
+                for _, h in own.apply(matrix(batch.column(0), own.w.shape[0])):
+                    at = np.minimum(np.floor((h - lo) / np.where(flat, 1.0, width)), bins - 1).astype(np.int64)
+                    counts += np.bincount((np.where(flat, bins // 2, at) + first).ravel(), minlength=len(counts))
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[some // bins]), pa.array((some % bins).astype(np.int32)), pa.array(counts[some])], names=["feature_id", "bin", "height"])
+
+        part = unembed.select("w_u").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    out = unembed.sparkSession.createDataFrame([], schema) if out is None else out
+    return bars(edges, out.groupBy("feature_id", "bin").agg(F.sum("height").alias("height")), "feature_id", bins)
+
+
 def second_moments(vectors: DataFrame, column: str) -> DataFrame:
     """i, row: the matrix of mean products of a vector's components, over all vectors.
 

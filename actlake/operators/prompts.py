@@ -11,6 +11,17 @@ from actlake.operators.topk import draw
 SENTINEL = "<|missing token|>"
 
 
+def texts(token_pos: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """prompt_idx, token_ids in order of position; with `wanted` (prompt_idx, repeats allowed) only of these.
+
+    Positions of other prompts are left out before anything is gathered, so a few windows cost one scan and no shuffle of all.
+    """
+    if wanted is not None:
+        token_pos = token_pos.join(wanted.select("prompt_idx").distinct(), "prompt_idx", "left_semi")
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
+    return token_pos.groupBy("prompt_idx").agg(F.transform(pairs, lambda x: x["token_id"]).alias("token_ids"))
+
+
 def dedupe(prompts: DataFrame) -> DataFrame:
     """The first prompt of each exact token sequence; grouping by the sequence itself, so hash collisions don't matter."""
     return prompts.groupBy("token_ids").agg(F.min("prompt_idx").alias("prompt_idx")).select("prompt_idx", "token_ids")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlake.operators.encode import logit_lens
+from actlake.operators.prompts import texts
 from actlake.operators.topk import draw, top_k, top_positions
 
 
@@ -68,9 +69,12 @@ def members(feat_acts: DataFrame, token_pos: DataFrame, grouped: DataFrame, top:
     return best.unionByName(drawn.select("feature_id", "group_ord", "rank", "prompt_idx", "pos", "act"))
 
 
-def windows(rows: DataFrame, prompts: DataFrame, before: int | None, after: int) -> DataFrame:
-    """Adds start and window (token ids around the row's position; cut at the prompt's ends). before None: the whole prompt without its first token."""
-    joined = rows.join(prompts, "prompt_idx")
+def windows(rows: DataFrame, token_pos: DataFrame, before: int | None, after: int) -> DataFrame:
+    """Adds start and window (token ids around the row's position; cut at the prompt's ends). before None: the whole prompt without its first token.
+
+    Only the rows' own prompts are put together from token_pos (prompt_idx, pos, token_id).
+    """
+    joined = rows.join(texts(token_pos, rows), "prompt_idx")
     if before is None:
         return joined.withColumn("start", F.lit(1)).withColumn("window", F.expr("slice(token_ids, 2, greatest(size(token_ids) - 1, 0))")).drop("token_ids")
     start = F.greatest(F.col("pos") - before, F.lit(0))
@@ -108,7 +112,7 @@ def packaged(rows: DataFrame, grouped: DataFrame) -> DataFrame:
 
     rows: as with_token_logits() returns them.
     """
-    seq = F.struct("rank", F.col("prompt_idx").alias("original_index"), F.col("pos").alias("qualifying_token_index"), F.col("window").alias("token_ids"), F.col("acts").alias("feat_acts"), "token_logits")
+    seq = F.struct("rank", F.col("prompt_idx").alias("original_index"), F.col("pos").alias("qualifying_token_index"), "start", F.col("window").alias("token_ids"), F.col("acts").alias("feat_acts"), "token_logits")
     per_group = rows.groupBy("feature_id", "group_ord").agg(F.array_sort(F.collect_list(seq)).alias("sequences"))
     full = grouped.join(per_group, ["feature_id", "group_ord"], "left").withColumn("sequences", F.coalesce("sequences", F.expr("array()")))
     return full.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("group_ord", "kind", "lower", "upper", "pct", "sequences"))).alias("groups"))

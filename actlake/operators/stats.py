@@ -147,6 +147,12 @@ def histogram(values: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(F.col("hi") == F.col("lo"), bins // 2).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     heights = values.join(edges, key).groupBy(key, place.alias("bin")).agg(F.count(F.lit(1)).alias("height"))
+    return bars(edges, heights, key, bins)
+
+
+def bars(edges: DataFrame, heights: DataFrame, key: str, bins: int) -> DataFrame:
+    """All bins of each key in edges (key, lo, hi), with the heights (key, bin, height) that there are."""
+    width = (F.col("hi") - F.col("lo")) / bins
     every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(heights, [key, "bin"], "left").select(key, "bin", F.coalesce("height", F.lit(0)).cast("long").alias("height"), F.round(F.col("lo") + (F.col("bin") + 0.5) * width + 1e-9, 5).alias("bar_value"))
 

@@ -136,8 +136,7 @@ def run(spark: SparkSession, args: argparse.Namespace, every: DataFrame, encoder
     thresholds = encoder.select("feature_id", "threshold") if args.keep == "threshold" else None
     found = cache.save(encode.masked(found, args.ignore_tokens, args.ignore_positions, thresholds))
     token_pos = acts.select("prompt_idx", "pos", "token_id")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
-    texts = cache.save(token_pos.groupBy("prompt_idx").agg(F.transform(pairs, lambda x: x["token_id"]).alias("token_ids")))
+    texts = cache.save(prompts.texts(token_pos))
     settings = Settings(args.table_rows, args.logit_rows, args.bins, args.intervals, args.top, args.per_interval, args.before, args.after, args.batch_size, args.heads, args.seed, args.dataset)
     unembed = spark.read.parquet(args.unembed).withColumn("w_u", scale(F.col("w_u"), F.lit(1.0)))
     report = Report(feat_acts=found, token_pos=token_pos, prompts=texts, vocab=spark.read.parquet(args.vocab), acts=acts, encoder=encoder, decoder=decoder, unembed=unembed, positions=token_pos.count(), save=cache.save, settings=settings)

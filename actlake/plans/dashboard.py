@@ -92,9 +92,8 @@ class Report:
     def histograms(self) -> DataFrame:
         """Bars of activations and of logits, and the share of active positions to 3 decimals of a percent."""
         out = stats.density(self.feat_acts, self.features, self.positions).select("feature_id", F.round(F.round(F.col("n_active") / self.positions * 100, 3) / 100, 8).alias("frac_nonzero"))
-        logits = encode.logit_lens(self.decoder, self.unembed)
-        for rows, value, name in ((self.feat_acts, "act", "freq"), (logits, "logit", "logits")):
-            bars = stats.histogram(rows.select("feature_id", value), "feature_id", value, self.settings.bins)
+        acts = stats.histogram(self.feat_acts.select("feature_id", "act"), "feature_id", "act", self.settings.bins)
+        for bars, name in ((acts, "freq"), (encode.logit_histogram(self.decoder, self.unembed, self.settings.bins, self.save), "logits")):
             heights, values = listed(bars, "bin", F.col("height").cast("int"), F.col("bar_value"))
             out = out.join(bars.groupBy("feature_id").agg(heights.alias(f"{name}_hist_data_bar_heights"), values.alias(f"{name}_hist_data_bar_values")), "feature_id", "left")
         return out
@@ -117,7 +116,8 @@ class Report:
             members = sequences.members(self.feat_acts, self.token_pos, self.groups, s.top, s.per_interval, s.seed)
         else:
             members = topk.top_positions(self.feat_acts, s.top).select("feature_id", F.lit(0).alias("group_ord"), "rank", "prompt_idx", "pos", "act")
-        return self.save(sequences.window_acts(sequences.windows(members, self.prompts, s.before, s.after), self.feat_acts).where(F.size("window") > 0))
+        members = self.save(members)
+        return self.save(sequences.window_acts(sequences.windows(members, self.token_pos, s.before, s.after), self.feat_acts).where(F.size("window") > 0))
 
     def packaged(self) -> DataFrame:
         """One row a feature: its groups in order with their sequences, each with the logits of its tokens."""
@@ -157,6 +157,50 @@ class Report:
         return out.withColumns(about).withColumnRenamed("feature_id", "feature_index")
 
 
+def bar_colours(values: Column) -> Column:
+    """A colour for each bar, darker at higher values: from 0.4 of the scale on."""
+    top = F.array_max(values)
+    return F.transform(values, lambda v: tx.warm_colour((0.4 * top + 0.6 * v) / F.greatest(top, F.lit(1e-6))))
+
+
+def histogram_payloads(features: DataFrame) -> DataFrame:
+    """feature_index, actsHistogram and logitsHistogram: heights y, centres x, ticks, colours and title of the bars. features: rows of the dashboard schema."""
+    acts, logits = F.col("freq_hist_data_bar_values"), F.col("logits_hist_data_bar_values")
+    title = F.concat(F.lit("ACTIVATIONS<br>DENSITY = "), F.format_string("%.3f%%", F.round(F.col("frac_nonzero") * 100, 3)))
+    colours = F.transform(logits, lambda v: F.when(v > 0, "rgba(0,0,255,0.5)").otherwise("rgba(255,0,0,0.5)"))
+    return features.select(
+        "feature_index",
+        F.struct(F.col("freq_hist_data_bar_heights").alias("y"), acts.alias("x"), stats.int_ticks(F.array_max(acts)).alias("ticks"), bar_colours(acts).alias("colors"), title.alias("title")).alias("actsHistogram"),
+        F.struct(F.col("logits_hist_data_bar_heights").alias("y"), logits.alias("x"), stats.ticks(F.array_min(logits), F.array_max(logits)).alias("ticks"), colours.alias("colors")).alias("logitsHistogram"),
+    )
+
+
+def sequence_payloads(packaged: DataFrame, vocab: DataFrame) -> DataFrame:
+    """feature_id and groups (group_ord, title, sequences of rank and tokens): a record for each token of each sequence.
+
+    packaged: as Report.packaged() gives it. A record has tok, tokID and tokenLogit (4 decimals), isBold at the sequence's own
+    position, and where the feature is active featAct (4 decimals) and bgColor, by its share of the feature's largest
+    activation in all sequences; elsewhere these are null. A group is a bounded number of bounded sequences.
+    """
+    groups = packaged.select("feature_id", F.explode("groups").alias("g"))
+    rows = groups.select("feature_id", "g.group_ord", F.explode("g.sequences").alias("s"))
+    top = rows.groupBy("feature_id").agg(F.max(F.array_max("s.feat_acts")).alias("_top"))
+    start = F.col("s.qualifying_token_index") - F.coalesce(F.col("s.start"), F.lit(0))  # the own position's place in the window
+    places = rows.select("feature_id", "group_ord", "s.rank", start.alias("_own"), F.posexplode(F.arrays_zip("s.token_ids", "s.feat_acts", "s.token_logits")).alias("_i", "x"))
+    places = named(places.select("feature_id", "group_ord", "rank", "_own", "_i", F.col("x.token_ids").alias("token_id"), F.col("x.feat_acts").alias("act"), F.col("x.token_logits").alias("logit")), vocab).join(top, "feature_id")
+    denominator = F.greatest(F.lit(1e-4), F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0))
+    live = F.abs("act") > 1e-8
+    one = F.struct(
+        "_i", F.col("token").alias("tok"), F.col("token_id").alias("tokID"), F.round("logit", 4).alias("tokenLogit"), (F.col("_i") == F.col("_own")).alias("isBold"),
+        F.when(live, F.round("act", 4)).alias("featAct"), F.when(live, tx.warm_colour(F.greatest(F.col("act"), F.lit(0.0)) / denominator)).alias("bgColor"),
+    )
+    sequences_ = places.groupBy("feature_id", "group_ord", "rank").agg(F.transform(F.array_sort(F.collect_list(one)), lambda t: t.dropFields("_i")).alias("tokens"))
+    per_group = sequences_.groupBy("feature_id", "group_ord").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("sequences"))
+    titles = groups.select("feature_id", "g.group_ord", tx.group_title(F.col("g.kind"), F.col("g.lower"), F.col("g.upper"), F.col("g.pct")).alias("title"))
+    full = titles.join(per_group, ["feature_id", "group_ord"], "left").withColumn("sequences", F.coalesce("sequences", F.expr("array()")))
+    return full.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("group_ord", "title", "sequences"))).alias("groups"))
+
+
 def payloads(features: DataFrame) -> DataFrame:
     """feature_index and what a page's components show, as text: tables with signs and percentages, logits and bars with colours.
 
@@ -173,12 +217,11 @@ def payloads(features: DataFrame) -> DataFrame:
     fade = lambda v: F.floor(255 * (1 - F.abs(v) / size)).cast("int")
     rgb = lambda v: F.when(v >= 0, F.format_string("rgba(%d,%d,255,0.5)", fade(v), fade(v))).otherwise(F.format_string("rgba(255,%d,%d,0.5)", fade(v), fade(v)))
     side = lambda c: F.transform(F.arrays_zip(f"{c}_str", f"{c}_values"), lambda x: F.struct(x[f"{c}_str"].alias("symbol"), F.round(x[f"{c}_values"], 2).alias("value"), rgb(x[f"{c}_values"]).alias("color")))
-    top = F.array_max("freq_hist_data_bar_values")
     return features.select(
         "feature_index",
         table("neuron_alignment_indices", "neuron_alignment_values", "neuron_alignment_l1", share).alias("neuronAlignment"),
         table("correlated_neurons_indices", "correlated_neurons_pearson", "correlated_neurons_l1", signed).alias("correlatedNeurons"),
         table("correlated_features_indices", "correlated_features_pearson", "correlated_features_l1", signed).alias("correlatedFeatures"),
         side("pos").alias("posLogits"), side("neg").alias("negLogits"),
-        F.transform("freq_hist_data_bar_values", lambda v: tx.warm_colour(F.when(top > 0, v / top).otherwise(0.0))).alias("actsHistogramColors"),
+        bar_colours(F.col("freq_hist_data_bar_values")).alias("actsHistogramColors"),
     )

@@ -245,5 +245,18 @@ SELECT feature_id, prompt_idx, list_max(l) AS dfa_max_value, (list_position(l, l
 SQL["attribution_softmax"], SQL["attribution_softmax_gqa"] = _softmax([0, 1, 2, 3]), _softmax([0, 0, 1, 1])
 
 
+SQL["corr_global_topk"] = """a AS (SELECT feature_id, vec_id, act, v.n AS c FROM vec_acts JOIN vec_n v USING (vec_id) WHERE act > 0), s AS (SELECT feature_id, sum(act * c) AS s, sum(act * act * c) AS ss FROM a GROUP BY feature_id),
+p AS (SELECT x.feature_id AS x_id, y.feature_id AS y_id, sum(x.act * y.act * x.c) AS sxy FROM a x JOIN a y ON x.vec_id = y.vec_id AND x.feature_id <> y.feature_id GROUP BY ALL),
+g AS (SELECT sx.feature_id AS x_id, sy.feature_id AS y_id, CASE WHEN sx.feature_id = sy.feature_id THEN 0.0 ELSE round((n * coalesce(sxy, 0) - sx.s * sy.s) / (sqrt(greatest((n * sx.ss - sx.s * sx.s) * (n * sy.ss - sy.s * sy.s), 0.0)) + 1e-6), 5) END AS pearson, CASE WHEN sx.feature_id = sy.feature_id THEN 0.0 ELSE round(coalesce(sxy, 0) / (sqrt(sx.ss * sy.ss) + 1e-6), 5) END AS cossim FROM s sx CROSS JOIN s sy CROSS JOIN total LEFT JOIN p ON p.x_id = sx.feature_id AND p.y_id = sy.feature_id)
+SELECT x_id, rank, y_id, pearson, cossim FROM (SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY pearson DESC, y_id) AS rank FROM g) WHERE rank <= 3"""
+_WARM = lambda v: f"'#ff' || lower(printf('%02x', round(255 - 115 * least(1, greatest(0, {v})))::INT)) || lower(printf('%02x', round(255 - 255 * least(1, greatest(0, {v})))::INT))"
+# A bar's colour: (0.4 of the largest centre + 0.6 of its own) as a share of the largest.
+SQL["histogram_payload"] = _sub("ah", "acts_histogram") + f"""k AS (SELECT feature_id, count(*) AS k FROM fa GROUP BY feature_id), t AS (SELECT feature_id, max(bar_value) AS m FROM ah GROUP BY feature_id)
+SELECT ah.feature_id AS feature_index, 'ACTIVATIONS<br>DENSITY = ' || printf('%.3f%%', round(k * 100 / n, 3)) AS title, floor(m)::BIGINT + 1 AS n_ticks, bin + 1::BIGINT AS place, bar_value AS x, height AS y, {_WARM('(0.4::DOUBLE * m + 0.6::DOUBLE * bar_value) / greatest(m, 1e-6)')} AS color FROM ah JOIN k USING (feature_id) JOIN t USING (feature_id), total"""
+SQL["sequence_payload"] = _ALL_GROUPS + f"""e AS (SELECT p.feature_id, p.group_ord, p.rank, p.i, p.token_id, round(coalesce(fa.act, 0) + 1e-9::DOUBLE, 4) AS v FROM places p LEFT JOIN fa ON fa.feature_id = p.feature_id AND fa.prompt_idx = p.prompt_idx AND fa.pos = p.i),
+tops AS (SELECT feature_id, CASE WHEN max(v) > 0 THEN max(v) ELSE 1.0 END AS m FROM e GROUP BY feature_id)
+SELECT e.feature_id, e.group_ord, e.rank, i AS place, token AS tok, e.token_id AS tok_id, i = s.pos AS bold, CASE WHEN v > 1e-8 THEN v END AS act, CASE WHEN v > 1e-8 THEN {_WARM('v / m')} END AS color, round(round(logit + 1e-9::DOUBLE * sign(logit), 4) + 0.0, 4) AS logit FROM e JOIN tops USING (feature_id) JOIN seqs s USING (feature_id, group_ord, rank) JOIN vocab ON vocab.token_id = e.token_id JOIN logits l ON l.feature_id = e.feature_id AND l.token_id = e.token_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: PREFIX + body for name, body in SQL.items()}

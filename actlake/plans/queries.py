@@ -14,7 +14,7 @@ from actlake.functions.vectors import argmax, finite_or, head_shares, l1_share,
 from actlake.operators import attention
 from actlake.operators import attribution as dfa
 from actlake.operators import corr, encode, prompt_scores, prompts, sequences, stats, topk
-from actlake.plans.dashboard import Report, Settings, named, payloads
+from actlake.plans.dashboard import Report, Settings, histogram_payloads, named, payloads, sequence_payloads
 from actlake.sources import exports, readers, sinks
 from actlake.sources.model_tables import D_IN, FEATURES, HEADS, WINDOW_BITS, ModelTables, document_of
 from actlake.streaming.correlation import CorrelationState, correlate_stream
@@ -44,10 +44,6 @@ def features(m: ModelTables) -> DataFrame:
     return prompts.universe(m.spark, FEATURES)
 
 
-def logits(m: ModelTables) -> DataFrame:
-    return encode.logit_lens(m.decoder, m.unembed)
-
-
 @query
 def prompt_dedupe(m: ModelTables) -> DataFrame:
     return prompts.dedupe(m.prompts).select("prompt_idx", F.size("token_ids").alias("n_tokens"), tokens_md5(F.col("token_ids")).alias("tokens_md5"))
@@ -194,12 +190,12 @@ def acts_histogram(m: ModelTables) -> DataFrame:
 
 @query
 def logits_histogram(m: ModelTables) -> DataFrame:
-    return stats.histogram(logits(m), "feature_id", "logit", 50)
+    return encode.logit_histogram(m.decoder, m.unembed, 50, m.cache.save)
 
 
 @query
 def histogram_ticks(m: ModelTables) -> DataFrame:
-    edges = logits(m).groupBy("feature_id").agg(F.min("logit").alias("lo"), F.max("logit").alias("hi"))
+    edges = encode.logit_ranges(m.decoder, m.unembed)
     return edges.select("feature_id", F.explode(stats.ticks(F.col("lo"), F.col("hi"))).alias("tick"))
 
 
@@ -252,6 +248,13 @@ def corr_neurons_topk(m: ModelTables) -> DataFrame:
     return _neurons_topk(corr.neuron_sums(m.model_acts32, m.encoder))
 
 
+@query
+def corr_global_topk(m: ModelTables) -> DataFrame:
+    """Over all features, in blocks of four."""
+    found = corr.global_top(m.model_acts32, m.encoder, m.positions, 3, m.cache.save, block=4)
+    return found.select("x_id", "rank", "y_id", "pearson", "cossim")
+
+
 def _neurons_topk(sums: DataFrame) -> DataFrame:
     found = _rounded(corr.finalise(sums))
     return topk.top_k(found, ["feature_id"], [F.desc("pearson"), F.asc("idx")], 3).select("feature_id", "rank", "idx", "pearson", "cossim")
@@ -287,7 +290,7 @@ def _top(m: ModelTables) -> DataFrame:
 
 @query
 def top_activations(m: ModelTables) -> DataFrame:
-    rows = named(sequences.windows(_top(m), m.prompts, 5, 5), m.vocab)
+    rows = named(sequences.windows(m.cache.save(_top(m)), m.token_pos, 5, 5), m.vocab)
     return rows.select("feature_id", "rank", "prompt_idx", "pos", "token", "act", tokens_md5(F.col("window")).alias("window_md5"))
 
 
@@ -314,14 +317,14 @@ def interval_samples(m: ModelTables) -> DataFrame:
 @query
 def context_windows(m: ModelTables) -> DataFrame:
     acts = m.feat_acts
-    rows = sequences.window_acts(sequences.windows(topk.top_positions(acts, 20).withColumn("group_ord", F.lit(0)), m.prompts, 5, 5), acts)
+    rows = sequences.window_acts(sequences.windows(m.cache.save(topk.top_positions(acts, 20).withColumn("group_ord", F.lit(0))), m.token_pos, 5, 5), acts)
     out = rows.select("feature_id", "rank", "prompt_idx", "pos", "start", F.posexplode(F.arrays_zip("window", "acts")).alias("i", "x"))
     return out.select("feature_id", "rank", "prompt_idx", "pos", (F.col("start") + F.col("i")).alias("wpos"), F.col("x.window").alias("token_id"), F.col("x.acts").alias("act"))
 
 
 @query
 def full_sequence_windows(m: ModelTables) -> DataFrame:
-    rows = sequences.windows(_top(m), m.prompts, None, 0)
+    rows = sequences.windows(m.cache.save(_top(m)), m.token_pos, None, 0)
     return rows.select("feature_id", "rank", "prompt_idx", "pos", F.size("window").alias("n_tokens"), tokens_md5(F.col("window")).alias("window_md5"))
 
 
@@ -533,6 +536,23 @@ def dashboard_payloads(m: ModelTables) -> DataFrame:
     )
 
 
+@query
+def histogram_payload(m: ModelTables) -> DataFrame:
+    """Bars of the activations' histograms as a page shows them: heights, centres and colours, and the title."""
+    shown = histogram_payloads(report(m).histograms().withColumnRenamed("feature_id", "feature_index"))
+    rows = shown.select("feature_index", "actsHistogram.title", F.size("actsHistogram.ticks").cast("long").alias("n_ticks"), F.posexplode(F.arrays_zip("actsHistogram.x", "actsHistogram.y", "actsHistogram.colors")).alias("at", "b"))
+    return rows.select("feature_index", "title", "n_ticks", (F.col("at") + 1).cast("long").alias("place"), "b.x", F.col("b.y").cast("long").alias("y"), F.col("b.colors").alias("color"))
+
+
+@query
+def sequence_payload(m: ModelTables) -> DataFrame:
+    """The record of each token of the sequences of all groups, as a page shows it."""
+    r = report(m)
+    rows = sequence_payloads(r.packaged(), m.vocab).select("feature_id", F.explode("groups").alias("g"))
+    tokens = rows.select("feature_id", "g.group_ord", F.explode("g.sequences").alias("s")).select("feature_id", "group_ord", "s.rank", F.posexplode("s.tokens").alias("at", "t"))
+    return tokens.select("feature_id", "group_ord", "rank", (F.col("at") + 1).cast("long").alias("place"), F.col("t.tok").alias("tok"), F.col("t.tokID").alias("tok_id"), F.col("t.isBold").alias("bold"), F.col("t.featAct").alias("act"), F.col("t.bgColor").alias("color"), (F.round("t.tokenLogit", 4) + 0.0).alias("logit"))
+
+
 def _written(m: ModelTables, name: str) -> str:
     """A folder of its own for what a query writes and reads again."""
     return f"{m.cache.folder}/{name}-{uuid.uuid4().hex[:8]}"

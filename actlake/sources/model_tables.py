@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actlake.operators.encode import encode
+from actlake.operators.prompts import texts
 from actlake.operators.spread import hot_keys, numbered, spread_join
 from actlake.sources.cache import TableCache
 
@@ -90,8 +91,7 @@ class ModelTables:
     @cached_property
     def prompts(self) -> DataFrame:
         """prompt_idx, token_ids in order of position."""
-        pairs = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
-        return self.token_pos.groupBy("prompt_idx").agg(F.transform(pairs, lambda x: x["token_id"]).alias("token_ids"))
+        return texts(self.token_pos)
 
     @cached_property
     def benchmark_acts(self) -> DataFrame:
