@@ -164,14 +164,13 @@ def bar_colours(values: Column) -> Column:
 
 
 def histogram_payloads(features: DataFrame) -> DataFrame:
-    """feature_index, actsHistogram and logitsHistogram: heights y, centres x, ticks, colours and title of the bars. features: rows of the dashboard schema."""
+    """feature_index, actsHistogram and logitsHistogram: heights y, centres x and ticks of the bars, and colours and title of the first. features: rows of the dashboard schema."""
     acts, logits = F.col("freq_hist_data_bar_values"), F.col("logits_hist_data_bar_values")
     title = F.concat(F.lit("ACTIVATIONS<br>DENSITY = "), F.format_string("%.3f%%", F.round(F.col("frac_nonzero") * 100, 3)))
-    colours = F.transform(logits, lambda v: F.when(v > 0, "rgba(0,0,255,0.5)").otherwise("rgba(255,0,0,0.5)"))
     return features.select(
         "feature_index",
         F.struct(F.col("freq_hist_data_bar_heights").alias("y"), acts.alias("x"), stats.int_ticks(F.array_max(acts)).alias("ticks"), bar_colours(acts).alias("colors"), title.alias("title")).alias("actsHistogram"),
-        F.struct(F.col("logits_hist_data_bar_heights").alias("y"), logits.alias("x"), stats.ticks(F.array_min(logits), F.array_max(logits)).alias("ticks"), colours.alias("colors")).alias("logitsHistogram"),
+        F.struct(F.col("logits_hist_data_bar_heights").alias("y"), logits.alias("x"), stats.ticks(F.array_min(logits), F.array_max(logits)).alias("ticks")).alias("logitsHistogram"),
     )
 
 
