@@ -111,20 +111,22 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x != y).sum(axis=1).astype("int32"))
 
 
-def _met(ws: Workspace, many: DataFrame, one: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """many.join(one, key) where `one` has a row a key; a key that very many rows have, as a hub of links, is dealt to several tasks."""
-    return spread_join(many, one, [key], hot_keys(ws.save(many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))), [key]), [spread_by])
+def _hubs(links: DataFrame, key: str) -> DataFrame | None:
+    """Ids that very many links have in one column: their rows are dealt to several tasks when they are joined."""
+    return hot_keys(links.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key])
 
 
 def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b of the pairs whose sets have percent * union <= 100 * intersection. pairs: distinct a < b."""
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = ws.save(pairs)
-    near = _met(ws, _met(ws, pairs, side("a"), "a", "b"), side("b"), "b", "a")
-    near = ws.save(near.where(_distance("sig_a", "sig_b") <= NEAR).select("a", "b").distinct())
-    groups = ws.save(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")))
-    parted = _met(ws, near, groups, "a", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    right = _met(ws, parted, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a").select("a", "part", "b", "text_b")
+    hubs = {c: _hubs(pairs, c) for c in ("a", "b")}
+    met = lambda many, one, key, by: spread_join(many, one, [key], hubs[key], [by])
+    near = ws.save(met(met(pairs, side("a"), "a", "b"), side("b"), "b", "a").where(_distance("sig_a", "sig_b") <= NEAR).select("a", "b").distinct())
+    ws.drop(pairs)
+    groups = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    parted = met(near, groups, "a", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    right = met(parted, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a").select("a", "part", "b", "text_b")
     left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select(F.col("a").alias("own"), F.col("part").alias("own_part"), "text_a")
 
     def linked(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +141,9 @@ def _confirm(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame,
                     break
         return pd.DataFrame({"a": [theirs["a"].iloc[0]] * len(found) if found else [], "b": found}, dtype="int64")
 
-    return ws.save(left.groupBy("own", "own_part").cogroup(right.groupBy("a", "part")).applyInPandas(linked, "a long, b long").distinct())
+    found = ws.save(left.groupBy("own", "own_part").cogroup(right.groupBy("a", "part")).applyInPandas(linked, "a long, b long").distinct())
+    ws.drop(near)
+    return found
 
 
 def _outside(ws: Workspace, members: DataFrame, component: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -167,15 +171,16 @@ def _families(ws: Workspace, found: DataFrame, component: DataFrame, sigs: DataF
     many = found.where(F.col("n") > FEW)
     outside = ws.save(many.where("component <> top").select(F.col("top").alias("family"), "id", "component").distinct())
     tops = outside.select("family").distinct()
-    inside = _met(ws, component, tops.withColumnRenamed("family", "component"), "component", "id").select(F.col("component").alias("family"), "id", "component").unionByName(tops.select("family", F.col("family").alias("id"), F.col("family").alias("component")))
-    everyone = ws.save(outside.unionByName(inside))
+    inside = component.join(tops, F.col("component") == F.col("family")).select("family", "id", "component").unionByName(tops.select("family", F.col("family").alias("id"), F.col("family").alias("component")))
+    everyone = outside.unionByName(inside)
     blocks = lambda df, name: df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     sizes = ws.save(blocks(outside, "turns").join(blocks(everyone, "parts"), "family"))
+    hot = hot_keys(sizes.select("family", (F.col("parts") * BLOCK).alias("n")), ["family"])
     signed = texts.join(sigs, "id")
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = _met(ws, outside, sizes, "family", "id").withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(signed, "id")
-    right = _met(ws, everyone, sizes, "family", "id").withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(signed, "id")
+    left = spread_join(outside, sizes, ["family"], hot, ["id"]).withColumn("turn", deal("turns")).select("family", "turn", "id", "component", each("parts", "part")).join(signed, "id")
+    right = spread_join(everyone, sizes, ["family"], hot, ["id"]).withColumn("part", deal("parts")).select("family", "part", "id", "component", each("turns", "turn")).join(signed, "id")
     right = right.select(F.col("family").alias("family2"), F.col("turn").alias("turn2"), F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("text").alias("text2"), F.col("sig").alias("sig2"))
 
     def linked(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
