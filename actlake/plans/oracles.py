@@ -179,7 +179,6 @@ FROM seqs s JOIN vals USING (feature_id, group_ord, rank) JOIN named USING (feat
     "masked_topk": "g AS (SELECT feature_id, prompt_idx, least(count(*), 3) AS k FROM fa GROUP BY ALL), e AS (SELECT feature_id, prompt_idx, unnest(range(1, k + 1)) AS rank FROM g), b AS (SELECT feature_id, prompt_idx, act, pos, row_number() OVER (PARTITION BY feature_id, prompt_idx ORDER BY act DESC, pos) AS rank FROM fa WHERE pos % 2 = 0) SELECT feature_id, prompt_idx, rank, coalesce(act, 0.0) AS act, coalesce(pos, 0) AS pos FROM e LEFT JOIN b USING (feature_id, prompt_idx, rank)",
     "window_argmax": _sub("c", "context_windows") + "v AS (SELECT feature_id, rank, list(act ORDER BY wpos) AS l FROM c GROUP BY ALL) SELECT feature_id, rank, list_position(l, list_max(l)) - 1::BIGINT AS bold, list_max(l) AS scale, 1.0::DOUBLE AS negative_scale FROM v",
     "suppressed_values": "d AS (SELECT feature_id, (generate_subscripts(w, 1) - 1)::INT AS i, unnest(w) AS v FROM decoder) SELECT feature_id, i, round(v, 4) AS v FROM d WHERE abs(v) > 0.3::DOUBLE",
-    "start_zeroing": "x AS (SELECT prompt_idx, len(token_ids) AS n FROM prompts) SELECT prompt_idx, ((n + 1) * (n + 2) // 2 - 1)::DOUBLE AS total FROM x",
     "gathered_shards": "x AS (SELECT feature_id, sqrt(list_sum(list_transform(w, lambda v: v * v))) AS s FROM encoder) SELECT feature_id, round(s, 6) AS norm FROM x",
     "layer_weights": "x AS (SELECT feature_id, sqrt(list_sum(list_transform(w, lambda v: (v * 11) * (v * 11)))) AS s FROM decoder) SELECT feature_id, 2::INT AS from_layer, 2::INT AS to_layer, round(s, 6) AS norm FROM x",
     "hook_names": "x AS (SELECT doc_id, source, CASE WHEN doc_id % 3 > 0 OR lang IS NOT NULL THEN (doc_id % 48)::INT END AS layer, CASE WHEN doc_id % 3 = 0 THEN 'hook_' || lang END AS hook FROM documents) SELECT doc_id, layer, hook, layer || '-' || source || CASE WHEN doc_id % 2 = 0 THEN '__long' ELSE '' END AS source_id FROM x",
@@ -258,5 +257,12 @@ tops AS (SELECT feature_id, CASE WHEN max(v) > 0 THEN max(v) ELSE 1.0 END AS m F
 SELECT e.feature_id, e.group_ord, e.rank, i AS place, token AS tok, e.token_id AS tok_id, i = s.pos AS bold, CASE WHEN v > 1e-8 THEN v END AS act, CASE WHEN v > 1e-8 THEN {_WARM('v / m')} END AS color, round(round(logit + 1e-9::DOUBLE * sign(logit), 4) + 0.0, 4) AS logit FROM e JOIN tops USING (feature_id) JOIN seqs s USING (feature_id, group_ord, rank) JOIN vocab ON vocab.token_id = e.token_id JOIN logits l ON l.feature_id = e.feature_id AND l.token_id = e.token_id"""
 
 
+SQL["batch_files"] = SQL["dashboard_batches"]
+SQL["array_shards"] = "x AS (SELECT vec_id AS vec_no, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS s, x[1] AS f FROM emb) SELECT vec_no, round(s, 6) AS norm, round(f, 6) AS first FROM x"
+
+
+SQL["start_zeroing"] = _EXPORTED + "x AS (SELECT * FROM vals) SELECT feature_id, rank, len(vals) + 1 AS n_tokens, 0.0 AS start_value, round(list_sum(vals), 3) + 0.0 AS total FROM x"
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: PREFIX + body for name, body in SQL.items()}

@@ -15,7 +15,7 @@ from actlake.operators import attention
 from actlake.operators import attribution as dfa
 from actlake.operators import corr, encode, prompt_scores, prompts, sequences, stats, topk
 from actlake.plans.dashboard import Report, Settings, histogram_payloads, named, payloads, sequence_payloads
-from actlake.sources import exports, readers, sinks
+from actlake.sources import datasource, exports, readers, sinks
 from actlake.sources.model_tables import D_IN, FEATURES, HEADS, WINDOW_BITS, ModelTables, document_of
 from actlake.streaming.correlation import CorrelationState, correlate_stream
 
@@ -576,6 +576,27 @@ def dashboard_batches(m: ModelTables) -> DataFrame:
     return features.groupBy("batch_id", "model_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.size("f.activations")).alias("n_activations"))
 
 
+@query
+def batch_files(m: ModelTables) -> DataFrame:
+    """Dashboards written as batch-<n>.json and read by the data source; the filter on batches reaches the files."""
+    folder = _written(m, "files")
+    datasource.write_batch_files(m.cache.save(_batched(m)), HEAD, folder)
+    datasource.register(m.spark)
+    rows = m.spark.read.format("dashboard_batches").load(folder).where("batch_id >= 0").select("batch_id", "model_id", F.explode("features").alias("f"))
+    return rows.groupBy("batch_id", "model_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.size("f.activations")).alias("n_activations"))
+
+
+@query
+def array_shards(m: ModelTables) -> DataFrame:
+    """All vectors written as shards of matrices, by turns of four, and read by the data source."""
+    folder = _written(m, "arrays")
+    rows = m.vectors.select((F.col("at") % 4).alias("shard"), F.floor(F.col("at") / 4).alias("row"), "embedding")
+    datasource.write_shards(rows, "shard", "embedding", folder)
+    datasource.register(m.spark)
+    found = m.spark.read.format("array_shards").load(folder)
+    return found.select((F.col("row") * 4 + F.col("shard").cast("long")).alias("vec_no"), F.round(norm(F.col("x")), 6).alias("norm"), F.round(F.element_at("x", 1), 6).alias("first"))
+
+
 @query
 def bulk_export(m: ModelTables) -> DataFrame:
     """Everything of an export, written as gzipped JSON lines, renamed in place and read again."""
@@ -673,10 +694,11 @@ def suppressed_values(m: ModelTables) -> DataFrame:
 
 @query
 def start_zeroing(m: ModelTables) -> DataFrame:
-    """Values of tokens that start a sequence are zeroed: the prompts' tokens behind a start token."""
-    tokens = F.concat(F.array(F.lit(sinks.START_TOKENS[0])), F.transform("token_ids", lambda t: t.cast("string")))
-    values = F.transform(tokens, lambda t, i: (i + 1).cast("double"))
-    return m.prompts.select("prompt_idx", F.aggregate(sinks.without_start(tokens, values), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    """Sequences of the top group behind a start token that carries the largest activation: its value is zeroed, the others stay."""
+    rows = report(m, intervals=0).rows
+    tokens = F.concat(F.array(F.lit(sinks.START_TOKENS[0])), F.transform("window", lambda t: t.cast("string")))
+    values = sinks.without_start(tokens, F.concat(F.array("act"), "acts"))
+    return rows.select("feature_id", "rank", F.size(values).cast("long").alias("n_tokens"), F.element_at(values, 1).alias("start_value"), (F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("total"))
 
 
 @query
