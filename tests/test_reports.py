@@ -14,10 +14,11 @@ def test_containment():
 
 
 def test_deep_union():
-    assert r.deep_union({1: {2: [3, 4]}}, {1: {3: [3, 4]}}) == {1: {2: [3, 4], 3: [3, 4]}}
-    assert r.deep_union({"a": [1]}, {"a": [2]}) == {"a": [1, 2]}
+    layers = [{"sae": {"rows": [f"f{i}"], f"layer{i}": {"width": 16 * i}}} for i in range(3)]
+    assert r.deep_union(*layers) == {"sae": {"rows": ["f0", "f1", "f2"], "layer0": {"width": 0}, "layer1": {"width": 16}, "layer2": {"width": 32}}}
+    assert r.deep_union() == {}
     with pytest.raises(ValueError, match="two values"):
-        r.deep_union({1: 2}, {1: 2})
+        r.deep_union(layers[1], {"sae": {"layer1": {"width": 16}}})
 
 
 def test_paths():
