@@ -32,7 +32,7 @@ def test_paths():
 
 def test_command_line(spark, tmp_path):
     r.main(["feature_batches", "--tables", "/root/testdata/sf0.001", "--out", f"{tmp_path}/out"])
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 16
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 20
 
 
 def test_differences():
