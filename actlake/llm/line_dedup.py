@@ -121,6 +121,9 @@ def _kept_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
 
+_kept_of = _kept_of.asNondeterministic()  # else a filter on its result gets a second worker, which does all again
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """Drops lines that a document with a smaller id has as well, and adds n_lines, n_dropped and kept (the text left).
 
@@ -144,8 +147,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         store.add(lines.where(F.col("_batch") == b))
     # A line of very many documents is met where they are; the others go to the runs.
     limit = max(HOT_ROWS, lines.count() // HOT)
-    hot = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("_doc").alias("_owner")).where(F.col("n") > limit).select(*KEY, "_owner").collect()  # fewer than HOT
-    hot = F.broadcast(spark.createDataFrame(hot, "_h1 long, _h2 long, _owner long"))
+    hot = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("_doc").alias("_owner")).where(F.col("n") > limit).select(*KEY, "_owner").toArrow()  # fewer than HOT
+    hot = F.broadcast(spark.createDataFrame(hot))
     found = lines.join(hot, KEY).select("_doc", *KEY, "_owner")
     cold = lines.select(*KEY, "_doc").join(hot, KEY, "left_anti").repartition(store.buckets, *KEY)
     for run in store.runs():

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,9 @@ def word_count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([len(t.split()) if t else 0 for t in texts], dtype="int64")
 
 
+word_count = word_count.asNondeterministic()  # else a filter on its result gets a second worker, which counts again
+
+
 def flight(pi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """pi with all but at most two entries at 0 or 1; sum(pi) and sum(pi * sizes) stay as they are.
 
@@ -124,11 +128,12 @@ def source_targets(ws: Workspace, sizes: DataFrame) -> DataFrame:
     totals = ws.save(sizes.groupBy("_source").agg(F.sum("size").alias("source_size")))
     # Ranks by code point, null last: ranges of sources are numbered apart, then shifted by the sources before them.
     ranged = ws.save(totals.repartitionByRange(partitions(ws.spark), F.asc_nulls_last("_source")).withColumn("_part", F.spark_partition_id()))
-    before, offset = [], 0
+    parts, before, offset = [], [], 0
     for part, n in sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        before.append((part, offset))
+        parts.append(part)
+        before.append(offset)
         offset += n
-    shift = F.broadcast(ws.spark.createDataFrame(before, "_part int, _before long"))  # a row a partition
+    shift = F.broadcast(ws.spark.createDataFrame(pa.table({"_part": pa.array(parts, pa.int32()), "_before": pa.array(before, pa.int64())})))  # a row a partition
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("_source"))) - 1 + F.col("_before")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
     weighed = ws.save(ranged.join(shift, "_part").select("_source", "source_size", weight.alias("_weight")))

@@ -108,12 +108,8 @@ class Quadratic:
         return 1 / (1 + np.exp(-np.clip(log_density[1] - log_density[0], -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Quadratic:
-    """Learns from all rows of labels that aren't held out, joined with docs on the id.
-
-    Labels other than 0 and 1 and null ids are ignored; an id that is repeated on either side counts as often as the
-    join makes it. With labels of one class only, every score is that class; with none, 0.5.
-    """
+def _moments(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """label, at, v: each task's count, sums and sums of products of the statistics of labelled rows that aren't held out."""
     x = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), _features(F.col(text_col).cast("string")).alias("_x"))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     d = len(NAMES)
@@ -130,7 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if own[0]:
                 yield pd.DataFrame({"label": k, "at": np.arange(len(own)), "v": own})
 
-    parts = x.join(known, "_id").select("_x", "_y").mapInPandas(moments, "label int, at int, v double")
+    # The merge join shuffles the statistics, so that no task holds a worker for them and another for the moments at once.
+    return x.join(known.hint("merge"), "_id").select("_x", "_y").mapInPandas(moments, "label int, at int, v double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Quadratic:
+    """Learns from all rows of labels that aren't held out, joined with docs on the id.
+
+    Labels other than 0 and 1 and null ids are ignored; an id that is repeated on either side counts as often as the
+    join makes it. With labels of one class only, every score is that class; with none, 0.5.
+    """
+    d, parts = len(NAMES), _moments(docs, labels, id_col, text_col, label_col)
     found: dict[int, np.ndarray] = {}
     for r in parts.groupBy("label", "at").agg(F.sum("v").alias("v")).collect():  # 2 * (1 + d + d * d) numbers
         found.setdefault(r["label"], np.zeros(1 + d + d * d))[r["at"]] = r["v"]

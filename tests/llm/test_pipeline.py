@@ -130,3 +130,40 @@ def test_stages_take_dotted_names(spark, odd_docs, folder, name):
     out = STAGES[name](spark, odd_docs.withColumn("a.b", F.lit("dot")).withColumn("_row", F.lit("row")), folder)
     assert out.columns == [*odd_docs.columns, "a.b", "_row"]
     assert {tuple(r) for r in out.select("`a.b`", "_row").collect()} <= {("dot", "row")}
+
+
+def python_nodes(df):
+    """Most nodes that run Python in one stage of the plan before it runs."""
+    import re
+
+    most = own = 0
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):  # these plans have no branch inside a stage with Python
+        own = 0 if "Exchange" in line else own + bool(re.search(r"EvalPython|MapIn(Pandas|Arrow)|InPandas", line))
+        most = max(most, own)
+    return most
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "line dedup", "mixing sources", "byte-level BPE"])
+def test_a_task_needs_one_python_worker(spark, odd_docs, folder, name):
+    assert python_nodes(STAGES[name](spark, odd_docs, folder)) == 1
+
+
+def test_a_task_that_learns_quality_needs_one_python_worker(spark, odd_docs, folder):
+    from actlake.llm import quality
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    assert python_nodes(quality._moments(odd_docs, labels, "doc_id", "text", "quality")) == 1
+
+
+def test_small_tables_need_no_python_worker(spark, odd_docs, folder, monkeypatch):
+    """Common lines and hubs come to the driver and go out again without rows made by Python."""
+    from actlake.llm import common, line_dedup
+
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 1)
+    monkeypatch.setattr(line_dedup, "HOT", 1_000)
+    out = line_dedup.dedup_lines(odd_docs)
+    assert "Scan ExistingRDD[_h1" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr("actlake.operators.spread.HOT_ROWS", 1)
+    hubs = common.hot_keys(spark.createDataFrame([("a", 3), (None, 9), ("b", 1)], "key string, n long"), ["key"])
+    assert sorted(map(tuple, hubs.collect()), key=repr) == [("a", 3), (None, 9)]
+    assert hubs.dtypes == [("key", "string"), ("_parts", "int")] and "ExistingRDD" not in hubs._jdf.queryExecution().executedPlan().toString()
